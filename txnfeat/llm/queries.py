@@ -1,12 +1,16 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import url_filter, warc
+from . import decontaminate, near_dups, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op4_near_duplicates": near_dups.op4_near_duplicates,
     "op6_warc": warc.op6_warc,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op4_near_duplicates": near_dups.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
