@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows that go to Python at once; a row holds a whole text.
 ARROW_ROWS = 256
 
@@ -20,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def session_of(df: DataFrame) -> SparkSession:
     """The frame's session, with small Arrow batches, since a row may hold a very long text."""
     spark = df.sparkSession
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark

@@ -1,12 +1,14 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, decontaminate, near_dups, token_files, url_filter, warc
+from . import bpe, decontaminate, fingerprint, near_dups, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_imatch": fingerprint.op2_imatch,
     "op4_near_duplicates": near_dups.op4_near_duplicates,
     "op5_token_files": token_files.op5_token_files,
     "op6_warc": warc.op6_warc,
+    "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
