@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, decontaminate, fingerprint, near_dups, quality, token_files, url_filter, warc
+from . import bpe, decontaminate, fingerprint, html_text, near_dups, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_imatch": fingerprint.op2_imatch,
+    "op3_main_text": html_text.op3_main_text,
     "op4_near_duplicates": near_dups.op4_near_duplicates,
     "op5_token_files": token_files.op5_token_files,
     "op6_warc": warc.op6_warc,
