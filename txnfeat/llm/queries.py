@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, decontaminate, fingerprint, html_text, near_dups, quality, token_files, url_filter, warc
+from . import bpe, decontaminate, fingerprint, html_text, licenses, near_dups, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op4_near_duplicates": near_dups.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }
