@@ -5,11 +5,13 @@
    only the class's smallest doc_id goes on, so thousands of copies cost as much as one.
 2. Members of a band's bucket are compared with one hub each (a star), never all with all. Stars are repeated with new
    hubs among those members that are still outside the first member's component, and at last those few meet every
-   member of another component in their bucket, so that no link between components is lost.
+   member of another component in their bucket, so that no link between components is lost. Of these pairs only those
+   are made whose sketches are near and whose shared shingles can be enough: shingles that no other document of these
+   buckets has can't be shared, which rules out the many that differ from a common original each in their own way.
 3. A pair whose sketches' XOR has too many ones (an estimate far below the threshold) ends there; the others are
    confirmed on full sets. Components of the links come from alternating large and small stars, as tables.
 
-At J = 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32 = 5e-8; the screen stands over six standard
+At J = 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32 = 5e-8; the screen stands over four standard
 deviations below the threshold."""
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ STAR_ROUNDS = 3
 #: Identifiers up to this many (8 MB) are broadcast to fetch full sets; beyond, texts are joined in a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Estimates this far below the threshold are screened out.
-SLACK = 0.25
+SLACK = 0.2
 
 _HASHES = WordHashes()
 _RANDOM = np.random.default_rng(20240101)
@@ -170,7 +172,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     component_id, with null equal to null."""
     signed = written(signatures(docs, k), "near-dups-signed")
     reps = written(signed.where("sid is not null").groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"), F.min("doc_id").alias("id")).where("id is not null")
-                   .select("sid", "id", F.coalesce("r.bands", F.array().cast("array<long>")).alias("bands"), "r.sketch"), "near-dups-reps")
+                   .select("sid", "id", "n_shingles", F.coalesce("r.bands", F.array().cast("array<long>")).alias("bands"), "r.sketch"), "near-dups-reps")
     placed = reps.select("id", F.explode("bands").alias("key")).distinct()
     shared = placed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
     members = written(placed.join(shared, "key").select("key", "id", "hub"), "near-dups-members")
@@ -184,10 +186,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
             hubs = strays.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(n))).alias("h")).select("key", "h.id", "h.c").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
             pairs = known.join(hubs, "key").where("c <> ca").select("a", F.col("id").alias("b"))
         else:
-            s = reps.select("id", "sketch")
-            left = strays.join(s, "id").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("x"))
-            right = known.join(strays.select("key").distinct(), "key", "left_semi").join(s, "id").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("y"))
-            pairs = left.join(right, (left.key == right.key) & (F.col("ca") != F.col("cb")) & (_ones("x", "y") <= most_ones(percent / 100 - SLACK))).select("a", "b")
+            s = _bounded(known, reps, docs, k, percent, broadcast_ids)
+            left = strays.join(s, "id").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("x"), F.col("n").alias("na"), F.col("most").alias("ma"))
+            right = known.join(strays.select("key").distinct(), "key", "left_semi").join(s, "id").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("y"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+            enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+            pairs = left.join(right, (left.key == right.key) & (F.col("ca") != F.col("cb")) & enough & (_ones("x", "y") <= most_ones(percent / 100 - SLACK))).select("a", "b")
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-dups-pairs")
         if pairs.isEmpty():
             if strays.isEmpty():
@@ -211,6 +214,15 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(several, "key").select("key", "id", "c", "hub_c")
 
 
+def _bounded(known: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """id, sketch, n (set size), most (shingles that another of the known documents has too), without those that can have no link."""
+    sets = _sets(docs, known.select("id").distinct(), k, broadcast_ids).dropDuplicates(["id"])
+    own = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    out = known.select("id").distinct().join(reps.select("id", "sketch", F.col("n_shingles").alias("n")), "id").join(own, "id", "left").select("id", "sketch", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    # A partner has at least percent / 100 times as many shingles.
+    return written(out.where(F.col("most") * (100 + percent) * 100 >= F.col("n") * (100 + percent) * percent), "near-dups-bounded")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
 
