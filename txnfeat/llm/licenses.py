@@ -51,13 +51,18 @@ def _with_shingles(df: DataFrame) -> DataFrame:
     return df.withColumn("shingles", F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))).drop("words")
 
 
+def _cut(at: Column, n: Column | int) -> Column:
+    """n shingles from `at`; slice() would copy the whole array each time, which is quadratic for long texts."""
+    return F.transform(F.sequence(at - 1, F.least(at + n - 2, F.size("shingles") - 1)), lambda j: F.get("shingles", j))
+
+
 def _sketch(shingles: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(shingles)), 1, BANDS)
 
 
 def _windows(c: int) -> Column:
     """Class, first shingle and sketch of the windows for the templates of a size class."""
-    return F.transform(F.sequence(F.lit(1), F.size("shingles"), F.lit(c // 2)), lambda i: F.struct(F.lit(c).alias("class"), i.alias("at"), _sketch(F.slice("shingles", i, 3 * c // 2)).alias("bands")))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("shingles")), F.lit(c // 2)), lambda i: F.struct(F.lit(c).alias("class"), i.alias("at"), _sketch(_cut(i, 3 * c // 2)).alias("bands")))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -74,7 +79,7 @@ def scan(docs: DataFrame, templates: DataFrame, percent: int = PERCENT, broadcas
     spark = docs.sparkSession
     ship(spark)
     known = _with_shingles(templates.where("license is not null").select("license", _words(F.col("text")).alias("words")))
-    known = known.withColumn("shingles", F.array_distinct("shingles")).where(F.size("shingles") > 0).distinct()
+    known = written(known.withColumn("shingles", F.array_distinct("shingles")), "license-shingles").where(F.size("shingles") > 0).distinct()
     t = F.size("shingles")
     known = written(known.select("license", "shingles", F.greatest(F.lit(LEAST_CLASS), F.pow(F.lit(2.0), F.ceil(F.log2(t.cast("double")) - 1e-9))).cast("int").alias("class"), F.xxhash64("license", "shingles").alias("template")), "license-templates")
     # At most one class for each power of two.
@@ -85,7 +90,8 @@ def scan(docs: DataFrame, templates: DataFrame, percent: int = PERCENT, broadcas
     small = keys.count() <= broadcast_rows
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    shingled = _with_shingles(texts.select("key", _words(F.col("text")).alias("words"))).where(F.size("shingles") > 0)
+    # No filter on shingles: pushed below, it would compute the words anew for each of them.
+    shingled = _with_shingles(texts.select("key", _words(F.col("text")).alias("words")))
     windows = F.flatten(F.array(*map(_windows, classes)))
     asked = shingled.select("key", F.explode(windows).alias("w")).select("key", "w.class", "w.at", F.explode("w.bands").alias("band_"))
     found = asked.join(F.broadcast(keys) if small else keys, (F.col("band_") == F.col("band")) & (F.col("class") == F.col("of")))
@@ -94,7 +100,7 @@ def scan(docs: DataFrame, templates: DataFrame, percent: int = PERCENT, broadcas
     small = candidates.count() <= broadcast_rows
     asked = candidates.groupBy("key").agg(F.collect_list(F.struct("class", "at", "template")).alias("asked"))
     again = texts.join(F.broadcast(asked) if small else asked, "key").select("doc_id", "asked", _words(F.col("text")).alias("words"))
-    each = _with_shingles(again).select("doc_id", F.explode(F.transform("asked", lambda a: F.struct(a["template"].alias("template"), a["at"].alias("at"), F.slice("shingles", a["at"], F.floor(a["class"] * 3 / 2).cast("int")).alias("window")))).alias("a"))
+    each = _with_shingles(again).select("doc_id", F.explode(F.transform("asked", lambda a: F.struct(a["template"].alias("template"), a["at"].alias("at"), _cut(a["at"], F.floor(a["class"] * 3 / 2).cast("int")).alias("window")))).alias("a"))
     same = known.select("template", "license", "shingles")
     judged = each.select("doc_id", "a.*").join(F.broadcast(same) if known.count() <= broadcast_rows // 100 else same, "template")
     n = F.size(F.array_intersect("shingles", "window"))
@@ -125,10 +131,10 @@ with texts as (
 n as (select license, count(*) as n, greatest(8, cast(pow(2, ceil(log2(count(*)) - 1e-9)) as integer)) as c from t group by license),
 hit as (select distinct s.doc_id, t.license, p, s.sh, n.n, n.c from s join t on s.sh = t.sh join n on n.license = t.license where not is_license),
 windowed as (
-  select doc_id, license, n, sh, unnest(range(greatest(0, ((p - 3 * c // 2) // (c // 2))), (p - 1) // (c // 2) + 1)) * (c // 2) + 1 as at, p, c from hit
+  select doc_id, license, n, sh, unnest(range(greatest(0, ((p - 3 * c // 2) // (c // 2))), (p - 1) // (c // 2) + 1)) * (c // 2) + 1 as first_at, p, c from hit
 ), counted as (
-  select doc_id, license, at, count(distinct sh) as k, any_value(n) as n from windowed where at <= p and p < at + 3 * c // 2 group by doc_id, license, at
+  select doc_id, license, first_at, count(distinct sh) as k, any_value(n) as n from windowed where first_at <= p and p < first_at + 3 * c // 2 group by doc_id, license, first_at
 )
-select doc_id, license, max(k / n) as containment, cast(arg_min(at, (-k / n, at)) as integer) as "window"
+select doc_id, license, max(k / n) as containment, cast(arg_min(first_at, row(-k / n, first_at)) as integer) as "window"
 from counted where 100 * k >= 80 * n group by doc_id, license
 """.replace("VALUES_", ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in TEMPLATES))
