@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import session_of, table
 
 #: Code points of text in a chunk: what a task holds at a time, besides one document.
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 6 << 20
 #: Bytes of text for each word bucket; buckets at least and at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 32, 4096
 
