@@ -12,6 +12,8 @@ A value is the document's ids, little-endian, 2 bytes each if the vocabulary has
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,8 +33,8 @@ BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 16, 10, 7
 SHARD_BYTES = 32 << 20
 #: Steps of the identifiers' distribution from which the shards' borders are taken.
 BORDER_STEPS = 8192
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct words whose ids a task keeps; words that are encoded in one call.
+CACHE, CALL = 200_000, 4_000
 FOOTER, MARK = struct.Struct("<6QBx6s"), b"SSTTOK"
 
 
@@ -170,34 +172,67 @@ class ShardReader:
         return found
 
 
-def encode_pieces(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
+# Texts of these characters only are their own NFC form, and their lower-casing goes letter by letter.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+# The tokenizer's own pattern for its words, over those characters.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _plain_words(text: str) -> list[str]:
+    """Words that the tokenizer encodes each by itself; pieces with other characters stay whole."""
+    if _PLAIN.fullmatch(text):
+        return _WORD.findall(text.lower())
+    out = []
+    for piece in re.split(r"[ \t-\r]+", text):
+        out += _WORD.findall(piece.lower()) if _PLAIN.fullmatch(piece) else [piece]
+    return out
+
+
+def _encode_words(t, words: list[str], kind: np.dtype) -> Iterator[tuple[str, bytes]]:
+    plain, odd = [], []
+    for w in words:
+        (plain if _PLAIN.fullmatch(w) else odd).append(w)
+    for i in range(0, len(plain), CALL):
+        some = plain[i : i + CALL]
+        e = t.encode(" ".join(some), add_special_tokens=False)
+        of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, kind)
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        if len(starts) != len(some):
+            odd += some
+            continue
+        yield from zip(some, (x.tobytes() for x in np.split(ids, starts[1:])), strict=True)
+    for w in odd:
+        yield w, np.array(t.encode(w, add_special_tokens=False).ids, kind).tobytes()
+
+
+def encode_words(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, ids of every row of `docs` (doc_id, text), `end_id` appended; null texts are empty.
 
-    The tokenizer (a tokenizers file, sent to every task: its vocabulary has a fixed size) must drop white space and
-    look at no character beyond it, as word-end BPE does: then pieces between ASCII white space are encoded each by
-    itself, and each distinct one once as long as a worker remembers it. Strings of special tokens are ordinary text."""
+    The tokenizer (a tokenizers file, sent to every task: its vocabulary has a fixed size) must be a lower-casing BPE
+    with word ends that drops white space, as CLIP's: then its words are encoded each by itself, and each distinct one
+    once as long as a task remembers it. Strings of special tokens are ordinary text."""
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size() <= 1 << 16 else 4
     sent, kind = session_of(docs).sparkContext.broadcast(tokenizer_json), np.dtype(f"<u{width}")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(sent.value)
         t.encode_special_tokens = True
-        known: dict[bytes, bytes] = {}
+        known: dict[str, bytes] = {}
         end = np.array([end_id], kind).tobytes()
         for b in batches:
-            texts = [(x or b"").split() for x in b.column(1).to_pylist()]
+            texts = [_plain_words(x or "") for x in b.column(1).to_pylist()]
             if len(known) > CACHE:
                 known.clear()
-            new = list(set().union(*texts).difference(known))
-            known.update(zip(new, (np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            known.update(_encode_words(t, list(set().union(*texts).difference(known)), kind))
             values = [b"".join([*map(known.__getitem__, x), end]) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) // width for v in values], pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(f, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, n_tokens long, ids binary")
 
 
 def write_shards(docs: DataFrame, encoded: DataFrame, folder: str, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -295,5 +330,5 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
-        encoded = encode_pieces(docs, f.read(), end_id=1)
+        encoded = encode_words(docs, f.read(), end_id=1)
     return checksums(read_shards(write_shards(docs, encoded, shared_folder(spark, "tokens"), width=2)))
