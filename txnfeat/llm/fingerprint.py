@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, table
+from .common import literals, session_of, table
 from .decontaminate import hashes, words
 
 #: Document frequency of the band's rarest and most frequent terms, as shares of all documents.
@@ -117,10 +117,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = session_of(docs)
     d = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     steps = MOST_RANGES
-    total, quantiles = d.agg(F.sum(F.octet_length("text")), F.percentile_approx("k", F.array(*(F.lit(i / steps) for i in range(1, steps))), 4 * steps)).first()
+    total, quantiles = d.agg(F.sum(F.octet_length("text")), F.percentile_approx("k", literals(i / steps for i in range(1, steps)), 4 * steps)).first()
     n = max(1, min(steps, (total or 0) // RANGE_BYTES + 1))
     borders = sorted({quantiles[steps * i // n - 1] for i in range(1, n)}) if quantiles else []
-    part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col("k"))) if borders else F.lit(0)
+    part = F.size(F.filter(literals(borders, "L"), lambda x: x < F.col("k"))) if borders else F.lit(0)
     d = d.withColumn("part", part)
     # One row per range.
     firsts = sorted(tuple(r) for r in d.groupBy("part").agg(F.min("k")).collect())

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, shared_folder, storage, table, written
+from .common import literals, session_of, shared_folder, storage, table, written
 
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 16, 10, 7
 #: Bytes of text that one shard's documents have, about.
@@ -242,11 +242,11 @@ def write_shards(docs: DataFrame, encoded: DataFrame, folder: str, width: int, s
     identifiers stay in one shard, ordered by their ids."""
     spark = session_of(encoded)
     steps = [i / BORDER_STEPS for i in range(1, BORDER_STEPS)]
-    total, quantiles = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), 4 * BORDER_STEPS)).first()
+    total, quantiles = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", literals(steps), 4 * BORDER_STEPS)).first()
     n = max(1, min(BORDER_STEPS, (total or 0) // shard_bytes + 1))
     borders = sorted({quantiles[BORDER_STEPS * i // n - 1] for i in range(1, n)}) if quantiles else []
     # The shard is the number of borders below the identifier; nulls are in the first.
-    shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col("doc_id"))), F.lit(0)) if borders else F.lit(0)
+    shard = F.coalesce(F.size(F.filter(literals(borders, "L"), lambda x: x < F.col("doc_id"))), F.lit(0)) if borders else F.lit(0)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = out = w = uri = None
