@@ -1,4 +1,325 @@
-"""Named queries over the provided tables and their DuckDB SQL."""
+"""Named queries over the provided tables and their DuckDB SQL.
+
+Values that two engines may round apart in the last place are rounded to six digits here, never in the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import adapters
+from .operators import add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise
+from .operators import metrics, profile, subset
+from .operators.history import History
+from .operators.ledger import split_column
+from .operators.validate import parity, quality_counts
+from .plans.batch import card_features, ledger_features
+from .streaming import dlq
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    # + 0.0 makes a negative zero positive.
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LEDGER = f"with ledger as ({adapters.LEDGER_SQL}) "
+_CARD = f"with card as ({adapters.CARD_SQL}) "
+_FLAG = "cast(case when {} then 1 else 0 end as tinyint)"
+
+
+def _flags(**predicates: str) -> str:
+    return ", ".join(f"{_FLAG.format(p)} as {name}" for name, p in predicates.items())
+
+
+@query(_LEDGER + "select event_id, cast(step % 24 as int) as step_hour, round(sin((step % 24) * (2 * pi() / 24)), 6) + 0.0::double as hour_sin, round(cos((step % 24) * (2 * pi() / 24)), 6) + 0.0::double as hour_cos, cast(floor((step - 1) / 24) as int) as sim_day, round(ln(1 + greatest(0.0, amount)), 6) as amount_log1p, round(amount / (oldbalanceOrg + 1.0), 6) as amt_to_oldbalOrg, round(amount / (oldbalanceDest + 1.0), 6) as amt_to_oldbalDest, case when step <= 500 then 'train' when step <= 600 then 'valid' else 'test' end as split, " + _flags(history_window_complete_flag="step >= 169", type_transfer="type = 'TRANSFER'", type_cash_out="type = 'CASH_OUT'", type_payment="type = 'PAYMENT'", type_cash_in="type = 'CASH_IN'", type_debit="type = 'DEBIT'", amount_zero_flag="amount = 0", orig_drain_flag="oldbalanceOrg > 0 and abs(amount - oldbalanceOrg) < 0.005", amount_exceeds_orig_balance_flag="amount > oldbalanceOrg", orig_balance_zero_flag="oldbalanceOrg = 0", dest_balance_zero_flag="oldbalanceDest = 0 and type <> 'PAYMENT'") + " from ledger")
+def ledger_rowwise(spark, sf_dir):
+    names = ["step_hour", "hour_sin", "hour_cos", "sim_day", "history_window_complete_flag", *(f"type_{t}" for t in ("transfer", "cash_out", "payment", "cash_in", "debit")), "split", "amount_log1p", "amount_zero_flag", "amt_to_oldbalOrg", "amt_to_oldbalDest", "orig_drain_flag", "amount_exceeds_orig_balance_flag", "orig_balance_zero_flag", "dest_balance_zero_flag"]
+    out = add_ledger_rowwise(adapters.ledger(spark, sf_dir), include_tier_b=False).select("event_id", *names)
+    return _rounded(out, "hour_sin", "hour_cos", "amount_log1p", "amt_to_oldbalOrg", "amt_to_oldbalDest")
+
+
+@query(_LEDGER + "select event_id, newbalanceOrig + amount - oldbalanceOrg as err_balance_orig, oldbalanceDest + amount - newbalanceDest as err_balance_dest, " + _flags(orig_new_balance_zero_flag="newbalanceOrig = 0") + " from ledger")
+def ledger_tier_b(spark, sf_dir):
+    return add_ledger_rowwise(adapters.ledger(spark, sf_dir)).select("event_id", "err_balance_orig", "err_balance_dest", "orig_new_balance_zero_flag")
+
+
+@query(_LEDGER + "select event_id, sha256(concat_ws('|', step, type, amount, nameOrig, nameDest)) as txn_id from ledger")
+def ledger_txn_id(spark, sf_dir):
+    return add_ledger_rowwise(adapters.ledger(spark, sf_dir)).select("event_id", "txn_id")
+
+
+@query(_LEDGER + "select case when step <= 500 then 'train' when step <= 600 then 'valid' else 'test' end as split, count(*) as n from ledger group by 1")
+def ledger_split_counts(spark, sf_dir):
+    return adapters.ledger(spark, sf_dir).groupBy(split_column().alias("split")).agg(F.count("*").alias("n"))
+
+
+_PRIOR = "window f as (partition by nameDest order by step range between unbounded preceding and 1 preceding)"
+
+
+@query(_LEDGER + f""", h as (
+  select event_id, step, amount, count(*) over f as n, coalesce(sum(amount) over f, 0.0) as s, avg(amount) over f as m, stddev_samp(amount) over f as sd, max(amount) over f as mx, max(step) over f as last
+  from ledger {_PRIOR})
+select event_id, cast(n as int) as dest_prior_txn_count, {_FLAG.format('n = 0')} as dest_first_seen_flag, s as dest_prior_amount_sum, m as dest_prior_amount_mean, round(sd, 6) as dest_prior_amount_std,
+       mx as dest_prior_amount_max, cast(case when n > 0 then step - last end as int) as dest_steps_since_last_txn, round(case when n >= 3 and sd > 1e-5 then (amount - m) / sd end, 6) as dest_amount_zscore from h""")
+def ledger_prior_history(spark, sf_dir):
+    out = add_ledger_history(adapters.ledger(spark, sf_dir)).select("event_id", "dest_prior_txn_count", "dest_first_seen_flag", "dest_prior_amount_sum", "dest_prior_amount_mean", "dest_prior_amount_std", "dest_prior_amount_max", "dest_steps_since_last_txn", "dest_amount_zscore")
+    return _rounded(out, "dest_prior_amount_std", "dest_amount_zscore")
+
+
+@query(_LEDGER + f"""select event_id, cast(count(*) over d as int) as dest_txn_count_prev_24h, cast(count(*) over w as int) as dest_txn_count_prev_168h, coalesce(sum(amount) over d, 0.0) as dest_amount_sum_prev_24h,
+  coalesce(sum(amount) over w, 0.0) as dest_amount_sum_prev_168h, case when count(*) over f > 0 then sum(case when type = 'CASH_OUT' then 1 else 0 end) over f / count(*) over f end as dest_prior_cashout_share from ledger
+{_PRIOR}, d as (partition by nameDest order by step range between 24 preceding and 1 preceding), w as (partition by nameDest order by step range between 168 preceding and 1 preceding)""")
+def ledger_velocity(spark, sf_dir):
+    return add_ledger_history(adapters.ledger(spark, sf_dir)).select("event_id", "dest_txn_count_prev_24h", "dest_txn_count_prev_168h", "dest_amount_sum_prev_24h", "dest_amount_sum_prev_168h", "dest_prior_cashout_share")
+
+
+@query(_LEDGER + f"select event_id, cast(count(*) over f as int) as n, coalesce(sum(amount) over f, 0.0) as amount_sum from ledger {_PRIOR}")
+def ledger_prior_selfjoin(spark, sf_dir):
+    """The same history by a range self-join: an independent plan."""
+    rows = adapters.ledger(spark, sf_dir).select("event_id", "nameDest", "step", "amount")
+    prior = rows.select(F.col("nameDest").alias("d"), F.col("step").alias("s"), F.col("amount").alias("a"))
+    both = rows.join(prior, (F.col("nameDest") == F.col("d")) & (F.col("s") < F.col("step")), "left")
+    return both.groupBy("event_id").agg(F.count("s").cast("int").alias("n"), F.coalesce(F.sum("a"), F.lit(0.0)).alias("amount_sum"))
+
+
+@query(_LEDGER + "select count(*) as n_rows, count(distinct nameDest) as entities, sum(case when amount > 20000 then 1 else 0 end)::bigint as large from ledger")
+def ledger_full_features(spark, sf_dir):
+    """The whole ledger plan (row-wise, history, version), counted."""
+    out = ledger_features(adapters.ledger(spark, sf_dir))
+    return out.agg(F.count("*").alias("n_rows"), F.countDistinct("nameDest").alias("entities"), F.count_if((F.col("amount") > 20000) & F.col("feature_version").isNotNull()).alias("large"))
+
+
+_IND = ("addr1", "dist1", "P_emaildomain", "D2", "D15", "M1")
+_IND_NAMES = {"addr1": "addr", "dist1": "dist1", "P_emaildomain": "Pemail", "D2": "D2", "D15": "D15", "M1": "M1_3"}
+
+
+@query(_CARD + "select TransactionID, cast((DeviceType is not null)::int + (DeviceInfo is not null)::int + (id_01 is not null)::int as int) as identity_nonnull_count, " + _flags(has_identity_flag="DeviceType is not null or DeviceInfo is not null or id_01 is not null", **{f"ind_{_IND_NAMES[c]}": f"{c} is not null" for c in _IND}) + ", ((DeviceType is not null)::int + (DeviceInfo is not null)::int + (id_01 is not null)::int) / 40.0::double as identity_completeness from card")
+def card_missingness(spark, sf_dir):
+    return add_card_rowwise(adapters.card(spark, sf_dir)).select("TransactionID", "identity_nonnull_count", "has_identity_flag", "identity_completeness", *(f"ind_{_IND_NAMES[c]}" for c in _IND))
+
+
+@query(_CARD + ", k as (select *, sha256(concat_ws('_', card1, coalesce(card2::varchar, 'NA'), card3, coalesce(card4, 'NA'), card5, card6)) as card_proxy_id from card) select TransactionID, card_proxy_id, sha256(concat_ws('_', card_proxy_id, coalesce(addr1::varchar, 'NA'))) as card_addr_proxy_id from k")
+def card_proxy_keys(spark, sf_dir):
+    return add_card_rowwise(adapters.card(spark, sf_dir)).select("TransactionID", "card_proxy_id", "card_addr_proxy_id")
+
+
+@query(_CARD + "select TransactionID, cast(floor(TransactionDT / 3600) % 24 as int) as hour_of_day, cast(floor(TransactionDT / 86400) as int) as day_index, cast(cast(floor(TransactionDT / 86400) as int) % 7 as int) as day_of_week_rel, case when TransactionDT <= 130.0 * 86400 then 'train' else 'valid' end as split, round(ln(1 + greatest(0.0, TransactionAmt)), 6) as amt_log1p, cast(round((TransactionAmt - floor(TransactionAmt)) * 100) as int) as amt_cents, " + _flags(history_window_complete_flag="floor(TransactionDT / 86400) >= 7", amt_decimals_gt2_flag="abs(TransactionAmt * 100 - round(TransactionAmt * 100)) > 1e-4", amt_is_whole_flag="TransactionAmt = floor(TransactionAmt)") + " from card")
+def card_temporal_amount(spark, sf_dir):
+    return _rounded(add_card_rowwise(adapters.card(spark, sf_dir)).select("TransactionID", "hour_of_day", "day_index", "day_of_week_rel", "history_window_complete_flag", "split", "amt_log1p", "amt_cents", "amt_decimals_gt2_flag", "amt_is_whole_flag"), "amt_log1p")
+
+
+def _times(names, test):
+    return " + ".join(f"(case when {test.format(c)} then 1 else 0 end)" for c in names)
+
+
+@query(_CARD + f"""select TransactionID, cast({_times(('M1', 'M2', 'M4'), "{} = 'T'")} as int) as m_true_cnt, cast({_times(('M1', 'M2', 'M4'), "{} = 'F'")} as int) as m_false_cnt, cast({_times(('M1', 'M2', 'M4'), '{} is null')} as int) as m_null_cnt,
+  round(ln(1 + greatest(0.0, coalesce(C1, 0) + coalesce(C2, 0))), 6) as c_sum_log1p, cast({_times(('C1', 'C2'), 'coalesce({}, 0) > 0')} as int) as c_nonzero_cnt, greatest(coalesce(C1, 0.0), coalesce(C2, 0.0)) as c_max,
+  cast({_times(('D1', 'D2', 'D15'), '{} is not null')} as int) as d_nonnull_cnt, cast(least(coalesce(D1, 999999.0), coalesce(D2, 999999.0), coalesce(D15, 999999.0)) as double) as d_min, cast(greatest(coalesce(D1, -999999.0), coalesce(D2, -999999.0), coalesce(D15, -999999.0)) as double) as d_max from card""")
+def card_masked_aggregates(spark, sf_dir):
+    return _rounded(add_card_rowwise(adapters.card(spark, sf_dir)).select("TransactionID", "m_true_cnt", "m_false_cnt", "m_null_cnt", "c_sum_log1p", "c_nonzero_cnt", "c_max", "d_nonnull_cnt", "d_min", "d_max"), "c_sum_log1p")
+
+
+_CARD_KEY = "sha256(concat_ws('_', card1, coalesce(card2::varchar, 'NA'), card3, coalesce(card4, 'NA'), card5, card6))"
+
+
+@query(_CARD + f""", h as (
+  select TransactionID, TransactionDT, TransactionAmt, count(*) over f as n, coalesce(sum(TransactionAmt) over f, 0.0) as s, avg(TransactionAmt) over f as m, stddev_samp(TransactionAmt) over f as sd, max(TransactionAmt) over f as mx, lag(TransactionDT) over g as last
+  from card window f as (partition by {_CARD_KEY} order by TransactionDT, TransactionID rows between unbounded preceding and 1 preceding), g as (partition by {_CARD_KEY} order by TransactionDT, TransactionID))
+select TransactionID, cast(n as int) as card_prior_txn_count, {_FLAG.format('n = 0')} as card_first_seen_flag, s as card_prior_amt_sum, m as card_prior_amt_mean, round(sd, 6) as card_prior_amt_std, mx as card_prior_amt_max,
+       cast(case when n > 0 then TransactionDT - last end as int) as card_secs_since_last_txn, round(case when n >= 3 and sd > 1e-5 then (TransactionAmt - m) / sd end, 6) as amt_zscore_vs_card from h""")
+def card_prior_history(spark, sf_dir):
+    out = add_card_history(add_card_rowwise(adapters.card(spark, sf_dir))).select("TransactionID", "card_prior_txn_count", "card_first_seen_flag", "card_prior_amt_sum", "card_prior_amt_mean", "card_prior_amt_std", "card_prior_amt_max", "card_secs_since_last_txn", "amt_zscore_vs_card")
+    return _rounded(out, "card_prior_amt_std", "amt_zscore_vs_card")
+
+
+_CLOCK = "with t as (select event_id, user_id, cast(floor((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000000) as bigint) as sec, cast(round(value * 100) as double) as amount from events) "
+
+
+def _events_in_seconds(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01', cast(ts as timestamp_ntz))").alias("sec"), F.round(F.col("value") * 100).cast("double").alias("amount"))
+
+
+@query(_CLOCK + "select event_id, " + ", ".join(f"cast(count(*) over (partition by user_id order by sec range between {w} preceding and 1 preceding) as int) as {name}" for name, w in (("n_1h", 3600), ("n_24h", 86400), ("n_7d", 604800))) + " from t")
+def card_velocity(spark, sf_dir):
+    return _rolling(_events_in_seconds(spark, sf_dir), "user_id", "sec", "event_id", {"n_1h": 3600, "n_24h": 86400, "n_7d": 604800}).select("event_id", "n_1h", "n_24h", "n_7d")
+
+
+def _rolling(df, entity, clock, tie, counts, sums=None):
+    names = {k: f"h_{k}" for k in ("count", "first", "sum", "mean", "std", "max", "since", "zscore")}
+    return add_history(df, History(entity, clock, "amount", tie, names, counts, sums or {}))
+
+
+@query(_CARD + "select TransactionID, " + ", ".join(f"cast(count(*) over (partition by card1 order by TransactionDT range between {d * 86400} preceding and 1 preceding) as int) as n_{d}d" for d in (30, 90, 365)) + " from card")
+def card_velocity_long(spark, sf_dir):
+    df = adapters.card(spark, sf_dir).withColumnRenamed("TransactionAmt", "amount")
+    return _rolling(df, "card1", "TransactionDT", "TransactionID", {f"n_{d}d": d * 86400 for d in (30, 90, 365)}).select("TransactionID", "n_30d", "n_90d", "n_365d")
+
+
+@query(_CARD + "select count(*) as n_rows, sum(isFraud)::bigint as labels, count(distinct card1) as entities from card")
+def card_full_features(spark, sf_dir):
+    """The whole card plan (row-wise, history, pruning, version), counted."""
+    out = card_features(adapters.card(spark, sf_dir))
+    return out.agg(F.count("*").alias("n_rows"), F.sum("isFraud").alias("labels"), F.countDistinct(F.when(F.col("feature_version").isNotNull(), F.col("card1"))).alias("entities"))
+
+
+@query("select t.o_orderkey, t.o_totalprice, c.c_mktsegment, c.c_acctbal from orders t left join customer c on t.o_custkey = c.c_custkey")
+def identity_left_join(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return _read(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_totalprice", "c_mktsegment", "c_acctbal")
+
+
+@query("select count(*) as n_rows, count(distinct event_id) as distinct_ids, 0 as null_id, count(value) as present_value, sum(case when isnan(value) then 1 else 0 end)::bigint as nan_value from events")
+def quality_report(spark, sf_dir):
+    q = quality_counts(_read(spark, sf_dir, "events").select("event_id", "value"), "event_id", ["event_id"])
+    return q.select(F.col("rows").alias("n_rows"), "distinct_ids", F.col("`null:event_id`").cast("int").alias("null_id"), F.col("`present:value`").alias("present_value"), F.col("`nan:value`").alias("nan_value"))
+
+
+_COLS = ("addr1", "dist1", "M1", "C1", "D2", "DeviceType")
+
+
+@query(_CARD + " union all ".join(f"select '{c}' as \"column\", count(*) as n_rows, count(*) - count({c}) as nulls, count(distinct {c}) as n_distinct from card" for c in _COLS))
+def null_profile(spark, sf_dir):
+    return profile.null_profile(adapters.card(spark, sf_dir), list(_COLS)).select("column", F.col("rows").alias("n_rows"), "nulls", F.col("distinct").alias("n_distinct"))
+
+
+@query("select n, count(*) as keys from (select o_custkey, count(*) as n from orders group by o_custkey) group by n")
+def value_histogram(spark, sf_dir):
+    return profile.value_histogram(_read(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query(_LEDGER + ", v as (select step, count(*) as n from ledger group by step) select case when n < 5 then '<5' when n < 15 then '5-14' else '15+' end as bucket, min(n) as least, count(*) as steps, sum(n)::bigint as n_rows from v group by 1")
+def bucket_counts(spark, sf_dir):
+    v = adapters.ledger(spark, sf_dir).groupBy("step").agg(F.count("*").alias("n"))
+    bucket = F.when(F.col("n") < 5, "<5").when(F.col("n") < 15, "5-14").otherwise("15+")
+    return v.groupBy(bucket.alias("bucket")).agg(F.min("n").alias("least"), F.count("*").alias("steps"), F.sum("n").alias("n_rows"))
+
+
+@query(_CARD + "select count(*) filter (where dist1 is null) as n_null, count(*) filter (where dist1 is not null) as n_present, round(avg(isFraud) filter (where dist1 is null) * 100, 6) as rate_null, round(avg(isFraud) filter (where dist1 is not null) * 100, 6) as rate_present, round(avg(isFraud) filter (where dist1 is null) * 100 / 3.499, 6) as lift_null, round(avg(isFraud) filter (where dist1 is not null) * 100 / 3.499, 6) as lift_present from card")
+def filtered_rate_lift(spark, sf_dir):
+    return _rounded(profile.rate_lift(adapters.card(spark, sf_dir), "dist1", "isFraud", 3.499), "rate_null", "rate_present", "lift_null", "lift_present")
+
+
+@query(_CARD + "select count(*) filter (where TransactionAmt < 0 or C1 < 0) as negative, count(*) filter (where DeviceType is not null or DeviceInfo is not null or id_01 is not null) as with_identity, (select count(*) from (select distinct * exclude (TransactionID) from card)) as distinct_rows from card")
+def table_audit(spark, sf_dir):
+    df = adapters.card(spark, sf_dir)
+    present = F.col("DeviceType").isNotNull() | F.col("DeviceInfo").isNotNull() | F.col("id_01").isNotNull()
+    distinct = df.drop("TransactionID").distinct().agg(F.count("*").alias("distinct_rows"))
+    return df.agg(F.count_if((F.col("TransactionAmt") < 0) | (F.col("C1") < 0)).alias("negative"), F.count_if(present).alias("with_identity")).crossJoin(F.broadcast(distinct))  # two single rows
+
+
+_NUMERIC = ("TransactionAmt", "C1", "D1", "D2")
+
+
+@query(_CARD + " union all ".join(f"select '{c}' as \"column\", count({c}) as n, min({c})::double as min, max({c})::double as max, round(avg({c}), 6) as mean, round(stddev_pop({c}), 6) as std, round(quantile_cont({c}, 0.5), 6)::double as median, round(count(*) filter (where {c} = 0) / count({c}), 6) as zero_share, round(count(*) filter (where {c} < 0) / count({c}), 6) as negative_share, bool_and({c} = floor({c})) as all_integer from card" for c in _NUMERIC))
+def column_profile(spark, sf_dir):
+    return _rounded(profile.numeric_profile(adapters.card(spark, sf_dir), list(_NUMERIC)), "mean", "std", "median", "zero_share", "negative_share")
+
+
+@query(_CARD + ", c as (" + " union all ".join(f"select '{c}' as \"column\", {c}::varchar as value, count(*) as n from card where {c} is not null group by {c}" for c in ("M1", "card6", "card4")) + ") select \"column\", value, n, round(n / sum(n) over (partition by \"column\"), 6) as share, cast(row_number() over (partition by \"column\" order by n desc, value) as int) as place from c qualify place <= 5")
+def top_values(spark, sf_dir):
+    return _rounded(profile.top_values(adapters.card(spark, sf_dir), ["M1", "card6", "card4"]), "share")
+
+
+@query(_CARD + ", r as (select isFraud, count(*) over (order by D1) - (count(*) over (partition by D1) - 1) / 2.0 as rank from card where D1 is not null) select round(((sum(rank) filter (where isFraud = 1)) - sum(isFraud) * (sum(isFraud) + 1) / 2.0) / (sum(isFraud) * count(*) filter (where isFraud = 0)), 6)::double as auc from r")
+def rank_auc(spark, sf_dir):
+    return _rounded(profile.rank_auc(adapters.card(spark, sf_dir), "D1", "isFraud"), "auc")
+
+
+@query(_CARD + "select round(corr(TransactionAmt, isFraud), 6) as r from card")
+def pearson_label(spark, sf_dir):
+    return adapters.card(spark, sf_dir).agg(F.round(F.corr("TransactionAmt", "isFraud"), 6).alias("r"))
+
+
+@query(_CARD + ", m as (" + " union all ".join(f"select '{c}' as c, count(*) filter (where {c} is null) as nulls, count(*) as n, coalesce(md5(string_agg(TransactionID::varchar, ',' order by TransactionID) filter (where {c} is null)), '') as mask from card" for c in ("addr1", "dist1", "M1", "M4", "C1", "C2", "D1", "D15", "DeviceType", "id_01", "ProductCD")) + "), g as (select string_agg(c, ',' order by c) as columns, min(c) as first, any_value(nulls) as nulls, 100.0::double * any_value(nulls) / any_value(n) as null_percent from m group by mask) select 'MG' || lpad((row_number() over (order by null_percent desc, first) - 1)::varchar, 2, '0') as \"group\", columns, nulls, round(null_percent, 6) as null_percent, null_percent >= 5 and null_percent < 99.5 as indicator_recommended from g")
+def null_mask_groups(spark, sf_dir):
+    return _rounded(profile.null_mask_groups(adapters.card(spark, sf_dir), "TransactionID", ["addr1", "dist1", "M1", "M4", "C1", "C2", "D1", "D15", "DeviceType", "id_01", "ProductCD"]), "null_percent")
+
+
+@query("""with s as (select o_custkey, count(*) as n, max(o_orderdate) - min(o_orderdate) as span from orders group by o_custkey)
+select o_custkey, n as n_rows, cast(row_number() over (order by n desc, o_custkey) as int) as place from s qualify place <= 10""")
+def subset_selection(spark, sf_dir):
+    """The list of the largest entities."""
+    df = _read(spark, sf_dir, "orders").select("o_custkey", F.expr("timestampdiff(SECOND, timestamp_ntz'1992-01-01', cast(o_orderdate as timestamp_ntz))").alias("clock"))
+    return subset.rank_entities(df, "o_custkey", "clock").where("list = 'A'").select("o_custkey", F.col("rows").alias("n_rows"), "place")
+
+
+@query("select o.o_orderkey from orders o semi join customer c on o.o_custkey = c.c_custkey and c.c_mktsegment = 'BUILDING'")
+def membership_filter(spark, sf_dir):
+    keys = _read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return _read(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")
+
+
+_SCORED = "with s as (select case when event_id % 7 = 0 then 1 else 0 end as y, ((event_id * 37) % 101) / 100.0::double as score from events) "
+
+
+def _scored(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, 1).otherwise(0).alias("y"), ((F.col("event_id") * 37) % 101 / F.lit(100.0)).alias("score"))
+
+
+def _counts_sql(t: str) -> str:
+    return f"count(*) filter (where score < {t} and y = 0) as tn, count(*) filter (where score >= {t} and y = 0) as fp, count(*) filter (where score < {t} and y = 1) as fn, count(*) filter (where score >= {t} and y = 1) as tp"
+
+
+@query(_SCORED + f"select {_counts_sql('0.5')} from s")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(_scored(spark, sf_dir), "y", "score").select("tn", "fp", "fn", "tp")
+
+
+@query(_SCORED + f", t as (select unnest([0.105, 0.305, 0.505, 0.705, 0.905])::double as threshold), c as (select threshold, {_counts_sql('threshold')} from s, t group by threshold) select *, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1 from c")
+def threshold_sweep(spark, sf_dir):
+    return _rounded(metrics.sweep(_scored(spark, sf_dir), "y", "score", [0.105, 0.305, 0.505, 0.705, 0.905]), "precision", "recall", "f1")
+
+
+@query(_SCORED + ", g as (select score, sum(y) as p, count(*) as n from s group by score), c as (select p, sum(p) over (order by score desc) as tp, sum(n) over (order by score desc) as k from g) select round(sum(p * tp / k) / sum(p), 6)::double as average_precision from c")
+def average_precision(spark, sf_dir):
+    return _rounded(metrics.average_precision(_scored(spark, sf_dir), "y", "score"), "average_precision")
+
+
+@query(_LEDGER + "select case when event_id % 10 = 1 then 'NEGATIVE_AMOUNT' when event_id % 10 = 2 then 'MISSING_FIELD' when event_id % 10 = 3 then 'BAD_TYPE' when event_id % 10 = 4 then 'MALFORMED_JSON' when event_id % 10 = 5 then 'BAD_STEP_TYPE' when event_id % 10 = 6 then 'INVALID_STEP' when event_id % 10 = 7 then 'INVALID_LABEL' when event_id % 10 = 8 then 'BAD_FIELD_TYPE' else 'VALID' end as reason, count(*) as n from ledger group by 1")
+def dlq_classification_ledger(spark, sf_dir):
+    k = F.col("event_id") % 10
+    fields = F.struct(
+        F.when(k == 5, F.lit("ten").cast("variant")).when(k == 6, F.lit(800).cast("variant")).otherwise(F.col("step").cast("variant")).alias("step"),
+        F.when(k == 3, "TELEPORT").otherwise(F.col("type")).alias("type"),
+        F.when(k == 1, F.lit(-50.0).cast("variant")).when(k == 8, F.lit("many").cast("variant")).otherwise(F.col("amount").cast("variant")).alias("amount"),
+        F.when(k != 2, F.col("nameOrig")).alias("nameOrig"), "nameDest", F.when(k == 7, 99).otherwise(F.col("isFraud")).alias("isFraud"),
+    )
+    raw = adapters.ledger(spark, sf_dir).select(F.when(k == 4, "{not json").otherwise(F.to_json(fields)).alias("value"))
+    return raw.groupBy(F.coalesce(dlq.ledger_reason(F.col("value")), F.lit("VALID")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(_CARD + "select case when TransactionID % 8 = 1 then 'NEGATIVE_AMOUNT' when TransactionID % 8 = 2 then 'MISSING_FIELD' when TransactionID % 8 = 3 then 'BAD_FIELD_TYPE' when TransactionID % 8 = 4 then 'MALFORMED_JSON' when TransactionID % 8 = 5 then 'INVALID_LABEL' when TransactionID % 8 = 6 then 'INVALID_TRANSACTIONDT' else 'VALID' end as reason, count(*) as n from card group by 1")
+def dlq_classification_card(spark, sf_dir):
+    k = F.col("TransactionID") % 8
+    fields = F.struct(
+        "TransactionID", F.when(k == 5, 7).otherwise(F.col("isFraud")).alias("isFraud"), F.when(k == 6, 0).otherwise(F.abs("TransactionDT") + 1).alias("TransactionDT"),
+        F.when(k == 1, F.lit(-1.0)).otherwise(F.col("TransactionAmt")).alias("TransactionAmt"), F.when(k == 3, F.lit(5).cast("variant")).otherwise(F.col("ProductCD").cast("variant")).alias("ProductCD"), F.when(k != 2, F.col("card1")).alias("card1"),
+    )
+    raw = adapters.card(spark, sf_dir).select(F.when(k == 4, "[1, 2]").otherwise(F.to_json(fields)).alias("value"))
+    return raw.groupBy(F.coalesce(dlq.card_reason(F.col("value")), F.lit("VALID")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(_LEDGER + "select 'dest_prior_txn_count' as \"column\", count(*) as compared, 0::bigint as mismatches from ledger")
+def parity_check(spark, sf_dir):
+    """The window plan against the self-join plan."""
+    a = ledger_prior_history(spark, sf_dir).select("event_id", "dest_prior_txn_count")
+    b = ledger_prior_selfjoin(spark, sf_dir).select("event_id", F.col("n").alias("dest_prior_txn_count"))
+    return parity(a, b, "event_id").select("column", "compared", "mismatches")
