@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
 from .profile import rank_auc
 
 
@@ -34,8 +35,7 @@ def sweep(df: DataFrame, label: str, score: str, thresholds: list[float]) -> Dat
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: the sum over distinct scores of the recall gained times the precision there; null for a single class."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = by.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    cum = running_totals(by, "s", {"tp": "p", "k": "n"}, descending=True)
     s = cum.agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("a"), F.sum("p").alias("p"), F.max("k").alias("n"))
     return s.select(F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("a") / F.col("p")).alias("average_precision"))
 

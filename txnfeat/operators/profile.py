@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, rows, nulls, distinct of each column; distinct leaves nulls out."""
@@ -40,8 +42,7 @@ def rank_auc(df: DataFrame, column: str, label: str) -> DataFrame:
 
     Ranks come from counts by value, so only distinct values are ordered."""
     by = df.where(F.col(column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select("n", "p", (below + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = running_totals(by, "v", {"below": "n"}, inclusive=False).select("n", "p", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
     s = ranked.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), F.count(F.lit(1)).alias("values"))
     return s.select(F.when((F.col("values") > 1) & (F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -86,13 +87,20 @@ def compress_names(names: list[str]) -> str:
     return ",".join(a if a == b else f"{a}-{b}" for _, a, _, b in out)
 
 
+def correlation(a: str, b: str):
+    """Pearson's r over rows where both columns are present; null where one is constant there (corr() fails then in ANSI mode)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_clusters(df: DataFrame, columns: list[str], threshold: float = 0.98, fraction: float = 1.0, seed: int = 42) -> list[list[str]]:
     """Clusters by greedy choice: a column joins the first representative with |r| >= threshold, else it is a new one.
 
     Correlations are over rows where both are present, in one aggregation for all pairs; constants correlate with nothing."""
     sample = df.sample(fraction=fraction, seed=seed) if fraction < 1 else df
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = sample.agg(F.count(F.lit(1)).alias("rows"), *(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)).first()
+    row = sample.agg(F.count(F.lit(1)).alias("rows"), *(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs)).first()
     clusters: list[list[str]] = []
     for c in columns:
         for k in clusters:

@@ -245,7 +245,7 @@ def rank_auc(spark, sf_dir):
 
 @query(_CARD + "select round(corr(TransactionAmt, isFraud), 6) as r from card")
 def pearson_label(spark, sf_dir):
-    return adapters.card(spark, sf_dir).agg(F.round(F.corr("TransactionAmt", "isFraud"), 6).alias("r"))
+    return adapters.card(spark, sf_dir).agg(F.round(profile.correlation("TransactionAmt", "isFraud"), 6).alias("r"))
 
 
 @query(_CARD + ", m as (" + " union all ".join(f"select '{c}' as c, count(*) filter (where {c} is null) as nulls, count(*) as n, coalesce(md5(string_agg(TransactionID::varchar, ',' order by TransactionID) filter (where {c} is null)), '') as mask from card" for c in ("addr1", "dist1", "M1", "M4", "C1", "C2", "D1", "D15", "DeviceType", "id_01", "ProductCD")) + "), g as (select string_agg(c, ',' order by c) as columns, min(c) as first, any_value(nulls) as nulls, 100.0::double * any_value(nulls) / any_value(n) as null_percent from m group by mask) select 'MG' || lpad((row_number() over (order by null_percent desc, first) - 1)::varchar, 2, '0') as \"group\", columns, nulls, round(null_percent, 6) as null_percent, null_percent >= 5 and null_percent < 99.5 as indicator_recommended from g")
