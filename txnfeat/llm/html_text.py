@@ -35,6 +35,11 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: Parts of class, id and role names that speak for boilerplate; those after which a name's part may go on.
 BAD_NAMES = frozenset("ad ads adv adsense alert bar banner bottombar breadcrumb breadcrumbs byline captcha consent contentinfo cookie cookies copyright cta disclaimer disqus dropdown feedback foot footer form gdpr head header legal links login masthead menu menubar meta modal navbar nav navigation notice notification notifications outbrain overlay pager pagination paywall popup privacy promo promos promotion rating register related replies reply search share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking trending widget widgets".split())
 BAD_STARTS = ("advert", "comment", "cookie", "newsletter", "promo", "recommend", "sidebar", "sponsor", "subscri", "footer", "navig", "respond", "popular")
+BAD_ENDS = ("nav", "menu", "sidebar", "footer", "toolbar", "navbar")
+#: Names that speak for boilerplate even on an article, a paragraph or a heading; words after which a name is of the layout.
+SURE = frozenset("ad ads related sponsored teaser promo discussion reactions guestbook".split())
+LAYOUT = frozenset("has with no without is not hide show".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 GOOD_NAMES = frozenset("article articlebody body content entry hentry main post story text".split())
 _FOOT = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
@@ -69,20 +74,25 @@ class Element:
                     self.skip = True
             if re.search(r"(?:^|\s)hidden(?:[\s/]|$)", re.sub(r"""=\s*(?:"[^"]*"|'[^']*'|\S+)""", "=", attributes)):
                 self.skip = True
-        self.bad = max(self.bad, here)
+        # An article within a wrapper that has but a doubtful name is an article.
+        self.bad = here if tag in MAIN_TAGS and self.bad < 6.0 else max(self.bad, here)
 
     def _names(self, value: str) -> float:
+        """How surely a class, id or role name speaks for boilerplate."""
         parts = [p.lower() for p in _NAME.findall(value)]
+        # has-sidebar and the like tell of a page's layout, not of the element.
+        parts = [p for i, p in enumerate(parts) if not i or parts[i - 1] not in LAYOUT]
         if not parts:
             return 0.0
         whole = "".join(parts)
-        if self.tag in MAIN_TAGS or whole in GOOD_NAMES or parts[0] in ("article", "post", "entry", "main", "story") and len(parts) > 1 and parts[1] in ("article", "body", "content", "text", "title", "header", "headline", "main", "entry"):
+        sure = any(p.startswith(BAD_STARTS) or p in SURE for p in parts)
+        if self.tag in MAIN_TAGS or self.tag in PROSE:
+            return 6.0 if sure else 0.0
+        if whole in GOOD_NAMES or parts[0] in ("article", "post", "entry", "main", "story") and len(parts) > 1 and parts[1] in ("article", "body", "content", "text", "title", "header", "headline", "main", "entry"):
             return 0.0
-        if whole in BAD_NAMES or any(whole.startswith(s) for s in BAD_STARTS):
+        if whole in BAD_NAMES or whole.startswith(BAD_STARTS):
             return 6.0
-        if any(p in BAD_NAMES or p.startswith(BAD_STARTS) for p in parts):
-            return 5.0
-        return 0.0
+        return 5.0 if sure or any(p in BAD_NAMES or p.endswith(BAD_ENDS) for p in parts) else 0.0
 
 
 class Block:
@@ -193,7 +203,7 @@ def costs(b: Block, has_main: bool, in_headed: bool) -> tuple[float, float]:
     if e.main and e.bad:
         bad += 4.0
     if share > 0.5 and not (e.main and e.tag == "p"):
-        bad += 2.5 * share
+        bad += 3.5 * share
     if e.tag == "li" and b.chars < 40 and share > 0.5:
         bad += 1.0
     if _FOOT.match(b.text) and b.chars < 200 and not e.main:
