@@ -168,7 +168,7 @@ def blocks(page: str) -> Iterator[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID:
             continue
         if tag == "a":
             links += 1
