@@ -29,7 +29,7 @@ from .common import WordHashes, session_of, table, written
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 256
 #: Star rounds with new hubs before the rest of a bucket is compared in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Identifiers up to this many (8 MB) are broadcast to fetch full sets; beyond, texts are joined in a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Estimates this far below the threshold are screened out.
@@ -97,6 +97,11 @@ def estimate(a: list[int], b: list[int]) -> float:
     return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * math.log(max(1 - 2 * ones / SKETCH_BITS, 1e-9))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _ones(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
 
@@ -133,7 +138,9 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, broadcast_ids: int) -> DataFr
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame:
     """The pairs (a, b) whose sketches pass and whose full sets have 100 * intersection >= percent * union."""
-    s = reps.select("id", "sketch")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-dups-ids")
+    # A sketch and its identifier are five times as large as an identifier.
+    s = _small(written(reps.select("id", "sketch").join(_small(ids, broadcast_ids), "id", "left_semi"), "near-dups-sketches"), broadcast_ids // 5)
     screened = written(
         pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         .where(_ones("x", "y") <= most_ones(percent / 100 - SLACK)).select("a", "b"), "near-dups-screened",
@@ -160,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         last, seen = seen, print_of(now)
         if last == seen:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return written(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -180,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     found = components(links)
     for n in range(star_rounds + 1):
         # Of each bucket: the members outside the component of its hub, if any.
-        known = written(_placed(members, found), "near-dups-placed")
+        known = written(_placed(members, _small(found, broadcast_ids // 2)), "near-dups-placed")
         strays = known.where("c <> hub_c")
         if n < star_rounds:
             hubs = strays.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(n))).alias("h")).select("key", "h.id", "h.c").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
@@ -201,7 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
             continue
         links = links.union(more)
         found = components(links)
-    named = reps.select("sid", "id").join(found, "id", "left").select("sid", F.coalesce("component", "id").alias("component_id"))
+    named = reps.select("sid", "id").join(_small(found, broadcast_ids // 2), "id", "left").select("sid", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
