@@ -3,11 +3,11 @@
 1. One pass over the texts gives each document its set size, a 128-bit identity of its set, BANDS band keys and an odd
    sketch: the parity of how many of the MinHash samples fall on each bit. Documents with equal sets form a class, and
    only the class's smallest doc_id goes on, so thousands of copies cost as much as one.
-2. Members of a band's bucket are compared with one hub each (a star), never all with all. Stars are repeated with new
-   hubs among those members that are still outside the first member's component, and at last those few meet every
-   member of another component in their bucket, so that no link between components is lost. Of these pairs only those
-   are made whose sketches are near and whose shared shingles can be enough: shingles that no other document of these
-   buckets has can't be shared, which rules out the many that differ from a common original each in their own way.
+2. Members of a band's bucket are compared with one hub each (a star), never all with all. In the buckets that then
+   still hold several components, the star is repeated with another hub, and at last those outside the first member's
+   component meet every member of another component, so that no link between components is lost. Of these pairs only
+   those are made whose sketches are near and whose shared shingles can be enough: shingles that no other document of
+   these buckets has can't be shared, which rules out the many that differ from a common original each in their own way.
 3. A pair whose sketches' XOR has too many ones (an estimate far below the threshold) ends there; the others are
    confirmed on full sets. Components of the links come from alternating large and small stars, as tables.
 
@@ -185,29 +185,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     members = written(placed.join(shared, "key").select("key", "id", "hub"), "near-dups-members")
     links = written(_confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, k, percent, broadcast_ids), "near-dups-links")
     found = components(links)
-    for n in range(star_rounds + 1):
-        # Of each bucket: the members outside the component of its hub, if any.
-        known = written(_placed(members, _small(found, broadcast_ids // 2)), "near-dups-placed")
-        strays = known.where("c <> hub_c")
-        if n < star_rounds:
-            hubs = strays.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(n))).alias("h")).select("key", "h.id", "h.c").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-            pairs = known.join(hubs, "key").where("c <> ca").select("a", F.col("id").alias("b"))
-        else:
-            s = _bounded(known, reps, docs, k, percent, broadcast_ids)
-            left = strays.join(s, "id").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("x"), F.col("n").alias("na"), F.col("most").alias("ma"))
-            right = known.join(strays.select("key").distinct(), "key", "left_semi").join(s, "id").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("y"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-            enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-            pairs = left.join(right, (left.key == right.key) & (F.col("ca") != F.col("cb")) & enough & (_ones("x", "y") <= most_ones(percent / 100 - SLACK))).select("a", "b")
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-dups-pairs")
-        if pairs.isEmpty():
+    # Buckets that hold several components: their members that can still have a link, with what tells that.
+    known = written(_placed(members, _small(found, broadcast_ids // 2)), "near-dups-placed")
+    if not known.isEmpty():
+        able = _bounded(known, reps, docs, k, percent, broadcast_ids)
+        left_over = written(known.select("key", "id").join(_small(able, broadcast_ids // 5), "id"), "near-dups-left")
+        for n in range(star_rounds + 1):
+            known = written(_placed(left_over, _small(found, broadcast_ids // 2)), "near-dups-placed")
+            strays = known.where("c <> hub_c")
             if strays.isEmpty():
                 break
-            continue
-        more = written(_confirmed(pairs, reps, docs, k, percent, broadcast_ids), "near-dups-links")
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        found = components(links)
+            if n < star_rounds:
+                strays = strays.groupBy("key").agg(F.min_by(F.struct("id", "c", "sketch", "n", "most"), F.xxhash64("id", F.lit(n))).alias("h")).select("key", "h.*")
+            a = strays.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("x"), F.col("n").alias("na"), F.col("most").alias("ma"))
+            b = known.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("y"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+            enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+            pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & enough & (_ones("x", "y") <= most_ones(percent / 100 - SLACK)))
+            pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-dups-pairs")
+            if pairs.isEmpty():
+                continue
+            more = written(_confirmed(pairs, reps, docs, k, percent, broadcast_ids), "near-dups-links")
+            if more.isEmpty():
+                continue
+            links = links.union(more)
+            found = components(links)
     named = reps.select("sid", "id").join(_small(found, broadcast_ids // 2), "id", "left").select("sid", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -215,10 +216,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
 
 
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, id, c, hub_c of the members of buckets that hold several components."""
-    named = members.join(found, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("hub_c")).where("lo <> hi").select("key", "hub_c")
-    return named.join(several, "key").select("key", "id", "c", "hub_c")
+    """The members of buckets that hold several components, with c, their component, and hub_c, that of the bucket's smallest id."""
+    named = members.join(found, "id", "left").select(*(members[x] for x in members.columns), F.coalesce("component", members["id"]).alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "id").alias("hub_c")).where("lo <> hi").select("key", "hub_c")
+    return named.join(several, "key")
 
 
 def _bounded(known: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame:
