@@ -323,3 +323,60 @@ def parity_check(spark, sf_dir):
     a = ledger_prior_history(spark, sf_dir).select("event_id", "dest_prior_txn_count")
     b = ledger_prior_selfjoin(spark, sf_dir).select("event_id", F.col("n").alias("dest_prior_txn_count"))
     return parity(a, b, "event_id").select("column", "compared", "mismatches")
+
+
+def _streamed(spark, rows: DataFrame, build, columns: str) -> DataFrame:
+    """The rows sent as records through a streaming pipeline, from files to files, to its end."""
+    from .session import STREAMING, shared_folder
+    from .sources.streams import as_records, stream_source
+
+    for k, v in STREAMING.items():
+        spark.conf.set(k, v)
+    at = shared_folder(spark, "stream")
+    as_records(rows, None).write.json(f"{at}/in")
+    out = build(stream_source(spark, "file", f"{at}/in")).where("reason_code is null")
+    write = lambda batch, n: batch.selectExpr(*[c.split()[0] for c in columns.split(", ")]).write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    out.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(columns).parquet(f"{at}/out/*")
+
+
+@query(_LEDGER + f"""select nameOrig, cast(count(*) over f as int) as dest_prior_txn_count, coalesce(sum(amount) over f, 0.0) as dest_prior_amount_sum, max(amount) over f as dest_prior_amount_max,
+  cast(count(*) over (partition by nameDest order by step range between 168 preceding and 1 preceding) as int) as dest_txn_count_prev_168h from ledger {_PRIOR}""")
+def stream_parity_ledger(spark, sf_dir):
+    """The ledger's stream, held against the batch query's SQL."""
+    from .streaming.pipelines import ledger_stream
+
+    out = _streamed(spark, adapters.ledger(spark, sf_dir).drop("event_id"), ledger_stream, "nameOrig string, dest_prior_txn_count int, dest_prior_amount_sum double, dest_prior_amount_max double, dest_txn_count_prev_168h int")
+    return out.select("nameOrig", "dest_prior_txn_count", "dest_prior_amount_sum", "dest_prior_amount_max", "dest_txn_count_prev_168h")
+
+
+@query(_CARD + f"""select TransactionID, cast(count(*) over f as int) as card_prior_txn_count, coalesce(sum(TransactionAmt) over f, 0.0) as card_prior_amt_sum, max(TransactionAmt) over f as card_prior_amt_max
+  from card where TransactionDT > 0 window f as (partition by {_CARD_KEY} order by TransactionDT, TransactionID rows between unbounded preceding and 1 preceding)""")
+def stream_parity_card(spark, sf_dir):
+    """The card's stream over rows with a positive clock, held against the batch query's SQL."""
+    from .streaming.pipelines import card_stream
+
+    rows = adapters.card(spark, sf_dir).where("TransactionDT > 0")
+    out = _streamed(spark, rows, lambda r: card_stream(r, schema=rows.schema), "TransactionID int, card_prior_txn_count int, card_prior_amt_sum double, card_prior_amt_max double")
+    return out.select("TransactionID", "card_prior_txn_count", "card_prior_amt_sum", "card_prior_amt_max")
+
+
+@query("select case when event_id % 5 = 0 then 'MALFORMED' when event_id % 5 = 1 then 'MISSING_KEY' when event_id % 5 = 2 then 'MISSING_FEATURES' when event_id % 5 = 3 then 'INVALID_NUMERIC_FEATURE' else 'SCORED' end as status, count(*) as n from events group by 1")
+def score_status(spark, sf_dir):
+    from .ml.score import score_status as status
+
+    k = F.col("event_id") % 5
+    fields = F.struct(F.when(k != 1, F.concat(F.lit("t"), F.col("event_id").cast("string"))).alias("txn_id"), F.when(k != 2, F.when(k == 3, "many").otherwise(F.col("value").cast("string"))).alias("amount"), F.lit(1).alias("step_hour"))
+    records = _read(spark, sf_dir, "events").select(F.when(k == 0, "{broken").otherwise(F.to_json(fields)).alias("value"))
+    return status(records, "txn_id", ["amount", "step_hour"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query()
+def train_logistic(spark, sf_dir):
+    """Training and evaluation of the logistic baseline on the ledger's features; metrics by name."""
+    from .ml import fit
+
+    df = ledger_features(adapters.ledger(spark, sf_dir)).persist()
+    m = fit(df.where("split = 'train'"), df.where("split = 'valid'"), "ledger", weighting="sqrt_damping")
+    df.unpersist()
+    return spark.createDataFrame([(k, float(v)) for k, v in m.report["valid"].items()], "metric string, value double")
