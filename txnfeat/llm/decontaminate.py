@@ -27,13 +27,14 @@ SHARE = 20
 #: The most bytes of benchmark text that go to every task.
 BROADCAST_BYTES = 16 << 20
 
-_TABLE = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
+#: For translate(): letters and digits lower-cased, other ASCII as spaces.
+LETTERS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 _HASHES = WordHashes()
 
 
 def words(text: bytes) -> list[bytes]:
     """Runs of ASCII letters (lower-cased), digits and all bytes above 127."""
-    return text.translate(_TABLE).split()
+    return text.translate(LETTERS).split()
 
 
 def hashes(ws: list[bytes]) -> np.ndarray:

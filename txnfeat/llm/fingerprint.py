@@ -1,7 +1,7 @@
 """Document fingerprints: I-Match with randomised lexicon subsets.
 
 Terms within a band of inverse document frequency form the lexicon. Each of SUBSETS random subsets of it takes a term
-with the subset's density; a text's distinct terms in the subset, sorted, are hashed to one part of the fingerprint.
+with the density of its group; a text's distinct terms in the subset, sorted, are hashed to one part of the fingerprint.
 Dense subsets tell near-identical texts apart from others, sparse ones still agree where half of the terms differ; a
 text without a term in a subset has no part there. The likeness of two fingerprints is the share of equal parts among
 those that either has.
@@ -23,29 +23,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import literals, session_of, table
-from .decontaminate import hashes, words
+from .decontaminate import LETTERS
 
 #: Document frequency of the band's rarest and most frequent terms, as shares of all documents.
 RAREST, COMMONEST = 0.0005, 0.2
 #: Terms of the lexicon at most (8 bytes each).
 MOST_TERMS = 1_000_000
 LEAST_TERMS = 4
-#: Shares of the lexicon that the subsets have, and subsets of each.
-DENSITIES, EACH = (1 / 8, 1 / 32, 1 / 128, 1 / 512), 24
-SUBSETS = len(DENSITIES) * EACH
+#: Groups of disjoint subsets: (one in so many terms is in a subset, subsets in the group). A term is in one subset of a
+#: group at most, so it is hashed once for each group, not once for each subset.
+GROUPS = ((8, 8), (8, 8), (8, 8), (32, 24), (128, 24), (512, 24))
+SUBSETS = sum(n for _, n in GROUPS)
 #: Hex digits of a part; a missing part is so many dashes.
 DIGITS = 6
 #: Bytes of text in a range of identifiers; ranges at most.
 RANGE_BYTES, MOST_RANGES = 16 << 20, 8192
 
-_SEEDS = np.random.default_rng(20240102).integers(1, 1 << 63, SUBSETS, dtype=np.uint64)
-_BELOW = np.repeat([int(d * (1 << 64)) for d in DENSITIES], EACH).astype(np.uint64)
+_SEEDS = np.random.default_rng(20240102).integers(1, 1 << 63, (len(GROUPS), 1), dtype=np.uint64)
+_SLOTS = np.array([[n - 1] for n, _ in GROUPS], np.uint64)
+_SIZES = np.array([[n] for _, n in GROUPS], np.uint64)
+_BASES = np.cumsum(_SIZES, axis=0) - _SIZES
 _NONE = "-" * DIGITS
 
 
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64))
+
+
+def _powers(n: int) -> np.ndarray:
+    return _POWERS if n <= len(_POWERS) else np.cumprod(np.full(n, _POWERS[0], np.uint64))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def terms(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct terms: runs of letters and digits, A-Z lower-cased."""
-    return np.unique(hashes(list(set(words(text)))))
+    """Sorted 64-bit hashes of the distinct terms: runs of letters and digits, A-Z lower-cased. No term is handled by itself."""
+    chars = np.frombuffer(text.translate(LETTERS), np.uint8)
+    inside = chars != 32
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
+    h = np.add.reduceat((chars[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place], starts)
+    return np.unique(_mix(h + lengths.astype(np.uint64)))
 
 
 def fingerprint(text: bytes, lexicon: np.ndarray) -> str:
@@ -54,33 +82,32 @@ def fingerprint(text: bytes, lexicon: np.ndarray) -> str:
         band = own[lexicon[np.searchsorted(lexicon, own).clip(max=len(lexicon) - 1)] == own]
         own = band if len(band) >= LEAST_TERMS else own
     if not len(own):
-        return f"{xxhash.xxh64_intdigest(text) & (1 << 4 * DIGITS) - 1:0{DIGITS}x}" * SUBSETS
-    x = own[None, :] ^ _SEEDS[:, None]
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(32)
-    inside = x < _BELOW[:, None]
-    parts = []
-    for s in range(SUBSETS):
-        some = own[inside[s]]
-        parts.append(f"{xxhash.xxh64_intdigest(some.tobytes(), s) & (1 << 4 * DIGITS) - 1:0{DIGITS}x}" if len(some) else _NONE)
-    # A short text may be in no subset; then all its terms are one part.
-    return "".join(parts) if any(p != _NONE for p in parts) else f"{xxhash.xxh64_intdigest(own.tobytes()) & (1 << 4 * DIGITS) - 1:0{DIGITS}x}" + _NONE * (SUBSETS - 1)
+        return _hex(xxhash.xxh64_intdigest(text)) * SUBSETS
+    x = _mix(own[None, :] ^ _SEEDS)
+    slot = x & _SLOTS
+    inside = slot < _SIZES
+    if not inside.any():
+        # A short text may be in no subset; then all its terms are one part.
+        return _hex(xxhash.xxh64_intdigest(own.tobytes())) + _NONE * (SUBSETS - 1)
+    subset = (slot + _BASES)[inside].astype(np.int64)
+    # A subset's hash is that of its sorted terms: a sum of mixed values, which is the same in any order.
+    sums = np.zeros(SUBSETS, np.uint64)
+    np.add.at(sums, subset, x[inside])
+    some = np.bincount(subset, minlength=SUBSETS).tolist()
+    return "".join([_hex(p) if n else _NONE for p, n in zip(_mix(sums).tolist(), some, strict=True)])
+
+
+def _hex(n: int) -> str:
+    return f"{n & (1 << 4 * DIGITS) - 1:0{DIGITS}x}"
 
 
 def likeness(a: str, b: str) -> float:
     """The share of equal parts among those that either fingerprint has, from 0 to 1."""
     if a == b:
         return 1.0
-    same = either = 0
-    for i in range(0, len(a), DIGITS):
-        x, y = a[i : i + DIGITS], b[i : i + DIGITS]
-        if x != _NONE or y != _NONE:
-            either += 1
-            same += x == y
-    return same / either if either else 1.0
+    parts = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(0, len(a), DIGITS)]
+    same, neither = sum(x == y for x, y in parts), sum(x == y == _NONE for x, y in parts)
+    return (same - neither) / (len(parts) - neither) if neither < len(parts) else 1.0
 
 
 def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, most_terms: int = MOST_TERMS) -> np.ndarray:
