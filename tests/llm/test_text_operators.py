@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,6 +73,29 @@ def test_fingerprint_likeness_falls_with_edits():
     assert near[0] == 1 and near[0] > near[1] > near[2] > near[3]
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_fingerprint_lexicon_counts_distinct_texts(spark, limit):
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(400)]
+    one, texts = " ".join(f"one{i}" for i in range(120)), [" ".join(rng.choice(words, 60)) for _ in range(80)]
+    texts = [one if i % 3 == 0 else t for i, t in enumerate(texts)] + [texts[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    distinct = set(texts)
+    seen = Counter(x for t in distinct for x in set(fingerprint.terms(t.encode()).tolist()))
+    found = fingerprint.lexicon(df, broadcast_texts=limit)
+    assert found.tolist() == sorted(x for x, n in seen.items() if n <= 0.2 * len(distinct))
+    # A third of the rows are one text; half of it followed by half of another is still like it.
+    rows = [r for r in fingerprint.compare_with_edits(df).collect() if r["doc_id"] % 3 == 0 and r["doc_id"] < 80]
+    assert len(rows) == 27 and all(r["near_edited"] > 0 for r in rows)
+
+
+def test_fingerprint_has_no_jump_with_few_band_terms():
+    own, other = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    band = np.sort(fingerprint.terms(" ".join(other).encode()))
+    a, y = (fingerprint.fingerprint(" ".join(x).encode(), band) for x in (own, own[:50] + other[:50]))
+    assert fingerprint.likeness(a, y) > 0
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="site"><h1>Site</h1></header><nav><ul><li><a href=1>One</a></li></ul></nav>
 <div id="cookie-banner">We use cookies &amp; more</div><article><h1>Title</h1><p>First &lt;para&gt; with <b>bold</b>text
 and   space.<p>Second&nbsp;one, long enough to be read as a paragraph.<br>Line</p><div class="ad">Buy</div><ul><li>item</li></ul><form><input><p>Your name</p></form></article>

@@ -1,14 +1,16 @@
 """Document fingerprints: I-Match with randomised lexicon subsets.
 
-Terms within a band of inverse document frequency form the lexicon. Each of SUBSETS random subsets of it takes a term
-with the density of its group; a text's distinct terms in the subset, sorted, are hashed to one part of the fingerprint.
+Terms within a band of inverse document frequency form the lexicon; the frequency is over distinct texts, so copies of
+one text don't take its terms out of the band. Each of SUBSETS random subsets takes a term with the density of its group:
+of any term in the groups of ALL_GROUPS, of a term of the lexicon in those of BAND_GROUPS. A text's distinct terms in the
+subset, sorted, are hashed to one part of the fingerprint.
 Dense subsets tell near-identical texts apart from others, sparse ones still agree where half of the terms differ; a
 text without a term in a subset has no part there. The likeness of two fingerprints is the share of equal parts among
 those that either has.
 
 The band's lower end is a share of all documents, and is raised where the lexicon would have over MOST_TERMS terms, so
-what goes to every task has a fixed bound. Texts with fewer than LEAST_TERMS terms of the band use all their terms; texts
-without terms, their bytes."""
+what goes to every task has a fixed bound. Which terms a part is hashed over doesn't depend on the text, so a text with
+few terms of the band shares parts with an edited copy that has many. Texts without terms use their bytes."""
 
 from __future__ import annotations
 
@@ -22,17 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literals, session_of, table
+from .common import literals, session_of, table, written
 from .decontaminate import LETTERS
 
 #: Document frequency of the band's rarest and most frequent terms, as shares of all documents.
 RAREST, COMMONEST = 0.0005, 0.2
 #: Terms of the lexicon at most (8 bytes each).
 MOST_TERMS = 1_000_000
-LEAST_TERMS = 4
+#: Texts that several documents have, up to this many, are broadcast with their count; beyond, texts are shuffled.
+BROADCAST_TEXTS = 300_000
 #: Groups of disjoint subsets: (one in so many terms is in a subset, subsets in the group). A term is in one subset of a
-#: group at most, so it is hashed once for each group, not once for each subset.
-GROUPS = ((8, 8), (8, 8), (8, 8), (32, 24), (128, 24), (512, 24))
+#: group at most, so it is hashed once for each group, not once for each subset. A term is always in a subset of (8, 8).
+ALL_GROUPS = ((8, 8), (32, 12), (128, 12))
+BAND_GROUPS = ((8, 8), (8, 8), (32, 12), (128, 12), (512, 24))
+GROUPS = ALL_GROUPS + BAND_GROUPS
 SUBSETS = sum(n for _, n in GROUPS)
 #: Hex digits of a part; a missing part is so many dashes.
 DIGITS = 6
@@ -78,21 +83,20 @@ def terms(text: bytes) -> np.ndarray:
 
 def fingerprint(text: bytes, lexicon: np.ndarray) -> str:
     own = terms(text)
-    if len(own) and len(lexicon):
-        band = own[lexicon[np.searchsorted(lexicon, own).clip(max=len(lexicon) - 1)] == own]
-        own = band if len(band) >= LEAST_TERMS else own
     if not len(own):
         return _hex(xxhash.xxh64_intdigest(text)) * SUBSETS
-    x = _mix(own[None, :] ^ _SEEDS)
-    slot = x & _SLOTS
-    inside = slot < _SIZES
-    if not inside.any():
-        # A short text may be in no subset; then all its terms are one part.
-        return _hex(xxhash.xxh64_intdigest(own.tobytes())) + _NONE * (SUBSETS - 1)
-    subset = (slot + _BASES)[inside].astype(np.int64)
+    band = own[lexicon[np.searchsorted(lexicon, own).clip(max=len(lexicon) - 1)] == own] if len(lexicon) else own[:0]
+    subsets, values = [], []
+    for some, groups in ((own, slice(len(ALL_GROUPS))), (band, slice(len(ALL_GROUPS), None))):
+        x = _mix(some[None, :] ^ _SEEDS[groups])
+        slot = x & _SLOTS[groups]
+        inside = slot < _SIZES[groups]
+        subsets.append((slot + _BASES[groups])[inside].astype(np.int64))
+        values.append(x[inside])
+    subset = np.concatenate(subsets)
     # A subset's hash is that of its sorted terms: a sum of mixed values, which is the same in any order.
     sums = np.zeros(SUBSETS, np.uint64)
-    np.add.at(sums, subset, x[inside])
+    np.add.at(sums, subset, np.concatenate(values))
     some = np.bincount(subset, minlength=SUBSETS).tolist()
     return "".join([_hex(p) if n else _NONE for p, n in zip(_mix(sums).tolist(), some, strict=True)])
 
@@ -110,15 +114,21 @@ def likeness(a: str, b: str) -> float:
     return (same - neither) / (len(parts) - neither) if neither < len(parts) else 1.0
 
 
-def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, most_terms: int = MOST_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms whose document frequency over all of `docs` is in the band."""
+def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, most_terms: int = MOST_TERMS, broadcast_texts: int = BROADCAST_TEXTS) -> np.ndarray:
+    """Sorted hashes of the terms whose document frequency over the distinct texts of `docs` is in the band."""
     session_of(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(terms(t).tolist())
+            # A text of `copies` documents counts as one: each adds an equal share.
+            for (t, copies), times in Counter(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items():
+                own = terms(t).tolist()
+                if times == copies:
+                    seen.update(own)
+                else:
+                    for term in own:
+                        seen[term] += times / copies
             if len(seen) > 1_000_000:
                 yield _counts(seen)
                 seen.clear()
@@ -126,11 +136,18 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
             yield _counts(seen)
 
     def _counts(seen):
-        return pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64)), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["term", "n"])
-
-    texts = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    n = docs.count()
-    freq = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= max(1, math.ceil(rarest * n))) & (F.col("n") <= commonest * n))
+        return pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64)), pa.array(np.fromiter(seen.values(), np.float64, len(seen)))], names=["term", "n"])
+
+    texts = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).select("text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    distinct = written(texts.groupBy("h", "h2").agg(F.count("*").alias("copies")), "imatch-texts")
+    n = distinct.count()
+    repeated = distinct.where("copies > 1")
+    if repeated.count() <= broadcast_texts:
+        texts = texts.join(F.broadcast(repeated), ["h", "h2"], "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    else:
+        texts = texts.dropDuplicates(["h", "h2"]).select("text", F.lit(1).cast("long").alias("copies"))
+    # The shares of a text add up to one but for rounding errors far below a half.
+    freq = texts.mapInArrow(count, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n")).where((F.col("n") >= max(1, math.ceil(rarest * n))) & (F.col("n") <= commonest * n))
     # At most (distinct terms of a document, on average) / rarest terms; the most frequent, if those are too many.
     found = np.sort(freq.orderBy(F.desc("n"), "term").limit(most_terms).select("term").toArrow()["term"].to_numpy().view(np.uint64))
     return found
