@@ -89,6 +89,12 @@ def test_fingerprint_lexicon_counts_distinct_texts(spark, limit):
     assert len(rows) == 27 and all(r["near_edited"] > 0 for r in rows)
 
 
+def test_fingerprint_lexicon_has_no_limit_by_size(spark):
+    # 1,200,000 terms, each in one of six texts: all of them are in the band.
+    texts = spark.range(6).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 199999), i -> concat('t', id, 'x', i)), ' ')").alias("text"))
+    assert len(fingerprint.lexicon(texts)) == 1_200_000
+
+
 def test_fingerprint_has_no_jump_with_few_band_terms():
     own, other = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
     band = np.sort(fingerprint.terms(" ".join(other).encode()))

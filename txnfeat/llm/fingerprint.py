@@ -8,8 +8,8 @@ Dense subsets tell near-identical texts apart from others, sparse ones still agr
 text without a term in a subset has no part there. The likeness of two fingerprints is the share of equal parts among
 those that either has.
 
-The band's lower end is a share of all documents, and is raised where the lexicon would have over MOST_TERMS terms, so
-what goes to every task has a fixed bound. Which terms a part is hashed over doesn't depend on the text, so a text with
+The band's lower end is a share of all documents, so the lexicon has at most (distinct terms of a text, on average) /
+RAREST terms of 8 bytes, however many texts there are; all of them go to every task, and the band alone decides. Which terms a part is hashed over doesn't depend on the text, so a text with
 few terms of the band shares parts with an edited copy that has many. Texts without terms use their bytes."""
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .decontaminate import LETTERS
 
 #: Document frequency of the band's rarest and most frequent terms, as shares of all documents.
 RAREST, COMMONEST = 0.0005, 0.2
-#: Terms of the lexicon at most (8 bytes each).
-MOST_TERMS = 1_000_000
 #: Texts that several documents have, up to this many, are broadcast with their count; beyond, texts are shuffled.
 BROADCAST_TEXTS = 300_000
 #: Groups of disjoint subsets: (one in so many terms is in a subset, subsets in the group). A term is in one subset of a
@@ -114,7 +112,7 @@ def likeness(a: str, b: str) -> float:
     return (same - neither) / (len(parts) - neither) if neither < len(parts) else 1.0
 
 
-def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, most_terms: int = MOST_TERMS, broadcast_texts: int = BROADCAST_TEXTS) -> np.ndarray:
+def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, broadcast_texts: int = BROADCAST_TEXTS) -> np.ndarray:
     """Sorted hashes of the terms whose document frequency over the distinct texts of `docs` is in the band."""
     session_of(docs)
 
@@ -148,9 +146,7 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
         texts = texts.dropDuplicates(["h", "h2"]).select("text", F.lit(1).cast("long").alias("copies"))
     # The shares of a text add up to one but for rounding errors far below a half.
     freq = texts.mapInArrow(count, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n")).where((F.col("n") >= max(1, math.ceil(rarest * n))) & (F.col("n") <= commonest * n))
-    # At most (distinct terms of a document, on average) / rarest terms; the most frequent, if those are too many.
-    found = np.sort(freq.orderBy(F.desc("n"), "term").limit(most_terms).select("term").toArrow()["term"].to_numpy().view(np.uint64))
-    return found
+    return np.sort(freq.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
