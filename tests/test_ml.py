@@ -1,9 +1,12 @@
 import json
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from txnfeat.ml import BoundedCache, class_weight, fit, load_model, score_records, score_status, select_features
+from txnfeat.ml import BoundedCache, class_weight, fit, load_model, score_records, score_status, score_stream, select_features, with_seen
+from txnfeat.sources import stream_source
 
 NAMES = ["amount", "oldbalanceOrg", "step_hour"]
 
@@ -42,3 +45,32 @@ def test_fit_save_score(spark, rows, tmp_path):
     assert got == ["MALFORMED", "MISSING_KEY", "MISSING_KEY", "SCORED", "DUPLICATE", "MISSING_FEATURES", "INVALID_NUMERIC_FEATURE"]
     scored = score_records(df.where("n = 3"), again, "txn_id").collect()
     assert [r["txn_id"] for r in scored] == ["k1"] and 0 <= scored[0]["fraud_score"] <= 1
+
+
+def test_duplicates_over_micro_batches(spark, tmp_path):
+    good = {"amount": 45.0, "oldbalanceOrg": None, "step_hour": "3"}
+    files = [[{"txn_id": "k1", **good}, {"txn_id": "k2", "amount": 1}, "[1]", {"txn_id": " ", **good}], [{"txn_id": "k1", **good}, {"txn_id": "k2", **good}, {"txn_id": "k3", **good}, "[1]", {"txn_id": " ", **good}], [{"txn_id": "k3", **good}, {"txn_id": "k4", **good}, {"txn_id": "k4", **good, "amount": 50.0}]]
+    (tmp_path / "in").mkdir()
+    model = SimpleNamespace(features=NAMES, dataset="ledger", version="v", predict=lambda d: d.withColumn("probability", F.lit(0.5)))
+    statuses, scores = [], []
+
+    def keep(batch, n):
+        statuses.append(sorted((r["key"] or "", r["status"]) for r in score_status(batch, "txn_id", NAMES, seen="seen").collect()))
+
+    for n, records in enumerate(files):
+        path = tmp_path / "in" / f"{n}.json"
+        path.write_text("".join(json.dumps({"key": None, "value": r if isinstance(r, str) else json.dumps(r)}) + "\n" for r in records))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+        if n == 1:
+            continue
+        # The first file has a query of its own; the others come after a restart.
+        source = stream_source(spark, "file", str(tmp_path / "in"), max_files=1)
+        for w in (score_stream(source, model, "txn_id", str(tmp_path / "out"), str(tmp_path / "c1")), with_seen(source, "txn_id").writeStream.option("checkpointLocation", str(tmp_path / "c2")).foreachBatch(keep)):
+            q = w.start()
+            q.processAllAvailable()
+            q.stop()
+    bad = [("", "MALFORMED"), (" ", "MISSING_KEY")]
+    assert statuses == [[*bad, ("k1", "SCORED"), ("k2", "MISSING_FEATURES")], [*bad, ("k1", "DUPLICATE"), ("k2", "DUPLICATE"), ("k3", "SCORED")], [("k3", "DUPLICATE"), ("k4", "DUPLICATE"), ("k4", "SCORED")]]
+    for n in range(3):
+        scores.append([json.loads(x)["txn_id"] for f in sorted((tmp_path / "out" / f"batch={n}").glob("*.json")) for x in f.read_text().splitlines()])
+    assert scores == [["k1"], ["k3"], ["k4"]]

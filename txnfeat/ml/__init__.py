@@ -1,7 +1,7 @@
 """Models on the feature tables: feature matrix, class weights, training, thresholds, ablation, scoring."""
 
 from .features import feature_names, load_split, select_features, validate_raw_schema
-from .score import BoundedCache, score_records, score_status
+from .score import BoundedCache, score_records, score_status, score_stream, with_seen
 from .train import Model, ablate, class_weight, fit, load_model
 
-__all__ = ["BoundedCache", "Model", "ablate", "class_weight", "feature_names", "fit", "load_model", "load_split", "score_records", "score_status", "select_features", "validate_raw_schema"]
+__all__ = ["BoundedCache", "Model", "ablate", "class_weight", "feature_names", "fit", "load_model", "load_split", "score_records", "score_status", "score_stream", "select_features", "validate_raw_schema", "with_seen"]

@@ -5,10 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 
-from ..session import create_spark_session
+from ..session import STREAMING, create_spark_session
 from ..sources.streams import stream_source
 from .features import load_split
-from .score import score_records
+from .score import score_stream
 from .train import ablate, fit, load_model
 
 
@@ -26,7 +26,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--out", help="scores: a directory")
     p.add_argument("--checkpoint")
     a = p.parse_args(args)
-    spark = create_spark_session()
+    spark = create_spark_session(config=STREAMING if a.mode == "consume" else None)
     if a.mode in ("train", "ablate"):
         train, valid = (load_split(spark, a.data, a.dataset, s) for s in ("train", "valid"))
         if a.mode == "ablate":
@@ -39,12 +39,7 @@ def main(args: list[str] | None = None) -> None:
         print(json.dumps(load_model(spark, a.model).evaluate(load_split(spark, a.data, a.dataset, a.split), a.threshold)))
     else:
         m, key = load_model(spark, a.model), "txn_id" if a.dataset == "ledger" else "TransactionID"
-        records = stream_source(spark, "file", a.source)
-
-        def write(batch, n: int) -> None:
-            score_records(batch, m, key).write.mode("overwrite").json(f"{a.out}/batch={n}")
-
-        records.writeStream.option("checkpointLocation", a.checkpoint).foreachBatch(write).start().awaitTermination()
+        score_stream(stream_source(spark, "file", a.source), m, key, a.out, a.checkpoint).start().awaitTermination()
 
 
 if __name__ == "__main__":

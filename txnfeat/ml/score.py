@@ -1,14 +1,20 @@
 """Scoring of JSON records: a status for each, and a score for the valid ones.
 
-A record's key counts as seen whatever else is wrong with it, so a corrected copy of a rejected record is a duplicate."""
+A record's key counts as seen whatever else is wrong with it, so a corrected copy of a rejected record is a duplicate.
+In a stream the keys of earlier micro-batches are in keyed state, so a key that comes again in a later one is too."""
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from ..session import ship
 from .train import Model
 
 CAPACITY = 100_000
@@ -38,15 +44,51 @@ def _object(value: Column) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
-def score_status(records: DataFrame, key: str, features: list[str], numeric: bool = True, order: str | None = None) -> DataFrame:
+def _known(v: Column, key: Column) -> Column:
+    """Whether the record has a key that counts."""
+    return F.coalesce(v.isNotNull() & (F.trim(key) != ""), F.lit(False))
+
+
+class SeenProcessor(StatefulProcessor):
+    """Adds `seen`: whether the group's key came in an earlier micro-batch. Groups without a key have no state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.came = handle.getValueState("came", T.StructType([T.StructField("came", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, seen = bool(key[0]), False
+        if known:
+            seen = self.came.exists()
+            if not seen:
+                self.came.update((True,))
+        for batch in rows:
+            yield batch.drop(columns=["known_", "group_"]).assign(seen=seen)
+
+    def close(self) -> None:
+        pass
+
+
+def with_seen(records: DataFrame, key: str) -> DataFrame:
+    """`records` (a stream with value: JSON) with seen: whether the record's key came in an earlier micro-batch.
+
+    The state has every key and lives through a restart; a replayed micro-batch gets the same flags."""
+    ship(records.sparkSession)
+    kept = records.drop("seen")
+    v = _object(F.col("value"))
+    own = F.try_variant_get(v, f"$.{key}", "string")
+    d = kept.withColumn("known_", _known(v, own)).withColumn("group_", F.when(F.col("known_"), own).otherwise(F.xxhash64("value").cast("string")))
+    return d.groupBy("known_", "group_").transformWithStateInPandas(SeenProcessor(), T.StructType([*kept.schema, T.StructField("seen", T.BooleanType())]), outputMode="Append", timeMode="None")
+
+
+def score_status(records: DataFrame, key: str, features: list[str], numeric: bool = True, order: str | None = None, seen: str | None = None) -> DataFrame:
     """`records` (value: JSON) with key and status: MALFORMED, MISSING_KEY, DUPLICATE, MISSING_FEATURES, INVALID_NUMERIC_FEATURE or SCORED.
 
-    Of records with one key the first by `order` (else by value) isn't a duplicate. numeric: features must be numbers or
+    Of records with one key the first by `order` (else by value) isn't a duplicate, unless its column `seen` is true. numeric: features must be numbers or
     strings of numbers; null counts as missing value, an absent name as missing feature."""
     v = _object(F.col("value"))
     d = records.withColumn("__v", v).withColumn("key", F.try_variant_get("__v", f"$.{key}", "string"))
-    known = F.col("__v").isNotNull() & (F.trim("key") != "")
-    first = F.row_number().over(Window.partitionBy("key", F.when(F.coalesce(known, F.lit(False)), 0).otherwise(F.xxhash64("value"))).orderBy(F.col(order or "value"), "value"))
+    known = _known(F.col("__v"), F.col("key"))
+    first = F.row_number().over(Window.partitionBy("key", F.when(known, 0).otherwise(F.xxhash64("value"))).orderBy(F.col(order or "value"), "value"))
     kinds = {f: F.schema_of_variant(F.try_variant_get("__v", f"$.{f}", "variant")) for f in features}
     absent, odd = F.lit(False), F.lit(False)
     for f, kind in kinds.items():
@@ -54,19 +96,28 @@ def score_status(records: DataFrame, key: str, features: list[str], numeric: boo
         text = F.trim(F.try_variant_get("__v", f"$.{f}", "string"))
         odd = odd | kind.startswith("OBJECT") | kind.startswith("ARRAY") | ((kind == "STRING") & text.try_cast("double").isNull())
     status = (
-        F.when(F.col("__v").isNull(), "MALFORMED").when(F.coalesce(F.trim("key") == "", F.lit(True)), "MISSING_KEY").when(F.col("__n") > 1, "DUPLICATE")
+        F.when(F.col("__v").isNull(), "MALFORMED").when(F.coalesce(F.trim("key") == "", F.lit(True)), "MISSING_KEY").when((F.col("__n") > 1) | (F.col(seen) if seen else F.lit(False)), "DUPLICATE")
         .when(absent, "MISSING_FEATURES").when(F.coalesce(odd, F.lit(False)) if numeric else F.lit(False), "INVALID_NUMERIC_FEATURE").otherwise("SCORED")
     )
     return d.withColumn("__n", first).withColumn("status", status).drop("__n", "__v")
 
 
-def score_records(records: DataFrame, model: Model, key: str) -> DataFrame:
+def score_records(records: DataFrame, model: Model, key: str, seen: str | None = None) -> DataFrame:
     """key, fraud_score (four digits), model_version and scored_at (ISO-8601, UTC) of the records whose status is SCORED."""
     from .features import categorical
 
     strings = categorical(model.features)
-    done = score_status(records, key, model.features, numeric=model.dataset == "ledger").where("status = 'SCORED'")
+    done = score_status(records, key, model.features, numeric=model.dataset == "ledger", seen=seen).where("status = 'SCORED'")
     v = _object(F.col("value"))
     rows = done.select("key", *(F.try_variant_get(v, f"$.{f}", "string" if f in strings else "double").alias(f) for f in model.features))
     at = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return model.predict(rows).select(F.col("key").alias(key), F.round("probability", 4).alias("fraud_score"), F.lit(model.version).alias("model_version"), at.alias("scored_at"))
+
+
+def score_stream(records: DataFrame, model: Model, key: str, out: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of the scores of a stream of records. Each micro-batch has a folder of its own number, so a replay overwrites it."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        score_records(batch, model, key, seen="seen").write.mode("overwrite").json(f"{out}/batch={n}")
+
+    return with_seen(records, key).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
