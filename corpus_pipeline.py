@@ -24,18 +24,38 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """`docs` with key_, and whether it's a key of its own: of doc_id and text where a doc_id is null or has several texts, else doc_id."""
+    text = (F.col("text").isNull(), "text")
+    odd = docs.select("doc_id", F.xxhash64(*text).alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("doc_id is null or lo <> hi")
+    own = not odd.isEmpty()
+    return docs.withColumn("key_", F.xxhash64(F.col("doc_id").isNull(), "doc_id", *text) if own else F.col("doc_id")), own
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near duplicates (five-word shingles, Jaccard 0.8)."""
-    docs = docs.select(*COLUMNS)
-    judged = written(near_dups.near_duplicates(docs, k=5, percent=80), "pipeline-groups")
-    gone = judged.where("not kept").select("doc_id").distinct()
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    repeated = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    """One document, that with the smallest doc_id, of each group of near duplicates (five-word shingles, Jaccard 0.8).
+
+    Rows are told apart by doc_id and text: those with one doc_id and different texts are different documents, rows equal
+    in both are one. A null doc_id comes after all others; rows with a null doc_id and no words all stay."""
+    docs, own = _keyed(docs.select(*COLUMNS))
+    judged = written(near_dups.near_duplicates(docs.select(F.col("key_").alias("doc_id"), "text"), k=5, percent=80).withColumnRenamed("doc_id", "key_"), "pipeline-groups")
+    if own:
+        ids = judged.join(docs.select("key_", "doc_id").distinct(), "key_")
+        groups = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).getField("key_").alias("first"), F.countDistinct("key_").alias("n"))
+        groups = written(groups.where("n > 1").select("component_id", "first"), "pipeline-firsts")
+        gone = judged.join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS // 2 else groups, "component_id").where("key_ <> first")
+    else:
+        gone = judged.where("not kept")
+    gone = written(gone.select("key_").distinct(), "pipeline-gone")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "key_", "left_anti")
+    repeated = judged.join(gone, "key_", "left_anti").groupBy("key_").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).where("n > 1").select("key_", "words")
     n = repeated.count()
     if not n:
-        return left
-    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-    return left.join(repeated, "doc_id", "left_anti").union(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return left.select(*COLUMNS)
+    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS // 2 else repeated
+    marked = left.join(repeated, "key_", "left")
+    folds = F.col("words").isNotNull() & (F.col("doc_id").isNotNull() | (F.col("words") > 0))
+    return marked.where(~folds).select(*COLUMNS).union(marked.where(folds).dropDuplicates(["key_"]).select(*COLUMNS))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

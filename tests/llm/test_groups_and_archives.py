@@ -151,3 +151,22 @@ def test_pipeline_stages(spark, tmp_path):
         assert out[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and out[i]["n_tokens"] == len(coder.encode_ordinary(t))
     assert corpus_pipeline.run(spark, str(tmp_path)).where(F.col("doc_id") == 0).count() == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "tokens"]
+
+
+def test_pipeline_groups_with_null_and_repeated_identifiers(spark):
+    import corpus_pipeline
+
+    words = lambda p, n=40: " ".join(f"{p}{i}" for i in range(n))
+    texts = [
+        (5, words("a")), (None, words("a")),  # a null identifier never stands for a group with others
+        (None, words("b")), (None, words("b") + " tail"), (None, words("b")),  # near and exact copies among null identifiers
+        (7, words("c")), (7, words("d")), (7, words("c")),  # one identifier, two documents
+        (9, words("d") + " tail"), (3, words("e")), (11, words("e") + " tail"),
+        (None, None), (None, ""), (None, ""), (12, ""), (12, ""), (12, None),  # texts without words are linked with nothing
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    b = [x for x in got if x[0] is None and x[1] and x[1].startswith("b0")]
+    assert len(b) == 1
+    expected = [(5, words("a")), (7, words("c")), (7, words("d")), (3, words("e")), (None, None), (None, ""), (None, ""), (12, ""), (12, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*expected, *b]))
