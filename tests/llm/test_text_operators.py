@@ -126,6 +126,15 @@ def test_minimum_cut_against_all_labellings():
         assert cost(html_text.minimum_cut(a, b, edges)) == pytest.approx(least)
 
 
+def test_quality_dictionaries_hold_all_chosen_rows(spark):
+    texts = [(i, f"<{i}>" + "".join(chr(97 + (i * j) % 26) for j in range(700))) for i in range(3200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = quality.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    for body in (model.good, model.bad):
+        excerpts = [x.decode() for x in body.split(b"\n")]
+        assert len(excerpts) == quality.DICTIONARY_ROWS and all(x == dict(texts)[int(x[1 : x.index(">")])][: quality.EXCERPT_BYTES] for x in excerpts)
+
+
 def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, None, "<p>x</p>", "old"), (1, "u", None, "old")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "x"]

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import session_of, table
 
-#: Bytes of each dictionary, of a text's excerpt in it, of a block that is compressed at once.
-DICTIONARY_BYTES, EXCERPT_BYTES, BLOCK_BYTES, LEVEL = 1 << 18, 600, 2048, 5
 #: The most labelled rows of each class that the dictionaries, and that the calibration, learn from.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 600, 2000
+#: Bytes of a text's excerpt in a dictionary, of a block that is compressed at once.
+EXCERPT_BYTES, BLOCK_BYTES, LEVEL = 600, 2048, 5
+#: Bytes of each dictionary: room for the excerpts of all chosen rows, with a line feed after each.
+DICTIONARY_BYTES = DICTIONARY_ROWS * (EXCERPT_BYTES + 1)
 THRESHOLD = 0.3
 FEATURES = 8
 
