@@ -63,6 +63,15 @@ def test_near_duplicates_nulls_and_repeated_rows(spark):
     assert near_dups.near_duplicates(df.where("false")).count() == 0
 
 
+def test_pair_at_the_threshold_with_unlike_sketches(spark):
+    # Found by search: eight of ten shingles in common, and sketches that differ in 74 bits.
+    texts = [(n, " ".join([*(f"s6147x{j}" for j in range(8)), f"{p}6147"])) for n, p in ((1, "a"), (2, "b"))]
+    x, y = (near_dups.signature(near_dups.shingles(t.encode(), 1))[2] for _, t in texts)
+    assert sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) == 74
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), k=1).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 120)] + [(5, 5)]
     got = {r["id"]: r["component"] for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -11,8 +11,9 @@
 3. A pair whose sketches' XOR has too many ones (an estimate far below the threshold) ends there; the others are
    confirmed on full sets. Components of the links come from alternating large and small stars, as tables.
 
-At J = 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32 = 5e-8; the screen stands over four standard
-deviations below the threshold."""
+At J = 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32 = 5e-8. The screen lets up to 81 of 256 bits differ, over
+five standard deviations more than expected, and ends a pair with probability 8e-8 (for independent MinHashes: those that
+differ are binomial, each flips two random bits). A link is lost only if no other path joins the two."""
 
 from __future__ import annotations
 
@@ -33,7 +34,7 @@ STAR_ROUNDS = 1
 #: Identifiers up to this many (8 MB) are broadcast to fetch full sets; beyond, texts are joined in a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Estimates this far below the threshold are screened out.
-SLACK = 0.2
+SLACK = 0.3
 
 _HASHES = WordHashes()
 _RANDOM = np.random.default_rng(20240101)
