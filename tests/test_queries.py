@@ -37,3 +37,7 @@ def test_query(spark, duck, name):
     quoted = ", ".join(f'"{c}"' for c in columns)
     want = sorted(([plain(v) for v in r] for r in duck.execute(f"select {quoted} from ({ORACLES[name]})").fetchall()), key=repr)
     assert got == want
+
+
+def test_subset_lists_are_all_there(spark):
+    assert {r["list"] for r in QUERIES["subset_selection_lists"](spark, SF).collect()} == {"A", "B", "C"}

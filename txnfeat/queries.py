@@ -261,6 +261,16 @@ def subset_selection(spark, sf_dir):
     return subset.rank_entities(df, "o_custkey", "clock").where("list = 'A'").select("o_custkey", F.col("rows").alias("n_rows"), "place")
 
 
+@query("""with s as (select o_custkey, count(*) as n, (max(o_orderdate)::date - min(o_orderdate)::date) * 86400 as span from orders where o_custkey is not null group by o_custkey),
+t as (select o_custkey, count(*) as groups from (select o_custkey from orders where o_custkey is not null group by o_custkey, o_orderdate having count(*) > 1) group by o_custkey),
+r as (select o_custkey, n, 'A' as list, n as by_, 10 as most from s union all select o_custkey, n, 'B', groups, 30 from t join s using (o_custkey) union all select o_custkey, n, 'C', span, 30 from s where span >= 30 * 86400 and n >= 10)
+select o_custkey, n as n_rows, list, cast(row_number() over (partition by list order by by_ desc, o_custkey) as int) as place from r qualify place <= most""")
+def subset_selection_lists(spark, sf_dir):
+    """All three lists with their places: largest, most tie groups (orders of one day), longest span. No customer has 200 orders, so list C takes those with 10."""
+    df = _read(spark, sf_dir, "orders").select("o_custkey", F.expr("timestampdiff(SECOND, timestamp_ntz'1992-01-01', cast(o_orderdate as timestamp_ntz))").alias("clock"))
+    return subset.rank_entities(df, "o_custkey", "clock", min_rows=10).select("o_custkey", F.col("rows").alias("n_rows"), "list", "place")
+
+
 @query("select o.o_orderkey from orders o semi join customer c on o.o_custkey = c.c_custkey and c.c_mktsegment = 'BUILDING'")
 def membership_filter(spark, sf_dir):
     keys = _read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
