@@ -179,3 +179,45 @@ def test_pipeline_groups_with_null_and_repeated_identifiers(spark):
     assert len(b) == 1
     expected = [(5, words("a")), (7, words("c")), (7, words("d")), (3, words("e")), (None, None), (None, ""), (None, ""), (12, ""), (12, None)]
     assert sorted(map(repr, got)) == sorted(map(repr, [*expected, *b]))
+
+
+def test_pipeline_stages_by_whole_row_sets(spark, tmp_path):
+    """Each stage against plain Python over the rows that its predecessor kept (quality: given the fitted model)."""
+    import tiktoken
+    from test_text_operators import brute_hits
+
+    import corpus_pipeline
+    from txnfeat.llm import bpe, quality
+
+    rng = np.random.default_rng(8)
+    words = [f"plain{i}" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    docs = [(i, text(60), "en", "s", i) for i in range(50)]
+    docs += [(100 + 10 * i + j, docs[i][1] + " tail" * (j + 1), "en", "t", 0) for i in range(5) for j in range(3)]
+    docs += [(200 + i, " ".join(f"{w}!!" for w in text(60).upper().split()), None, "s", 0) for i in range(50)]
+    items = [(1, text(30)), (2, text(8))]
+    docs += [(300, "intro " + items[0][1], "en", "s", 0), (301, text(200) + " " + items[1][1], "en", "s", 0), (302, text(40) + " " + items[1][1], "en", "s", 0), (303, None, None, None, None), (304, "", "en", "s", 0)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 0 if 200 <= i < 300 else 1) for i, *_ in docs], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def after(n, rows):
+        return sorted((tuple(r) for r in corpus_pipeline.STAGES[n][1](spark, spark.createDataFrame(rows, kinds).repartition(3), str(tmp_path)).collect()), key=repr)
+
+    model = quality.train(spark.createDataFrame(docs, kinds), labels)
+    x = np.array([quality.sizes(*model.compressors(), (r[1] or "").encode()) for r in docs])
+    good = sorted((r for r, q in zip(docs, model.scores(x), strict=True) if q >= quality.THRESHOLD), key=repr)
+    assert after(0, docs) == good and 0 < len(good) < len(docs)
+    kept = brute_components([r[:2] for r in good], 5)
+    lone = [r for r in good if kept[r[0]][2]]
+    assert after(1, good) == lone and len(lone) < len(good)
+    hits = {r[0]: brute_hits(r[1], items) for r in lone}
+    clean = [r for r in lone if not (hits[r[0]][1] and 20 * hits[r[0]][1] >= hits[r[0]][0])]
+    assert after(2, lone) == clean and len(clean) < len(lone)
+    ranks, pattern = bpe.vocabulary()
+    coder = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ids = {r[0]: coder.encode_ordinary(r[1] or "") for r in clean}
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert after(3, clean) == sorted(((r[0], len(ids[r[0]]), digest(np.array(ids[r[0]], "<u4").tobytes()), digest((r[1] or "").encode())) for r in clean), key=repr)

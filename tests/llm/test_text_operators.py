@@ -89,6 +89,42 @@ def test_fingerprint_lexicon_counts_distinct_texts(spark, limit):
     assert len(rows) == 27 and all(r["near_edited"] > 0 for r in rows)
 
 
+def brute_fingerprint(text, band):
+    """Part by part and term by term, in Python's integers."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53), (32, 1)):
+            x = (x ^ x >> shift) * factor & full
+        return x
+
+    own = set(fingerprint.terms(text.encode()).tolist())
+    out = []
+    for g, (one_in, n) in enumerate(fingerprint.GROUPS):
+        mixed = [mix(t ^ int(fingerprint._SEEDS[g, 0])) for t in (own if g < len(fingerprint.ALL_GROUPS) else own & band)]
+        for i in range(n):
+            some = [x for x in mixed if x % one_in == i]
+            out.append(f"{mix(sum(some) & full) % 16**6:06x}" if some else "-" * 6)
+    return "".join(out)
+
+
+def test_fingerprint_parts(spark):
+    rng = np.random.default_rng(9)
+    words = [f"p{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 80, 40)]
+    seen = Counter(x for t in set(texts) for x in set(fingerprint.terms(t.encode()).tolist()))
+    band = {x for x, n in seen.items() if n <= 0.2 * len(set(texts))}
+    for r in fingerprint.compare_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect():
+        own, other = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        half = len(own) // 2
+        a, b, y = (brute_fingerprint(t, band) for t in (own, other, own[: len(own) - half] + other[:half]))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (a, y)
+        for near, z in ((r["near_edited"], y), (r["near_next"], b)):
+            parts = [(a[i : i + 6], z[i : i + 6]) for i in range(0, len(a), 6)]
+            either = [p for p in parts if p != ("-" * 6, "-" * 6)]
+            assert near == pytest.approx(sum(p == q for p, q in either) / len(either))
+
+
 def test_fingerprint_lexicon_has_no_limit_by_size(spark):
     # 1,200,000 terms, each in one of six texts: all of them are in the band.
     texts = spark.range(6).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 199999), i -> concat('t', id, 'x', i)), ' ')").alias("text"))
