@@ -47,11 +47,11 @@ def families(seed=4):
     return [(7 * i % 1009, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "rounds", "limit"), [(4, 3, 1_000_000), (5, 0, 0)])
-def test_near_duplicates_against_brute_force(spark, k, rounds, limit):
+@pytest.mark.parametrize(("k", "block", "limit"), [(4, 400_000, 1_000_000), (5, 2_000, 0)])
+def test_near_duplicates_against_brute_force(spark, k, block, limit):
     rows = families()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component_id string, key int").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(df, k=k, star_rounds=rounds, broadcast_ids=limit).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(df, k=k, broadcast_rows=limit, block=block).collect()}
     assert got == brute_components(rows, k)
 
 
@@ -63,6 +63,29 @@ def test_near_duplicates_nulls_and_repeated_rows(spark):
     assert near_dups.near_duplicates(df.where("false")).count() == 0
 
 
+def test_one_identifier_with_two_texts(spark):
+    x, y = (" ".join(f"{p}{i}" for i in range(30)) for p in "xy")
+    for rows in ([(5, x), (5, y), (2, y + " z")], [(5, y), (5, x), (2, y + " z"), (None, x + " z"), (None, "x only"), (None, "x only")]):
+        got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        expected = [(5, 5, True), (5, 2, False), (2, 2, True)] + [(None, 5, False), (None, None, True), (None, None, True)][: len(rows) - 3]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("block", [400_000, 20_000])
+def test_family_on_both_sides_of_the_threshold(spark, block):
+    # Copies of one text, each with some of 40 recurring edits: their mutual similarity is from 0.5 to 1.
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for p in rng.choice(40, int(rng.integers(1, 9)), replace=False):
+            t[3 * p + 10] = f"edit{p}"
+        rows.append((i, " ".join(t)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect()}
+    assert got == brute_components(rows, 5)
+
+
 def test_pair_at_the_threshold_with_unlike_sketches(spark):
     # Found by search: eight of ten shingles in common, and sketches that differ in 74 bits.
     texts = [(n, " ".join([*(f"s6147x{j}" for j in range(8)), f"{p}6147"])) for n, p in ((1, "a"), (2, "b"))]

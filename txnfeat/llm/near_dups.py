@@ -1,15 +1,16 @@
 """Near-duplicate groups: MinHash bands retrieve candidates, odd sketches screen them, full shingle sets confirm them.
 
-1. One pass over the texts gives each document its set size, a 128-bit identity of its set, BANDS band keys and an odd
-   sketch: the parity of how many of the MinHash samples fall on each bit. Documents with equal sets form a class, and
-   only the class's smallest doc_id goes on, so thousands of copies cost as much as one.
-2. Members of a band's bucket are compared with one hub each (a star), never all with all. In the buckets that then
-   still hold several components, the star is repeated with another hub, and at last those outside the first member's
-   component meet every member of another component, so that no link between components is lost. Of these pairs only
-   those are made whose sketches are near and whose shared shingles can be enough: shingles that no other document of
-   these buckets has can't be shared, which rules out the many that differ from a common original each in their own way.
-3. A pair whose sketches' XOR has too many ones (an estimate far below the threshold) ends there; the others are
-   confirmed on full sets. Components of the links come from alternating large and small stars, as tables.
+1. One pass over the texts gives each row its set size, a 128-bit identity of its set, BANDS band keys and an odd
+   sketch: the parity of how many of the MinHash samples fall on each bit. Equal sets are one node, numbered by itself
+   and not by a doc_id, so thousands of copies cost as much as one and a doc_id with several texts is several nodes.
+2. The members of a band's bucket form a star around its hub, its smallest node. All buckets of a hub are one cluster, so
+   a family that shares many buckets is looked at once. Members are compared with their hub.
+3. In a cluster that then still holds several components, those outside the hub's component (strays) are compared with
+   all members of other components. This happens in cells: a block of strays against a block of members, both of bounded
+   size, in one task. A cell gives links, at most one fewer than it has components, and never a row for each pair.
+4. Wherever two sets are compared, their odd sketches come first: a pair whose XOR has too many ones (an estimate far
+   below the threshold) ends there, the others are confirmed on full sets. Components of the links come from alternating
+   large and small stars, as tables.
 
 At J = 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32 = 5e-8. The screen lets up to 81 of 256 bits differ, over
 five standard deviations more than expected, and ends a pair with probability 8e-8 (for independent MinHashes: those that
@@ -26,17 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, session_of, table, written
+from .common import WordHashes, session_of, table, trimmed, written
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 256
-#: Star rounds with new hubs before the rest of a bucket is compared in full.
-STAR_ROUNDS = 1
-#: Identifiers up to this many (8 MB) are broadcast to fetch full sets; beyond, texts are joined in a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of nodes up to this many (under 50 MB) are broadcast; more are joined in a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Estimates this far below the threshold are screened out.
 SLACK = 0.3
+#: A block has about so many shingles; each of its sets counts for EACH more, so it has at most about 1,000 sets.
+BLOCK, EACH = 400_000, 400
 
-_HASHES = WordHashes()
 _RANDOM = np.random.default_rng(20240101)
 _A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -51,10 +51,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes, k: int) -> np.ndarray:
+def shingles(text: bytes, k: int, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of the whole sequence, if it has fewer words; none without words."""
     ws = text.lower().split()  # bytes: A-Z only, and ASCII white space only
-    h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map((WordHashes() if hashes is None else hashes).__getitem__, ws), np.uint64, len(ws))
     if not len(h):
         return h
     m = min(k, len(h))
@@ -113,44 +113,109 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, k)
-                rows.append((doc, len(s), *(signature(s) if len(s) else (None, None, None))))
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                s = shingles(text.as_py(), k, hashes)
+                rows.append((doc.as_py(), len(s), *(signature(s) if len(s) else (None, None, None))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_shingles", "sid", "bands", "sketch"])
 
-    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, sid binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(trimmed(sign), "doc_id long, n_shingles long, sid binary, bands array<long>, sketch array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int, broadcast_ids: int) -> DataFrame:
-    """id, shingle set of the wanted documents."""
-    small = ids.count() <= broadcast_ids
-    texts = docs.select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
+def _sets(docs: DataFrame, nodes: DataFrame, k: int, broadcast_rows: int) -> DataFrame:
+    """node, set (sorted 64-bit hashes) of the wanted nodes (sid, node, id), from the text of one of each node's rows."""
+    session_of(docs)
+    nodes = written(nodes, "near-dups-wanted")
+    # Rows with the doc_id of a wanted node's first row; which of them has the node's set is seen from the set itself.
+    ids = written(nodes.select("id").distinct(), "near-dups-ids")
+    texts = docs.select(F.col("doc_id").alias("own"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    texts = texts.join(_small(ids, broadcast_rows), F.col("own").eqNullSafe(F.col("id")), "left_semi").select("text")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [s for t in b.column(0) if len(s := shingles(t.as_py(), k, hashes))]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "set"])
+
+    of = nodes.select("sid", "node")
+    found = written(texts.mapInArrow(trimmed(f), "sid binary, set binary").join(_small(of, broadcast_rows), "sid").select("node", "set"), "near-dups-sets")
+    # More rows than nodes only where a doc_id repeats or is null; then one of the equal sets is kept.
+    return found if found.count() == nodes.count() else written(found.groupBy("node").agg(F.first("set").alias("set")), "near-dups-sets")
+
+
+class _Cell:
+    """Two blocks of sets whose pairs are compared; left sets also with each other, if `within`."""
+
+    def __init__(self, percent: int):
+        self.percent, self.most = percent, most_ones(percent / 100 - SLACK)
+        self.sides: tuple[list, list] = ([], [])
+        self.within = False
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs (a, b) of nodes that join the components as all links do."""
+        left, right = self.sides
+        if self.within:
+            right = right + left
+        if not left or not right:
+            return []
+        sizes = np.array([len(r[2]) for r in right], np.int64)
+        values = np.concatenate([r[2] for r in right])
+        rows = np.repeat(np.arange(len(right), dtype=np.int32), sizes)
+        order = np.argsort(values, kind="stable")
+        values, rows = values[order], rows[order]
+        sketches = np.array([r[3] for r in right], np.int64).view(np.uint64)
+        nodes, labels = np.array([r[0] for r in right]), np.array([r[1] for r in right])
+        own, found = np.array([r[1] for r in left]), []
+        for i, (node, _, s, sketch) in enumerate(left):
+            ones = np.bitwise_count(sketches ^ np.array(sketch, np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = (labels != own[i]) & (ones <= self.most) & (np.minimum(sizes, len(s)) * 100 >= np.maximum(sizes, len(s)) * self.percent)
+            if not near.any():
+                continue
+            lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            each = hi - lo
+            ends = np.cumsum(each)
+            at = np.repeat(lo - ends + each, each) + np.arange(int(ends[-1]))
+            common = np.bincount(rows[at], minlength=len(right))
+            for j in np.flatnonzero(near & (common * 100 >= (sizes + len(s) - common) * self.percent)).tolist():
+                if labels[j] != own[i]:
+                    found.append((node, int(nodes[j])))
+                    gone = labels[j]
+                    labels[labels == gone] = own[i]
+                    own[own == gone] = own[i]
+        return found
+
+
+def _compared(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within cells (hub, i, r, side, node, c, sketch, set): sets of side 0 and 1 whose components c differ."""
+    session_of(cells)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, _Cell(percent)
         for b in batches:
-            sets = [shingles(t, k).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            keys = list(zip(*(b.column(x).to_pylist() for x in ("hub", "i", "r")), strict=True))
+            for key, side, node, c, sketch, s in zip(keys, *(b.column(x).to_pylist() for x in ("side", "node", "c", "sketch")), b.column("set"), strict=True):
+                if key != now:
+                    if found := cell.links():
+                        yield _batch(found)
+                    now, cell = key, _Cell(percent)
+                    cell.within = key[2] == 0
+                cell.sides[side].append((node, c, np.frombuffer(s.as_py(), np.uint64), sketch))
+        if found := cell.links():
+            yield _batch(found)
 
-    return texts.mapInArrow(f, "id long, set array<long>")
+    def _batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
+    placed = cells.repartition("hub", "i", "r").sortWithinPartitions("hub", "i", "r", "side", "node")
+    return placed.select("hub", "i", "r", "side", "node", "c", "sketch", "set").mapInArrow(trimmed(f), "a long, b long")
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) whose sketches pass and whose full sets have 100 * intersection >= percent * union."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-dups-ids")
-    # A sketch and its identifier are five times as large as an identifier.
-    s = _small(written(reps.select("id", "sketch").join(_small(ids, broadcast_ids), "id", "left_semi"), "near-dups-sketches"), broadcast_ids // 5)
-    screened = written(
-        pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        .where(_ones("x", "y") <= most_ones(percent / 100 - SLACK)).select("a", "b"), "near-dups-screened",
-    )
-    ids = screened.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets(docs, ids, k, broadcast_ids).dropDuplicates(["id"]), "near-dups-sets")
-    both = screened.join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a")
-    common = F.size(F.array_intersect("s", "t")).cast("long")
-    return both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
+
+def _block(blocks: Column) -> Column:
+    """The block of a node, one of so many."""
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,65 +236,74 @@ def components(edges: DataFrame) -> DataFrame:
     return written(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text; other columns are left out).
 
-    Documents are linked where 100 * intersection >= percent * union of their sets of k-word shingles. Null texts and
-    texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id count as one document.
-    A row whose doc_id is null has the component of the documents with the same set, or null; kept is doc_id =
-    component_id, with null equal to null."""
+    Texts are linked where 100 * intersection >= percent * union of their sets of k-word shingles; component_id is the
+    smallest doc_id of a row whose text is reachable. Null texts and texts without words have an empty set and are linked
+    with nothing. Rows that repeat a doc_id with one text are told alike; those with one doc_id and different texts are
+    different texts, each in its own component. A null doc_id is never smallest: component_id is null where all rows of a
+    component have none. kept is doc_id = component_id, with null equal to null. An empty table gives an empty one."""
     signed = written(signatures(docs, k), "near-dups-signed")
-    reps = written(signed.where("sid is not null").groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"), F.min("doc_id").alias("id")).where("id is not null")
-                   .select("sid", "id", "n_shingles", F.coalesce("r.bands", F.array().cast("array<long>")).alias("bands"), "r.sketch"), "near-dups-reps")
-    placed = reps.select("id", F.explode("bands").alias("key")).distinct()
-    shared = placed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    members = written(placed.join(shared, "key").select("key", "id", "hub"), "near-dups-members")
-    links = written(_confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, k, percent, broadcast_ids), "near-dups-links")
+    # Equal sets have equal bands and sketches.
+    classes = signed.where("sid is not null").groupBy("sid", "n_shingles").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    reps = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-dups-reps")
+    nodes = reps.select("node", "sketch", F.col("n_shingles").alias("n"))
+
+    # Stars: each member of a bucket and its hub.
+    placed = reps.select("node", F.explode("bands").alias("key"))
+    shared = written(placed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub"), "near-dups-buckets")
+    stars = written(placed.join(_small(shared, broadcast_rows), "key").where("node <> hub").select("hub", "node").distinct(), "near-dups-stars")
+    members = written(stars.select("node").union(stars.select("hub")).distinct(), "near-dups-members")
+    known = written(nodes.join(_small(members, broadcast_rows), "node"), "near-dups-known")
+    ends = _small(known, broadcast_rows // 5)
+    x, y = (ends.select(F.col("node").alias(a), F.col("sketch").alias(b), F.col("n").alias(c)) for a, b, c in (("hub", "x", "m"), ("node", "y", "n")))
+    enough = (F.least("m", "n") * 100 >= F.greatest("m", "n") * percent) & (_ones("x", "y") <= most_ones(percent / 100 - SLACK))
+    screened = written(stars.join(x, "hub").join(y, "node").where(enough).select("hub", "node", "n"), "near-dups-screened")
+    blocks = screened.groupBy("hub").agg(F.ceil(F.sum(F.col("n") + EACH) / block).cast("int").alias("p"))
+    at = lambda i, r, side, c: [F.col("hub"), i.cast("int").alias("i"), r.cast("int").alias("r"), F.lit(side).alias("side"), F.col("node"), c.alias("c")]
+    # Cells of the stars: the hub against a block of members. Left sets are compared with each other where r is 0, and here a hub is alone.
+    cells = blocks.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("k")).select(*at(F.col("k"), F.lit(1), 0, F.col("node")))
+    cells = cells.union(screened.join(blocks, "hub").select(*at(_block(F.col("p")), F.lit(1), 1, F.col("node"))))
+
+    def compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
+        return written(_compared(cells.join(sets, "node").join(ends.select("node", "sketch"), "node"), percent), "near-dups-links")
+
+    wanted = lambda df: reps.select("sid", "node", "id").join(_small(written(df.distinct(), "near-dups-asked"), broadcast_rows), "node")
+    links = compared(cells, _sets(docs, wanted(screened.select("node").union(screened.select("hub"))), k, broadcast_rows))
     found = components(links)
-    # Buckets that hold several components: their members that can still have a link, with what tells that.
-    known = written(_placed(members, _small(found, broadcast_ids // 2)), "near-dups-placed")
-    if not known.isEmpty():
-        able = _bounded(known, reps, docs, k, percent, broadcast_ids)
-        left_over = written(known.select("key", "id").join(_small(able, broadcast_ids // 5), "id"), "near-dups-left")
-        for n in range(star_rounds + 1):
-            known = written(_placed(left_over, _small(found, broadcast_ids // 2)), "near-dups-placed")
-            strays = known.where("c <> hub_c")
-            if strays.isEmpty():
-                break
-            if n < star_rounds:
-                strays = strays.groupBy("key").agg(F.min_by(F.struct("id", "c", "sketch", "n", "most"), F.xxhash64("id", F.lit(n))).alias("h")).select("key", "h.*")
-            a = strays.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("x"), F.col("n").alias("na"), F.col("most").alias("ma"))
-            b = known.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("y"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-            enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-            pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("ca") != F.col("cb")) & enough & (_ones("x", "y") <= most_ones(percent / 100 - SLACK)))
-            pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-dups-pairs")
-            if pairs.isEmpty():
-                continue
-            more = written(_confirmed(pairs, reps, docs, k, percent, broadcast_ids), "near-dups-links")
-            if more.isEmpty():
-                continue
-            links = links.union(more)
-            found = components(links)
-    named = reps.select("sid", "id").join(_small(found, broadcast_ids // 2), "id", "left").select("sid", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
-    own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with c, their component, and hub_c, that of the bucket's smallest id."""
-    named = members.join(found, "id", "left").select(*(members[x] for x in members.columns), F.coalesce("component", members["id"]).alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "id").alias("hub_c")).where("lo <> hi").select("key", "hub_c")
-    return named.join(several, "key")
-
-
-def _bounded(known: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """id, sketch, n (set size), most (shingles that another of the known documents has too), without those that can have no link."""
-    sets = _sets(docs, known.select("id").distinct(), k, broadcast_ids).dropDuplicates(["id"])
-    own = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    out = known.select("id").distinct().join(reps.select("id", "sketch", F.col("n_shingles").alias("n")), "id").join(own, "id", "left").select("id", "sketch", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-    # A partner has at least percent / 100 times as many shingles.
-    return written(out.where(F.col("most") * (100 + percent) * 100 >= F.col("n") * (100 + percent) * percent), "near-dups-bounded")
+
+    # Clusters that still hold several components: strays, outside the hub's component, against all others.
+    label = written(ends.select("node", "n").join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("c")), "near-dups-labels")
+    some = _small(label, broadcast_rows // 2)
+    cluster = stars.join(some, "node").join(some.select(F.col("node").alias("hub"), F.col("c").alias("hub_c")), "hub")
+    mixed = cluster.groupBy("hub").agg(F.max(F.col("c") != F.col("hub_c")).alias("mixed")).where("mixed").select("hub")
+    cluster = cluster.join(_small(written(mixed, "near-dups-mixed"), broadcast_rows), "hub")
+    cluster = written(cluster.union(cluster.select("hub", F.col("hub").alias("node"), "hub_c").distinct().join(some, "node").select("hub", "node", "n", "c", "hub_c")), "near-dups-clusters")
+    if not cluster.isEmpty():
+        stray, weight = F.col("c") != F.col("hub_c"), F.col("n") + EACH
+        several = lambda x: F.greatest(F.lit(1), F.ceil(F.sum(F.when(x, weight).otherwise(0)) / block)).cast("int")
+        sized = cluster.groupBy("hub").agg(several(stray).alias("ps"), several(~stray).alias("pg"))
+        of = cluster.join(_small(written(sized, "near-dups-blocks"), broadcast_rows), "hub")
+        of = of.withColumn("k", F.when(stray, _block(F.col("ps"))).otherwise(_block(F.col("pg"))))
+        # The cells (i, r) of a set: a stray of block k is left in (k, each block of the hub's component and each later block of
+        # strays), right in (each earlier block of strays, its own); one of the hub's component is right in (each block of strays, k).
+        span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        as_left = F.transform(F.concat(span(F.lit(0), F.col("pg") - 1), span(F.col("pg") + F.col("k") + 1, F.col("pg") + F.col("ps") - 1)), lambda r: F.struct(F.col("k").alias("i"), r.alias("r"), F.lit(0).alias("side")))
+        as_right = F.transform(span(F.lit(0), F.when(stray, F.col("k") - 1).otherwise(F.col("ps") - 1)), lambda i: F.struct(i.alias("i"), F.when(stray, F.col("pg") + F.col("k")).otherwise(F.col("k")).alias("r"), F.lit(1).alias("side")))
+        cells = of.withColumn("cell", F.explode(F.when(stray, F.concat(as_left, as_right)).otherwise(as_right))).select("hub", "cell.i", "cell.r", "cell.side", "node", "c")
+        more = compared(cells, _sets(docs, wanted(cluster.select("node")), k, broadcast_rows))
+        if not more.isEmpty():
+            found = components(links.union(more))
+
+    # Rows of texts with copies or links; all other rows are their own component.
+    of = reps.select("sid", "node", "id", "copies").join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    special = written(of.where("copies > 1 or component is not null").select("sid", "id", F.coalesce("component", "node").alias("component")), "near-dups-special")
+    least = special.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = written(special.join(_small(written(least, "near-dups-least"), broadcast_rows), "component").select("sid", F.lit(True).alias("named"), "component_id"), "near-dups-named")
+    out = signed.select("doc_id", "n_shingles", "sid").join(_small(named, broadcast_rows), "sid", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
