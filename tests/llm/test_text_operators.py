@@ -171,6 +171,38 @@ def test_quality_dictionaries_hold_all_chosen_rows(spark):
         assert len(excerpts) == quality.DICTIONARY_ROWS and all(x == dict(texts)[int(x[1 : x.index(">")])][: quality.EXCERPT_BYTES] for x in excerpts)
 
 
+def test_quality_scores_against_plain_python(spark, docs):
+    import math
+
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    known = [(i, " ".join(rng.choice(["calm", "river", "stone"] if i % 2 else ["BUY", "NOW", "!!"], 50))) for i in range(60)]
+    known_docs = spark.createDataFrame(known, "doc_id long, text string")
+    model = quality.train(known_docs, known_docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+
+    def brute(text):
+        data = (text or "").encode()
+        size = lambda body, x: len(zstandard.ZstdCompressor(level=5, write_content_size=False, **({"dict_data": zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if body else {})).compress(x))
+        blocks = [data[i : i + 2048] for i in range(0, len(data), 2048)] or [b""]
+        g, b, p = ([size(d, x) for x in blocks] for d in (model.good, model.bad, b""))
+        n = max(1, len(data))
+        x = [(sum(g) - sum(b)) / (sum(g) + sum(b)), sum(g) / n, sum(b) / n, sum(p) / n, math.log(n) / 10, (sum(g) - sum(b)) / n, max((i - j) / max(len(c), 200) for i, j, c in zip(g, b, blocks, strict=True)), n**-0.5]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights[:-1], strict=True)) + model.weights[-1]
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    # Compressors that hold a prepared dictionary may differ by a byte or two from those that load it anew.
+    for r in quality.score(docs, model).collect():
+        assert r["score"] == pytest.approx(brute(r["text"]), abs=0.05) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_quality_excerpts_of_long_texts():
+    long = bytes(range(256)) * 1000
+    places = {long.find(quality.excerpt(i, long)[:300]) for i in range(20)}
+    assert all(len(quality.excerpt(i, long)) == quality.EXCERPT_BYTES for i in range(20)) and len(places) > 10
+    assert quality.excerpt(3, b"short") == b"short"
+
+
 def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, None, "<p>x</p>", "old"), (1, "u", None, "old")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "x"]

@@ -38,6 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_bytes(docs: DataFrame) -> DataFrame:
+    """`docs` and, as its last column, the text in UTF-8 (null: empty)."""
+    return docs.withColumn(fresh(docs, "text_bytes"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+
+
+def fields_of(df: DataFrame) -> str:
+    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema)
+
+
 def literals(xs, suffix: str = "D"):
     """A literal array column of numbers, parsed at once; one lit() each takes a millisecond."""
     return F.expr(f"array({', '.join(f'{x!r}{suffix}' for x in xs)})")

@@ -1,12 +1,15 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries hold excerpts of good and of bad labelled texts. A text is compressed block by block with
-each and with none; the difference of the sizes, normalised by the text's length and by the sizes themselves, and the
-plain ratios are calibrated to a score by logistic regression on other labelled texts than those in the dictionaries.
+Two zstandard dictionaries hold good and bad labelled texts. A text is compressed block by block with each and with
+none; the difference of the sizes, normalised by the text's length and by the sizes themselves, and the plain ratios are
+calibrated to a score by logistic regression on other labelled texts than those in the dictionaries. A compressed size
+has a share that doesn't grow with the text (frame headers, the first literals of each block), so the same difference
+means less for a short text; log(n) and n^-0.5 let the calibration correct that. Alone they tell nothing (README).
 Scoring reads every whole text once, where it lies, with no shuffle."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,30 +19,36 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, table
+from .common import fields_of, session_of, table, trimmed, with_bytes, written
 
 #: The most labelled rows of each class that the dictionaries, and that the calibration, learn from.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 600, 2000
-#: Bytes of a text's excerpt in a dictionary, of a block that is compressed at once.
-EXCERPT_BYTES, BLOCK_BYTES, LEVEL = 600, 2048, 5
-#: Bytes of each dictionary: room for the excerpts of all chosen rows, with a line feed after each.
-DICTIONARY_BYTES = DICTIONARY_ROWS * (EXCERPT_BYTES + 1)
+#: Of a longer text, a dictionary has so many bytes in a row, from a place chosen by a hash: a bound on its memory.
+EXCERPT_BYTES = 1 << 16
+#: Bytes of a block that is compressed at once; a block's difference is told against so many bytes at least.
+BLOCK_BYTES, LEAST_BYTES, LEVEL = 2048, 200, 5
 THRESHOLD = 0.3
 FEATURES = 8
 
 
 def sizes(good, bad, plain, text: bytes) -> list[float]:
     """The features of a text: normalised differences and ratios of compressed sizes. An empty text is one empty block."""
-    n, g, b, p, most = max(len(text), 1), 0, 0, 0, 0.0
+    n, g, b, p, most = max(len(text), 1), 0, 0, 0, -1.0
     for i in range(0, n, BLOCK_BYTES):
         block = text[i : i + BLOCK_BYTES]
         x, y = len(good.compress(block)), len(bad.compress(block))
         g, b, p = g + x, b + y, p + len(plain.compress(block))
-        if i == 0 or len(block) >= 200:
-            most = max(most, (x - y) / max(len(block), 1)) if i else (x - y) / max(len(block), 1)
+        most = max(most, (x - y) / max(len(block), LEAST_BYTES))
     return [(g - b) / (g + b), g / n, b / n, p / n, np.log(n) / 10, (g - b) / n, most, n**-0.5]
 
 
+def excerpt(doc_id: int, text: bytes) -> bytes:
+    """The whole text, or EXCERPT_BYTES of a longer one from a place that a hash of doc_id chooses."""
+    places = max(1, len(text) - EXCERPT_BYTES + 1)
+    at = zlib.crc32(b"%d" % doc_id) % places if places > 1 else 0
+    return text[at : at + EXCERPT_BYTES]
+
+
 @dataclass
 class Model:
     good: bytes
@@ -87,47 +96,39 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _features(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs`, and features_ of the whole text."""
+    """doc_id, quality and the features of the whole text of a sample of rows."""
     sent = session_of(docs).sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = sent.value.compressors()
         for b in batches:
-            rows = [sizes(*with_, t) for t in b.column("text_bytes_").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "features_"])
+            rows = [sizes(*with_, t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "features"])
 
-    return docs.withColumn("text_bytes_", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).mapInArrow(f, f"{fields}, features_ array<double>")
+    return with_bytes(docs).drop("text").mapInArrow(trimmed(f), "doc_id long, quality int, features array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most 2 * (DICTIONARY_ROWS + CALIBRATION_ROWS) labelled rows that aren't held out, chosen by a hash of doc_id.
 
-    docs: doc_id, text; labels: doc_id, quality. Null labels are left out, a doc_id with several labels counts as the lowest."""
-    known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    ids = None
-    for q in (0, 1):
-        some = known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(DICTIONARY_ROWS + CALIBRATION_ROWS)
-        ids = some if ids is None else ids.union(some)
-    # At most 5,200 identifiers, whatever the input.
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("part", order)
-    excerpts: dict[int, list[bytes]] = {0: [], 1: []}
-    chosen: dict[int, set[int]] = {}
-    ranked = [tuple(r) for r in ids.collect()]
-    hashed = {r[0]: r[1] for r in docs.sparkSession.createDataFrame(ranked, "doc_id long, quality int").select("doc_id", order).collect()} if ranked else {}
+    docs: doc_id, text; labels: doc_id, quality. Null labels are left out, a doc_id with several labels counts as the
+    lowest, rows that repeat a doc_id are all learnt; without rows of both classes all texts score alike."""
+    known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = known.withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(7)))
+    learnt = []
     for q in (0, 1):
-        own = sorted((i for i, k in ranked if k == q), key=lambda i: (hashed[i], i))
+        own = [(r[0], q) for r in known.where(F.col("quality") == q).orderBy("place", "doc_id").limit(DICTIONARY_ROWS + CALIBRATION_ROWS).select("doc_id").collect()]
         # Half of a small sample goes to the dictionaries, the rest calibrates.
-        chosen[q] = set(own[: min(DICTIONARY_ROWS, (len(own) + 1) // 2)])
-    wanted = sorted(chosen[0] | chosen[1])
-    first = sample.where(F.col("doc_id").isin(wanted)).select("doc_id", "quality", F.substring("text", 1, EXCERPT_BYTES).alias("text")) if wanted else None
-    for _, q, text in sorted((tuple(r) for r in first.collect()), key=lambda r: (hashed[r[0]], r[0], r[2] or "")) if wanted else ():
-        excerpts[q].append((text or "").encode()[:EXCERPT_BYTES])
-    bodies = {q: b"\n".join(x)[:DICTIONARY_BYTES] for q, x in excerpts.items()}
-    blank = Model(bodies[1], bodies[0], np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
-    rest = sample.where(~F.col("doc_id").isin(wanted)) if wanted else sample
-    found = sorted((r[0], r[1], tuple(r[2])) for r in _features(rest.select("doc_id", "quality", "text"), blank).select("doc_id", "quality", "features_").collect())
+        n = min(DICTIONARY_ROWS, (len(own) + 1) // 2)
+        learnt += [(*r, i < n, i) for i, r in enumerate(own)]
+    # At most 5,200 identifiers, whatever the input.
+    ids = docs.sparkSession.createDataFrame(learnt, "doc_id long, quality int, worded boolean, place int")
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "quality-sample")
+    bodies: dict[int, list[bytes]] = {0: [], 1: []}
+    for _, q, doc, text in sorted((r["place"], r["quality"], r["doc_id"], excerpt(r["doc_id"], (r["text"] or "").encode())) for r in sample.where("worded").toLocalIterator()):
+        bodies[q].append(text)
+    blank = Model(b"\n".join(bodies[1]), b"\n".join(bodies[0]), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    found = sorted((r[0], r[1], tuple(r[2])) for r in _features(sample.where("not worded").select("doc_id", "quality", "text"), blank).collect())
     x = np.array([f for _, _, f in found]).reshape(-1, FEATURES)
     blank.mean, blank.scale, blank.weights = regression(x, np.array([q for _, q, _ in found], float))
     return blank
@@ -136,18 +137,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of `docs` with score (0 to 1, higher: better) and predicted (1 if score >= threshold, else 0).
 
-    Null texts score as empty ones. Columns of `docs` named score or predicted are replaced."""
+    Null texts score as empty ones; equal texts score alike; a text of any length is compressed block by block. Columns of
+    `docs` named score or predicted are replaced; an empty table gives an empty one."""
     sent = session_of(docs).sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_ = sent.value.compressors()
         for b in batches:
-            x = np.array(b.column("features_").to_pylist(), float).reshape(-1, FEATURES)
+            x = np.array([sizes(*with_, t.as_py()) for t in b.columns[-1]], float).reshape(-1, FEATURES)
             s = sent.value.scores(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return _features(kept, model).mapInArrow(f, f"{fields}, score double, predicted int")
+    return with_bytes(kept).mapInArrow(trimmed(f), f"{fields_of(kept)}score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
