@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, table
+from .common import session_of, table, trimmed
 
 #: Code points of text in a chunk: what a task holds at a time, besides one document.
 CHUNK_CHARS = 6 << 20
@@ -138,11 +138,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+_ENCODED = "doc_id long, ids binary"
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, then=None, fields_then: str = _ENCODED) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every row of `docs` (doc_id, text; other columns are left out).
 
     The ids are what tiktoken gives for the whole text, special tokens being ordinary text; a null or empty text has none.
-    Repeated rows and doc_ids are encoded each for itself. ranks go to every task: a vocabulary of fixed size."""
+    Repeated rows and doc_ids are encoded each for itself. ranks go to every task: a vocabulary of fixed size. `then`, a
+    function for mapInArrow, is applied to the rows where they are made; the result has its fields."""
     spark = session_of(docs)
     texts = docs.select("doc_id", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -227,27 +231,48 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "ids"])
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    answers = texts.mapInArrow(lists, fields).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, fields)
-    both = answers.union(texts.mapInArrow(positions, fields))
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("bucket")).mapInArrow(together, "doc_id long, ids binary")
+    answers = texts.mapInArrow(trimmed(lists), fields).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(answer), fields)
+    both = answers.union(texts.mapInArrow(trimmed(positions), fields))
+    last = trimmed((lambda batches: then(together(batches))) if then else together)
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("bucket")).mapInArrow(last, fields_then)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, ids, bytes of every row of `encoded`: its ids joined with the token-byte table. An id that isn't in it raises KeyError."""
-    sent = session_of(encoded).sparkContext.broadcast({i: t for t, i in ranks.items()})
+def _decoded(spark: SparkSession, ranks: dict[bytes, int]):
+    """Joins the ids of each batch with the token-byte table, whose size is fixed: a lookup of places and lengths in it."""
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError("ids must be 0, 1, 2 ... without gaps")
+    sent = spark.sparkContext.broadcast(sorted(ranks, key=ranks.__getitem__))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = sent.value.__getitem__
+        lengths = np.fromiter(map(len, sent.value), np.int64, len(sent.value))
+        places, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(sent.value), np.uint8)
         for b in batches:
-            texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
+            texts = []
+            for x in b.column(1):
+                ids = np.frombuffer(x.as_py() or b"", "<u4")
+                if len(ids) and int(ids.max()) >= len(lengths):
+                    raise KeyError(int(ids.max()))
+                each = lengths[ids]
+                ends = np.cumsum(each)
+                texts.append(flat[np.repeat(places[ids] - ends + each, each) + np.arange(int(each.sum()))].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(f, "doc_id long, ids binary, bytes binary")
+    return f
+
+
+_DECODED = "doc_id long, ids binary, bytes binary"
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, ids, bytes of every row of `encoded`: its ids joined with the token-byte table. An id that isn't in it raises KeyError.
+
+    Null ids are none; repeated rows are decoded each for itself; an empty table gives an empty one."""
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(_decoded(session_of(encoded), ranks)), _DECODED)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `docs`."""
-    return decode(encode(docs, ranks, pattern), ranks).select(
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `docs`; decoded where the ids are put together."""
+    return encode(docs, ranks, pattern, _decoded(session_of(docs), ranks), _DECODED).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
 

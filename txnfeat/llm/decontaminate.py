@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, session_of, table, written
+from .common import WordHashes, fields_of, fresh, session_of, table, trimmed, with_bytes, written
 
 #: Words of a window; words of a k-gram.
 WINDOW, GRAM = 13, 5
@@ -29,7 +29,6 @@ BROADCAST_BYTES = 16 << 20
 
 #: For translate(): letters and digits lower-cased, other ASCII as spaces.
 LETTERS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
-_HASHES = WordHashes()
 
 
 def words(text: bytes) -> list[bytes]:
@@ -37,8 +36,8 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+def hashes(ws: list[bytes], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -81,11 +80,11 @@ def _in(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Index:
     """Fingerprints of items, and their words, to find and extend hits."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM):
-        self.ids, self.words = [], []
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM, known: WordHashes | None = None):
+        self.ids, self.words, known = [], [], WordHashes() if known is None else known
         groups: dict[tuple, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
-            h = hashes(words(text))
+            h = hashes(words(text), known)
             if not len(h):
                 continue
             j, s = len(self.ids), shape(len(h), window, gram)
@@ -151,31 +150,34 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int) ->
     sent = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.collect()])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value, window, gram)
+        known = WordHashes()
+        index = Index(sent.value, window, gram, known)
         for b in batches:
             rows = []
-            for text in b.column("text_bytes_").to_pylist():
-                h = hashes(words(text))
+            for text in b.columns[-1]:
+                h = hashes(words(text.as_py()), known)
                 mask, found = index.hits(h)
                 rows.append(_judge(len(h), 0 if mask is None else int(mask.sum()), found))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=[*b.schema.names[:-1], *(x.split()[0] for x in OUT.split(", "))])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("text_bytes_", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).mapInArrow(judge, f"{fields}, {OUT}")
+    return with_bytes(docs).mapInArrow(trimmed(judge), f"{fields_of(docs)}{OUT}")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """Texts and items meet by fingerprint; equal texts are judged once."""
+    """Texts and items meet by fingerprint; equal texts are judged once. A passage in very many texts is one key of these
+    joins, whose large partitions adaptive execution splits on the side of the texts."""
+    own = fresh(docs, "key")
     items = written(items.distinct().withColumn("item_key", F.sha2("text", 256)), "decontaminate-items")
     texts = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).select(F.sha2("text", 256).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     texts = written(texts, "decontaminate-texts")
 
     def marks(shapes, key):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WordHashes()
             for b in batches:
                 for k, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist(), strict=True):
-                    h = hashes(words(text))
+                    h = hashes(words(text), known)
                     found = [(s[0], winnow(grams(h, s[1]), s[2])) for s in (shapes or ([shape(len(h), window, gram)] if len(h) else []))]
                     ns = np.concatenate([np.full(len(m), n, np.int32) for n, m in found]) if found else np.zeros(0, np.int32)
                     ms = np.concatenate([m for _, m in found]).view(np.int64) if found else np.zeros(0, np.int64)
@@ -191,16 +193,17 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = h = mask = found = None
+        known = WordHashes()
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 if r["kind"] == 0:
                     if key is not None:
                         rows.append((key, *_judge(len(h), int(mask.sum()), found)))
-                    key, h, found = r["key"], hashes(words(r["text"])), set()
+                    key, h, found = r["key"], hashes(words(r["text"]), known), set()
                     mask = np.zeros(len(h), bool)
                 else:
-                    m, f = Index([(r["item_id"], r["text"])], window, gram).hits(h)
+                    m, f = Index([(r["item_id"], r["text"])], window, gram, known).hits(h)
                     found |= f
                     if m is not None:
                         mask |= m
@@ -210,11 +213,11 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int) -> Da
             yield _batch([(key, *_judge(len(h), int(mask.sum()), found))])
 
     def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["key_", *(x.split()[0] for x in OUT.split(", "))])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[own, *(x.split()[0] for x in OUT.split(", "))])
 
-    judged = both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(judge, f"key_ string, {OUT}")
-    keyed = docs.withColumn("key_", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    return keyed.join(judged, "key_").drop("key_")
+    judged = both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(trimmed(judge), f"`{own}` string, {OUT}")
+    keyed = docs.withColumn(own, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    return keyed.join(judged, own).drop(own)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
