@@ -276,10 +276,11 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 1]
-    shards = token_files.write_shards(docs, token_files.encode_words(docs, open(path).read(), 1), f"file://{tmp_path}/s", 2, shard_bytes=1000)
-    out = token_files.checksums(token_files.read_shards(shards)).collect()
+    shards = token_files.write_shards(docs, token_files.encode_words(docs, open(path).read(), 1), f"file://{tmp_path}/s", shard_bytes=1000)
+    out = token_files.checksums(shards).collect()
+    read = token_files.read_shards(shards).collect()
+    assert sorted((r["start"], len(r["ids"]) // r["width"]) for r in read) == sorted((r["start"], r["n_tokens"]) for r in out)
     start, want = 0, []
     for i, x in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
         n = ids(x)
@@ -289,8 +290,35 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     paths = [r["path"] for r in shards.collect()]
     assert [x.tolist() for x in token_files.look_up(paths, 9)] == [ids(TEXTS[6][1])]
     assert len(token_files.look_up(paths, 5)) == 2 and len(token_files.look_up(paths, None)) == 1 and token_files.look_up(paths, 77) == []
-    shards = token_files.write_shards(empty, token_files.encode_words(empty, open(path).read(), 1), f"file://{tmp_path}/e", 2)
-    assert token_files.read_shards(shards).count() == 0
+    shards = token_files.write_shards(empty, token_files.encode_words(empty, open(path).read(), 1), f"file://{tmp_path}/e")
+    assert token_files.read_shards(shards).count() == 0 and token_files.checksums(shards).count() == 0
+
+
+def test_word_tokens_are_the_librarys(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), np.random.default_rng(12)
+    pool = ["ab", "The", "don't", "'LL", "é", "ÀÉÎÕÜß", "ÿ", "x\u0301", "Ω", "漢", "12", "3", "--", "%$", " ", "\n", "\x85", "\u00a0", "\u200b", "×÷", "<|endoftext|>", "<|startoftext|>", "<|", "İ", "ﬁ", "\x7f", "\x01", "¼", "_", "🙂"]
+    texts = ["".join(rng.choice(pool, int(n))) for n in rng.integers(0, 14, 600)] + ["a <|endoftext|> b", *map(chr, range(1, 400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for r in token_files.encode_words(docs, open(path).read(), 1).collect():
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1], texts[r["doc_id"]]
+
+
+def test_ranges_keep_the_order(spark, monkeypatch):
+    from txnfeat.llm import common
+
+    keys = [-(1 << 62), -5, -5, 0, 1, 2, 3, 50, 51, 52, 53, 1 << 62, None]
+    docs = spark.createDataFrame([(k, "x" * 100) for k in keys], "k long, text string")
+    for steps, size in ((8192, 10_000), (8192, 100), (8, 10), (64, 200)):
+        monkeypatch.setattr(common, "STEPS", steps)
+        n, part = common.ranges(docs, "k", size)
+        got = sorted(((r["k"] is not None, r["k"] or 0), r["p"]) for r in docs.select("k", part.alias("p")).collect())
+        assert [p for _, p in got] == sorted(p for _, p in got) and 0 <= got[0][1] and got[-1][1] < n
+        assert size < 10_000 and len({p for _, p in got}) > 3 or size == 10_000 and n == 1
+    assert common.ranges(docs.where("false"), "k", 10)[0] == 1
 
 
 def test_shard_with_many_blocks(tmp_path):

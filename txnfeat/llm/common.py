@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship
@@ -55,6 +55,38 @@ def fields_of(df: DataFrame) -> str:
     return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema)
 
 
+#: Steps of the distribution of identifiers from which the borders of ranges are taken.
+STEPS = 8192
+
+
+def ranges(docs: DataFrame, key: str, range_bytes: int) -> tuple[int, Column]:
+    """(n, the range, from 0 to n - 1, of a row by its `key`, a long), where larger keys are never in a lower range.
+
+    A range has about `range_bytes` of the column text. Up to STEPS borders are quantiles, found in a row by binary search;
+    where more ranges are needed, each stretch between quantiles is divided into as many equal parts of its keys. A null
+    key is in the first range. One pass over keys and lengths of texts; the driver gets STEPS numbers."""
+    quantiles = F.percentile_approx(key, literals(i / STEPS for i in range(1, STEPS)), 4 * STEPS)
+    total, low, high, found = docs.agg(F.sum(F.octet_length("text")), F.min(key), F.max(key), quantiles).first()
+    n = (total or 0) // range_bytes + 1
+    if n == 1 or found is None:
+        return 1, F.lit(0)
+    rough = min(n, STEPS)
+    borders = sorted({found[STEPS * i // rough - 1] for i in range(1, rough)})
+    xs, k = literals(borders, "L"), F.col(key)
+    # Which is the number of borders below the key: halve what is left of them until one place remains.
+    rounds = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(xs, middle(s)) < k, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+    at = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi")), step, lambda s: s["lo"])
+    parts = -(-n // rough)
+    if parts > 1:
+        ends = literals([low, *borders, high], "L")
+        a, b = F.get(ends, at).cast("double"), F.get(ends, at + 1).cast("double")
+        inside = F.floor((k.cast("double") - a) * parts / F.greatest(b - a, F.lit(1.0)))
+        at = at * parts + F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1))
+    return (len(borders) + 1) * parts, F.coalesce(at.cast("int"), F.lit(0))
+
+
 def literals(xs, suffix: str = "D"):
     """A literal array column of numbers, parsed at once; one lit() each takes a millisecond."""
     return F.expr(f"array({', '.join(f'{x!r}{suffix}' for x in xs)})")

@@ -15,8 +15,10 @@ import bisect
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,15 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literals, session_of, shared_folder, storage, table, written
+from .common import ranges, session_of, shared_folder, storage, table, trimmed, written
 
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 16, 10, 7
 #: Bytes of text that one shard's documents have, about.
 SHARD_BYTES = 32 << 20
-#: Steps of the identifiers' distribution from which the shards' borders are taken.
-BORDER_STEPS = 8192
-#: Distinct words whose ids a task keeps; words that are encoded in one call.
-CACHE, CALL = 200_000, 4_000
+#: Distinct words whose ids a task keeps, of about 200 bytes each.
+CACHE = 500_000
 FOOTER, MARK = struct.Struct("<6QBx6s"), b"SSTTOK"
 
 
@@ -178,6 +178,13 @@ _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
+#: How a byte-level model writes the bytes of the letters from À to ÿ: each printable byte as the character of its number,
+#: the others, in order, as those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
+_LETTERS = {c: "".join(chr(b) if b in _PRINTABLE else chr(256 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(192, 256)}
+
+
 def _plain_words(text: str) -> list[str]:
     """Words that the tokenizer encodes each by itself; pieces with other characters stay whole."""
     if _PLAIN.fullmatch(text):
@@ -188,71 +195,80 @@ def _plain_words(text: str) -> list[str]:
     return out
 
 
-def _encode_words(t, words: list[str], kind: np.dtype) -> Iterator[tuple[str, bytes]]:
-    plain, odd = [], []
-    for w in words:
-        (plain if _PLAIN.fullmatch(w) else odd).append(w)
-    for i in range(0, len(plain), CALL):
-        some = plain[i : i + CALL]
-        e = t.encode(" ".join(some), add_special_tokens=False)
-        of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, kind)
-        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        if len(starts) != len(some):
-            odd += some
-            continue
-        yield from zip(some, (x.tobytes() for x in np.split(ids, starts[1:])), strict=True)
-    for w in odd:
-        yield w, np.array(t.encode(w, add_special_tokens=False).ids, kind).tobytes()
+class _WordIds(dict):
+    """The stored ids of words, each encoded when it is first asked for; emptied at CACHE entries."""
 
+    def __init__(self, t, kind: np.dtype):
+        super().__init__()
+        self.t, self.model, self.code = t, t.model.tokenize, {2: "H", 4: "I"}[kind.itemsize]
 
-def encode_words(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids of every row of `docs` (doc_id, text), `end_id` appended; null texts are empty.
+    def __missing__(self, word: str) -> bytes:
+        # The model itself takes a plain word; any other goes through the tokenizer's normalisation and splitting.
+        if _PLAIN.fullmatch(word):
+            ids = [x.id for x in self.model(word if word.isascii() else word.translate(_LETTERS))]
+        else:
+            ids = self.t.encode(word, add_special_tokens=False).ids
+        if len(self) >= CACHE:
+            self.clear()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        stored = self[word] = out.tobytes()
+        return stored
 
-    The tokenizer (a tokenizers file, sent to every task: its vocabulary has a fixed size) must be a lower-casing BPE
-    with word ends that drops white space, as CLIP's: then its words are encoded each by itself, and each distinct one
-    once as long as a task remembers it. Strings of special tokens are ordinary text."""
+
+def id_width(tokenizer_json: str) -> int:
+    """Bytes of an id: 2 if the vocabulary, with its added tokens, has at most 65,536 entries, else 4."""
     from tokenizers import Tokenizer
 
-    width = 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size() <= 1 << 16 else 4
-    sent, kind = session_of(docs).sparkContext.broadcast(tokenizer_json), np.dtype(f"<u{width}")
+    return 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size() <= 1 << 16 else 4
+
+
+def encode_words(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
+    """doc_id, n_tokens, ids, width (bytes of an id) of every row of `docs` (doc_id, text), `end_id` appended.
+
+    The ids are those that the tokenizer gives for the whole text with add_special_tokens=False; null texts are empty, equal
+    rows are encoded each for itself, an empty table gives an empty one. The tokenizer (a tokenizers file, sent to every
+    task: its vocabulary has a fixed size) must be a lower-casing BPE with word ends that drops white space, as CLIP's: then
+    its words are encoded each by itself, and each distinct one once as long as a task remembers it. A text that holds the
+    string of an added token is given to the tokenizer as a whole. A long text is held by one task, with its ids."""
+    sent, width = session_of(docs).sparkContext.broadcast(tokenizer_json), id_width(tokenizer_json)
+    kind = np.dtype(f"<u{width}")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(sent.value)
-        t.encode_special_tokens = True
-        known: dict[str, bytes] = {}
-        end = np.array([end_id], kind).tobytes()
+        added = [a.content for a in t.get_added_tokens_decoder().values()]
+        known, end = _WordIds(t, kind).__getitem__, np.array([end_id], kind).tobytes()
+
+        def stored(text: str) -> bytes:
+            if any(a in text for a in added):
+                return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes() + end
+            return b"".join(map(known, _plain_words(text))) + end
+
         for b in batches:
-            texts = [_plain_words(x or "") for x in b.column(1).to_pylist()]
-            if len(known) > CACHE:
-                known.clear()
-            known.update(_encode_words(t, list(set().union(*texts).difference(known)), kind))
-            values = [b"".join([*map(known.__getitem__, x), end]) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) // width for v in values], pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            values = [stored(x.as_py() or "") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) // width for v in values], pa.int64()), pa.array(values, pa.binary()), pa.array([width] * len(values), pa.int32())], names=["doc_id", "n_tokens", "ids", "width"])
 
-    return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(f), "doc_id long, n_tokens long, ids binary, width int")
 
 
-def write_shards(docs: DataFrame, encoded: DataFrame, folder: str, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes `encoded` (doc_id, n_tokens, ids), the rows of `docs`, as shards; returns shard, path, docs, ids, as a written table.
+def write_shards(docs: DataFrame, encoded: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes `encoded` (doc_id, ids, width), the rows of `docs`, as shards; returns shard, path, docs, ids, as a written table.
 
-    Shards hold ranges of doc_id, whose borders come from the distribution of `docs`, so nothing is encoded twice. Equal
-    identifiers stay in one shard, ordered by their ids."""
-    spark = session_of(encoded)
-    steps = [i / BORDER_STEPS for i in range(1, BORDER_STEPS)]
-    total, quantiles = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", literals(steps), 4 * BORDER_STEPS)).first()
-    n = max(1, min(BORDER_STEPS, (total or 0) // shard_bytes + 1))
-    borders = sorted({quantiles[BORDER_STEPS * i // n - 1] for i in range(1, n)}) if quantiles else []
-    # The shard is the number of borders below the identifier; nulls are in the first.
-    shard = F.coalesce(F.size(F.filter(literals(borders, "L"), lambda x: x < F.col("doc_id"))), F.lit(0)) if borders else F.lit(0)
+    Shards hold ranges of doc_id, whose borders come from the distribution of `docs`, so nothing is encoded twice; each is
+    written by one task. Equal identifiers stay in one shard, ordered by their ids; null identifiers come first; an empty
+    table has no shard."""
+    session_of(encoded)
+    n, shard = ranges(docs, "doc_id", shard_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = out = w = uri = None
         rows = []
         for b in batches:
-            for s, doc, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
+            for s, doc, ids, width in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "ids", "width")), strict=True):
                 if s != now:
                     if w is not None:
                         w.close()
@@ -271,36 +287,43 @@ def write_shards(docs: DataFrame, encoded: DataFrame, folder: str, width: int, s
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "docs", "ids"])
 
-    parted = encoded.select("doc_id", "ids", shard.alias("shard")).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return written(parted.select("shard", "doc_id", "ids").mapInArrow(write, "shard int, path string, docs long, ids long"), "shards")
+    parted = encoded.select(shard.alias("shard"), "doc_id", "ids", "width").repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    return written(parted.mapInArrow(trimmed(write), "shard int, path string, docs long, ids long"), "shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (as stored) and width of each document of the listed shards."""
-    spark = session_of(shards)
-    # One row per shard, of which there are at most BORDER_STEPS.
+def _placed(shards: DataFrame) -> DataFrame:
+    """path and start of each listed shard, each in a task of its own. The driver gets a short row per shard."""
     listed = sorted(tuple(r) for r in shards.select("shard", "path", "ids").collect())
     starts = np.cumsum([0, *(r[2] for r in listed)]).tolist()
-    plan = spark.createDataFrame([(r[1], s) for r, s in zip(listed, starts, strict=False)], "path string, start long").repartition(max(1, len(listed)), "path")
+    plan = shards.sparkSession.createDataFrame([(i, r[1], s) for i, (r, s) in enumerate(zip(listed, starts, strict=False))], "i int, path string, start long")
+    return plan.repartitionById(max(1, len(listed)), "i").select("path", "start")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uri, before in ((u, s) for b in batches for u, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            fs, path = storage(uri)
-            with fs.open_input_file(path) as f:
-                r, rows, size = ShardReader(f), [], 0
-                for doc, start, value in r:
-                    rows.append((doc, before + start, value, r.width))
-                    size += len(value)
-                    if size > 1 << 22:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows)
 
-    def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["doc_id", "start", "ids", "width"])
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of (doc_id, start, stored ids, width), of some megabytes each, from the shards that are listed."""
+    for uri, before in ((u, s) for b in batches for u, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+        fs, path = storage(uri)
+        with fs.open_input_file(path) as f:
+            r, rows, size = ShardReader(f), [], 0
+            for doc, start, value in r:
+                rows.append((doc, before + start, value, r.width))
+                size += len(value)
+                if size > 1 << 22:
+                    yield rows
+                    rows, size = [], 0
+            if rows:
+                yield rows
 
-    return plan.mapInArrow(read, "doc_id long, start long, ids binary, width int")
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids (as stored) and width of each document of the listed shards."""
+    session_of(shards)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _documents(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["doc_id", "start", "ids", "width"])
+
+    return _placed(shards).mapInArrow(trimmed(read), "doc_id long, start long, ids binary, width int")
 
 
 def look_up(shards: Iterable[str], doc_id: int | None) -> list[np.ndarray]:
@@ -314,15 +337,16 @@ def look_up(shards: Iterable[str], doc_id: int | None) -> list[np.ndarray]:
     return found
 
 
-def checksums(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as unsigned 32-bit integers."""
+def checksums(shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the ids as unsigned 32-bit integers, of each document of the listed shards."""
+    session_of(shards)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(v, f"<u{w}") for v, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, ids), pa.int64()), pa.array((zlib.crc32(x.astype("<u4").tobytes()) for x in ids), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for rows in _documents(batches):
+            out = [(doc, start, len(v) // w, zlib.crc32(np.frombuffer(v, f"<u{w}").astype("<u4").tobytes())) for doc, start, v, w in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return stored.mapInArrow(f, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(shards).mapInArrow(trimmed(f), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,4 +355,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         encoded = encode_words(docs, f.read(), end_id=1)
-    return checksums(read_shards(write_shards(docs, encoded, shared_folder(spark, "tokens"), width=2)))
+    return checksums(write_shards(docs, encoded, shared_folder(spark, "tokens")))
