@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literals, session_of, table, written
+from .common import fields_of, ranges, session_of, table, trimmed, with_bytes, written
 from .decontaminate import LETTERS
 
 #: Document frequency of the band's rarest and most frequent terms, as shares of all documents.
@@ -39,8 +39,8 @@ GROUPS = ALL_GROUPS + BAND_GROUPS
 SUBSETS = sum(n for _, n in GROUPS)
 #: Hex digits of a part; a missing part is so many dashes.
 DIGITS = 6
-#: Bytes of text in a range of identifiers; ranges at most.
-RANGE_BYTES, MOST_RANGES = 16 << 20, 8192
+#: Bytes of text in a range of identifiers.
+RANGE_BYTES = 16 << 20
 
 _SEEDS = np.random.default_rng(20240102).integers(1, 1 << 63, (len(GROUPS), 1), dtype=np.uint64)
 _SLOTS = np.array([[n - 1] for n, _ in GROUPS], np.uint64)
@@ -113,7 +113,9 @@ def likeness(a: str, b: str) -> float:
 
 
 def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST, broadcast_texts: int = BROADCAST_TEXTS) -> np.ndarray:
-    """Sorted hashes of the terms whose document frequency over the distinct texts of `docs` is in the band."""
+    """Sorted hashes of the terms whose document frequency over the distinct texts of `docs` is in the band.
+
+    Null and empty texts have no terms, and count as one text; terms at the band's ends are in it; an empty table has none."""
     session_of(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,7 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
     else:
         texts = texts.dropDuplicates(["h", "h2"]).select("text", F.lit(1).cast("long").alias("copies"))
     # The shares of a text add up to one but for rounding errors far below a half.
-    freq = texts.mapInArrow(count, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n")).where((F.col("n") >= max(1, math.ceil(rarest * n))) & (F.col("n") <= commonest * n))
+    freq = texts.mapInArrow(trimmed(count), "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n")).where((F.col("n") >= max(1, math.ceil(rarest * n))) & (F.col("n") <= commonest * n))
     return np.sort(freq.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
@@ -154,23 +156,17 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Null identifiers come first, null texts are empty. One shuffle of the texts, by ranges of the identifier; the first
     row of each range is also sent to the range before, so no task needs more than its own range."""
-    spark = session_of(docs)
+    session_of(docs)
     d = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    steps = MOST_RANGES
-    total, quantiles = d.agg(F.sum(F.octet_length("text")), F.percentile_approx("k", literals(i / steps for i in range(1, steps)), 4 * steps)).first()
-    n = max(1, min(steps, (total or 0) // RANGE_BYTES + 1))
-    borders = sorted({quantiles[steps * i // n - 1] for i in range(1, n)}) if quantiles else []
-    part = F.size(F.filter(literals(borders, "L"), lambda x: x < F.col("k"))) if borders else F.lit(0)
+    n, part = ranges(d, "k", RANGE_BYTES)
     d = d.withColumn("part", part)
-    # One row per range.
+    # One short row per range: the range before each one that has rows gets a copy of its first key's rows.
     firsts = sorted(tuple(r) for r in d.groupBy("part").agg(F.min("k")).collect())
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    also = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in before.items())) if before else None
-    if also is not None:
-        copies = F.transform(F.filter(also, lambda x: x["k"] == F.col("k")), lambda x: F.struct(x["p"].alias("part"), F.lit(1).alias("copy")))
-        d = d.withColumn("to", F.explode(F.concat(F.array(F.struct("part", F.lit(0).alias("copy"))), copies))).select("doc_id", "k", "text", "to.part", "to.copy")
-    else:
-        d = d.withColumn("copy", F.lit(0))
+    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
+    copies = F.broadcast(docs.sparkSession.createDataFrame(before, "k long, to int"))
+    own, also = F.struct("part", F.lit(0).alias("copy")), F.struct(F.col("to").alias("part"), F.lit(1).alias("copy"))
+    places = F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, also)))
+    d = d.join(copies, "k", "left").withColumn("at", places).select("doc_id", "k", "text", "at.part", "at.copy")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -183,8 +179,8 @@ def with_next(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "text", "next_text"])
 
-    parted = d.repartition(n, "part").sortWithinPartitions("part", "copy", "k", "text")
-    return parted.select("doc_id", "text", "part", "copy").mapInArrow(pair, "doc_id long, text binary, next_text binary")
+    parted = d.repartitionById(n, "part").sortWithinPartitions("part", "copy", "k", "text")
+    return parted.select("doc_id", "text", "part", "copy").mapInArrow(trimmed(pair), "doc_id long, text binary, next_text binary")
 
 
 def edited(text: str, other: str) -> str:
@@ -194,7 +190,11 @@ def edited(text: str, other: str) -> str:
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of `docs` (doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of `docs` (doc_id, text).
+
+    A text's edited form takes its second half from the next row by (doc_id, text). Null texts are empty; an empty text's
+    edited form is empty; null identifiers come first; repeated rows follow each other, so one is the next of another; a single
+    row is its own next; an empty table gives an empty one. A text of any length is fingerprinted whole."""
     import hashlib
 
     sent = session_of(docs).sparkContext.broadcast(lexicon(docs))
@@ -213,21 +213,21 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(docs).mapInArrow(f, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(trimmed(f), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """All columns of `docs` with the fingerprint of the whole text; equal texts have equal fingerprints."""
+    """All columns of `docs` with the fingerprint of the whole text, in place of a column of that name; equal texts have equal
+    fingerprints, null texts that of an empty one."""
     sent = session_of(docs).sparkContext.broadcast(lexicon(docs))
     kept = docs.drop("fingerprint")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [fingerprint(t, sent.value) for t in b.column("text_bytes_").to_pylist()]
+            own = [fingerprint(t.as_py(), sent.value) for t in b.columns[-1]]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.string())], names=[*b.schema.names[:-1], "fingerprint"])
 
-    return kept.withColumn("text_bytes_", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).mapInArrow(f, f"{fields}, fingerprint string")
+    return with_bytes(kept).mapInArrow(trimmed(f), f"{fields_of(kept)}fingerprint string")
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
