@@ -1,10 +1,11 @@
-import math
+import statistics
 
 import pytest
-from fixtures import LEDGER, LEDGER_COLUMNS, boundary_rows, small_card_schema
+from fixtures import BOUNDARY, LEDGER, LEDGER_COLUMNS, WINDOWS, boundary_rows, small_card_schema
 
 from txnfeat.operators import add_card_history, add_card_rowwise, add_ledger_history, add_ledger_rowwise, select_subset
 from txnfeat.operators.ledger import split_column
+from txnfeat.operators.subset import rank_entities, rows_of
 from txnfeat.operators.validate import parity
 from txnfeat.plans import build_ledger_features, card_features, ledger_features
 
@@ -19,12 +20,16 @@ def by(df, key):
 
 
 def test_ledger_rowwise(spark, ledger):
-    r = by(add_ledger_rowwise(ledger, 15, 25), "nameOrig")
-    assert len(r["o1"]["txn_id"]) == 64
-    assert [r[o]["split"] for o in ("o1", "o5", "o8")] == ["train", "valid", "test"]
-    assert (r["o1"]["orig_drain_flag"], r["o8"]["amount_zero_flag"], r["o6"]["dest_balance_zero_flag"], r["o8"]["dest_balance_zero_flag"]) == (1, 1, 0, 1)
-    assert r["o2"]["err_balance_orig"] == 0 and r["o7"]["step_hour"] == 1 and r["o7"]["sim_day"] == 1
-    assert r["o1"]["type_transfer"] == 1 and r["o1"]["type_debit"] == 0
+    got = by(add_ledger_rowwise(ledger, 7, 13), "nameOrig")
+    for step, kind, amount, payer, before, after, _, dest, dest_after, _ in LEDGER:
+        r = got[payer]
+        assert len(r["txn_id"]) == 64 and r["split"] == ("train" if step <= 7 else "valid" if step <= 13 else "test")
+        assert (r["step_hour"], r["sim_day"], r["amount_zero_flag"]) == (step % 24, (step - 1) // 24, int(amount == 0))
+        assert r["orig_drain_flag"] == int(before > 0 and abs(amount - before) < 0.005)
+        assert r["dest_balance_zero_flag"] == int(dest == 0 and kind != "PAYMENT")
+        assert (r["err_balance_orig"], r["err_balance_dest"]) == (after + amount - before, dest + amount - dest_after)
+        assert [r[f"type_{t.lower()}"] for t in ("TRANSFER", "DEBIT")] == [int(kind == "TRANSFER"), int(kind == "DEBIT")]
+    assert {r["orig_drain_flag"] for r in got.values()} == {0, 1} and {r["amount_zero_flag"] for r in got.values()} == {0, 1}
 
 
 def test_null_rules(spark):
@@ -34,12 +39,18 @@ def test_null_rules(spark):
 
 
 def test_ledger_history_ties(spark, ledger):
-    r = by(add_ledger_history(ledger), "nameOrig")
-    got = {o: (r[o]["dest_prior_txn_count"], r[o]["dest_prior_amount_sum"]) for o in r}
-    assert got == {"o1": (0, 0.0), "o2": (1, 1000.0), "o3": (2, 3000.0), "o4": (2, 3000.0), "o5": (4, 10000.0), "o6": (0, 0.0), "o7": (1, 50.0), "o8": (0, 0.0)}
-    assert r["o2"]["dest_steps_since_last_txn"] == 4 and r["o1"]["dest_steps_since_last_txn"] is None
-    assert r["o3"]["dest_prior_amount_std"] == pytest.approx(math.sqrt(500000)) and r["o3"]["dest_amount_zscore"] is None
-    assert r["o5"]["dest_amount_zscore"] is not None and r["o5"]["dest_prior_cashout_share"] == 0.5
+    got = by(add_ledger_history(ledger), "nameOrig")
+    for step, _, amount, payer, _, _, dest, *_ in LEDGER:
+        r, prior = got[payer], [x for x in LEDGER if x[6] == dest and x[0] < step]
+        amounts = [x[2] for x in prior]
+        assert (r["dest_prior_txn_count"], r["dest_prior_amount_sum"], r["dest_first_seen_flag"]) == (len(prior), sum(amounts), int(not prior))
+        assert r["dest_steps_since_last_txn"] == (step - max(x[0] for x in prior) if prior else None)
+        assert r["dest_prior_amount_max"] == max(amounts, default=None)
+        std = statistics.stdev(amounts) if len(prior) > 1 else None
+        assert r["dest_prior_amount_std"] == (None if std is None else pytest.approx(std))
+        z = (amount - statistics.mean(amounts)) / std if len(prior) >= 3 and std > 1e-5 else None
+        assert r["dest_amount_zscore"] == (None if z is None else pytest.approx(z))
+        assert r["dest_prior_cashout_share"] == (pytest.approx(sum(x[1] == "CASH_OUT" for x in prior) / len(prior)) if prior else None)
 
 
 def test_history_does_not_depend_on_row_order(spark, ledger):
@@ -48,12 +59,12 @@ def test_history_does_not_depend_on_row_order(spark, ledger):
 
 
 def test_card_boundaries(spark):
-    df = spark.createDataFrame(boundary_rows(), small_card_schema())
-    r = by(add_card_history(add_card_rowwise(df)), "TransactionID")
-    assert [r[i]["card_prior_txn_count"] for i in (1001, 1002, 1003)] == [0, 1, 2]
-    assert [r[i]["card_txn_count_1h"] for i in (1001, 1002, 1003)] == [0, 0, 0]
-    p = r[1011]
-    assert (p["card_prior_txn_count"], p["card_txn_count_1h"], p["card_txn_count_24h"], p["card_txn_count_7d"], p["card_secs_since_last_txn"]) == (10, 2, 4, 6, 1)
+    got = by(add_card_history(add_card_rowwise(spark.createDataFrame(boundary_rows(), small_card_schema()))), "TransactionID")
+    for n, (clock, i, _) in enumerate(BOUNDARY):
+        assert got[i]["card_prior_txn_count"] == n and got[i]["card_prior_amt_sum"] == sum(a for *_, a in BOUNDARY[:n])
+        for name, w in zip(("1h", "24h", "7d"), WINDOWS, strict=True):
+            assert got[i][f"card_txn_count_{name}"] == sum(clock - w <= c < clock for c, _, _ in BOUNDARY)
+        assert got[i]["card_secs_since_last_txn"] == (clock - BOUNDARY[n - 1][0] if n else None)
 
 
 def test_card_rowwise_families(spark):
@@ -82,6 +93,20 @@ def test_written_plan_keeps_the_grain(spark, ledger, tmp_path):
 
 
 def test_subset_skips_what_does_not_fit(spark):
-    rows = [("a", i) for i in range(6)] + [("b", i) for i in range(4)] + [("c", 1), ("c", 1), ("c", 2)]
-    df = spark.createDataFrame(rows, "k string, t long")
-    assert select_subset(df, "k", "t", 9) == ["a", "c"]
+    # a has the largest velocity, c a tie, b the longest span; each entity is in the first list that takes it.
+    rows = [("a", i, 9) for i in range(6)] + [("b", 100 * i, 1) for i in range(5)] + [("c", 1, 2), ("c", 1, 2), ("c", 2, 2)] + [("d", 200 * i, 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, t long, v int")
+    lists = {"top": 1, "min_span": 100, "min_rows": 2}
+    assert [(r["k"], r["list"], r["place"]) for r in rank_entities(df, "k", "t", "v", **lists).orderBy("list", "place").collect()] == [("a", "A", 1), ("c", "B", 1), ("b", "C", 1), ("d", "C", 2)]
+    assert select_subset(df, "k", "t", "v", 13, **lists) == ["a", "c", "d"] and select_subset(df, "k", "t", "v", 14, **lists) == ["a", "c", "b"]
+    assert rows_of(df, "k", ["c"]).count() == 3
+
+
+def test_batch_then_fit_then_score(spark, ledger, tmp_path):
+    """The plan's write leaves nothing in the session that a model's closure can't be sent with."""
+    from txnfeat.ml import fit
+
+    ledger.write.parquet(str(tmp_path / "in"))
+    done = build_ledger_features(spark, str(tmp_path / "in"), str(tmp_path / "out"), train_max=20, valid_max=30)
+    m = fit(done, done, "ledger", names=["amount", "step_hour", "dest_prior_txn_count"])
+    assert m.predict(done).count() == len(LEDGER)

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from txnfeat.ml import BoundedCache, class_weight, fit, load_model, score_records, score_status, score_stream, select_features, with_seen
+from txnfeat.ml import class_weight, fit, load_model, score_records, score_status, score_stream, select_features, with_seen
 from txnfeat.sources import stream_source
 
 NAMES = ["amount", "oldbalanceOrg", "step_hour"]
@@ -16,12 +16,8 @@ def rows(spark):
     return spark.range(400).select((F.col("id") % 50).cast("double").alias("amount"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).cast("double").alias("oldbalanceOrg"), (F.col("id") % 24).cast("int").alias("step_hour"), ((F.col("id") % 50) > 40).cast("int").alias("isFraud"))
 
 
-def test_weights_and_cache():
+def test_weights():
     assert class_weight(900, 100) == 9 and class_weight(10**6, 1, "sqrt_damping") == 50 and class_weight(5, 0) == 1 and class_weight(9, 1, "unweighted") == 1
-    c = BoundedCache(3)
-    assert [c.check_and_add(k) for k in (1, 2, 3, 2, 4, 1)] == [False, False, False, True, False, False]
-    with pytest.raises(ValueError):
-        BoundedCache(0)
 
 
 def test_select_features(spark, rows):

@@ -40,4 +40,10 @@ def test_query(spark, duck, name):
 
 
 def test_subset_lists_are_all_there(spark):
-    assert {r["list"] for r in QUERIES["subset_selection_lists"](spark, SF).collect()} == {"A", "B", "C"}
+    assert {r["list"] for r in QUERIES["subset_selection"](spark, SF).collect()} == {"A", "B", "C"}
+
+
+@pytest.mark.parametrize(("name", "operators"), [("ledger_full_features", ["Window", "sha2", "SIN"]), ("card_full_features", ["Window", "sha2"]), ("identity_left_join", ["Join LeftOuter"]), ("membership_filter", ["Join LeftSemi"])])
+def test_plans_hold_what_they_name(spark, name, operators):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x in plan for x in operators)

@@ -55,8 +55,8 @@ def test_ledger_parity_with_ties_over_batches(spark, tmp_path):
     cut = next(i for i, r in enumerate(records) if r["step"] == 10) + 1
     put(tmp_path / "in", 0, records[:cut])
     run(spark, tmp_path, "ledger")
-    put(tmp_path / "in", 1, [*records[cut:6], "{broken"])
-    put(tmp_path / "in", 2, records[6:])
+    put(tmp_path / "in", 1, [*records[cut:14], "{broken"])
+    put(tmp_path / "in", 2, records[14:])
     run(spark, tmp_path, "ledger")
     batch = ledger_features(spark.createDataFrame([tuple(r[n] for n in names) for r in records], LEDGER_COLUMNS), include_tier_b=False)
     got = spark.read.schema("value string").json(str(tmp_path / "out/*")).select(F.from_json("value", batch.schema).alias("r")).select("r.*")

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from txnfeat.operators import metrics, profile
 from txnfeat.operators.validate import audit_feature_leakage, parity, validate_feature_quality, validate_input_schema, validate_no_target_leakage
@@ -53,8 +54,22 @@ def test_metrics_by_hand(spark):
 def test_profiles(spark):
     df = spark.createDataFrame([(i, None if i % 2 else 1.0, None if i % 2 else "a", float(i), 2.0 * i) for i in range(10)], "id long, a double, b string, c double, d double")
     g = profile.null_mask_groups(df, "id").collect()
-    assert (g[0]["columns"], g[0]["nulls"], g[0]["indicator_recommended"]) == ("a,b", 5, True) and g[1]["columns"] == "c,d"
-    assert profile.correlation_clusters(df, ["a", "c", "d"]) == [["a"], ["c", "d"]]
+    assert (g[1]["columns"], g[1]["nulls"], g[1]["indicator_recommended"]) == ("a,b", 5, True) and g[0]["columns"] == "c,d"
+    clusters = {r["column"]: (r["representative"], r["abs_r"]) for r in profile.correlation_clusters(df, [["a"], ["c", "d"]], fraction=1).collect()}
+    assert clusters == {"a": ("CONSTANT_IN_SAMPLE", None), "c": ("c", 1.0), "d": ("c", pytest.approx(1.0))}
+    assert profile.duplicate_columns(df.withColumn("e", F.col("c")), "id", ["a", "c", "d", "e"]) == [["c", "e"]]
     assert profile.compress_names(["V1", "V2", "V3", "D1"]) == "V1-V3,D1" and profile.family_of("V12") == "V"
-    assert profile.treatment("feature", "double", 30.0, 0.1, 9, None) == "numeric_with_indicator"
+    assert [profile.role_of(c) for c in ("id_30", "id_05", "V7", "odd")] == ["categorical-high-card", "numeric", "numeric (count/flag-like)", ""]
     assert profile.rank_auc(df.limit(0), "c", "id").first()[0] is None
+
+
+def test_treatments(spark):
+    # column, null_percent, rate_null, rate_present, top_share, minority, auc; and what follows
+    cases = [
+        (("TransactionID", 0.0, None, 3.0, 0.1, 9, 0.5), "EXCLUDE_IDENTIFIER"), (("D8", 50.0, 1.0, 9.0, 1.0, 9, 0.5), "5_NEEDS_INVESTIGATION"),
+        (("V1", 0.0, None, 3.0, 99.9, 499, 0.5), "4_DROP_LOW_INFO"), (("V1", 0.0, None, 3.0, 99.0, 500, 0.5), "1_KEEP_IMPUTE"), (("M1", 99.5, 1.0, 3.0, 99.9, 1, None), "3_KEEP_CATEGORICAL"),
+        (("V2", 0.9, 1.0, 9.0, 5.0, 9, 0.5), "1_KEEP_IMPUTE"), (("V2", 99.0, 1.0, 3.0, 5.0, 9, 0.44), "5_NEEDS_INVESTIGATION"), (("V2", 99.0, 1.0, 3.0, 5.0, 9, 0.52), "4_DROP_LOW_INFO"), (("V2", 99.0, 1.0, 3.0, None, 0, None), "4_DROP_LOW_INFO"),
+        (("V2", 5.0, 1.0, 3.0, 5.0, 9, 0.5), "2_KEEP_MISSING_INDICATOR"), (("V2", 5.0, 1.0, 2.9, 5.0, 9, 0.5), "1_KEEP_IMPUTE"), (("V2", 4.9, 1.0, 9.0, 5.0, 9, 0.5), "1_KEEP_IMPUTE"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(cases)], "i int, column string, null_percent double, rate_null double, rate_present double, top_share double, minority long, auc double")
+    assert [r["t"] for r in df.select("i", profile.treatment().alias("t")).orderBy("i").collect()] == [t for _, t in cases]

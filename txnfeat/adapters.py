@@ -4,8 +4,12 @@ Amounts are whole cents (as doubles), so that sums are exact in any order. Nulls
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .specs import CARD_STRINGS, INDICATORS
+
 # The same text runs in Spark and, with other date functions, in DuckDB.
 _LEDGER = """
 select event_id, cast({hours} + 1 as int) as step,
@@ -44,6 +48,10 @@ from orders
 """
 LEDGER_SQL = _LEDGER.format(hours="floor((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3600000000)", text="varchar")
 CARD_SQL = _CARD.format(days="date_diff('day', date '1995-01-01', cast(o_orderdate as date))")
+# The card with the source columns of all missingness indicators; each is null by a rule of its own.
+_VALUE = {True: "concat(cast(TransactionID % 3 as {text}), '.mail')", False: "cast(TransactionID % 7 as double)"}
+_MORE = ", ".join(f"case when TransactionID % {i + 2} = 0 then null else {_VALUE[c in CARD_STRINGS]} end as {c}" for i, c in enumerate(INDICATORS.values()) if not re.search(rf" as {c}\b", _CARD))
+WIDE_SQL = f"select card.*, {_MORE.format(text='varchar')} from ({CARD_SQL}) card"
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> None:
@@ -58,3 +66,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def card(spark: SparkSession, sf_dir: str) -> DataFrame:
     _view(spark, sf_dir, "orders")
     return spark.sql(_CARD.format(days="datediff(cast(o_orderdate as date), date'1995-01-01')"))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    card(spark, sf_dir).createOrReplaceTempView("card")
+    return spark.sql(f"select card.*, {_MORE.format(text='string')} from card")

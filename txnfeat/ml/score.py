@@ -5,7 +5,6 @@ In a stream the keys of earlier micro-batches are in keyed state, so a key that
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,35 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ship
+from ..streaming.dlq import record_of
 from .train import Model
 
-CAPACITY = 100_000
-
-
-class BoundedCache:
-    """The last `capacity` keys; a hit makes a key the newest, a miss beyond the capacity drops the oldest."""
-
-    def __init__(self, capacity: int = CAPACITY):
-        if capacity <= 0:
-            raise ValueError("capacity must be positive")
-        self.capacity, self.keys = capacity, OrderedDict()
-
-    def check_and_add(self, key) -> bool:
-        """Whether the key was there."""
-        if key in self.keys:
-            self.keys.move_to_end(key)
-            return True
-        self.keys[key] = None
-        if len(self.keys) > self.capacity:
-            self.keys.popitem(last=False)
-        return False
-
-
-def _object(value: Column) -> Column:
-    v = F.try_parse_json(F.when(F.trim(value).endswith("}"), value))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-
-
 def _known(v: Column, key: Column) -> Column:
     """Whether the record has a key that counts."""
     return F.coalesce(v.isNotNull() & (F.trim(key) != ""), F.lit(False))
@@ -74,7 +47,7 @@ def with_seen(records: DataFrame, key: str) -> DataFrame:
     The state has every key and lives through a restart; a replayed micro-batch gets the same flags."""
     ship(records.sparkSession)
     kept = records.drop("seen")
-    v = _object(F.col("value"))
+    v = record_of(F.col("value"))
     own = F.try_variant_get(v, f"$.{key}", "string")
     d = kept.withColumn("known_", _known(v, own)).withColumn("group_", F.when(F.col("known_"), own).otherwise(F.xxhash64("value").cast("string")))
     return d.groupBy("known_", "group_").transformWithStateInPandas(SeenProcessor(), T.StructType([*kept.schema, T.StructField("seen", T.BooleanType())]), outputMode="Append", timeMode="None")
@@ -85,7 +58,7 @@ def score_status(records: DataFrame, key: str, features: list[str], numeric: boo
 
     Of records with one key the first by `order` (else by value) isn't a duplicate, unless its column `seen` is true. numeric: features must be numbers or
     strings of numbers; null counts as missing value, an absent name as missing feature."""
-    v = _object(F.col("value"))
+    v = record_of(F.col("value"))
     d = records.withColumn("__v", v).withColumn("key", F.try_variant_get("__v", f"$.{key}", "string"))
     known = _known(F.col("__v"), F.col("key"))
     first = F.row_number().over(Window.partitionBy("key", F.when(known, 0).otherwise(F.xxhash64("value"))).orderBy(F.col(order or "value"), "value"))
@@ -108,7 +81,7 @@ def score_records(records: DataFrame, model: Model, key: str, seen: str | None =
 
     strings = categorical(model.features)
     done = score_status(records, key, model.features, numeric=model.dataset == "ledger", seen=seen).where("status = 'SCORED'")
-    v = _object(F.col("value"))
+    v = record_of(F.col("value"))
     rows = done.select("key", *(F.try_variant_get(v, f"$.{f}", "string" if f in strings else "double").alias(f) for f in model.features))
     at = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return model.predict(rows).select(F.col("key").alias(key), F.round("probability", 4).alias("fraud_score"), F.lit(model.version).alias("model_version"), at.alias("scored_at"))

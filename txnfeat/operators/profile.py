@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running_totals
@@ -58,21 +58,53 @@ def value_histogram(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("keys"))
 
 
-def null_mask_groups(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
-    """group, columns (comma-joined, by name), nulls, null_percent, indicator_recommended of the columns that are null in the same rows.
+def _column_hashes(df: DataFrame, row_id: str, values: dict[str, Column]) -> dict[str, tuple]:
+    """For each named flag or hash by row, two sums over the rows, whatever their order, in one aggregation."""
+    hashed = lambda v, seed: F.xxhash64(F.col(f"`{row_id}`"), v, F.lit(seed)).cast("decimal(38,0)")
+    row = df.agg(F.count(F.lit(1)), *(F.sum(hashed(v, seed)) for v in values.values() for seed in (1, 2))).first()
+    return {c: (row[1 + 2 * i], row[2 + 2 * i]) for i, c in enumerate(values)}
 
-    Each column's null mask is reduced to its count and two sums of hashes of the ids of its null rows, whatever their
-    order. Groups are named MG00, MG01, ... by falling null percent, then first name. Columns without nulls are a group."""
-    columns = columns or [c for c in df.columns if c != row_id]
-    h = [F.xxhash64(F.col(row_id), F.lit(s)).cast("decimal(38,0)") for s in (1, 2)]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *(x.alias(f"{k}:{c}") for c in columns for k, x in (("n", F.count_if(F.col(c).isNull())), ("a", F.sum(F.when(F.col(c).isNull(), h[0]))), ("b", F.sum(F.when(F.col(c).isNull(), h[1])))))).first()
+
+def null_mask_groups(df: DataFrame, row_id: str, columns: list[str] | None = None, label: str | None = None) -> DataFrame:
+    """group, columns (by name, runs of numbers as a range), n_columns, nulls, null_percent, indicator_recommended of the columns
+    that are null in the same rows; with a label rate_null and rate_present too, its rate in percent where they are null and not.
+
+    Each column's null mask is reduced to two sums of hashes of row ids and flags. Groups are named MG00, MG01, ... by rising
+    null percent, then first name. Columns without nulls are a group. Its rates are null where there are no such rows."""
+    columns = columns or [c for c in df.columns if c not in (row_id, label)]
     masks: dict[tuple, list[str]] = {}
-    for c in columns:
-        masks.setdefault((row[f"n:{c}"], row[f"a:{c}"], row[f"b:{c}"]), []).append(c)
-    percent = lambda n: 100.0 * n / row["rows"] if row["rows"] else 0.0
-    groups = sorted((-percent(k[0]), min(v), sorted(v), k[0]) for k, v in masks.items())
-    out = [(f"MG{i:02d}", ",".join(names), n, -p, 5.0 <= -p < 99.5) for i, (p, _, names, n) in enumerate(groups)]
-    return df.sparkSession.createDataFrame(out, "group string, columns string, nulls long, null_percent double, indicator_recommended boolean")
+    for c, h in _column_hashes(df, row_id, {c: F.col(f"`{c}`").isNull() for c in columns}).items():
+        masks.setdefault(h, []).append(c)
+    firsts = {min(v): sorted(v, key=_natural) for v in masks.values()}
+    null = lambda c: F.col(f"`{c}`").isNull()
+    y = F.col(label) if label else F.lit(None).cast("double")
+    row = df.agg(F.count(F.lit(1)), *(x for c in firsts for x in (F.count_if(null(c)), F.avg(F.when(null(c), y)) * 100, F.avg(F.when(~null(c), y)) * 100))).first()
+    stats = {c: (row[1 + 3 * n], row[2 + 3 * n], row[3 + 3 * n]) for n, c in enumerate(firsts)}
+    percent = lambda n: 100.0 * n / row[0] if row[0] else 0.0
+    order = sorted(firsts, key=lambda c: (stats[c][0], c))
+    out = [(f"MG{n:02d}", compress_names(firsts[c]), len(firsts[c]), stats[c][0], p := percent(stats[c][0]), 5.0 <= p < 99.5, *stats[c][1:]) for n, c in enumerate(order)]
+    done = df.sparkSession.createDataFrame(out, "group string, columns string, n_columns int, nulls long, null_percent double, indicator_recommended boolean, rate_null double, rate_present double")
+    return done if label else done.drop("rate_null", "rate_present")
+
+
+def duplicate_columns(df: DataFrame, row_id: str, columns: list[str]) -> list[list[str]]:
+    """Groups of two or more columns that have the same values, as text, in all rows."""
+    same: dict[tuple, list[str]] = {}
+    for c, h in _column_hashes(df, row_id, {c: F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string")) for c in columns}).items():
+        same.setdefault(h, []).append(c)
+    return [v for v in same.values() if len(v) > 1]
+
+
+def category_rates(df: DataFrame, columns: list[str], label: str, min_rows: int = 1000) -> DataFrame:
+    """column, highest, lowest: the extremes of the label's rate in percent over its values with at least min_rows rows; null without one."""
+    long = df.select(F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("y", "x.*")
+    rate = F.when(F.col("n") >= min_rows, F.col("rate") * 100)
+    by = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")).withColumn("rate", F.when(F.col("value").isNotNull(), rate))
+    return by.groupBy("column").agg(F.max("rate").alias("highest"), F.min("rate").alias("lowest"))
+
+
+def _natural(name: str) -> tuple:
+    return tuple(int(x) if x.isdigit() else x for x in re.split(r"(\d+)", name))
 
 
 def compress_names(names: list[str]) -> str:
@@ -94,23 +126,30 @@ def correlation(a: str, b: str):
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def correlation_clusters(df: DataFrame, columns: list[str], threshold: float = 0.98, fraction: float = 1.0, seed: int = 42) -> list[list[str]]:
-    """Clusters by greedy choice: a column joins the first representative with |r| >= threshold, else it is a new one.
+def correlation_clusters(df: DataFrame, blocks: list[list[str]], threshold: float = 0.98, fraction: float = 0.25, seed: int = 42) -> DataFrame:
+    """column, representative, abs_r: in each block of columns, a column joins the first representative with |r| >= threshold, else it is one.
+
+    Blocks are columns that are null in the same rows (null_mask_groups). r is over the sampled rows where all of a block are
+    present, from one correlation matrix for each block; columns that are constant there have the representative
+    CONSTANT_IN_SAMPLE and no abs_r."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
 
-    Correlations are over rows where both are present, in one aggregation for all pairs; constants correlate with nothing."""
     sample = df.sample(fraction=fraction, seed=seed) if fraction < 1 else df
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = sample.agg(F.count(F.lit(1)).alias("rows"), *(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs)).first()
-    clusters: list[list[str]] = []
-    for c in columns:
-        for k in clusters:
-            r = row[f"{k[0]}|{c}"]
-            if r is not None and abs(r) >= threshold:
-                k.append(c)
-                break
-        else:
-            clusters.append([c])
-    return clusters
+    out: list[tuple] = []
+    for block in blocks:
+        rows = sample.select(*(F.col(c).cast("double").alias(c) for c in block)).dropna()
+        spread = rows.agg(*(F.min(c).alias(f"lo{i}") for i, c in enumerate(block)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(block))).first()
+        varied = [c for i, c in enumerate(block) if spread[f"lo{i}"] is not None and spread[f"lo{i}"] < spread[f"hi{i}"]]
+        r = Correlation.corr(VectorAssembler(inputCols=varied, outputCol="x").transform(rows).select("x"), "x").first()[0].toArray() if varied else None
+        chosen: list[int] = []
+        for i, c in enumerate(varied):
+            k = next((k for k in chosen if abs(r[k][i]) >= threshold), i)
+            if k == i:
+                chosen.append(i)
+            out.append((c, varied[k], 1.0 if k == i else float(abs(r[k][i]))))
+        out += [(c, "CONSTANT_IN_SAMPLE", None) for c in block if c not in varied]
+    return df.sparkSession.createDataFrame(out, "column string, representative string, abs_r double")
 
 
 def family_of(column: str) -> str:
@@ -121,18 +160,85 @@ def family_of(column: str) -> str:
     return "other"
 
 
-def treatment(role: str, dtype: str, null_percent: float, top_share: float, distinct: int, rate_gap: float | None, investigate: bool = False) -> str:
-    """What to do with a column: by role, then near-constant, categorical, and numeric by missing share and the gap of label rates."""
-    if role in ("id", "key", "label", "clock"):
-        return f"keep_as_{role}"
-    if investigate:
-        return "investigate"
-    if distinct <= 1 or top_share >= 0.999:
-        return "drop_near_constant"
-    if dtype == "string":
-        return "categorical_with_missing" if null_percent > 0 else "categorical"
-    if null_percent == 0:
-        return "numeric"
-    if null_percent >= 99.5:
-        return "drop_missing"
-    return "numeric_with_indicator" if null_percent >= 5 or (rate_gap is not None and abs(rate_gap) >= 2) else "numeric_missing"
+# The card's categorical columns, and those that need a closer look.
+CATEGORICAL = ("ProductCD", *(f"card{i}" for i in range(1, 7)), "addr1", "addr2", "P_emaildomain", "R_emaildomain", *(f"M{i}" for i in range(1, 10)), "DeviceType", "DeviceInfo", *(f"id_{i}" for i in range(12, 39)))
+INVESTIGATE = ("id_02", "D8", "D9", "id_07", "id_08", "id_22", "id_26")
+# Roles of the card's columns by name, then by family.
+ROLES = {
+    "TransactionID": "identifier",
+    "isFraud": "target",
+    "TransactionDT": "time",
+    "TransactionAmt": "numeric-continuous; log1p; amount decimals",
+    "ProductCD": "categorical-low-card",
+    "card1": "categorical-high-card / entity proxy",
+    "card2": "categorical-high-card",
+    "card3": "categorical-mid-card",
+    "card4": "categorical-low-card",
+    "card5": "categorical-mid-card",
+    "card6": "categorical-low-card",
+    "addr1": "categorical-mid-card",
+    "addr2": "categorical (dominant level)",
+    "dist1": "numeric-continuous",
+    "dist2": "numeric-continuous",
+    "P_emaildomain": "categorical-high-card (domain / provider-group / TLD splits)",
+    "R_emaildomain": "categorical-high-card",
+    "DeviceType": "categorical-low-card",
+    "DeviceInfo": "categorical-high-card (normalise: prefix/brand)",
+}
+FAMILY_ROLES = {"C": "numeric-count; heavy tail -> log1p", "D": "numeric-timedelta", "M": "categorical-binary (T/F) or M0/M1/M2", "V": "numeric (count/flag-like)"}
+ID_FLAGS, ID_STRINGS, ID_NUMBERS = (12, 15, 16, 23, 27, 28, 29, 34, 35, 36, 37, 38), (30, 31, 33), (1, *range(3, 12))
+
+
+def role_of(column: str) -> str:
+    """A card column's role as a feature, by its name; empty for other names."""
+    if column in ROLES:
+        return ROLES[column]
+    family = family_of(column)
+    if family == "id":
+        n = int(column[3:])
+        return "categorical-low-card" if n in ID_FLAGS else "categorical-high-card" if n in ID_STRINGS else "numeric" if n in ID_NUMBERS else "categorical (numeric-coded)"
+    return FAMILY_ROLES.get(family, "")
+
+
+def with_roles(profile: DataFrame) -> DataFrame:
+    """`profile` (column, ...) with family and role, by a lookup in a literal map of the card's columns."""
+    from ..specs import card_columns
+
+    names = card_columns()
+    looked = lambda f: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for c in names for x in (c, f(c)))), F.col("column")), F.lit(""))
+    return profile.withColumn("family", looked(family_of)).withColumn("role", looked(role_of))
+
+
+def describe_columns(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """column, null_percent, rate_null, rate_present, top_share (percent of the non-null rows), minority (the other non-null rows), auc.
+
+    Of `columns`, the numeric ones have an auc for the label over non-null rows."""
+    kinds = dict(df.dtypes)
+    y = F.col(label).cast("double")
+    parts = [x for c in columns for x in (F.count_if(F.col(c).isNull()), F.avg(F.when(F.col(c).isNull(), y)) * 100, F.avg(F.when(F.col(c).isNotNull(), y)) * 100)]
+    row = df.agg(F.count(F.lit(1)), *parts).first()
+    most = {r["column"]: r for r in top_values(df, columns, 1).collect()}
+    out = []
+    for i, c in enumerate(columns):
+        nulls, rate_null, rate_present = row[1 + 3 * i : 4 + 3 * i]
+        present, top = row[0] - nulls, most.get(c)
+        auc = None if kinds[c] == "string" else rank_auc(df, c, label).first()[0]
+        out.append((c, 100.0 * nulls / row[0] if row[0] else 0.0, rate_null, rate_present, 100.0 * top["share"] if top else None, present - (top["n"] if top else 0), auc))
+    return df.sparkSession.createDataFrame(out, "column string, null_percent double, rate_null double, rate_present double, top_share double, minority long, auc double")
+
+
+def treatment() -> Column:
+    """What to do with a card column, from its row of describe_columns; the first rule that holds decides."""
+    c, null = F.col("column"), F.col("null_percent")
+    near_constant = F.coalesce(F.col("top_share") >= 99.0, F.lit(False)) & ~c.isin(*CATEGORICAL)
+    gap = F.coalesce(F.abs(F.col("rate_null") - F.col("rate_present")), F.lit(0.0))
+    return (
+        F.when(c == "TransactionID", "EXCLUDE_IDENTIFIER").when(c == "isFraud", "TARGET").when(c == "TransactionDT", "DERIVE_TIME_FEATURES")
+        .when(c.isin(*INVESTIGATE), "5_NEEDS_INVESTIGATION")
+        .when(near_constant & (F.col("minority") >= 500), "1_KEEP_IMPUTE").when(near_constant | (c == "id_27"), "4_DROP_LOW_INFO")
+        .when(c.isin(*CATEGORICAL), "3_KEEP_CATEGORICAL")
+        .when(null < 1, "1_KEEP_IMPUTE")
+        .when((null >= 99) & (F.abs(F.col("auc") - 0.5) >= 0.05), "5_NEEDS_INVESTIGATION").when(null >= 99, "4_DROP_LOW_INFO")
+        .when((null >= 5) & (gap >= 2), "2_KEEP_MISSING_INDICATOR")
+        .otherwise("1_KEEP_IMPUTE")
+    )

@@ -6,23 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_entities(df: DataFrame, entity: str, clock: str, top: int = 10, ties: int = 30, spans: int = 30, min_span: int = 30 * 86400, min_rows: int = 200) -> DataFrame:
-    """entity, rows, list ('A' largest, 'B' most tie groups, 'C' longest span), place: the three lists, at most top, ties and spans long.
+def rank_entities(df: DataFrame, entity: str, clock: str, velocity: str, top: int = 10, ties: int = 30, spans: int = 30, min_span: int = 30 * 86400, min_rows: int = 200) -> DataFrame:
+    """entity, rows, list, place: three lists, at most top, ties and spans long, without an entity of an earlier one.
 
-    Equal ones stand in the order of the entity. An entity may be in several lists."""
-    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("rows"), (F.max(clock) - F.min(clock)).alias("span")).where(F.col(entity).isNotNull())
+    A: the highest value of the column `velocity` (a rolling count). B: the most ties of the clock. C: of those with a span of
+    min_span and min_rows rows at least, the most rows. Equal ones stand in the order of the entity; nulls are left out."""
+    df = df.where(F.col(entity).isNotNull())
+    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("rows"), (F.max(clock) - F.min(clock)).alias("span"), F.max(velocity).alias("peak"))
     tied = df.groupBy(entity, clock).agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy(entity).agg(F.count(F.lit(1)).alias("groups"))
-    # orderBy and limit are a bounded top-k in each task, so no window sees all entities.
-    a = sizes.orderBy(F.desc("rows"), entity).limit(top).select(entity, "rows", F.lit("A").alias("list"), F.col("rows").alias("by"))
-    b = tied.join(sizes, entity).orderBy(F.desc("groups"), entity).limit(ties).select(entity, "rows", F.lit("B").alias("list"), F.col("groups").alias("by"))
-    c = sizes.where((F.col("span") >= min_span) & (F.col("rows") >= min_rows)).orderBy(F.desc("span"), entity).limit(spans).select(entity, "rows", F.lit("C").alias("list"), F.col("span").alias("by"))
+    # orderBy and limit are a bounded top-k in each task, so no window sees all entities; the lists are short, so they are broadcast.
+    listed = lambda rows, by, name, n: rows.orderBy(F.desc(by), entity).limit(n).select(entity, "rows", F.lit(name).alias("list"), F.col(by).cast("long").alias("by"))
+    without = lambda rows, chosen: rows.join(F.broadcast(chosen.select(entity)), entity, "left_anti")
+    a = listed(sizes, "peak", "A", top)
+    b = listed(without(tied.join(sizes, entity), a), "groups", "B", ties)
+    c = listed(without(without(sizes.where((F.col("span") >= min_span) & (F.col("rows") >= min_rows)), a), b), "rows", "C", spans)
     place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("by"), entity)).cast("int")
     return a.unionByName(b).unionByName(c).select(entity, "rows", "list", place.alias("place"))
 
 
-def select_subset(df: DataFrame, entity: str, clock: str, max_rows: int, **lists) -> list:
+def select_subset(df: DataFrame, entity: str, clock: str, velocity: str, max_rows: int, **lists) -> list:
     """Entities taken in turn from the three lists while their rows fit in max_rows; one that doesn't fit is skipped."""
-    ranked = rank_entities(df, entity, clock, **lists).collect()  # as many as the lists are long
+    ranked = rank_entities(df, entity, clock, velocity, **lists).collect()  # as many as the lists are long
     queue = sorted(((r["place"], r["list"], r[entity], r["rows"]) for r in ranked))
     chosen, left = [], max_rows
     for _, _, key, rows in queue:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters
-from .operators import add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise
+from .operators import add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise, prune_near_constant
 from .operators import metrics, profile, subset
 from .operators.history import History
 from .operators.ledger import split_column
 from .operators.validate import parity, quality_counts
 from .plans.batch import card_features, ledger_features
+from .specs import INDICATORS
 from .streaming import dlq
 
 QUERIES: dict = {}
@@ -90,20 +91,17 @@ def ledger_velocity(spark, sf_dir):
     return add_ledger_history(adapters.ledger(spark, sf_dir)).select("event_id", "dest_txn_count_prev_24h", "dest_txn_count_prev_168h", "dest_amount_sum_prev_24h", "dest_amount_sum_prev_168h", "dest_prior_cashout_share")
 
 
-@query(_LEDGER + f"select event_id, cast(count(*) over f as int) as n, coalesce(sum(amount) over f, 0.0) as amount_sum from ledger {_PRIOR}")
-def ledger_prior_selfjoin(spark, sf_dir):
-    """The same history by a range self-join: an independent plan."""
-    rows = adapters.ledger(spark, sf_dir).select("event_id", "nameDest", "step", "amount")
-    prior = rows.select(F.col("nameDest").alias("d"), F.col("step").alias("s"), F.col("amount").alias("a"))
-    both = rows.join(prior, (F.col("nameDest") == F.col("d")) & (F.col("s") < F.col("step")), "left")
-    return both.groupBy("event_id").agg(F.count("s").cast("int").alias("n"), F.coalesce(F.sum("a"), F.lit(0.0)).alias("amount_sum"))
+def _joined(names, key: str) -> str:
+    """The SQL of several queries by row, side by side."""
+    return " join ".join(f"({ORACLES[n]})" if i == 0 else f"({ORACLES[n]}) using ({key})" for i, n in enumerate(names))
 
 
-@query(_LEDGER + "select count(*) as n_rows, count(distinct nameDest) as entities, sum(case when amount > 20000 then 1 else 0 end)::bigint as large from ledger")
+@query("select *, 'v1.0' as feature_version from " + _joined(("ledger_rowwise", "ledger_tier_b", "ledger_txn_id", "ledger_prior_history", "ledger_velocity"), "event_id"))
 def ledger_full_features(spark, sf_dir):
-    """The whole ledger plan (row-wise, history, version), counted."""
-    out = ledger_features(adapters.ledger(spark, sf_dir))
-    return out.agg(F.count("*").alias("n_rows"), F.countDistinct("nameDest").alias("entities"), F.count_if((F.col("amount") > 20000) & F.col("feature_version").isNotNull()).alias("large"))
+    """Every feature of the whole ledger plan (row-wise, history, version), row by row."""
+    df = adapters.ledger(spark, sf_dir)
+    out = ledger_features(df).drop(*(c for c in df.columns if c != "event_id"))
+    return _rounded(out, "hour_sin", "hour_cos", "amount_log1p", "amt_to_oldbalOrg", "amt_to_oldbalDest", "dest_prior_amount_std", "dest_amount_zscore")
 
 
 _IND = ("addr1", "dist1", "P_emaildomain", "D2", "D15", "M1")
@@ -173,11 +171,28 @@ def card_velocity_long(spark, sf_dir):
     return _rolling(df, "card1", "TransactionDT", "TransactionID", {f"n_{d}d": d * 86400 for d in (30, 90, 365)}).select("TransactionID", "n_30d", "n_90d", "n_365d")
 
 
-@query(_CARD + "select count(*) as n_rows, sum(isFraud)::bigint as labels, count(distinct card1) as entities from card")
+@query(_CARD + ", " + ", ".join(f"round({f}((floor(TransactionDT / 3600) % 24) * (2 * pi() / 24)), 6) + 0.0::double as hour_{f}" for f in ("sin", "cos")).join(("w as (select TransactionID, ", " from card) select * from w")))
+def card_clock(spark, sf_dir):
+    return _rounded(add_card_rowwise(adapters.card(spark, sf_dir)).select("TransactionID", "hour_sin", "hour_cos"), "hour_sin", "hour_cos")
+
+
+@query(_CARD + "select TransactionID, " + ", ".join(f"cast(count(*) over (partition by {_CARD_KEY} order by TransactionDT range between {w} preceding and 1 preceding) as int) as card_txn_count_{n}" for n, w in (("1h", 3600), ("24h", 86400), ("7d", 604800))) + " from card")
+def card_rolling_counts(spark, sf_dir):
+    return add_card_history(add_card_rowwise(adapters.card(spark, sf_dir))).select("TransactionID", "card_txn_count_1h", "card_txn_count_24h", "card_txn_count_7d")
+
+
+@query("select *, 'v1.0' as feature_version from " + _joined(("card_missingness", "card_proxy_keys", "card_clock", "card_temporal_amount", "card_masked_aggregates", "card_prior_history", "card_rolling_counts"), "TransactionID"))
 def card_full_features(spark, sf_dir):
-    """The whole card plan (row-wise, history, pruning, version), counted."""
-    out = card_features(adapters.card(spark, sf_dir))
-    return out.agg(F.count("*").alias("n_rows"), F.sum("isFraud").alias("labels"), F.countDistinct(F.when(F.col("feature_version").isNotNull(), F.col("card1"))).alias("entities"))
+    """Every feature of the whole card plan (row-wise, history, pruning, version), row by row."""
+    df = adapters.card(spark, sf_dir)
+    out = card_features(df).drop(*(c for c in df.columns if c != "TransactionID"))
+    return _rounded(out, "hour_sin", "hour_cos", "amt_log1p", "c_sum_log1p", "card_prior_amt_std", "amt_zscore_vs_card")
+
+
+@query(f"with wide as ({adapters.WIDE_SQL}) select TransactionID, " + _flags(**{f"ind_{n}": f"{c} is not null" for n, c in INDICATORS.items()}) + " from wide")
+def card_indicators(spark, sf_dir):
+    """All missingness indicators, after near-constant columns (V1, the source of one, among them) are pruned."""
+    return prune_near_constant(add_card_rowwise(adapters.wide(spark, sf_dir))).select("TransactionID", *(f"ind_{n}" for n in INDICATORS))
 
 
 @query("select t.o_orderkey, t.o_totalprice, c.c_mktsegment, c.c_acctbal from orders t left join customer c on t.o_custkey = c.c_custkey")
@@ -186,10 +201,12 @@ def identity_left_join(spark, sf_dir):
     return _read(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_totalprice", "c_mktsegment", "c_acctbal")
 
 
-@query("select count(*) as n_rows, count(distinct event_id) as distinct_ids, 0 as null_id, count(value) as present_value, sum(case when isnan(value) then 1 else 0 end)::bigint as nan_value from events")
+@query("with e as (select case when event_id % 13 = 0 then null else event_id end as id, case when event_id % 17 = 0 then null when event_id % 19 = 0 then 'nan'::double else value end as value from events) select count(*) as n_rows, (select count(*) from (select distinct id from e)) as distinct_ids, cast(count(*) - count(id) as int) as null_id, count(value) as present_value, sum(case when isnan(value) then 1 else 0 end)::bigint as nan_value from e")
 def quality_report(spark, sf_dir):
-    q = quality_counts(_read(spark, sf_dir, "events").select("event_id", "value"), "event_id", ["event_id"])
-    return q.select(F.col("rows").alias("n_rows"), "distinct_ids", F.col("`null:event_id`").cast("int").alias("null_id"), F.col("`present:value`").alias("present_value"), F.col("`nan:value`").alias("nan_value"))
+    k = F.col("event_id")
+    e = _read(spark, sf_dir, "events").select(F.when(k % 13 != 0, k).alias("id"), F.when(k % 17 != 0, F.when(k % 19 == 0, F.lit(float("nan"))).otherwise(F.col("value"))).alias("value"))
+    q = quality_counts(e, "id", ["id"])
+    return q.select(F.col("rows").alias("n_rows"), "distinct_ids", F.col("`null:id`").cast("int").alias("null_id"), F.col("`present:value`").alias("present_value"), F.col("`nan:value`").alias("nan_value"))
 
 
 _COLS = ("addr1", "dist1", "M1", "C1", "D2", "DeviceType")
@@ -248,27 +265,62 @@ def pearson_label(spark, sf_dir):
     return adapters.card(spark, sf_dir).agg(F.round(profile.correlation("TransactionAmt", "isFraud"), 6).alias("r"))
 
 
-@query(_CARD + ", m as (" + " union all ".join(f"select '{c}' as c, count(*) filter (where {c} is null) as nulls, count(*) as n, coalesce(md5(string_agg(TransactionID::varchar, ',' order by TransactionID) filter (where {c} is null)), '') as mask from card" for c in ("addr1", "dist1", "M1", "M4", "C1", "C2", "D1", "D15", "DeviceType", "id_01", "ProductCD")) + "), g as (select string_agg(c, ',' order by c) as columns, min(c) as first, any_value(nulls) as nulls, 100.0::double * any_value(nulls) / any_value(n) as null_percent from m group by mask) select 'MG' || lpad((row_number() over (order by null_percent desc, first) - 1)::varchar, 2, '0') as \"group\", columns, nulls, round(null_percent, 6) as null_percent, null_percent >= 5 and null_percent < 99.5 as indicator_recommended from g")
+_MASKED = ("addr1", "dist1", "M1", "M4", "C1", "C2", "D1", "D15", "DeviceType", "id_01", "ProductCD")
+
+
+@query(_CARD + ", m as (" + " union all ".join(f"select '{c}' as c, count(*) filter (where {c} is null) as nulls, count(*) as n, coalesce(md5(string_agg(TransactionID::varchar, ',' order by TransactionID) filter (where {c} is null)), '') as mask, avg(isFraud) filter (where {c} is null) * 100 as rate_null, avg(isFraud) filter (where {c} is not null) * 100 as rate_present from card" for c in _MASKED) + """), g as (
+  select string_agg(c, ',' order by regexp_extract(c, '^[^0-9]+'), try_cast(regexp_extract(c, '[0-9]+') as int)) as columns, min(c) as first, cast(count(*) as int) as n_columns, any_value(nulls) as nulls, 100.0::double * any_value(nulls) / any_value(n) as null_percent, round(any_value(rate_null), 6) as rate_null, round(any_value(rate_present), 6) as rate_present
+  from m group by mask)
+select 'MG' || lpad((row_number() over (order by nulls, first) - 1)::varchar, 2, '0') as "group", columns, n_columns, nulls, round(null_percent, 6) as null_percent, null_percent >= 5 and null_percent < 99.5 as indicator_recommended, rate_null, rate_present from g""")
 def null_mask_groups(spark, sf_dir):
-    return _rounded(profile.null_mask_groups(adapters.card(spark, sf_dir), "TransactionID", ["addr1", "dist1", "M1", "M4", "C1", "C2", "D1", "D15", "DeviceType", "id_01", "ProductCD"]), "null_percent")
+    return _rounded(profile.null_mask_groups(adapters.card(spark, sf_dir), "TransactionID", list(_MASKED), "isFraud"), "null_percent", "rate_null", "rate_present")
 
 
-@query("""with s as (select o_custkey, count(*) as n, max(o_orderdate) - min(o_orderdate) as span from orders group by o_custkey)
-select o_custkey, n as n_rows, cast(row_number() over (order by n desc, o_custkey) as int) as place from s qualify place <= 10""")
-def subset_selection(spark, sf_dir):
-    """The list of the largest entities."""
-    df = _read(spark, sf_dir, "orders").select("o_custkey", F.expr("timestampdiff(SECOND, timestamp_ntz'1992-01-01', cast(o_orderdate as timestamp_ntz))").alias("clock"))
-    return subset.rank_entities(df, "o_custkey", "clock").where("list = 'A'").select("o_custkey", F.col("rows").alias("n_rows"), "place")
+_TREATED = ("TransactionID", "isFraud", "TransactionAmt", "M1", "card4", "dist1", "D2", "D15", "C2", "id_01", "DeviceType")
+
+
+def _described_sql(c: str) -> str:
+    auc = "null::double" if c in ("M1", "card4", "DeviceType") else f"(select case when count(distinct {c}) > 1 and sum(isFraud) > 0 and sum(isFraud) < count(*) then ((sum(rank) filter (where isFraud = 1)) - sum(isFraud) * (sum(isFraud) + 1) / 2.0) / (sum(isFraud) * count(*) filter (where isFraud = 0)) end from (select {c}, isFraud, count(*) over (order by {c}) - (count(*) over (partition by {c}) - 1) / 2.0 as rank from card where {c} is not null))"
+    return f"select '{c}' as \"column\", 100.0::double * count(*) filter (where {c} is null) / count(*) as null_percent, avg(isFraud) filter (where {c} is null) * 100 as rate_null, avg(isFraud) filter (where {c} is not null) * 100 as rate_present, (select max(n) from (select count(*) as n from card where {c} is not null group by {c})) as most, count({c}) as present, {auc}::double as auc from card"
+
+
+@query(_CARD + ", p as (" + " union all ".join(map(_described_sql, _TREATED)) + """), d as (select *, 100.0::double * most / present as top_share, present - most as minority, "column" in ('M1', 'card4', 'DeviceType') as cat from p)
+select "column", round(null_percent, 6) as null_percent, round(rate_null, 6) as rate_null, round(rate_present, 6) as rate_present, round(top_share, 6) as top_share, minority, round(auc, 6) as auc,
+  case when "column" = 'TransactionID' then 'EXCLUDE_IDENTIFIER' when "column" = 'isFraud' then 'TARGET' when top_share >= 99 and not cat and minority >= 500 then '1_KEEP_IMPUTE' when top_share >= 99 and not cat then '4_DROP_LOW_INFO'
+    when cat then '3_KEEP_CATEGORICAL' when null_percent < 1 then '1_KEEP_IMPUTE' when null_percent >= 99 and abs(auc - 0.5) >= 0.05 then '5_NEEDS_INVESTIGATION' when null_percent >= 99 then '4_DROP_LOW_INFO'
+    when null_percent >= 5 and coalesce(abs(rate_null - rate_present), 0) >= 2 then '2_KEEP_MISSING_INDICATOR' else '1_KEEP_IMPUTE' end as treatment,
+  case "column" when 'TransactionID' then 'identifier' when 'isFraud' then 'target' when 'TransactionAmt' then 'numeric-continuous; log1p; amount decimals' when 'M1' then 'categorical-binary (T/F) or M0/M1/M2' when 'dist1' then 'numeric-continuous' when 'D2' then 'numeric-timedelta' when 'D15' then 'numeric-timedelta' when 'C2' then 'numeric-count; heavy tail -> log1p' when 'id_01' then 'numeric' else 'categorical-low-card' end as role
+from d""")
+def column_treatment(spark, sf_dir):
+    """Missing share, label rates, dominant value and AUC of columns; the treatment and the role that follow."""
+    done = profile.with_roles(profile.describe_columns(adapters.card(spark, sf_dir), list(_TREATED), "isFraud")).withColumn("treatment", profile.treatment()).drop("family")
+    return _rounded(done, "null_percent", "rate_null", "rate_present", "top_share", "auc")
+
+
+@query(_CARD + ", r as (" + " union all ".join(f"select '{c}' as \"column\", avg(isFraud) * 100 as rate from card where {c} is not null group by {c} having count(*) >= 100" for c in ("card4", "card6", "M1")) + ") select \"column\", round(max(rate), 6) as highest, round(min(rate), 6) as lowest from r group by 1")
+def category_rates(spark, sf_dir):
+    return _rounded(profile.category_rates(adapters.card(spark, sf_dir), ["card4", "card6", "M1"], "isFraud", 100), "highest", "lowest")
 
 
-@query("""with s as (select o_custkey, count(*) as n, (max(o_orderdate)::date - min(o_orderdate)::date) * 86400 as span from orders where o_custkey is not null group by o_custkey),
-t as (select o_custkey, count(*) as groups from (select o_custkey from orders where o_custkey is not null group by o_custkey, o_orderdate having count(*) > 1) group by o_custkey),
-r as (select o_custkey, n, 'A' as list, n as by_, 10 as most from s union all select o_custkey, n, 'B', groups, 30 from t join s using (o_custkey) union all select o_custkey, n, 'C', span, 30 from s where span >= 30 * 86400 and n >= 10)
-select o_custkey, n as n_rows, list, cast(row_number() over (partition by list order by by_ desc, o_custkey) as int) as place from r qualify place <= most""")
-def subset_selection_lists(spark, sf_dir):
-    """All three lists with their places: largest, most tie groups (orders of one day), longest span. No customer has 200 orders, so list C takes those with 10."""
-    df = _read(spark, sf_dir, "orders").select("o_custkey", F.expr("timestampdiff(SECOND, timestamp_ntz'1992-01-01', cast(o_orderdate as timestamp_ntz))").alias("clock"))
-    return subset.rank_entities(df, "o_custkey", "clock", min_rows=10).select("o_custkey", F.col("rows").alias("n_rows"), "list", "place")
+@query(_CARD + ", b as (select TransactionID::double as a, 2.0 * TransactionID + (TransactionID % 5) as b, TransactionAmt as c, 7.0 as d from card), r as (select round(abs(corr(a, b)), 6) as ab, round(abs(corr(a, c)), 6) as ac from b) select 'a' as \"column\", 'a' as representative, 1.0::double as abs_r union all select 'b', case when ab >= 0.98 then 'a' else 'b' end, case when ab >= 0.98 then ab else 1.0 end from r union all select 'c', case when ac >= 0.98 then 'a' else 'c' end, case when ac >= 0.98 then ac else 1.0 end from r union all select 'd', 'CONSTANT_IN_SAMPLE', null")
+def correlation_clusters(spark, sf_dir):
+    k = F.col("TransactionID")
+    df = adapters.card(spark, sf_dir).select(k.cast("double").alias("a"), (2.0 * k + k % 5).alias("b"), F.col("TransactionAmt").alias("c"), F.lit(7.0).alias("d"))
+    return _rounded(profile.correlation_clusters(df, [["a", "b", "c", "d"]], fraction=1.0), "abs_r")
+
+
+@query("""with o as (select o_custkey, (o_orderdate::date - date '1992-01-01') * 86400 as clock, o_orderkey from orders where o_custkey is not null), v as (select *, count(*) over (partition by o_custkey order by clock range between 604800 preceding and 1 preceding) as v from o),
+s as (select o_custkey, count(*) as n, max(clock) - min(clock) as span, max(v) as peak from v group by o_custkey),
+t as (select o_custkey, count(*) as groups from (select o_custkey from o group by o_custkey, clock having count(*) > 1) group by o_custkey),
+a as (select o_custkey, n, 'A' as list, row_number() over (order by peak desc, o_custkey) as place from s qualify place <= 10),
+b as (select o_custkey, n, 'B' as list, row_number() over (order by groups desc, o_custkey) as place from t join s using (o_custkey) where o_custkey not in (select o_custkey from a) qualify place <= 30),
+c as (select o_custkey, n, 'C' as list, row_number() over (order by n desc, o_custkey) as place from s where span >= 30 * 86400 and n >= 10 and o_custkey not in (select o_custkey from a) and o_custkey not in (select o_custkey from b) qualify place <= 30)
+select o_custkey, n as n_rows, list, cast(place as int) as place from (from a union all from b union all from c)""")
+def subset_selection(spark, sf_dir):
+    """All three lists with their places: highest 7-day count, most ties (orders of one day), most rows of those with long spans. No customer has 200 orders, so list C takes those with 10."""
+    df = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lit(1.0).alias("amount"), F.expr("timestampdiff(SECOND, timestamp_ntz'1992-01-01', cast(o_orderdate as timestamp_ntz))").alias("clock"))
+    df = _rolling(df, "o_custkey", "clock", "o_orderkey", {"v": 604800})
+    return subset.rank_entities(df, "o_custkey", "clock", "v", min_rows=10).select("o_custkey", F.col("rows").alias("n_rows"), "list", "place")
 
 
 @query("select o.o_orderkey from orders o semi join customer c on o.o_custkey = c.c_custkey and c.c_mktsegment = 'BUILDING'")
@@ -313,7 +365,7 @@ def dlq_classification_ledger(spark, sf_dir):
         F.when(k != 2, F.col("nameOrig")).alias("nameOrig"), "nameDest", F.when(k == 7, 99).otherwise(F.col("isFraud")).alias("isFraud"),
     )
     raw = adapters.ledger(spark, sf_dir).select(F.when(k == 4, "{not json").otherwise(F.to_json(fields)).alias("value"))
-    return raw.groupBy(F.coalesce(dlq.ledger_reason(F.col("value")), F.lit("VALID")).alias("reason")).agg(F.count("*").alias("n"))
+    return _reasons(raw, dlq.ledger_reason)
 
 
 @query(_CARD + "select case when TransactionID % 8 = 1 then 'NEGATIVE_AMOUNT' when TransactionID % 8 = 2 then 'MISSING_FIELD' when TransactionID % 8 = 3 then 'BAD_FIELD_TYPE' when TransactionID % 8 = 4 then 'MALFORMED_JSON' when TransactionID % 8 = 5 then 'INVALID_LABEL' when TransactionID % 8 = 6 then 'INVALID_TRANSACTIONDT' else 'VALID' end as reason, count(*) as n from card group by 1")
@@ -324,14 +376,35 @@ def dlq_classification_card(spark, sf_dir):
         F.when(k == 1, F.lit(-1.0)).otherwise(F.col("TransactionAmt")).alias("TransactionAmt"), F.when(k == 3, F.lit(5).cast("variant")).otherwise(F.col("ProductCD").cast("variant")).alias("ProductCD"), F.when(k != 2, F.col("card1")).alias("card1"),
     )
     raw = adapters.card(spark, sf_dir).select(F.when(k == 4, "[1, 2]").otherwise(F.to_json(fields)).alias("value"))
-    return raw.groupBy(F.coalesce(dlq.card_reason(F.col("value")), F.lit("VALID")).alias("reason")).agg(F.count("*").alias("n"))
+    return _reasons(raw, dlq.card_reason)
+
+
+_GOOD = '{"step": %s, "type": "TRANSFER", "amount": 5.0, "nameOrig": "o", "nameDest": "d", "isFraud": %s}'
+_EDGES = (
+    (_GOOD % (1, 0) + "\n", "VALID"), ("\t \r\n" + _GOOD % (1, 0) + " \t", "VALID"), (_GOOD % (1, 0) + _GOOD % (1, 0), "MALFORMED_JSON"), (_GOOD % (1, 0) + " junk}", "MALFORMED_JSON"),
+    (_GOOD % (1, 0) + "}", "MALFORMED_JSON"), (_GOOD % (1, 0) + ', "end": "x"}', "MALFORMED_JSON"), ("[" + _GOOD % (1, 0) + "]", "MALFORMED_JSON"), ("", "MALFORMED_JSON"), ("null", "MALFORMED_JSON"),
+    (_GOOD % (10**20, 0), "INVALID_STEP"), (_GOOD % (-(10**30), 0), "INVALID_STEP"), (_GOOD % ("1.5", 0), "BAD_STEP_TYPE"), (_GOOD % ("true", 0), "BAD_STEP_TYPE"), (_GOOD % (743, 0), "VALID"), (_GOOD % (744, 0), "INVALID_STEP"),
+    (_GOOD % (1, 10**20), "INVALID_LABEL"), (_GOOD % (1, "true"), "BAD_FIELD_TYPE"), (_GOOD % ('"1"', 0), "BAD_STEP_TYPE"), (_GOOD % ("null", 0), "MISSING_FIELD"), ("\u00a0" + _GOOD % (1, 0), "MALFORMED_JSON"),
+)
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{r}')" for i, (_, r) in enumerate(_EDGES)) + ") t(i, reason)")
+def dlq_edges(spark, sf_dir):
+    """The reason of records on the edges of the rules: text around the object, numbers beyond 64 bits, booleans."""
+    raw = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(_EDGES)], "key string, value string")
+    return dlq.classify(raw, dlq.ledger_reason).select(F.col("key").cast("int").alias("i"), F.coalesce("reason_code", F.lit("VALID")).alias("reason"))
+
 
+def _reasons(raw: DataFrame, reason) -> DataFrame:
+    done = dlq.classify(raw.withColumn("key", F.lit(None).cast("string")), reason)
+    return done.groupBy(F.coalesce("reason_code", F.lit("VALID")).alias("reason")).agg(F.count("*").alias("n"))
 
-@query(_LEDGER + "select 'dest_prior_txn_count' as \"column\", count(*) as compared, 0::bigint as mismatches from ledger")
+
+@query(_LEDGER + "select 'amount' as \"column\", count(*) as compared, count(*) filter (where event_id % 50 = 0) as mismatches from ledger union all select 'type', count(*), count(*) filter (where event_id % 70 = 0 or event_id % 90 = 1 and type <> 'DEBIT') from ledger union all select 'step', count(*), 0 from ledger")
 def parity_check(spark, sf_dir):
-    """The window plan against the self-join plan."""
-    a = ledger_prior_history(spark, sf_dir).select("event_id", "dest_prior_txn_count")
-    b = ledger_prior_selfjoin(spark, sf_dir).select("event_id", F.col("n").alias("dest_prior_txn_count"))
+    """The ledger against a copy with other amounts, and null and other types, in some rows."""
+    a, k = adapters.ledger(spark, sf_dir).select("event_id", "amount", "type", "step"), F.col("event_id")
+    b = a.select("event_id", F.when(k % 50 == 0, F.col("amount") + 1).otherwise(F.col("amount") + 1e-12).alias("amount"), F.when(k % 70 != 0, F.when(k % 90 == 1, "DEBIT").otherwise(F.col("type"))).alias("type"), "step")
     return parity(a, b, "event_id").select("column", "compared", "mismatches")
 
 
@@ -350,25 +423,33 @@ def _streamed(spark, rows: DataFrame, build, columns: str) -> DataFrame:
     return spark.read.schema(columns).parquet(f"{at}/out/*")
 
 
-@query(_LEDGER + f"""select nameOrig, cast(count(*) over f as int) as dest_prior_txn_count, coalesce(sum(amount) over f, 0.0) as dest_prior_amount_sum, max(amount) over f as dest_prior_amount_max,
-  cast(count(*) over (partition by nameDest order by step range between 168 preceding and 1 preceding) as int) as dest_txn_count_prev_168h from ledger {_PRIOR}""")
+_LEDGER_STATE = "dest_prior_txn_count int, dest_first_seen_flag tinyint, dest_prior_amount_sum double, dest_prior_amount_mean double, dest_prior_amount_std double, dest_prior_amount_max double, dest_steps_since_last_txn int, dest_amount_zscore double, dest_txn_count_prev_24h int, dest_txn_count_prev_168h int, dest_amount_sum_prev_24h double, dest_amount_sum_prev_168h double, dest_prior_cashout_share double"
+_CARD_STATE = "card_prior_txn_count int, card_first_seen_flag tinyint, card_prior_amt_sum double, card_prior_amt_mean double, card_prior_amt_std double, card_prior_amt_max double, card_secs_since_last_txn int, amt_zscore_vs_card double, card_txn_count_1h int, card_txn_count_24h int, card_txn_count_7d int"
+
+
+def _near(df: DataFrame, state: str) -> DataFrame:
+    return _rounded(df, *(c.split()[0] for c in state.split(", ") if c.endswith("double")))
+
+
+def _near_sql(state: str) -> str:
+    return ", ".join(f"round({n}, 6) as {n}" if k == "double" else n for n, k in map(str.split, state.split(", ")))
+
+
+@query(f"select 'C' || event_id as nameOrig, {_near_sql(_LEDGER_STATE)} from {_joined(('ledger_prior_history', 'ledger_velocity'), 'event_id')}")
 def stream_parity_ledger(spark, sf_dir):
-    """The ledger's stream, held against the batch query's SQL."""
+    """Every output of the ledger's keyed state, held against the batch queries' SQL."""
     from .streaming.pipelines import ledger_stream
 
-    out = _streamed(spark, adapters.ledger(spark, sf_dir).drop("event_id"), ledger_stream, "nameOrig string, dest_prior_txn_count int, dest_prior_amount_sum double, dest_prior_amount_max double, dest_txn_count_prev_168h int")
-    return out.select("nameOrig", "dest_prior_txn_count", "dest_prior_amount_sum", "dest_prior_amount_max", "dest_txn_count_prev_168h")
+    return _near(_streamed(spark, adapters.ledger(spark, sf_dir).drop("event_id"), ledger_stream, f"nameOrig string, {_LEDGER_STATE}"), _LEDGER_STATE)
 
 
-@query(_CARD + f"""select TransactionID, cast(count(*) over f as int) as card_prior_txn_count, coalesce(sum(TransactionAmt) over f, 0.0) as card_prior_amt_sum, max(TransactionAmt) over f as card_prior_amt_max
-  from card where TransactionDT > 0 window f as (partition by {_CARD_KEY} order by TransactionDT, TransactionID rows between unbounded preceding and 1 preceding)""")
+@query(f"select TransactionID, {_near_sql(_CARD_STATE)} from {_joined(('card_prior_history', 'card_rolling_counts'), 'TransactionID')}".replace("from orders\n", "from orders where o_orderdate > timestamp '1995-01-01'\n"))
 def stream_parity_card(spark, sf_dir):
-    """The card's stream over rows with a positive clock, held against the batch query's SQL."""
+    """Every output of the card's keyed state over rows with a positive clock, held against the batch queries' SQL."""
     from .streaming.pipelines import card_stream
 
     rows = adapters.card(spark, sf_dir).where("TransactionDT > 0")
-    out = _streamed(spark, rows, lambda r: card_stream(r, schema=rows.schema), "TransactionID int, card_prior_txn_count int, card_prior_amt_sum double, card_prior_amt_max double")
-    return out.select("TransactionID", "card_prior_txn_count", "card_prior_amt_sum", "card_prior_amt_max")
+    return _near(_streamed(spark, rows, lambda r: card_stream(r, schema=rows.schema), f"TransactionID int, {_CARD_STATE}"), _CARD_STATE)
 
 
 @query("select case when event_id % 5 = 0 then 'MALFORMED' when event_id % 5 = 1 then 'MISSING_KEY' when event_id % 5 = 2 then 'MISSING_FEATURES' when event_id % 5 = 3 then 'INVALID_NUMERIC_FEATURE' else 'SCORED' end as status, count(*) as n from events group by 1")

@@ -1,7 +1,8 @@
 """Classification of raw records, as one native expression over VARIANT.
 
-A record's reason is the first rule that it breaks, or null where it is valid. JSON is read strictly: text after the
-object, NaN literals and repeated keys are malformed."""
+A record's reason is the first rule that it breaks, or null where it is valid. A record is one JSON object with nothing but
+JSON's white space (blank, tab, line feed, carriage return) around it. Read more strictly than by some parsers: NaN literals
+and repeated keys are malformed too."""
 
 from __future__ import annotations
 
@@ -15,14 +16,19 @@ CARD_FIELDS = ("TransactionID", "TransactionDT", "TransactionAmt", "ProductCD",
 FIRST_STEP, LAST_STEP = 1, 743
 
 
-def _object(raw: Column) -> Column:
-    """The record as a variant if it is one JSON object and nothing else, else null."""
-    v = F.try_parse_json(F.when(F.trim(raw).endswith("}"), raw))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+def record_of(raw: Column) -> Column:
+    """The record as a variant if it is one JSON object and nothing else, else null.
 
+    The parser stops after a value. So the record is parsed as a field of an object whose other field, after it, must be
+    there: the record's own hash, which a record can't hold to end that object early."""
+    mark = F.md5(raw.cast("binary"))
+    whole = F.try_parse_json(F.concat(F.lit('{"record":'), raw, F.lit(',"end":"'), mark, F.lit('"}')))
+    v = F.try_variant_get(whole, "$.record", "variant")
+    return F.when((F.try_variant_get(whole, "$.end", "string") == mark) & F.schema_of_variant(v).startswith("OBJECT"), v)
 
-def _field(raw: Column, name: str) -> Column:
-    return F.try_variant_get(_object(raw), f"$.{name}", "variant")
+
+def _field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
 
 
 def _kind(v: Column) -> Column:
@@ -30,7 +36,8 @@ def _kind(v: Column) -> Column:
 
 
 def _integer(v: Column) -> Column:
-    return _kind(v) == "BIGINT"
+    """Whole numbers beyond 64 bits are integers too, as long as they have 38 digits."""
+    return (_kind(v) == "BIGINT") | _kind(v).rlike(r"^DECIMAL\(\d+,0\)$")
 
 
 def _number(v: Column) -> Column:
@@ -52,24 +59,25 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def ledger_reason(raw: Column) -> Column:
-    f = {c: _field(raw, c) for c in LEDGER_FIELDS}
+def ledger_reason(v: Column) -> Column:
+    """Of a parsed record (record_of)."""
+    f = {c: _field(v, c) for c in LEDGER_FIELDS}
     string = lambda c: _kind(f[c]) == "STRING"
     return (
-        F.when(_object(raw).isNull(), "MALFORMED_JSON")
+        F.when(v.isNull(), "MALFORMED_JSON")
         .when(_any([_missing(v) for v in f.values()]), "MISSING_FIELD")
         .when(~_integer(f["step"]), "BAD_STEP_TYPE")
         .when(~string("type") | ~F.coalesce(_as(f["type"], "string").isin(*LEDGER_TYPES), F.lit(False)), "BAD_TYPE")
         .when(~_number(f["amount"]) | ~string("nameOrig") | ~string("nameDest") | ~_integer(f["isFraud"]), "BAD_FIELD_TYPE")
         .when(_as(f["amount"], "double") < 0, "NEGATIVE_AMOUNT")
-        .when(~_as(f["step"], "bigint").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
-        .when(~_as(f["isFraud"], "bigint").isin(0, 1), "INVALID_LABEL")
+        .when(~_as(f["step"], "decimal(38,0)").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
+        .when(~_as(f["isFraud"], "decimal(38,0)").isin(0, 1), "INVALID_LABEL")
     )
 
 
-def card_reason(raw: Column) -> Column:
-    """Numbers may be strings here, and fractions are cut, as the fields' own conversions do."""
-    f = {c: _field(raw, c) for c in CARD_FIELDS}
+def card_reason(v: Column) -> Column:
+    """Of a parsed record. Numbers may be strings here, and fractions are cut, as the fields' own conversions do."""
+    f = {c: _field(v, c) for c in CARD_FIELDS}
     as_int = lambda c: F.when(_kind(f[c]) == "STRING", F.expr("null").cast("bigint")).otherwise(_as(f[c], "double").cast("bigint"))
 
     def integer(c: str) -> Column:
@@ -78,7 +86,7 @@ def card_reason(raw: Column) -> Column:
 
     amount = F.when(_kind(f["TransactionAmt"]) == "STRING", F.trim(_as(f["TransactionAmt"], "string")).try_cast("double")).when(_kind(f["TransactionAmt"]) == "BOOLEAN", _as(f["TransactionAmt"], "boolean").cast("int").cast("double")).otherwise(_as(f["TransactionAmt"], "double"))
     return (
-        F.when(_object(raw).isNull(), "MALFORMED_JSON")
+        F.when(v.isNull(), "MALFORMED_JSON")
         .when(_any([_missing(v) for v in f.values()]), "MISSING_FIELD")
         .when(_any([integer(c).isNull() for c in ("TransactionDT", "isFraud", "TransactionID")]) | amount.isNull() | (_kind(f["ProductCD"]) != "STRING"), "BAD_FIELD_TYPE")
         .when(amount < 0, "NEGATIVE_AMOUNT")
@@ -88,8 +96,8 @@ def card_reason(raw: Column) -> Column:
 
 
 def classify(records: DataFrame, reason) -> DataFrame:
-    """key, value and reason_code (null: valid) of each record."""
-    return records.select("key", "value", reason(F.col("value")).alias("reason_code"))
+    """key, value and reason_code (null: valid) of each record; each is parsed once."""
+    return records.select("key", "value", record_of(F.col("value")).alias("v")).select("key", "value", reason(F.col("v")).alias("reason_code"))
 
 
 def dead_letters(classified: DataFrame) -> DataFrame:
