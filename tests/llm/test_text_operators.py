@@ -162,6 +162,48 @@ def test_minimum_cut_against_all_labellings():
         assert cost(html_text.minimum_cut(a, b, edges)) == pytest.approx(least)
 
 
+def test_main_text_by_brute_force(spark):
+    """The whole operator on made pages: of all labellings of a page's blocks, the one with the least cost gives the text."""
+    rng, model = np.random.default_rng(77), html_text.fitted()
+    pages = [x for x in (html_text.training_page(rng) for _ in range(150)) if len(list(html_text.blocks(x))) <= 11]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()}
+    wrong = alone = n = 0
+    for i, page in enumerate(pages):
+        found = list(html_text.blocks(page))
+        z = model.odds(found)
+        edges = [(a, b, model.smooth[kind]) for a, b, kind in html_text._neighbours(found)]
+        cost = lambda x, z=z, edges=edges: sum(np.logaddexp(0, -o if v else o) for o, v in zip(z, x, strict=True)) + sum(w for a, b, w in edges if x[a] != x[b])
+        best = min(([bool(k >> j & 1) for j in range(len(found))] for k in range(1 << len(found))), key=cost)
+        labels = model.labels(found)
+        assert cost(labels) == pytest.approx(cost(best), abs=0.01 * len(found))
+        assert got[i] == "\n".join(b.text for b, x in zip(found, labels, strict=True) if x)
+        truth = [b.text.startswith("+") for b in found]
+        n, wrong = n + len(found), wrong + sum(x != y for x, y in zip(labels, truth, strict=True))
+        alone += sum(x != y for x, y in zip(model.labels(found, smooth=False), truth, strict=True))
+    assert len(pages) > 20 and wrong <= 0.05 * n and wrong <= alone + 2
+
+
+def test_cut_overrules_the_classifier():
+    # By itself a block of links in a box without a name is boilerplate; among paragraphs of an article it is kept, and alone it isn't.
+    model = html_text.Cutter(html_text.fitted().mean, html_text.fitted().scale, html_text.fitted().weights, (0.8,) * len(html_text.fitted().smooth))
+    prose = "<p>A sentence that is long enough to be read as a part of the article, with some words more.</p>"
+    rng = np.random.default_rng(5)
+    n = changed = better = 0
+    for _ in range(200):
+        found = list(html_text.blocks(html_text.training_page(rng)))
+        truth = [b.text.startswith("+") for b in found]
+        with_, without = html_text.fitted().labels(found), html_text.fitted().labels(found, smooth=False)
+        n += len(found)
+        changed += sum(x != y for x, y in zip(with_, without, strict=True))
+        better += sum((x == t) - (y == t) for x, y, t in zip(with_, without, truth, strict=True))
+    assert changed > 0 and better > 0
+    page = f'<article>{prose}{prose}<ul><li><a href="/x">and more</a></li></ul>{prose}{prose}</article>'
+    found = list(html_text.blocks(page))
+    z = model.odds(found)
+    low = html_text.minimum_cut([3.0, 3.0, 0.4, 3.0, 3.0], [0.1, 0.1, 0.9, 0.1, 0.1], [(i, i + 1, 0.8) for i in range(4)])
+    assert low == [True] * 5 and len(z) == 5 and html_text.changed_by_cut([page, None])[0] == 5
+
+
 def test_quality_dictionaries_hold_all_chosen_rows(spark):
     texts = [(i, f"<{i}>" + "".join(chr(97 + (i * j) % 26) for j in range(700))) for i in range(3200)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")

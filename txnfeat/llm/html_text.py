@@ -1,24 +1,33 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks. A classifier gives each block the cost of calling it boilerplate and of calling it content;
-these are the capacities of its edges from the source and to the sink. Blocks that follow each other, and the more so
-blocks that are near in the document tree, are joined by smoothness edges. The minimum cut, found by maximum flow, is
-the labelling of least total cost; the blocks on the source's side are the main text. A page is independent of all
-others, so there is no shuffle."""
+A page is cut into blocks. A classifier, a logistic regression on a block's tag, length, links and the tags and names of the
+elements around it, gives each block the odds of being content; the costs of calling it boilerplate and content, the
+negative logarithms of the two probabilities, are the capacities of its edges from the source and to the sink. Blocks that
+follow each other, and the more so blocks that are near in the document tree, are joined by smoothness edges, whose weights
+are the logarithms of the odds that such neighbours have one label. The minimum cut, found by maximum flow, is the
+labelling of least total cost; the blocks on the source's side are the main text, so a block that is unlike content by
+itself is kept among content, and the other way round. A page is independent of all others, so there is no shuffle.
+
+Classifier and weights are fitted on TRAINING_PAGES pages made by a rule from a seed, whose blocks have known labels, not on
+the pages of the input: their layouts needn't be those of one site, and each run on any input has the same model."""
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, table
+from .common import fields_of, session_of, table, trimmed
+from .quality import regression
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -43,8 +52,14 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 GOOD_NAMES = frozenset("article articlebody body content entry hentry main post story text".split())
 _FOOT = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
-#: Cost of cutting between neighbours; more where the document tree says that they belong together.
-NEAR, SAME_PARENT = 0.6, 0.8
+#: Pages that the model is fitted on, and their seed.
+TRAINING_PAGES, SEED = 600, 20240103
+#: The shares of the neighbours' odds that are tried as weights of the edges; the one with the fewest errors is taken.
+SHARES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.7)
+#: Longer blocks are told alike.
+LONG = 400
+#: Neighbours further apart in the tree than this are told alike.
+FARTHEST = 6
 
 
 class Element:
@@ -188,27 +203,126 @@ def blocks(page: str) -> Iterator[Block]:
         yield b
 
 
-def costs(b: Block, has_main: bool, in_headed: bool) -> tuple[float, float]:
-    """(cost of calling the block boilerplate, cost of calling it content)."""
+def features(b: Block, has_main: bool, headed: bool) -> list[float]:
+    """What the classifier knows of a block: its tag, length and links, and the tags and names around it."""
     e, share = b.element, b.linked / b.chars
-    good, bad = 0.5, 0.3
-    if e.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "td", "dd"):
-        good += 1.2
-    good += min(2.0, math.log1p(b.chars) / 3)
-    bad += e.bad
-    if has_main:
-        good, bad = (good + 4.0, bad) if e.main else (good, bad + 4.5)
-    elif in_headed:
-        good += 1.0
-    if e.main and e.bad:
-        bad += 4.0
-    if share > 0.5 and not (e.main and e.tag == "p"):
-        bad += 3.5 * share
-    if e.tag == "li" and b.chars < 40 and share > 0.5:
-        bad += 1.0
-    if _FOOT.match(b.text) and b.chars < 200 and not e.main:
-        bad += 4.0
-    return good, bad
+    return [
+        float(e.tag in PROSE or e.tag in ("figcaption", "dd")), float(e.tag in ("li", "td", "th", "dt")),
+        math.log1p(min(b.chars, LONG)) / 5, float(b.chars < 25), share, float(share > 0.5),
+        float(e.bad >= 6.0), float(0 < e.bad < 6.0), float(e.main and not e.bad), float(e.main and e.bad > 0), float(has_main and not e.main), float(headed), float(bool(_FOOT.match(b.text)) and b.chars < 200),
+    ]
+
+
+def _described(found: list[Block]) -> np.ndarray:
+    has_main = any(b.element.main and not b.element.bad for b in found)
+    headed, rows = False, []
+    for b in found:
+        headed = headed or b.element.tag == "h1" and not b.element.bad
+        rows.append(features(b, has_main, headed))
+    return np.array(rows)
+
+
+def _neighbours(found: list[Block]) -> Iterator[tuple[int, int, int]]:
+    """Pairs of blocks with the kind of their edge: twice the steps between them in the tree for those in a row, 0 for the next one
+    below the same parent; one more where both have the same signs of boilerplate and of an article around them."""
+    last_of: dict[int, int] = {}
+    alike = lambda i, j: int(found[i].element.bad == found[j].element.bad and found[i].element.main == found[j].element.main)
+    for i, b in enumerate(found):
+        if i:
+            yield i - 1, i, 2 * max(1, min(FARTHEST, _distance(found[i - 1].element, b.element))) + alike(i - 1, i)
+        parent = id(b.element.parent or b.element)
+        if parent in last_of:
+            yield last_of[parent], i, alike(last_of[parent], i)
+        last_of[parent] = i
+
+
+@dataclass(frozen=True)
+class Cutter:
+    """The classifier (mean, scale and weights of a logistic regression, the intercept last) and the weight of each kind of edge."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    smooth: tuple[float, ...]
+
+    def odds(self, found: list[Block]) -> np.ndarray:
+        """The logarithm of each block's odds of being content."""
+        return np.c_[(_described(found) - self.mean) / self.scale, np.ones(len(found))] @ self.weights
+
+    def labels(self, found: list[Block], smooth: bool = True) -> list[bool]:
+        """Which blocks are content; without smoothness, by the classifier alone."""
+        z = self.odds(found)
+        if not smooth:
+            return (z > 0).tolist()
+        edges = [(i, j, self.smooth[kind]) for i, j, kind in _neighbours(found)]
+        return minimum_cut(np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist(), edges)
+
+
+def training_page(rng: np.random.Generator) -> str:
+    """A made page; the text of each block begins with + if it is content, else with -."""
+    word = lambda: "".join(rng.choice(list("abcdefghilmnoprstuv"), int(rng.integers(2, 9))))
+    words = lambda n: " ".join(word() for _ in range(max(1, int(n))))
+    often = lambda p: rng.random() < p
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    prose = lambda: ". ".join(words(rng.integers(4, 16)) for _ in range(int(rng.integers(1, 9)))) + "."
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{word()}">-{words(rng.integers(1, 4))}</a></li>' for _ in range(n)) + "</ul>"
+    box = lambda tags, names, inside: f"<{(t := pick(*tags))}{pick(' class', ' id') + chr(61) + chr(34) + pick(*names) + chr(34) if t in ('div', 'section', 'ul') and often(0.85) else ''}>{inside}</{t}>"
+    junk = lambda: pick(f"<p>-{words(rng.integers(2, 12))}</p>", f"-{words(rng.integers(2, 9))}", links(int(rng.integers(2, 6))), f'<a href="/x">-{words(rng.integers(1, 5))}</a>')
+    advert = lambda: box(("div",), ("ad", "advert", "sponsored", "promo", "ads-box"), pick(f"-{words(rng.integers(2, 20))}", f"<p>-{prose()}</p>"))
+    if often(0.1):
+        return "".join(pick(f"<p>+{prose()}</p>", f"<div>+{prose()}</div>", f"+{words(rng.integers(1, 20))}<br>", f"<h1>+{words(4)}</h1>") for _ in range(int(rng.integers(1, 5))))
+    around = [
+        box(("header", "div"), ("header", "masthead", "topbar", "banner"), junk()) if often(0.7) else "",
+        box(("nav", "nav", "div", "ul"), ("menu", "navbar", "navigation", "site-nav"), links(int(rng.integers(3, 9)))) if often(0.9) else "",
+        box(("div",), ("cookie-banner", "notice", "consent", "popup"), f"<p>-{prose()}</p>") if often(0.3) else "",
+        advert() if often(0.6) else "",
+    ]
+    body = [f"<h1>+{words(rng.integers(2, 10))}</h1>"] if often(0.85) else []
+    for _ in range(int(rng.integers(1, 14))):
+        kind = rng.random()
+        if kind < 0.62:
+            body.append(f"<p>+{prose()}</p>")
+        elif kind < 0.72:
+            body.append(pick(f"<p>+{words(rng.integers(1, 4))}</p>", f"<div>+{words(rng.integers(1, 4))}</div>", f'<p><a href="/y">+{words(rng.integers(1, 6))}</a></p>'))
+        elif kind < 0.80:
+            body.append(f"<h2>+{words(rng.integers(1, 7))}</h2>")
+        elif kind < 0.86:
+            body.append("<ul>" + "".join(f"<li>+{words(rng.integers(1, 14))}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>")
+        elif kind < 0.90:
+            body.append(pick(f"<blockquote>+{prose()}</blockquote>", f"<pre>+{words(rng.integers(3, 20))}</pre>", f"<table><tr><td>+{words(2)}</td><td>+{words(3)}</td></tr></table>"))
+        else:
+            body.append(pick(advert(), box(("div", "ul"), ("related", "share", "social", "tags"), links(int(rng.integers(2, 5)))), f"<form>-{words(3)}</form>"))
+    main = f"<{(t := pick('article', 'article', 'main', 'div', 'div'))}{pick('', ' class=content', ' class=post-body', ' id=story') if t == 'div' else ''}>{''.join(body)}</{t}>"
+    comments = box(("section", "div"), ("comments", "respond", "discussion", "reader-comments"), "".join(f"<p>-{prose()}</p>" for _ in range(int(rng.integers(1, 5))))) if often(0.35) else ""
+    side = box(("aside", "div"), ("sidebar", "widget", "related", "newsletter"), junk() + junk()) if often(0.5) else ""
+    foot = box(("footer", "footer", "div"), ("footer", "copyright", "legal", "bottombar"), pick(f"-&copy; {words(3)}", f"<p>-{words(rng.integers(2, 12))}</p>", links(3))) if often(0.9) else ""
+    return "<html><head><title>x</title></head><body>" + "".join(around) + (side + main if often(0.4) else main + side) + comments + foot + "</body></html>"
+
+
+@functools.cache
+def fitted(pages: int = TRAINING_PAGES, seed: int = SEED) -> Cutter:
+    """The model of so many made pages."""
+    rng = np.random.default_rng(seed)
+    made: list[tuple[list[Block], list[bool]]] = []
+    same, other = np.ones(2 * FARTHEST + 2), np.ones(2 * FARTHEST + 2)
+    for _ in range(pages):
+        found = list(blocks(training_page(rng)))
+        own = [b.text.startswith("+") for b in found]
+        for b in found:
+            # What tells the label is no part of the text that is described.
+            b.text = b.text[1:].lstrip()
+            b.chars = max(1, len(b.text))
+            b.linked = min(b.linked, b.chars)
+        made.append((found, own))
+        for i, j, kind in _neighbours(found):
+            (same if own[i] == own[j] else other)[kind] += 1
+    fit, judged = made[: pages * 2 // 3], made[pages * 2 // 3 :]
+    model = regression(np.concatenate([_described(f) for f, _ in fit]), np.array([x for _, own in fit for x in own], float), ridge=1.0)
+    odds = np.maximum(0.0, np.log(same / other))
+    # What neighbours tell is partly in the classifier already; how much of it is left is seen on pages that it wasn't fitted on.
+    cutters = [Cutter(*model, tuple((odds * share).tolist())) for share in SHARES]
+    wrong = [sum(x != y for f, own in judged for x, y in zip(c.labels(f), own, strict=True)) for c in cutters]
+    return cutters[int(np.argmin(wrong))]
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -267,40 +381,39 @@ def _distance(a: Element, b: Element) -> int:
     return n
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, cutter: Cutter | None = None) -> str:
     """The main text of a page: its content blocks in order, joined by newlines; empty for null, and where nothing is content."""
     found = list(blocks(page or ""))
     if not found:
         return ""
-    has_main = any(b.element.main and not b.element.bad for b in found)
-    headed, cost = False, []
-    for b in found:
-        headed = headed or b.element.tag == "h1" and not b.element.bad
-        cost.append(costs(b, has_main, headed))
-    edges, last_of = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEAR / (1 + max(0, _distance(found[i - 1].element, b.element) - 2)) if found[i - 1].element.main == b.element.main else 0.05))
-        parent = id(b.element.parent or b.element)
-        if parent in last_of and found[last_of[parent]].element.bad == b.element.bad:
-            edges.append((last_of[parent], i, SAME_PARENT))
-        last_of[parent] = i
-    inside = minimum_cut([c[0] for c in cost], [c[1] for c in cost], edges)
+    inside = (cutter or fitted()).labels(found)
     return "\n".join(b.text for b, x in zip(found, inside, strict=True) if x)
 
 
+def changed_by_cut(pages: Iterable[str | None]) -> tuple[int, int]:
+    """(blocks, those of them whose label the cut changes against the classifier alone) of some pages."""
+    n = changed = 0
+    for page in pages:
+        if found := list(blocks(page or "")):
+            n += len(found)
+            changed += sum(x != y for x, y in zip(fitted().labels(found), fitted().labels(found, smooth=False), strict=True))
+    return n, changed
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """All columns of `pages` with text, the main text of html (null: empty), in place of any column of that name."""
-    session_of(pages)
+    """All columns of `pages` with text, the main text of html (null: empty), in place of any column of that name.
+
+    Each row is read by itself: repeated rows have the same text, pages of any length and depth are read whole by one task,
+    an empty table gives an empty one."""
+    sent = session_of(pages).sparkContext.broadcast(fitted())
     kept = pages.drop("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column("html").to_pylist()]
+            texts = [main_text(x.as_py(), sent.value) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
-    return kept.mapInArrow(f, f"{fields}, text string")
+    return kept.mapInArrow(trimmed(f), f"{fields_of(kept)}text string")
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
