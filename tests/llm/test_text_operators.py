@@ -302,6 +302,10 @@ def test_byte_bpe_is_tiktokens(spark, docs, empty):
     got = sorted((r["doc_id"] or -1, bytes(r["ids"]), bytes(r["bytes"])) for r in out)
     assert got == sorted((i or -1, np.array(coder.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in TEXTS)
     assert bpe.digests(empty, ranks, pattern).count() == 0
+    # Equal tables make equal chunks in different tasks; none of their rows is lost.
+    assert bpe.digests(docs.coalesce(1).union(docs.coalesce(1)), ranks, pattern).count() == 2 * len(TEXTS)
+    with pytest.raises(Exception, match="50257|KeyError"):
+        bpe.decode(spark.createDataFrame([(1, bytearray(np.array([50257], "<u4").tobytes()))], "doc_id long, ids binary"), ranks).collect()
 
 
 def test_units_and_packing():

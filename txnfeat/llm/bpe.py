@@ -1,19 +1,21 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
-Texts are split into pre-tokens (words) and kept as positions into the distinct words of a chunk of documents. The
-distinct words are shuffled by a hash bucket; a bucket encodes each of its words once, however many chunks and
-positions hold it, and answers each chunk with the ids. Positions and answers meet by chunk, and each document's ids are
-put together by position. Exploding every pre-token as a row of its own would shuffle over ten times the input; as
-packed positions and word lists the same exchange stays near the size of the compressed input.
+Texts are split into pre-tokens (words) once, and kept as positions into the distinct words of a chunk of documents. The
+positions are written to a file in the shared folder, one for each task; the distinct words are shuffled by a hash bucket. A
+bucket encodes each of its words once, however many chunks and positions hold it, and answers each chunk with the ids. The
+answers are shuffled by chunk, meet the chunk's positions, and each document's ids are put together by position. Exploding
+every pre-token as a row of its own would shuffle over ten times the input; as packed word lists only about 0.4 times the
+input is shuffled, and the positions take 0.8 times the input on disk.
 
-The rows of `docs` must come in the same order when a task is run again (a table's do). A chunk whose words have no
-answer raises ValueError instead of losing rows."""
+A chunk's key is a hash of its documents and words with its place, so a task that is run again, whose rows come in the same
+order (those of a table do), gives the same chunks. A chunk whose words have no answer raises ValueError instead of losing rows."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,15 +23,17 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, table, trimmed
+from .common import session_of, shared_folder, storage, table, trimmed
 
 #: Code points of text in a chunk: what a task holds at a time, besides one document.
-CHUNK_CHARS = 6 << 20
-#: Bytes of text for each word bucket; buckets at least and at most.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 32, 4096
+CHUNK_CHARS = 4 << 20
+#: Bytes of text for each word bucket, buckets at least and at most: with more, a chunk's list for a bucket would have a few words
+#: only. Beyond 256 GB buckets grow, but a task streams its lists and holds only a bucket's distinct words.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 32, 1 << 14
 
 _SPACED = re.compile(r"(?:^|\s) ")
 
@@ -152,22 +156,35 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, then=None, fi
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, total // BUCKET_BYTES))
     sent = spark.sparkContext.broadcast(ranks)
-    schema = pa.schema([("chunk", pa.binary()), ("bucket", pa.int32()), ("body", pa.binary())])
-    fields = "chunk binary, bucket int, body binary"
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
-            key, _, _, words, ends = c.close(pattern, n_buckets)
-            for k, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
-                if b > a:
-                    yield pa.RecordBatch.from_pydict({"chunk": [key], "bucket": [k], "body": [pack_bytes(words[a:b])]}, schema=schema)
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
-            key, per_doc, at, words, ends = c.close(pattern, n_buckets)
-            ids = pa.array(c.docs, pa.int64())
-            parts = [pack(per_doc), pack(at), pack(np.diff(np.concatenate(([0], ends)))), pa.RecordBatch.from_arrays([ids], names=["doc_id"]).serialize().to_pybytes()]
-            yield pa.RecordBatch.from_pydict({"chunk": [key], "bucket": [-1], "body": [b"".join(len(p).to_bytes(8, "little") + p for p in parts)]}, schema=schema)
+    fields = "chunk binary, bucket int, path string, at long, size long, body binary"
+    schema = pa.schema([("chunk", pa.binary()), ("bucket", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("body", pa.binary())])
+    folder = shared_folder(spark, "bpe-positions")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        uri = f"{folder}/part-{task:06d}-{uuid.uuid4().hex[:12]}.bin"
+        fs, path = storage(uri)
+        out, at = None, 0
+        for n_chunk, c in enumerate(_chunks(batches)):
+            key, per_doc, places, words, ends = c.close(pattern, n_buckets)
+            # Equal rows may make equal chunks.
+            key += task.to_bytes(4, "big") + n_chunk.to_bytes(4, "big")
+            sizes = np.diff(np.concatenate(([0], ends)))
+            used = np.flatnonzero(sizes)
+            ids = pa.RecordBatch.from_arrays([pa.array(c.docs, pa.int64())], names=["doc_id"]).serialize().to_pybytes()
+            parts = [pack(per_doc), pack(places), pack(used), pack(sizes[used]), ids]
+            data = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+            if out is None:
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                out = fs.open_output_stream(path, compression=None)
+            out.write(data)
+            lists = [(k, pack_bytes(words[e - n : e])) for k, n, e in zip(used.tolist(), sizes[used].tolist(), ends[used].tolist(), strict=True)]
+            # A chunk without words has a row, too.
+            for k, body in lists or [(0, pack_bytes([]))]:
+                yield pa.RecordBatch.from_pydict({"chunk": [key], "bucket": [k], "path": [uri], "at": [at], "size": [len(data)], "body": [body]}, schema=schema)
+            at += len(data)
+        if out is not None:
+            out.close()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -175,7 +192,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, then=None, fi
         coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
         bucket, known = None, {}
         for b in batches:
-            for key, k, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, k, uri, at, size, body in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if k != bucket:
                     bucket, known = k, {}
                 words = unpack_bytes(body)
@@ -184,57 +201,66 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, then=None, fi
                         known[w] = np.array(coder.encode_ordinary(w.decode()), "<u4").tobytes()
                 ids = [known[w] for w in words]
                 counts, flat = pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4), pack(np.frombuffer(b"".join(ids), "<u4"))
-                yield pa.RecordBatch.from_pydict({"chunk": [key], "bucket": [k], "body": [len(counts).to_bytes(8, "little") + counts + flat]}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"chunk": [key], "bucket": [k], "path": [uri], "at": [at], "size": [size], "body": [len(counts).to_bytes(8, "little") + counts + flat]}, schema=schema)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers = None, {}
+        now, answers, place = None, {}, None
         for b in batches:
-            for key, k, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, k, uri, at, size, body in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if key != now:
-                    now, answers = key, {}
-                if k >= 0:
-                    answers[k] = body
-                    continue
-                parts = []
-                while body:
-                    n = int.from_bytes(body[:8], "little")
-                    parts.append(body[8 : 8 + n])
-                    body = body[8 + n :]
-                per_doc, at, sizes = (unpack(p) for p in parts[:3])
-                doc_ids = pa.ipc.read_record_batch(pa.BufferReader(parts[3]), pa.schema([("doc_id", pa.int64())])).column(0).to_pylist()
-                counts, flat = [], []
-                for j in np.flatnonzero(sizes).tolist():
-                    if j not in answers:
-                        raise ValueError("a chunk's words have no answer; write the input as a table first")
-                    n = int.from_bytes(answers[j][:8], "little")
-                    counts.append(unpack(answers[j][8 : 8 + n]).astype(np.int64))
-                    flat.append(unpack(answers[j][8 + n :]))
-                counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-                flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-                starts = np.cumsum(counts) - counts
-                rows, size, p = [], 0, 0
-                for doc, n in zip(doc_ids, per_doc.tolist(), strict=True):
-                    w = at[p : p + n]
-                    p += n
-                    each = counts[w]
-                    ends = np.cumsum(each)
-                    ids = flat[np.repeat(starts[w] - ends + each, each) + np.arange(int(ends[-1]) if n else 0)]
-                    rows.append((doc, ids.tobytes()))
-                    size += len(ids)
-                    if size > 1 << 20:
-                        yield _rows(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _rows(rows)
+                    if now is not None:
+                        yield from documents(answers, *place)
+                    now, answers, place = key, {}, (uri, at, size)
+                answers[k] = body
+        if now is not None:
+            yield from documents(answers, *place)
+
+    def documents(answers: dict[int, bytes], uri: str, at: int, size: int) -> Iterator[pa.RecordBatch]:
+        """The rows of a chunk, from the answers of its buckets and its positions in the file."""
+        fs, path = storage(uri)
+        with fs.open_input_file(path) as f:
+            f.seek(at)
+            data = f.read(size)
+        parts = []
+        while data:
+            n = int.from_bytes(data[:8], "little")
+            parts.append(data[8 : 8 + n])
+            data = data[8 + n :]
+        per_doc, places, used, sizes = (unpack(p) for p in parts[:4])
+        doc_ids = pa.ipc.read_record_batch(pa.BufferReader(parts[4]), pa.schema([("doc_id", pa.int64())])).column(0).to_pylist()
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for j, n_words in zip(used.tolist(), sizes.tolist(), strict=True):
+            body = answers.pop(j, None)
+            n = 0 if body is None else int.from_bytes(body[:8], "little")
+            counts.append(np.zeros(0, np.int64) if body is None else unpack(body[8 : 8 + n]).astype(np.int64))
+            if len(counts[-1]) != n_words:
+                raise ValueError("a chunk's words have no answer; write the input as a table first")
+            flat.append(unpack(body[8 + n :]))
+        counts, flat = np.concatenate(counts), np.concatenate(flat)
+        starts = np.cumsum(counts) - counts
+        rows, size, p = [], 0, 0
+        for doc, n in zip(doc_ids, per_doc.tolist(), strict=True):
+            w = places[p : p + n]
+            p += n
+            each = counts[w]
+            ends = np.cumsum(each)
+            ids = flat[np.repeat(starts[w] - ends + each, each) + np.arange(int(ends[-1]) if n else 0)]
+            rows.append((doc, ids.tobytes()))
+            size += len(ids)
+            if size > 1 << 20:
+                yield _rows(rows)
+                rows, size = [], 0
+        if rows:
+            yield _rows(rows)
 
     def _rows(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "ids"])
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    answers = texts.mapInArrow(trimmed(lists), fields).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(answer), fields)
-    both = answers.union(texts.mapInArrow(trimmed(positions), fields))
+    words = texts.mapInArrow(trimmed(split), fields)
+    answers = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(answer), fields)
     last = trimmed((lambda batches: then(together(batches))) if then else together)
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("bucket")).mapInArrow(last, fields_then)
+    return answers.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(last, fields_then)
 
 
 def _decoded(spark: SparkSession, ranks: dict[bytes, int]):
