@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from txnfeat.ml import class_weight, fit, load_model, score_records, score_status, score_stream, select_features, with_seen
+from txnfeat.ml import class_weight, fit, load_model, score_records, score_status, score_stream, select_features, stream_counts, with_seen
 from txnfeat.sources import stream_source
 
 NAMES = ["amount", "oldbalanceOrg", "step_hour"]
@@ -61,7 +61,7 @@ def test_duplicates_over_micro_batches(spark, tmp_path):
             continue
         # The first file has a query of its own; the others come after a restart.
         source = stream_source(spark, "file", str(tmp_path / "in"), max_files=1)
-        for w in (score_stream(source, model, "txn_id", str(tmp_path / "out"), str(tmp_path / "c1")), with_seen(source, "txn_id").writeStream.option("checkpointLocation", str(tmp_path / "c2")).foreachBatch(keep)):
+        for w in (score_stream(source, model, "txn_id", str(tmp_path / "out"), str(tmp_path / "c1"), str(tmp_path / "rejects"), str(tmp_path / "counts")), with_seen(source, "txn_id").writeStream.option("checkpointLocation", str(tmp_path / "c2")).foreachBatch(keep)):
             q = w.start()
             q.processAllAvailable()
             q.stop()
@@ -70,3 +70,12 @@ def test_duplicates_over_micro_batches(spark, tmp_path):
     for n in range(3):
         scores.append([json.loads(x)["txn_id"] for f in sorted((tmp_path / "out" / f"batch={n}").glob("*.json")) for x in f.read_text().splitlines()])
     assert scores == [["k1"], ["k3"], ["k4"]]
+    assert stream_counts(spark, str(tmp_path / "counts")) == {"processed": 12, "scored": 3, "duplicates": 4, "errors": 5}
+    rejected = spark.read.schema("key string, status string, value string").json(str(tmp_path / "rejects/*")).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in rejected} == {"MALFORMED": 2, "MISSING_KEY": 2, "DUPLICATE": 4, "MISSING_FEATURES": 1}
+
+
+def test_boosted_with_many_categories(spark):
+    df = spark.range(1500).select(F.concat(F.lit("d"), F.col("id") % 700).alias("DeviceInfo"), (F.col("id") % 9).cast("double").alias("TransactionAmt"), ((F.col("id") % 9) > 6).cast("int").alias("isFraud"))
+    m = fit(df, None, "card", kind="boosted", names=["DeviceInfo", "TransactionAmt"])
+    assert m.report["train"]["roc_auc"] > 0.95

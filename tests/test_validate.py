@@ -73,3 +73,28 @@ def test_treatments(spark):
     ]
     df = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(cases)], "i int, column string, null_percent double, rate_null double, rate_present double, top_share double, minority long, auc double")
     assert [r["t"] for r in df.select("i", profile.treatment().alias("t")).orderBy("i").collect()] == [t for _, t in cases]
+
+
+def test_contracts(spark):
+    from pyspark.sql.types import StructType
+
+    from txnfeat.operators.contract import contract_drift, contract_table
+    from txnfeat.specs import LEDGER_RAW
+
+    text = "# Output\n\n" + contract_table(LEDGER_RAW)
+    assert contract_drift(LEDGER_RAW, text) == {"missing": [], "extra": [], "retyped": [], "moved": []}
+    other = StructType.fromDDL("type string, step int, amount float, more int")
+    drift = contract_drift(other, text)
+    assert drift["missing"] == [f.name for f in LEDGER_RAW][3:] and drift["extra"] == ["more"]
+    assert drift["retyped"] == [("amount", "double", "float")] and drift["moved"] == ["step", "type"]
+    with pytest.raises(ValueError):
+        contract_drift(LEDGER_RAW, "no table")
+
+
+def test_frequency_encoding_shuffles_beyond_the_bound(spark):
+    from txnfeat.operators.encode import frequency_encode
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "z")], "id int, c string")
+    for rows in (10, 0):
+        got = {r["id"]: r["c_share"] for r in frequency_encode(df, df.where("id < 4"), "c", broadcast_rows=rows).collect()}
+        assert got == {1: pytest.approx(2 / 3), 2: pytest.approx(2 / 3), 3: pytest.approx(1 / 3), 4: 0.0}

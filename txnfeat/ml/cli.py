@@ -24,6 +24,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--threshold", type=float)
     p.add_argument("--source", help="records to score: a directory")
     p.add_argument("--out", help="scores: a directory")
+    p.add_argument("--rejects", help="records that aren't scored: a directory")
+    p.add_argument("--counts", help="counts by micro-batch: a directory")
     p.add_argument("--checkpoint")
     a = p.parse_args(args)
     spark = create_spark_session(config=STREAMING if a.mode == "consume" else None)
@@ -39,7 +41,7 @@ def main(args: list[str] | None = None) -> None:
         print(json.dumps(load_model(spark, a.model).evaluate(load_split(spark, a.data, a.dataset, a.split), a.threshold)))
     else:
         m, key = load_model(spark, a.model), "txn_id" if a.dataset == "ledger" else "TransactionID"
-        score_stream(stream_source(spark, "file", a.source), m, key, a.out, a.checkpoint).start().awaitTermination()
+        score_stream(stream_source(spark, "file", a.source), m, key, a.out, a.checkpoint, a.rejects, a.counts).start().awaitTermination()
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -87,10 +87,29 @@ def score_records(records: DataFrame, model: Model, key: str, seen: str | None =
     return model.predict(rows).select(F.col("key").alias(key), F.round("probability", 4).alias("fraud_score"), F.lit(model.version).alias("model_version"), at.alias("scored_at"))
 
 
-def score_stream(records: DataFrame, model: Model, key: str, out: str, checkpoint: str) -> DataStreamWriter:
-    """A writer of the scores of a stream of records. Each micro-batch has a folder of its own number, so a replay overwrites it."""
+def score_stream(records: DataFrame, model: Model, key: str, out: str, checkpoint: str, rejects: str | None = None, counts: str | None = None) -> DataStreamWriter:
+    """A writer of the scores of a stream of records; with `rejects` also of the records that aren't scored, with key, status and
+    value, and with `counts` of a row for each micro-batch: processed, scored, duplicates, errors.
+
+    Each micro-batch has a folder of its own number in each of them, so a replay overwrites it and nothing counts twice."""
 
     def write(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
         score_records(batch, model, key, seen="seen").write.mode("overwrite").json(f"{out}/batch={n}")
+        judged = score_status(batch, key, model.features, numeric=model.dataset == "ledger", seen="seen")
+        if rejects:
+            judged.where("status <> 'SCORED'").select("key", "status", "value").write.mode("overwrite").json(f"{rejects}/batch={n}")
+        if counts:
+            of = lambda status: F.count_if(F.col("status") == status)
+            errors = F.count_if(~F.col("status").isin("SCORED", "DUPLICATE"))
+            judged.agg(F.count(F.lit(1)).alias("processed"), of("SCORED").alias("scored"), of("DUPLICATE").alias("duplicates"), errors.alias("errors")).write.mode("overwrite").json(f"{counts}/batch={n}")
+        batch.unpersist()
 
     return with_seen(records, key).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def stream_counts(spark: SparkSession, counts: str) -> dict[str, int]:
+    """The sums over all micro-batches of processed, scored, duplicates and errors."""
+    names = ("processed", "scored", "duplicates", "errors")
+    row = spark.read.schema(", ".join(f"{c} long" for c in names)).json(f"{counts}/*").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    return row.asDict()

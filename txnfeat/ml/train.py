@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +41,11 @@ def _pipeline(kind: str, numeric: list[str], strings: list[str], seed: int) -> P
             stages += [VectorAssembler(inputCols=imputed, outputCol="__numeric"), StandardScaler(inputCol="__numeric", outputCol="__scaled", withMean=True)]
         stages += [VectorAssembler(inputCols=["__scaled"] * bool(numeric) + hot, outputCol="__features"), LogisticRegression(featuresCol="__features", labelCol=LABEL, weightCol="__weight", maxIter=1000)]
     elif kind == "boosted":
-        stages += [VectorAssembler(inputCols=imputed + index, outputCol="__features"), GBTClassifier(featuresCol="__features", labelCol=LABEL, weightCol="__weight", maxIter=100, stepSize=0.05, seed=seed, maxBins=256)]
+        # A column of places by frequency without nominal metadata is split like a number, however many categories there are.
+        places = [f"{c}__p" for c in strings]
+        if strings:
+            stages.append(SQLTransformer(statement="select *, " + ", ".join(f"cast(`{x}` as double) + 0.0D as `{p}`" for x, p in zip(index, places, strict=True)) + " from __THIS__"))
+        stages += [VectorAssembler(inputCols=imputed + places, outputCol="__features"), GBTClassifier(featuresCol="__features", labelCol=LABEL, weightCol="__weight", maxIter=100, stepSize=0.05, seed=seed, maxBins=256)]
     else:
         raise ValueError(f"unknown model {kind}")
     return Pipeline(stages=stages)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import adapters
 from .operators import add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise, prune_near_constant
 from .operators import metrics, profile, subset
+from .operators.encode import frequency_encode
 from .operators.history import History
 from .operators.ledger import split_column
 from .operators.validate import parity, quality_counts
@@ -329,6 +330,13 @@ def membership_filter(spark, sf_dir):
     return _read(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")
 
 
+@query(_CARD + ", t as (select card4 as value, count(*) / (select count(*) from card where TransactionID % 3 = 0) as share from card where TransactionID % 3 = 0 group by card4) select TransactionID, round(coalesce(share, 0), 6)::double as card4_share from card left join t on card4 is not distinct from value")
+def frequency_encoding(spark, sf_dir):
+    """Shares of the card's network among training rows, broadcast to all rows."""
+    df = adapters.card(spark, sf_dir).select("TransactionID", "card4")
+    return _rounded(frequency_encode(df, df.where("TransactionID % 3 = 0"), "card4"), "card4_share").select("TransactionID", "card4_share")
+
+
 _SCORED = "with s as (select case when event_id % 7 = 0 then 1 else 0 end as y, ((event_id * 37) % 101) / 100.0::double as score from events) "
 
 
