@@ -25,6 +25,20 @@ def empty(docs):
     return docs.where("false")
 
 
+def test_many_url_rules(spark):
+    rng = np.random.default_rng(31)
+    part = lambda: str(rng.choice(["a", "bb", "ccc", "net", "com"]))
+    host = lambda n: ".".join(part() for _ in range(n))
+    path = lambda n: "/" + "/".join(part() for _ in range(n))
+    rules = [(str(rng.choice(["allow", "block"])), host(int(rng.integers(1, 4))), path(int(rng.integers(0, 4)))) for _ in range(300)]
+    urls = [f"http://{host(int(rng.integers(1, 6)))}{path(int(rng.integers(0, 6)))}" for _ in range(400)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rule_table(spark, rules)).collect()}
+    for i, u in enumerate(urls):
+        h, p = re.fullmatch(r"http://([^/]*)(.*)", u).groups()
+        fits = [(len(x + y), v == "block", x + y, v) for v, x, y in rules if (h == x or h.endswith("." + x)) and p.startswith(y)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow"))
+
+
 def test_url_rules_and_edges(spark):
     urls = ["http://a.net/es/x", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com/en/", "http://example.com", "http://x.com/#/en/", None, "no scheme", "http://notexample.com/en/", "http://net/fr/", "ftp://u@b.org:80/p"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "y")], "page_id long, url string, rule string")

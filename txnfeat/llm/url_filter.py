@@ -6,8 +6,6 @@ rule wins. Equal (host, path) pairs are judged once, so a hot host or url costs
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,18 +57,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", broa
         .groupBy("rule", "labels", "chars").agg(F.max_by("verdict", F.col("verdict") == "block").alias("verdict"))
         .withColumn("digest", F.sha2("rule", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX))
     )
-    # As many shapes as host depths times path lengths in the rules: at most 127 times the longest path.
+    # As many shapes as host depths times path lengths in the rules: at most 127 times the longest path, whatever the number of rules.
     shapes = [tuple(r) for r in rules.select("labels", "chars").distinct().collect()]
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not shapes:
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    longs = {}
-    for labels, chars in shapes:
-        longs.setdefault(chars, []).append(F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)))
-    expressions = [F.when(F.length("path") >= chars, F.array(*xs)).otherwise(F.array().cast("array<string>")) for chars, xs in longs.items()]
+    # One expression over an array of the shapes, of which each url takes those that its path is long enough for.
+    listed = ", ".join(f"named_struct('labels', {labels}, 'chars', {chars})" for labels, chars in sorted(shapes))
+    expressions = F.expr(f"transform(filter(array({listed}), s -> s.chars <= length(path)), s -> concat(substring_index(host, '.', -s.labels), substring(path, 1, s.chars)))")
     asked = (
         judged.select("host", "path").distinct()
-        .select("host", "path", F.explode(F.array_distinct(reduce(lambda a, b: F.concat(a, b), expressions))).alias("expression"))
+        .select("host", "path", F.explode(F.array_distinct(expressions)).alias("expression"))
         .select("host", "path", F.sha2("expression", 256).alias("asked"))
     )
     on = F.substring("asked", 1, PREFIX) == F.col("prefix")
