@@ -18,7 +18,10 @@ BROADCAST_IDS = 1_000_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects.
+
+    Null and empty texts are scored like any other, equal texts alike, so rows that repeat stay or go together; texts of any
+    length are scored whole. Without labels all texts score alike. An empty table gives an empty one."""
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
@@ -36,7 +39,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document, that with the smallest doc_id, of each group of near duplicates (five-word shingles, Jaccard 0.8).
 
     Rows are told apart by doc_id and text: those with one doc_id and different texts are different documents, rows equal
-    in both are one. A null doc_id comes after all others; rows with a null doc_id and no words all stay."""
+    in both are one. A null doc_id comes after all others; rows with a null doc_id and no words all stay, as null and empty
+    texts are linked with nothing. Texts of any length are compared whole; an empty table gives an empty one."""
     docs, own = _keyed(docs.select(*COLUMNS))
     judged = written(near_dups.near_duplicates(docs.select(F.col("key_").alias("doc_id"), "text"), k=5, percent=80).withColumnRenamed("doc_id", "key_"), "pipeline-groups")
     if own:
@@ -59,13 +63,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are contaminated by benchmark items."""
+    """Without the documents that are contaminated by benchmark items.
+
+    Null and empty texts have no words, so they stay, as all do where the benchmark is empty; rows that repeat are judged
+    alike; texts of any length are searched whole. An empty table gives an empty one."""
     judged = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return judged.where("not contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document that is left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document that is left.
+
+    Null and empty texts have no tokens; rows that repeat have a row each; a long text is put together by one task. An empty
+    table gives an empty one."""
     return bpe.digests(docs.select("doc_id", "text"), *bpe.vocabulary())
 
 
