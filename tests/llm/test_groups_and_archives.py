@@ -258,3 +258,24 @@ def test_pipeline_stages_by_whole_row_sets(spark, tmp_path):
     ids = {r[0]: coder.encode_ordinary(r[1] or "") for r in clean}
     digest = lambda b: hashlib.sha256(b).hexdigest()
     assert after(3, clean) == sorted(((r[0], len(ids[r[0]]), digest(np.array(ids[r[0]], "<u4").tobytes()), digest((r[1] or "").encode())) for r in clean), key=repr)
+
+
+def test_pipeline_stages_on_the_edges(spark, tmp_path):
+    """Empty tables, a very long text, null columns and other columns with clashing names, through each stage."""
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, n_hit long, key_ string, text_bytes string"
+    long = " ".join(f"long{i}" for i in range(60_000))
+    rows = [(1, long, None, None, None, 0.5, False, 7, "k", "t"), (2, None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 0.1, True, 1, "k", "t"), (4, "a few words of a text", "en", "s", 21, 0.1, True, 1, "k", "t")]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 4], name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        if name != "tokens":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert out[1]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest() and out[2]["n_tokens"] == out[3]["n_tokens"] == 0

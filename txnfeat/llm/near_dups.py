@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, session_of, table, trimmed, written
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 256
-#: Rows of nodes up to this many (under 50 MB) are broadcast; more are joined in a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of nodes up to this many (about 100 MB in an executor's hash table) are broadcast; more are joined in a shuffle.
+BROADCAST_ROWS = 250_000
 #: Estimates this far below the threshold are screened out.
 SLACK = 0.3
 #: A block has about so many shingles; each of its sets counts for EACH more, so it has at most about 1,000 sets.
