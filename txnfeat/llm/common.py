@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship
 
-#: Rows that go to Python at once; a row holds a whole text.
-ARROW_ROWS = 256
+#: Rows, and bytes beyond the last of them, that go to Python at once; a row holds a whole text.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,7 @@ def session_of(df: DataFrame) -> SparkSession:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
