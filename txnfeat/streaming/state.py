@@ -82,7 +82,7 @@ class HistoryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.moments = handle.getValueState("moments", _state_type())
-        self.recent = handle.getListState("recent", T.StructType([T.StructField("clock", T.LongType()), T.StructField("amount", T.DoubleType())]))
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("clock", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())]))
 
     def _load(self) -> tuple[Moments, Moments, int | None, int | None, int | None]:
         """(past, open, clock and tie of the last row, the last clock value before the open one)."""
@@ -104,12 +104,18 @@ class HistoryProcessor(StatefulProcessor):
         if clock is not None:
             late = usable & ((batch[h.clock] < clock) | ((batch[h.clock] == clock) & (batch[h.tie_break] <= tie)) if h.tie_break else (batch[h.clock] < clock))
         good = batch[usable & ~late].sort_values(order, kind="stable")
-        recent = [(int(c), a) for c, a in self.recent.get()] if self.recent.exists() else []
+        # One entry for each value of the clock in the widest window, however many rows it has.
+        recent = [(int(c), int(k), float(t)) for c, k, t in self.recent.get()] if self.recent.exists() else []
         amounts = [None if pd.isna(a) else float(a) for a in good[h.amount]]
         clocks = [int(c) for c in good[h.clock]]
-        recent += zip(clocks, amounts, strict=True)
-        times = np.array([c for c, _ in recent], np.int64)
-        sums = np.concatenate(([0.0], np.cumsum([a or 0.0 for _, a in recent])))
+        for c, a in zip(clocks, amounts, strict=True):
+            if recent and recent[-1][0] == c:
+                recent[-1] = (c, recent[-1][1] + 1, recent[-1][2] + (a or 0.0))
+            else:
+                recent.append((c, 1, a or 0.0))
+        times = np.array([c for c, _, _ in recent], np.int64)
+        counts = np.concatenate(([0], np.cumsum([k for _, k, _ in recent], dtype=np.int64)))
+        sums = np.concatenate(([0.0], np.cumsum([t for _, _, t in recent])))
         hits = list(zip(*(good[c].fillna(0).astype(int) for c in self.share_flags.values()), strict=True)) if self.share_flags else [()] * len(good)
         ties = [int(t) for t in good[h.tie_break]] if h.tie_break else clocks
         out: dict[str, list] = {}
@@ -119,10 +125,10 @@ class HistoryProcessor(StatefulProcessor):
             elif clock is not None and c > clock:
                 past.merge(open_)
                 open_, before = Moments(shares=(0,) * len(self.share_flags)), clock
-            self._put(out, past, c, a, before, times, sums)
+            self._put(out, past, c, a, before, times, counts, sums)
             (past if h.tie_break else open_).add(a, hits[i])
             clock, tie = c, ties[i]
-        keep = [(c, a) for c, a in recent if clock is not None and c >= clock - self.width] if self.width else []
+        keep = [x for x in recent if clock is not None and x[0] >= clock - self.width] if self.width else []
         if clock is not None:
             self.recent.put(keep) if keep else self.recent.clear()
             pack = lambda m: (m.rows, m.n, m.mean, m.m2, m.total, m.top, list(m.shares))
@@ -137,7 +143,7 @@ class HistoryProcessor(StatefulProcessor):
         for f in frames:
             yield _typed(f, kinds)
 
-    def _put(self, out, past: Moments, c: int, a, last, times, sums) -> None:
+    def _put(self, out, past: Moments, c: int, a, last, times, counts, sums) -> None:
         h, n = self.h, self.h.names
         std = (past.m2 / (past.n - 1)) ** 0.5 if past.n > 1 else None
         mean = past.mean if past.n else None
@@ -149,7 +155,7 @@ class HistoryProcessor(StatefulProcessor):
             **{k: past.shares[i] / past.rows if past.rows else None for i, k in enumerate(self.share_flags)},
         }
         for k, w in h.rolling_counts.items():
-            row[k] = end - int(np.searchsorted(times, c - w, "left"))
+            row[k] = int(counts[end] - counts[int(np.searchsorted(times, c - w, "left"))])
         for k, w in h.rolling_sums.items():
             row[k] = float(sums[end] - sums[int(np.searchsorted(times, c - w, "left"))])
         for k, v in row.items():
