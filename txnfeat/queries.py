@@ -32,9 +32,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     # + 0.0 makes a negative zero positive.
-    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,11 +141,11 @@ _CARD_KEY = "sha256(concat_ws('_', card1, coalesce(card2::varchar, 'NA'), card3,
 @query(_CARD + f""", h as (
   select TransactionID, TransactionDT, TransactionAmt, count(*) over f as n, coalesce(sum(TransactionAmt) over f, 0.0) as s, avg(TransactionAmt) over f as m, stddev_samp(TransactionAmt) over f as sd, max(TransactionAmt) over f as mx, lag(TransactionDT) over g as last
   from card window f as (partition by {_CARD_KEY} order by TransactionDT, TransactionID rows between unbounded preceding and 1 preceding), g as (partition by {_CARD_KEY} order by TransactionDT, TransactionID))
-select TransactionID, cast(n as int) as card_prior_txn_count, {_FLAG.format('n = 0')} as card_first_seen_flag, s as card_prior_amt_sum, m as card_prior_amt_mean, round(sd, 6) as card_prior_amt_std, mx as card_prior_amt_max,
+select TransactionID, cast(n as int) as card_prior_txn_count, {_FLAG.format('n = 0')} as card_first_seen_flag, s as card_prior_amt_sum, m as card_prior_amt_mean, round(sd, 3) as card_prior_amt_std, mx as card_prior_amt_max,
        cast(case when n > 0 then TransactionDT - last end as int) as card_secs_since_last_txn, round(case when n >= 3 and sd > 1e-5 then (TransactionAmt - m) / sd end, 6) as amt_zscore_vs_card from h""")
 def card_prior_history(spark, sf_dir):
     out = add_card_history(add_card_rowwise(adapters.card(spark, sf_dir))).select("TransactionID", "card_prior_txn_count", "card_first_seen_flag", "card_prior_amt_sum", "card_prior_amt_mean", "card_prior_amt_std", "card_prior_amt_max", "card_secs_since_last_txn", "amt_zscore_vs_card")
-    return _rounded(out, "card_prior_amt_std", "amt_zscore_vs_card")
+    return _rounded(_rounded(out, "amt_zscore_vs_card"), "card_prior_amt_std", digits=3)  # amounts have eight digits
 
 
 _CLOCK = "with t as (select event_id, user_id, cast(floor((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000000) as bigint) as sec, cast(round(value * 100) as double) as amount from events) "
@@ -187,7 +187,7 @@ def card_full_features(spark, sf_dir):
     """Every feature of the whole card plan (row-wise, history, pruning, version), row by row."""
     df = adapters.card(spark, sf_dir)
     out = card_features(df).drop(*(c for c in df.columns if c != "TransactionID"))
-    return _rounded(out, "hour_sin", "hour_cos", "amt_log1p", "c_sum_log1p", "card_prior_amt_std", "amt_zscore_vs_card")
+    return _rounded(out, "hour_sin", "hour_cos", "amt_log1p", "c_sum_log1p", "amt_zscore_vs_card").withColumn("card_prior_amt_std", F.round("card_prior_amt_std", 3) + F.lit(0.0))
 
 
 @query(f"with wide as ({adapters.WIDE_SQL}) select TransactionID, " + _flags(**{f"ind_{n}": f"{c} is not null" for n, c in INDICATORS.items()}) + " from wide")
@@ -436,11 +436,13 @@ _CARD_STATE = "card_prior_txn_count int, card_first_seen_flag tinyint, card_prio
 
 
 def _near(df: DataFrame, state: str) -> DataFrame:
-    return _rounded(df, *(c.split()[0] for c in state.split(", ") if c.endswith("double")))
+    # The card's amounts have eight digits, so their deviation has fewer behind the point.
+    names = [c.split()[0] for c in state.split(", ") if c.endswith("double")]
+    return _rounded(_rounded(df, *(c for c in names if c != "card_prior_amt_std")), *(c for c in names if c == "card_prior_amt_std"), digits=3)
 
 
 def _near_sql(state: str) -> str:
-    return ", ".join(f"round({n}, 6) as {n}" if k == "double" else n for n, k in map(str.split, state.split(", ")))
+    return ", ".join(f"round({n}, {3 if n == 'card_prior_amt_std' else 6}) as {n}" if k == "double" else n for n, k in map(str.split, state.split(", ")))
 
 
 @query(f"select 'C' || event_id as nameOrig, {_near_sql(_LEDGER_STATE)} from {_joined(('ledger_prior_history', 'ledger_velocity'), 'event_id')}")

@@ -96,8 +96,11 @@ def card_reason(v: Column) -> Column:
 
 
 def classify(records: DataFrame, reason) -> DataFrame:
-    """key, value and reason_code (null: valid) of each record; each is parsed once."""
-    return records.select("key", "value", record_of(F.col("value")).alias("v")).select("key", "value", reason(F.col("v")).alias("reason_code"))
+    """key, value and reason_code (null: valid) of each record.
+
+    The parsed record comes from a generator of one row, below which no filter on the reason is pushed: each is parsed once."""
+    parsed = records.select("key", "value", F.explode(F.array(record_of(F.col("value")))).alias("v"))
+    return parsed.select("key", "value", reason(F.col("v")).alias("reason_code"))
 
 
 def dead_letters(classified: DataFrame) -> DataFrame:
