@@ -9,34 +9,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import CARD, LEDGER, add_card_rowwise, add_ledger_rowwise, prune_near_constant
+from ..operators import CARD, LEDGER, History, add_card_rowwise, add_ledger_rowwise, prune_near_constant
 from ..sources.streams import as_records, stream_sink
 from ..specs import LEDGER_RAW, card_raw_schema
 from . import dlq
 from .state import with_state
 
 VERSION = "v1.0"
+_RECORD, _PARSED = "history_record", "history_parsed"
+
+
+def _rows(records: DataFrame, schema, rowwise, *keep: str) -> DataFrame:
+    """The columns to keep of the records (value among them), and the features of each row alone."""
+    return rowwise(records.select(*keep, F.from_json("value", schema).alias(_PARSED)).select(*(F.col(c).alias(_RECORD if c == "value" else c) for c in keep), f"{_PARSED}.*"))
+
+
+def _ledger_rowwise(rows: DataFrame) -> DataFrame:
+    return add_ledger_rowwise(rows, include_tier_b=False).drop("newbalanceOrig", "newbalanceDest", "isFlaggedFraud")
+
+
+def _card_rowwise(train_max_day: float):
+    return lambda rows: prune_near_constant(add_card_rowwise(rows, train_max_day))
+
+
+def _valid(records: DataFrame, reason) -> DataFrame:
+    return dlq.classify(records, reason).where("reason_code is null").select("value")
 
 
 def ledger_rows(records: DataFrame) -> DataFrame:
     """Valid records with the row-wise features known at authorisation time."""
-    valid = dlq.classify(records, dlq.ledger_reason).where("reason_code is null")
-    rows = valid.select(F.from_json("value", LEDGER_RAW).alias("r")).select("r.*")
-    return add_ledger_rowwise(rows, include_tier_b=False).drop("newbalanceOrig", "newbalanceDest", "isFlaggedFraud")
+    return _rows(_valid(records, dlq.ledger_reason), LEDGER_RAW, _ledger_rowwise)
 
 
 def card_rows(records: DataFrame, train_max_day: float = 130.0, schema=None) -> DataFrame:
-    valid = dlq.classify(records, dlq.card_reason).where("reason_code is null")
-    rows = valid.select(F.from_json("value", schema or card_raw_schema()).alias("r")).select("r.*")
-    return prune_near_constant(add_card_rowwise(rows, train_max_day))
+    return _rows(_valid(records, dlq.card_reason), schema or card_raw_schema(), _card_rowwise(train_max_day))
+
+
+def _stream(valid: DataFrame, schema, rowwise, h: History, share_flags: dict[str, str] | None = None) -> DataFrame:
+    """Rows with their history. Only what the state reads goes to Python, with the record; the row is made again from that
+    afterwards, where no columns but those in use are parsed."""
+    reads = list(dict.fromkeys((h.entity, h.clock, h.amount, *([h.tie_break] if h.tie_break else []), *(share_flags or {}).values())))
+    seen = with_state(_rows(valid, schema, rowwise, "value").select(F.col(_RECORD), *reads), h, share_flags).drop(*reads).withColumnRenamed(_RECORD, "value")
+    made = [c for c in seen.columns if c != "value"]
+    rows = _rows(seen, schema, rowwise, *made)
+    return rows.select(*(c for c in rows.columns if c not in made), *made).withColumn("feature_version", F.lit(VERSION))
 
 
 def ledger_stream(records: DataFrame) -> DataFrame:
-    return with_state(ledger_rows(records), LEDGER, {"dest_prior_cashout_share": "type_cash_out"}).withColumn("feature_version", F.lit(VERSION))
+    return _stream(_valid(records, dlq.ledger_reason), LEDGER_RAW, _ledger_rowwise, LEDGER, {"dest_prior_cashout_share": "type_cash_out"})
 
 
 def card_stream(records: DataFrame, train_max_day: float = 130.0, schema=None) -> DataFrame:
-    return with_state(card_rows(records, train_max_day, schema), CARD).withColumn("feature_version", F.lit(VERSION))
+    return _stream(_valid(records, dlq.card_reason), schema or card_raw_schema(), _card_rowwise(train_max_day), CARD)
 
 
 def late_letters(rows: DataFrame, key: str) -> DataFrame:

@@ -2,17 +2,23 @@
 
 State of an entity: moments of all rows before the open clock value, moments of the rows of the open one (only without a
 tie-break: they become visible when a later clock value comes, in this micro-batch or in any later one), the last
-position, and the rows that rolling windows can still reach. All rows of a key in a micro-batch are sorted before they
-are used. A row behind the key's position is late: it comes out with a reason and without features."""
+position, and the rows that rolling windows can still reach. All rows of an entity in a micro-batch are sorted before
+they are used. A row behind its entity's position is late: it comes out with a reason and without features.
+
+Entities are grouped by a hash, because a call of the processor costs far more than a row; the state is a map with an entry
+for each entity, and only entries of a micro-batch's entities are read and written."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +27,10 @@ from ..session import ship
 
 LATE, NO_CLOCK = "LATE_EVENT", "BAD_FIELD_TYPE"
 _MOMENTS = ("rows", "n", "mean", "m2", "total", "top", "shares")
+# Names that begin with an underscore are lost on the way to pandas.
+_ENTITY, _GROUP = "history_entity", "history_group"
+#: Fixed, because the state is kept by it: other numbers can't continue a checkpoint.
+GROUPS = 1024
 
 
 @dataclass
@@ -35,7 +45,8 @@ class Moments:
 
     def add(self, amount: float | None, hits: tuple) -> None:
         self.rows += 1
-        self.shares = tuple(a + b for a, b in zip(self.shares, hits, strict=True))
+        if hits:
+            self.shares = tuple(a + b for a, b in zip(self.shares, hits, strict=True))
         if amount is not None and amount == amount:
             self.n += 1
             d = amount - self.mean
@@ -57,9 +68,13 @@ class Moments:
 
 
 def _state_type() -> T.StructType:
-    kinds = {"rows": T.LongType(), "n": T.LongType(), "shares": T.ArrayType(T.LongType())}
+    """Lists have no structs in them, whose conversion takes longer than the state itself."""
+    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+    kinds = {"rows": T.LongType(), "n": T.LongType(), "shares": longs}
     moments = lambda p: [T.StructField(f"{p}_{m}", kinds.get(m, T.DoubleType())) for m in _MOMENTS]
-    return T.StructType([*moments("past"), *moments("open"), T.StructField("clock", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("before", T.LongType())])
+    position = [T.StructField(c, T.LongType()) for c in ("clock", "tie", "before")]
+    recent = [T.StructField(f"recent_{c}", k) for c, k in (("clock", longs), ("n", longs), ("total", doubles))]
+    return T.StructType([*moments("past"), *moments("open"), *position, *recent])
 
 
 def output_type(schema: T.StructType, h: History, share_names: list[str]) -> T.StructType:
@@ -74,97 +89,128 @@ def output_type(schema: T.StructType, h: History, share_names: list[str]) -> T.S
 
 
 class HistoryProcessor(StatefulProcessor):
-    """share_flags: name of the share, and the 0/1 input column that it counts."""
+    """share_flags: name of the share, and the 0/1 input column that it counts. Rows come with their entity as _ENTITY."""
 
     def __init__(self, h: History, schema: T.StructType, share_flags: dict[str, str], min_count: int = 3, min_std: float = 1e-5):
         self.h, self.schema, self.share_flags, self.min_count, self.min_std = h, schema, share_flags, min_count, min_std
         self.width = max([*h.rolling_counts.values(), *h.rolling_sums.values(), 0])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getValueState("moments", _state_type())
-        self.recent = handle.getListState("recent", T.StructType([T.StructField("clock", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())]))
-
-    def _load(self) -> tuple[Moments, Moments, int | None, int | None, int | None]:
-        """(past, open, clock and tie of the last row, the last clock value before the open one)."""
-        if not self.moments.exists():
-            zero = (0,) * len(self.share_flags)
-            return Moments(shares=zero), Moments(shares=zero), None, None, None
-        v = list(self.moments.get())
-        k = len(_MOMENTS)
-        past, open_ = (Moments(*x[:-1], tuple(int(i) for i in x[-1])) for x in (v[:k], v[k : 2 * k]))
-        return past, open_, *v[2 * k :]
+        self.histories = handle.getMapState("histories", T.StructType([T.StructField("entity", T.StringType())]), _state_type())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         h = self.h
         batch = pd.concat(list(rows), ignore_index=True)
-        past, open_, clock, tie, before = self._load()
         order = [h.clock, h.tie_break] if h.tie_break else [h.clock]
         usable = batch[order].notna().all(axis=1)
-        late = pd.Series(False, index=batch.index)
-        if clock is not None:
-            late = usable & ((batch[h.clock] < clock) | ((batch[h.clock] == clock) & (batch[h.tie_break] <= tie)) if h.tie_break else (batch[h.clock] < clock))
-        good = batch[usable & ~late].sort_values(order, kind="stable")
-        # One entry for each value of the clock in the widest window, however many rows it has.
-        recent = [(int(c), int(k), float(t)) for c, k, t in self.recent.get()] if self.recent.exists() else []
-        amounts = [None if pd.isna(a) else float(a) for a in good[h.amount]]
-        clocks = [int(c) for c in good[h.clock]]
-        for c, a in zip(clocks, amounts, strict=True):
-            if recent and recent[-1][0] == c:
-                recent[-1] = (c, recent[-1][1] + 1, recent[-1][2] + (a or 0.0))
-            else:
-                recent.append((c, 1, a or 0.0))
-        times = np.array([c for c, _, _ in recent], np.int64)
-        counts = np.concatenate(([0], np.cumsum([k for _, k, _ in recent], dtype=np.int64)))
-        sums = np.concatenate(([0.0], np.cumsum([t for _, _, t in recent])))
-        hits = list(zip(*(good[c].fillna(0).astype(int) for c in self.share_flags.values()), strict=True)) if self.share_flags else [()] * len(good)
-        ties = [int(t) for t in good[h.tie_break]] if h.tie_break else clocks
-        out: dict[str, list] = {}
-        for i, (c, a) in enumerate(zip(clocks, amounts, strict=True)):
-            if h.tie_break:
-                before = clock
-            elif clock is not None and c > clock:
-                past.merge(open_)
-                open_, before = Moments(shares=(0,) * len(self.share_flags)), clock
-            self._put(out, past, c, a, before, times, counts, sums)
-            (past if h.tie_break else open_).add(a, hits[i])
-            clock, tie = c, ties[i]
-        keep = [x for x in recent if clock is not None and x[0] >= clock - self.width] if self.width else []
-        if clock is not None:
-            self.recent.put(keep) if keep else self.recent.clear()
-            pack = lambda m: (m.rows, m.n, m.mean, m.m2, m.total, m.top, list(m.shares))
-            self.moments.update((*pack(past), *pack(open_), clock, tie, before))
-        frames = []
-        if len(good):
-            frames.append(pd.concat([good.reset_index(drop=True), pd.DataFrame(out)], axis=1).assign(reason_code=None))
-        for rows_, why in ((batch[late], LATE), (batch[~usable], NO_CLOCK)):
-            if len(rows_):
-                frames.append(rows_.assign(reason_code=why))
+        codes, entities = pd.factorize(batch[_ENTITY], use_na_sentinel=False)
+        good = batch.assign(**{_GROUP: codes})[usable].sort_values([_GROUP, *order], kind="stable", ignore_index=True)
+        codes, clocks = good[_GROUP].to_numpy(), good[h.clock].astype("int64").tolist()
+        ties = good[h.tie_break].astype("int64").tolist() if h.tie_break else clocks
+        amounts = good[h.amount].astype("float64").tolist()
+        hits = list(zip(*(good[c].fillna(0).astype(int).tolist() for c in self.share_flags.values()), strict=True)) if self.share_flags else [()] * len(good)
+        known = self.histories.exists()
+        late, out = np.zeros(len(good), bool), []
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(good)] if len(good) else []
+        for start, end in zip(edges, edges[1:]):
+            entity = entities[codes[start]]
+            entity = None if pd.isna(entity) else entity
+            history = _History(self, self.histories.getValue((entity,)) if known else None)
+            # In order, so the late rows come first.
+            first = start
+            while first < end and history.passed(clocks[first], ties[first]):
+                first += 1
+            late[start:first] = True
+            if first < end:
+                for i in range(first, end):
+                    out.append(history.add(clocks[i], ties[i], amounts[i], hits[i]))
+                self.histories.updateValue((entity,), history.state())
         kinds = output_type(self.schema, h, list(self.share_flags))
-        for f in frames:
-            yield _typed(f, kinds)
-
-    def _put(self, out, past: Moments, c: int, a, last, times, counts, sums) -> None:
-        h, n = self.h, self.h.names
-        std = (past.m2 / (past.n - 1)) ** 0.5 if past.n > 1 else None
-        mean = past.mean if past.n else None
-        end = int(np.searchsorted(times, c, "left"))
-        row = {
-            n["count"]: past.rows, n["sum"]: past.total, n["mean"]: mean, n["std"]: std, n["max"]: past.top if past.n else None,
-            n["first"]: int(past.rows == 0), n["since"]: None if last is None else c - last,
-            n["zscore"]: (a - mean) / std if a is not None and past.rows >= self.min_count and std is not None and std > self.min_std else None,
-            **{k: past.shares[i] / past.rows if past.rows else None for i, k in enumerate(self.share_flags)},
-        }
-        for k, w in h.rolling_counts.items():
-            row[k] = int(counts[end] - counts[int(np.searchsorted(times, c - w, "left"))])
-        for k, w in h.rolling_sums.items():
-            row[k] = float(sums[end] - sums[int(np.searchsorted(times, c - w, "left"))])
-        for k, v in row.items():
-            out.setdefault(k, []).append(v)
+        if out:
+            names = kinds.names[len(self.schema) : -1]
+            made = pd.DataFrame({k: np.array(v, float) for k, v in zip(names, zip(*out, strict=True), strict=True)})
+            yield _typed(pd.concat([good[~late].reset_index(drop=True), made], axis=1), kinds)
+        for rows_, why in ((good[late], LATE), (batch[~usable], NO_CLOCK)):
+            if len(rows_):
+                yield _typed(rows_.assign(reason_code=why), kinds)
 
     def close(self) -> None:
         pass
 
 
+class _History:
+    """The history of one entity, taken from its state (None: a new one) and back to it."""
+
+    def __init__(self, p: HistoryProcessor, state):
+        self.p, self.tied = p, bool(p.h.tie_break)
+        self.counted, self.summed = list(p.h.rolling_counts.values()), list(p.h.rolling_sums.values())
+        self.fresh = (0,) * len(p.share_flags)
+        k = len(_MOMENTS)
+        if state is None:
+            self.past, self.open = Moments(shares=self.fresh), Moments(shares=self.fresh)
+            self.clock = self.tie = self.before = None
+            # One entry for each value of the clock in the widest window, however many rows it has.
+            self.times, self.rows, self.totals = [], [], []
+        else:
+            self.past, self.open = (Moments(*x[:-1], tuple(x[-1])) for x in (state[:k], state[k : 2 * k]))
+            self.clock, self.tie, self.before = state[2 * k : 2 * k + 3]
+            self.times, self.rows, self.totals = (list(x) for x in state[2 * k + 3 :])
+        # Of all entries before each.
+        self.rows_before, self.total_before = ([0, *accumulate(x)][: len(x)] for x in (self.rows, self.totals))
+        self.lows = dict.fromkeys((*self.counted, *self.summed), 0)
+        self.rolling: tuple | None = None
+
+    def passed(self, clock: int, tie: int) -> bool:
+        """Whether a row comes too late."""
+        return self.clock is not None and (clock < self.clock or self.tied and clock == self.clock and tie <= self.tie)
+
+    def add(self, clock: int, tie: int, amount: float, hits: tuple) -> tuple:
+        """The features of the next row (amount: NaN if there is none), in the order of the output."""
+        p, past, new = self.p, self.past, clock != self.clock
+        if self.tied:
+            self.before = self.clock
+        elif new and self.clock is not None:
+            past.merge(self.open)
+            self.open, self.before = Moments(shares=self.fresh), self.clock
+        if p.width:
+            if new:
+                self.rows_before.append(self.rows_before[-1] + self.rows[-1] if self.rows else 0)
+                self.total_before.append(self.total_before[-1] + self.totals[-1] if self.rows else 0.0)
+                self.times.append(clock)
+                self.rows.append(0)
+                self.totals.append(0.0)
+            if new or self.rolling is None:
+                self.rolling = self._windows(clock)
+            self.rows[-1] += 1
+            if amount == amount:
+                self.totals[-1] += amount
+        n = past.rows
+        std = (past.m2 / (past.n - 1)) ** 0.5 if past.n > 1 else None
+        scored = n >= p.min_count and std is not None and std > p.min_std
+        out = (
+            n, past.total, past.mean if past.n else None, std, past.top if past.n else None, *(self.rolling or ()),
+            int(n == 0), None if self.before is None else clock - self.before, (amount - past.mean) / std if scored else None,
+            *(x / n if n else None for x in past.shares),
+        )
+        (past if self.tied else self.open).add(amount, hits)
+        self.clock, self.tie = clock, tie
+        return out
+
+    def _windows(self, clock: int) -> tuple:
+        """Rolling counts and sums of the entries before the last, which is the clock's own."""
+        for w, low in self.lows.items():
+            while self.times[low] < clock - w:
+                low += 1
+            self.lows[w] = low
+        rows, total = self.rows_before, self.total_before
+        return *(rows[-1] - rows[self.lows[w]] for w in self.counted), *(total[-1] - total[self.lows[w]] for w in self.summed)
+
+    def state(self) -> tuple:
+        pack = lambda m: (m.rows, m.n, m.mean, m.m2, m.total, m.top, list(m.shares))
+        low = bisect_left(self.times, self.clock - self.p.width)
+        return *pack(self.past), *pack(self.open), self.clock, self.tie, self.before, self.times[low:], self.rows[low:], self.totals[low:]
+
+
 def _typed(f: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
     """The schema's columns in its order, with nullable types, so that an integer column with nulls stays one."""
     kinds = {"integer": "Int32", "byte": "Int8", "long": "Int64", "double": "Float64"}
@@ -177,7 +223,11 @@ def _typed(f: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
 
 
 def with_state(df: DataFrame, h: History, share_flags: dict[str, str] | None = None) -> DataFrame:
-    """`df` (a stream) with the history's features and reason_code (null, or why the row has no features)."""
+    """`df` (a stream) with the history's features and reason_code (null, or why the row has no features).
+
+    All of its columns go through Python, row by row; see pipelines for a way around with many of them."""
     ship(df.sparkSession)
     flags = share_flags or {}
-    return df.groupBy(h.entity).transformWithStateInPandas(HistoryProcessor(h, df.schema, flags), output_type(df.schema, h, list(flags)), outputMode="Append", timeMode="None")
+    entity = F.col(h.entity).cast("string")
+    grouped = df.select("*", entity.alias(_ENTITY), F.pmod(F.xxhash64(entity), F.lit(GROUPS)).cast("int").alias(_GROUP)).groupBy(_GROUP)
+    return grouped.transformWithStateInPandas(HistoryProcessor(h, df.schema, flags), output_type(df.schema, h, list(flags)), outputMode="Append", timeMode="None")
