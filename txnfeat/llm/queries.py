@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, decontaminate, divergence, fingerprint, html_text, licenses, near_dups, quality, token_files, toxicity, url_filter, warc
+from . import bpe, conversations, decontaminate, divergence, fingerprint, html_text, licenses, near_dups, quality, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_divergence": divergence.op13_divergence,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op6_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
