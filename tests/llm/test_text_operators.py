@@ -227,6 +227,30 @@ def test_quality_dictionaries_hold_all_chosen_rows(spark):
         assert len(excerpts) == quality.DICTIONARY_ROWS and all(x == dict(texts)[int(x[1 : x.index(">")])][: quality.EXCERPT_BYTES] for x in excerpts)
 
 
+@pytest.mark.parametrize("most", [700, 9000, 80_000])
+def test_quality_compressors_use_every_row_of_a_dictionary(most):
+    """A block of each chosen text is found in it, however large the dictionary would be."""
+    rng = np.random.default_rng(most)
+    texts = [(i, rng.integers(97, 123, int(rng.integers(300, most)), dtype=np.uint8).tobytes()) for i in range(quality.DICTIONARY_ROWS)]
+    body = quality.dictionary(texts)
+    assert len(body) <= quality.DICTIONARY_BYTES
+    parts = body.split(b"\n")
+    assert len(parts) == len(texts) and all(p in t for p, (_, t) in zip(parts, texts, strict=True))
+    if sum(len(t) for _, t in texts) < quality.DICTIONARY_BYTES - 1000:
+        assert parts == [t for _, t in texts]
+    good, bad, plain = quality.Model(body, b"", *(np.zeros(1),) * 3).compressors()
+    sizes = [(len(good.compress(p[: quality.BLOCK_BYTES])), len(plain.compress(p[: quality.BLOCK_BYTES]))) for p in parts]
+    assert all(x < 64 < y for x, y in sizes)
+
+
+def test_quality_learns_repeated_rows_once(spark):
+    rows = [(i, f"text {i} " + ("calm river " if i % 2 else "BUY NOW ") * 20) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    one, many = quality.train(docs, labels), quality.train(docs.union(docs).union(docs), labels.union(labels))
+    assert (one.good, one.bad) == (many.good, many.bad) and np.array_equal(one.weights, many.weights)
+
+
 def test_quality_scores_against_plain_python(spark, docs):
     import math
 
@@ -239,7 +263,8 @@ def test_quality_scores_against_plain_python(spark, docs):
 
     def brute(text):
         data = (text or "").encode()
-        size = lambda body, x: len(zstandard.ZstdCompressor(level=5, write_content_size=False, **({"dict_data": zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if body else {})).compress(x))
+        plain = {"level": 5, "write_content_size": False}
+        size = lambda body, x: len(zstandard.ZstdCompressor(**({"compression_params": quality._parameters(), "dict_data": zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if body else plain)).compress(x))
         blocks = [data[i : i + 2048] for i in range(0, len(data), 2048)] or [b""]
         g, b, p = ([size(d, x) for x in blocks] for d in (model.good, model.bad, b""))
         n = max(1, len(data))

@@ -23,8 +23,9 @@ from .common import fields_of, session_of, table, trimmed, with_bytes, written
 
 #: The most labelled rows of each class that the dictionaries, and that the calibration, learn from.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 600, 2000
-#: Of a longer text, a dictionary has so many bytes in a row, from a place chosen by a hash: a bound on its memory.
-EXCERPT_BYTES = 1 << 16
+#: The most bytes of a dictionary, all of which its tables hold; texts are cut to one length, at most EXCERPT_BYTES, that makes
+#: them fit. Of a longer text it has that many bytes in a row, from a place chosen by a hash.
+DICTIONARY_BYTES, EXCERPT_BYTES = 4_000_000, 1 << 16
 #: Bytes of a block that is compressed at once; a block's difference is told against so many bytes at least.
 BLOCK_BYTES, LEAST_BYTES, LEVEL = 2048, 200, 5
 THRESHOLD = 0.3
@@ -42,11 +43,27 @@ def sizes(good, bad, plain, text: bytes) -> list[float]:
     return [(g - b) / (g + b), g / n, b / n, p / n, np.log(n) / 10, (g - b) / n, most, n**-0.5]
 
 
-def excerpt(doc_id: int, text: bytes) -> bytes:
-    """The whole text, or EXCERPT_BYTES of a longer one from a place that a hash of doc_id chooses."""
-    places = max(1, len(text) - EXCERPT_BYTES + 1)
+def excerpt(doc_id: int, text: bytes, length: int = EXCERPT_BYTES) -> bytes:
+    """The whole text, or `length` bytes of a longer one from a place that a hash of doc_id chooses."""
+    places = max(1, len(text) - length + 1)
     at = zlib.crc32(b"%d" % doc_id) % places if places > 1 else 0
-    return text[at : at + EXCERPT_BYTES]
+    return text[at : at + length]
+
+
+def dictionary(texts: list[tuple[int, bytes]]) -> bytes:
+    """The texts, each by its doc_id, as one: whole if they have up to DICTIONARY_BYTES, else cut to the greatest length that fits."""
+    left, length = DICTIONARY_BYTES - len(texts), EXCERPT_BYTES
+    for i, n in enumerate(sorted(len(t) for _, t in texts)):
+        if n * (len(texts) - i) > left:
+            length = min(length, left // (len(texts) - i))
+            break
+        left -= n
+    return b"\n".join(excerpt(i, t, length) for i, t in texts)
+
+
+def _parameters() -> zstandard.ZstdCompressionParameters:
+    """With tables that have a place for each byte of a dictionary; those of the level hold only the end of a large one."""
+    return zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=23, hash_log=22, chain_log=22, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
 
 
 @dataclass
@@ -65,8 +82,8 @@ class Model:
                 out.append(plain)
                 continue
             d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False))
+            d.precompute_compress(compression_params=_parameters())
+            out.append(zstandard.ZstdCompressor(compression_params=_parameters(), dict_data=d))
         return (*out, plain)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -112,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most 2 * (DICTIONARY_ROWS + CALIBRATION_ROWS) labelled rows that aren't held out, chosen by a hash of doc_id.
 
     docs: doc_id, text; labels: doc_id, quality. Null labels are left out, a doc_id with several labels counts as the
-    lowest, rows that repeat a doc_id are all learnt; without rows of both classes all texts score alike."""
+    lowest, one with several texts as its least text; rows that repeat are learnt once; without rows of both classes all
+    texts score alike."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(7)))
     learnt = []
@@ -123,11 +141,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         learnt += [(*r, i < n, i) for i, r in enumerate(own)]
     # At most 5,200 identifiers, whatever the input.
     ids = docs.sparkSession.createDataFrame(learnt, "doc_id long, quality int, worded boolean, place int")
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "quality-sample")
-    bodies: dict[int, list[bytes]] = {0: [], 1: []}
-    for _, q, doc, text in sorted((r["place"], r["quality"], r["doc_id"], excerpt(r["doc_id"], (r["text"] or "").encode())) for r in sample.where("worded").toLocalIterator()):
-        bodies[q].append(text)
-    blank = Model(b"\n".join(bodies[1]), b"\n".join(bodies[0]), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality", "worded", "place").agg(F.min("text").alias("text"))
+    sample = written(texts, "quality-sample")
+    # Of a text the driver gets EXCERPT_BYTES at most.
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    start = F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.greatest(F.lit(1), F.octet_length("text") - EXCERPT_BYTES + 1)
+    cut = F.when(F.octet_length("text") > EXCERPT_BYTES, F.substring(data, F.col("start") + 1, F.lit(EXCERPT_BYTES))).otherwise(data)
+    worded = sample.where("worded").withColumn("start", start.cast("int")).select("place", "quality", "doc_id", cut.alias("body"))
+    bodies: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
+    for _, q, doc, body in sorted(map(tuple, worded.toLocalIterator())):
+        bodies[q].append((doc, bytes(body)))
+    blank = Model(dictionary(bodies[1]), dictionary(bodies[0]), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     found = sorted((r[0], r[1], tuple(r[2])) for r in _features(sample.where("not worded").select("doc_id", "quality", "text"), blank).collect())
     x = np.array([f for _, _, f in found]).reshape(-1, FEATURES)
     blank.mean, blank.scale, blank.weights = regression(x, np.array([q for _, q, _ in found], float))
