@@ -431,3 +431,28 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan(empty, licenses.template_table(spark)).count() == 0
     assert licenses.scan(d, licenses.template_table(spark, [("short", "two words"), ("none", None)])).count() == 0
     assert not re.search("Python|Arrow|Pandas", licenses.scan(d, licenses.template_table(spark))._jdf.queryExecution().toString())
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, '<a "' * 260_000, "<font>" * 60_000 + "</b>" * 60_000, "<font><p>x</p>" * 30_000, "<a " + "x" * 10**6 + ">", "<a \"'> x" * 120_000, "<div>x" * 60_000, "<" * 10**6, "<a 'b>" + "<i c=\"d>" * 100_000, "<p>some words</p><li><a href=x>y</a></li>" * 20_000],
+)
+def test_broken_markup_takes_time_in_proportion(page):
+    import time
+
+    html_text.fitted()
+    t = time.process_time()
+    small = page[: len(page) // 8]
+    html_text.main_text(small)
+    short, t = time.process_time() - t, time.process_time()
+    html_text.main_text(page)
+    # Eight times the page: 8 times the time; 64 times it, where it is quadratic.
+    assert time.process_time() - t < max(24 * short, 1.0)
+
+
+def test_cut_with_searches_that_end_without_success():
+    # A long chain without a source, then one with: the former is searched once, not once for each of its nodes.
+    n = 6000
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)]
+    assert html_text.minimum_cut([0.0] * n, [1.0] * n, edges) == [False] * n
+    assert html_text.minimum_cut([0.0] * (n - 1) + [9.0], [0.001] * n, edges) == [True] * n

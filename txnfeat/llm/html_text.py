@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import fields_of, session_of, table, trimmed
 from .quality import regression
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'<>])([^\s=/"'<>]++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -56,6 +56,8 @@ _FOOT = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 TRAINING_PAGES, SEED = 600, 20240103
 #: The shares of the neighbours' odds that are tried as weights of the edges; the one with the fewest errors is taken.
 SHARES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.7)
+#: So many times a page's length is read for tags with quotes that never end; then quotes in tags mean nothing.
+READ_AGAIN = 8
 #: Longer blocks are told alike.
 LONG = 400
 #: Neighbours further apart in the tree than this are told alike.
@@ -63,11 +65,13 @@ FARTHEST = 6
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "bad", "main", "skip", "opaque")
+    __slots__ = ("tag", "parent", "depth", "bad", "main", "skip", "block")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        #: The nearest element that makes blocks, itself among them.
+        self.block = self if parent is None or tag in BLOCKS else parent.block
         self.main = bool(parent and parent.main) or tag in MAIN_TAGS
         self.skip = bool(parent and parent.skip) or tag in SKIPPED
         self.bad = parent.bad if parent else 0.0
@@ -118,9 +122,14 @@ class Block:
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """The page's blocks of text in order, with character references decoded and white space folded."""
+    """The page's blocks of text in order, with character references decoded and white space folded.
+
+    Time is in proportion to the page's length, whatever its markup: no tag is looked for where no > follows, quotes without
+    an end are looked for READ_AGAIN times at most, and what is open is counted by tag."""
     root = Element("html", "", None)
     stack, parts, linked, links, at = [root], [], 0, 0, 0
+    opened: dict[str, int] = {}
+    close, left = 0, READ_AGAIN * len(page)
 
     def flush():
         nonlocal linked
@@ -129,7 +138,7 @@ def blocks(page: str) -> Iterator[Block]:
             parts.clear()
             n, linked = linked, 0
             if text:
-                return Block(next(e for e in reversed(stack) if e.tag in BLOCKS or e is root), text, min(n, len(text)))
+                return Block(stack[-1].block, text, min(n, len(text)))
         linked = 0
         return None
 
@@ -141,13 +150,25 @@ def blocks(page: str) -> Iterator[Block]:
             if links:
                 linked += len(text)
 
+    def drop(depth: int):
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+        del stack[depth:]
+
     while True:
         lt = page.find("<", at)
         if lt < 0:
             take(page[at:])
             break
         take(page[at:lt])
-        m = _TOKEN.match(page, lt) or _LOOSE.match(page, lt)
+        if 0 <= close < lt:
+            close = page.find(">", lt)
+        m = None
+        if close >= 0 or page.startswith(("<!", "<?"), lt):
+            m = _TOKEN.match(page, lt) if left > 0 or page.startswith(("<!", "<?"), lt) else None
+            if m is None and page[lt + 1 : lt + 2] not in ("", " "):
+                left -= len(page) - lt if left > 0 and _LOOSE.match(page, lt) else 0
+                m = _LOOSE.match(page, lt)
         if m is None:
             take("<")
             at = lt + 1
@@ -159,12 +180,13 @@ def blocks(page: str) -> Iterator[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if any(e.tag == tag for e in stack[1:]):
+            if opened.get(tag):
                 if tag in BLOCKS and (b := flush()):
                     yield b
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                drop(depth)
             elif tag in BLOCKS and (b := flush()):
                 yield b
             continue
@@ -173,12 +195,8 @@ def blocks(page: str) -> Iterator[Block]:
                 yield b
             # A paragraph ends where a block begins, with all that is open in it; an item where the next item begins.
             opens = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}.get(tag, ("p",))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in opens:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            if (nearest := stack[-1].block).tag in opens:
+                drop(nearest.depth)
             links = 0
         if tag == "br":
             parts.append(" ")
@@ -199,6 +217,7 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if tag != "head":
             stack.append(Element(tag, m[3], stack[-1]))
+            opened[tag] = opened.get(tag, 0) + 1
     if b := flush():
         yield b
 
@@ -327,27 +346,30 @@ def fitted(pages: int = TRAINING_PAGES, seed: int = SEED) -> Cutter:
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a least cut, by shortest augmenting paths from nodes with a rest to the source
-    to nodes with a rest to the sink. Capacities are rounded to thousandths, so the result is exact for those."""
+    to nodes with a rest to the sink. Capacities are rounded to thousandths, so the result is exact for those. What a search
+    without success has seen no source will ever reach, so no other search looks there."""
     rest = [round(1000 * (a - b)) for a, b in zip(source, sink, strict=True)]  # what is left after source-node-sink paths
     out: list[dict[int, int]] = [{} for _ in rest]
     for i, j, c in edges:
         c = round(1000 * c)
         out[i][j] = out[i].get(j, 0) + c
         out[j][i] = out[j].get(i, 0) + c
+    dead: set[int] = set()
     for t in [i for i, r in enumerate(rest) if r < 0]:
-        while rest[t] < 0:
+        while rest[t] < 0 and t not in dead:
             # Backwards from the node that still drains to the nearest one that still is fed.
             after, todo, found = {t: -1}, deque([t]), -1
             while todo and found < 0:
                 v = todo.popleft()
                 for u in out[v]:
-                    if u not in after and out[u][v] > 0:
+                    if u not in after and u not in dead and out[u][v] > 0:
                         after[u] = v
                         if rest[u] > 0:
                             found = u
                             break
                         todo.append(u)
             if found < 0:
+                dead.update(after)
                 break
             path = [found]
             while after[path[-1]] >= 0:
