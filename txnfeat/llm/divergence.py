@@ -1,6 +1,6 @@
 """Source divergence audit: how far the term shares of each two sources of a language lie apart, and each source's own terms.
 
-Terms are counted by (language, source) with a map-side combine. Each kept term then is one row, a vector of its counts
+Terms are counted by (language, source), in each task before the shuffle. Each kept term then is one row, a vector of its counts
 in all sources of its language; higher-order functions turn it into shares, and the differences of each two of them into
 contributions, which are summed where they are made before they are shuffled. All arithmetic is on integers.
 
@@ -10,22 +10,25 @@ row for each pair of sources, so their number is taken as one that such a result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
-from .licenses import LOWER, UPPER
+from .common import session_of, table, trimmed, with_bytes, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, BEST = 10, 10
+#: Entries that a task counts before it passes them on; bytes of a text whose terms are held at once.
+ENTRIES, CHUNK_BYTES = 400_000, 1 << 20
 #: So many contributions are a task's work: few terms of many sources are spread like many terms of few.
 TASK_PAIRS = 4_000_000
 
 
-def _lower(term: Column) -> Column:
-    """A-Z alone; on ASCII lower() does just that, and far faster than translate()."""
-    return F.when(F.octet_length(term) == F.char_length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
+#: For translate(): A-Z lower-cased, other ASCII than letters as spaces.
+LETTERS = bytes(b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
 
 def share(count: str, total: str, kept: str) -> str:
@@ -39,15 +42,47 @@ def _difference(p: str, q: str) -> str:
     return f"({p} - {q}) * ({p} - {q}) div ({p} + {q})"
 
 
+def stretches(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order, a stretch of it at a time."""
+    plain, at = text.translate(LETTERS), 0
+    while at < len(plain):
+        end = plain.find(b" ", at + CHUNK_BYTES)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
+        at = end
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, docs, size = defaultdict(Counter), defaultdict(Counter), 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in found.items():
+            held = docs[lang, source]
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(terms), pa.string()) for x in (lang, source)] + [pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(list(terms.values()), pa.int64()), pa.array([held[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        found.clear()
+        docs.clear()
+
+    for b in batches:
+        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            terms, distinct = found[lang, source], set()
+            before = len(terms)
+            for words in stretches(text.as_py()):
+                terms.update(words)
+                distinct.update(words)
+            docs[lang, source].update(distinct)
+            size += len(terms) - before
+            if size >= ENTRIES:
+                yield from told()
+                size = 0
+    yield from told()
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it) of all terms."""
-    texts = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    raw = texts.select("lang", "source", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("raw"))
-    terms = raw.select("lang", "source", F.transform("raw", _lower).alias("terms"))
-    # Each occurrence once, and the distinct terms of the document once more, as its documents.
-    both = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
-    each = terms.select("lang", "source", F.explode(both).alias("e")).select("lang", "source", "e.term", "e.d")
-    return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("d")).alias("n"), F.sum("d").alias("docs"))
+    session_of(docs)
+    texts = with_bytes(docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))).drop("text")
+    each = texts.mapInArrow(trimmed(_count), "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int = BEST) -> DataFrame:
@@ -57,8 +92,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int = BEST) -> Da
     ordered pair of sources of a language, part 'term' the `best` terms whose share in the source is above that in the
     language. Values are in descending order, ties in ascending order of the item's UTF-8. A term is kept where at least
     `least_docs` rows of its language hold it (rows that repeat count each); without kept terms all pairs have value 0
-    and there are no terms. A group without terms has the share of a count of 0 for each. A text of any length is one row's
-    array of terms; an empty table gives an empty one."""
+    and there are no terms. A group without terms has the share of a count of 0 for each. A text of any length is read
+    whole, stretch by stretch; an empty table gives an empty one."""
     kept = counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("own")).where(F.col("docs") >= least_docs)
     kept = written(kept.drop("docs"), "divergence-terms")
     groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
