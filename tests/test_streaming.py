@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from fixtures import LEDGER, LEDGER_COLUMNS, boundary_rows, small_card_schema
@@ -32,6 +33,40 @@ def test_card_reasons(spark):
     assert reasons(spark, [json.dumps(c) for c, _ in cases], dlq.card_reason) == [r for _, r in cases]
 
 
+def test_no_record_makes_the_rules_fail(spark):
+    """Records with any text in the place of any value: each gets a reason, or fields of which none is null."""
+    rng = random.Random(11)
+    values = ["0", "1", "5.0", "1e1", "1e30", "-1e30", "1e400", "-1e400", "9" * 25, "9" * 400, "0.1", "-0.0", "1" + "0" * 18, "true", "null", "[1]", "{}", '""', '" 7 "', '"1_000"', '"_1"', '"nan"', '"inf"', '"-Infinity"', '"1e400"', '"0x10"', '"٣"', '"7f"', '"1.5d"', "NaN", "01", "1.", "-", '"a\\u0000b"', '"\\ud800"', '"W"', '"TRANSFER"', "3000000000", "-2147483648", "2147483648", "1E-400", '"9' + "9" * 400 + '"']
+    for good, reason, fields in ((GOOD, dlq.ledger_reason, dlq.ledger_fields), (CARD, dlq.card_reason, dlq.card_fields)):
+        texts = []
+        for _ in range(1500):
+            r = {k: json.dumps(v) for k, v in good.items()}
+            for k in rng.sample(list(r), rng.choice([1, 1, 1, 2, 6])):
+                r[k] = rng.choice(values)
+            t = "{" + ", ".join(f'"{k}": {v}' for k, v in r.items()) + "}"
+            if rng.random() < 0.1:
+                i = rng.randrange(len(t))
+                t = t[:i] + rng.choice('{}[]",:x\\0') + t[i + 1 :]
+            texts.append(t)
+        rows = dlq.classify(spark.createDataFrame([(None, t) for t in texts], "key string, value string"), reason, fields).collect()
+        assert len(rows) == len(texts) and any(r["reason_code"] is None for r in rows)
+        for r in rows:
+            assert (r["reason_code"] is None) == (r["judged"] is not None), r
+            assert r["judged"] is None or None not in tuple(r["judged"]), r
+
+
+def test_judged_fields_reach_the_rows(spark):
+    """Numbers that the rules take as strings or with fractions aren't lost on the way to the features."""
+    from txnfeat.streaming.pipelines import card_rows, ledger_rows
+
+    schema = small_card_schema()
+    records = [{**CARD, "TransactionDT": "86400", "isFraud": "1", "TransactionAmt": " 2.5 "}, {**CARD, "TransactionID": 2.9, "TransactionDT": 86400.7, "isFraud": 1.0, "card1": "9"}]
+    rows = card_rows(spark.createDataFrame([(None, json.dumps(r)) for r in records], "key string, value string"), schema=schema).orderBy("TransactionID").collect()
+    assert [(r["TransactionID"], r["TransactionDT"], r["TransactionAmt"], r["isFraud"], r["card1"]) for r in rows] == [(1, 86400, 2.5, 1, 7), (2, 86400, 1.5, 1, 9)]
+    rows = ledger_rows(spark.createDataFrame([(None, json.dumps(r)) for r in (GOOD, {**GOOD, "step": 5.0}, {**GOOD, "isFraud": 1.0})], "key string, value string")).collect()
+    assert [(r["step"], r["isFraud"], r["amount"]) for r in rows] == [(1, 0, 5.0)]
+
+
 def put(folder, n, records):
     folder.mkdir(exist_ok=True)
     path = folder / f"{n:03d}.json"

@@ -387,20 +387,57 @@ def dlq_classification_card(spark, sf_dir):
     return _reasons(raw, dlq.card_reason)
 
 
-_GOOD = '{"step": %s, "type": "TRANSFER", "amount": 5.0, "nameOrig": "o", "nameDest": "d", "isFraud": %s}'
+# Records on the edges of the rules, with @ for the row's key (1 to 743) and what is said of them.
+_GOOD = '{"step": %s, "type": "TRANSFER", "amount": %s, "nameOrig": "o@", "nameDest": "d", "isFraud": %s}'
 _EDGES = (
-    (_GOOD % (1, 0) + "\n", "VALID"), ("\t \r\n" + _GOOD % (1, 0) + " \t", "VALID"), (_GOOD % (1, 0) + _GOOD % (1, 0), "MALFORMED_JSON"), (_GOOD % (1, 0) + " junk}", "MALFORMED_JSON"),
-    (_GOOD % (1, 0) + "}", "MALFORMED_JSON"), (_GOOD % (1, 0) + ', "end": "x"}', "MALFORMED_JSON"), ("[" + _GOOD % (1, 0) + "]", "MALFORMED_JSON"), ("", "MALFORMED_JSON"), ("null", "MALFORMED_JSON"),
-    (_GOOD % (10**20, 0), "INVALID_STEP"), (_GOOD % (-(10**30), 0), "INVALID_STEP"), (_GOOD % ("1.5", 0), "BAD_STEP_TYPE"), (_GOOD % ("true", 0), "BAD_STEP_TYPE"), (_GOOD % (743, 0), "VALID"), (_GOOD % (744, 0), "INVALID_STEP"),
-    (_GOOD % (1, 10**20), "INVALID_LABEL"), (_GOOD % (1, "true"), "BAD_FIELD_TYPE"), (_GOOD % ('"1"', 0), "BAD_STEP_TYPE"), (_GOOD % ("null", 0), "MISSING_FIELD"), ("\u00a0" + _GOOD % (1, 0), "MALFORMED_JSON"),
+    (_GOOD % ("@", "5.0", "0"), "VALID"), ("\t \r\n" + _GOOD % ("@", "5", "1") + " \n", "VALID"), (_GOOD % ("1", "5.0", "0") + _GOOD % ("@", "5.0", "0"), "MALFORMED_JSON"), (_GOOD % ("@", "5.0", "0") + " junk}", "MALFORMED_JSON"),
+    (_GOOD % ("@", "5.0", "0") + "}", "MALFORMED_JSON"), (_GOOD % ("@", "5.0", "0") + ', "end": "x"}', "MALFORMED_JSON"), ("[" + _GOOD % ("@", "5.0", "0") + "]", "MALFORMED_JSON"), ("", "MALFORMED_JSON"), ("null", "MALFORMED_JSON"), (" " + _GOOD % ("@", "5.0", "0"), "MALFORMED_JSON"),
+    (_GOOD % ("@.0", "5.0", "0"), "BAD_STEP_TYPE"), (_GOOD % ("@.5", "5.0", "0"), "BAD_STEP_TYPE"), (_GOOD % ("1e1", "5.0", "0"), "BAD_STEP_TYPE"), (_GOOD % ("1e400", "5.0", "0"), "BAD_STEP_TYPE"), (_GOOD % ("true", "5.0", "0"), "BAD_STEP_TYPE"), (_GOOD % ('"@"', "5.0", "0"), "BAD_STEP_TYPE"),
+    (_GOOD % ("@" + "0" * 20, "5.0", "0"), "INVALID_STEP"), (_GOOD % ("-@" + "0" * 30, "5.0", "0"), "INVALID_STEP"), (_GOOD % ("@" + "0" * 400, "5.0", "0"), "INVALID_STEP"), (_GOOD % ("-0", "5.0", "0"), "INVALID_STEP"), (_GOOD % ("743", "5.0", "0"), "VALID"), (_GOOD % ("744", "5.0", "0"), "INVALID_STEP"), (_GOOD % ("null", "5.0", "0"), "MISSING_FIELD"),
+    (_GOOD % ("@", "5.0", "1.0"), "BAD_FIELD_TYPE"), (_GOOD % ("@", "5.0", "1e0"), "BAD_FIELD_TYPE"), (_GOOD % ("@", "5.0", "true"), "BAD_FIELD_TYPE"), (_GOOD % ("@", "5.0", "1" + "0" * 20), "INVALID_LABEL"), (_GOOD % ("@", "1e400", "0"), "BAD_FIELD_TYPE"), (_GOOD % ("@", '"5"', "0"), "BAD_FIELD_TYPE"),
+    (_GOOD % ("@", "-1e-300", "0"), "NEGATIVE_AMOUNT"), (_GOOD % ("@", "-0.0", "0"), "VALID"), (_GOOD % ("@", "1" + "0" * 60, "0"), "VALID"), (_GOOD % ("@", "5.0", "0, \"step\": 1"), "MALFORMED_JSON"),
 )
+_PAID = '{"TransactionID": %s, "TransactionDT": %s, "TransactionAmt": %s, "ProductCD": "W", "isFraud": %s, "card1": %s}'
+# With the row's fields as they come out: TransactionID, TransactionDT, TransactionAmt, isFraud, card1.
+_CARD_EDGES = (
+    (_PAID % ("@", "86400.7", "5.5", "0", "7.9"), "VALID", "@", 86400, 5.5, 0, 7), (_PAID % ('"@"', '" 86400 "', '" 5.5 "', '"0"', '"7"'), "VALID", "@", 86400, 5.5, 0, 7), (_PAID % ("@.0", '"1_000"', '"1_0.5e1"', "1.0", "-7.9"), "VALID", "@", 1000, 105.0, 1, -7),
+    (_PAID % ("@", "+5", "5.5", "0", "7"), "MALFORMED_JSON"), (_PAID % ("@", '"+5"', '"0"', "0", "7"), "VALID", "@", 5, 0.0, 0, 7), (_PAID % ("@", "true", "true", "true", "true"), "VALID", "@", 1, 1.0, 1, 1),
+    (_PAID % ("@", "1e30", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "-1e30", "5.5", "0", "7"), "INVALID_TRANSACTIONDT"), (_PAID % ("@", "1e400", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "2147483647", "5.5", "0", "7"), "VALID", "@", 2147483647, 5.5, 0, 7), (_PAID % ("@", "2147483648", "5.5", "0", "7"), "BAD_FIELD_TYPE"),
+    (_PAID % ("1e300", "5", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("3000000000", "5", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@" + "0" * 20, "5", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ('"@.5"', "5", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ('""', "5", "5.5", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("[1]", "5", "5.5", "0", "7"), "BAD_FIELD_TYPE"),
+    (_PAID % ("@", "5", "5.5", "1e30", "7"), "INVALID_LABEL"), (_PAID % ("@", "5", "5.5", "1" + "0" * 400, "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", "5.5", "0.5", "7"), "VALID", "@", 5, 5.5, 0, 7), (_PAID % ("@", "5", "5.5", "-0.5", "7"), "VALID", "@", 5, 5.5, 0, 7), (_PAID % ("@", "0.9", "5.5", "0", "7"), "INVALID_TRANSACTIONDT"),
+    (_PAID % ("@", "5", '"nan"', "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", '"inf"', "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", "1e400", "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", '"1e400"', "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", '"5.5.5"', "0", "7"), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", "-5.5", "0", "7"), "NEGATIVE_AMOUNT"),
+    (_PAID % ("@", "5", "5.5", "0", '"visa"'), "BAD_FIELD_TYPE"), (_PAID % ("@", "5", "5.5", "0", "null"), "MISSING_FIELD"), (_PAID % ("@", "5", "5.5", "2", "7"), "INVALID_LABEL"), (_PAID % ("@", "-5", "5.5", "0", "7"), "INVALID_TRANSACTIONDT"),
+)
+
+
+def _edge_records(spark, sf_dir, edges) -> DataFrame:
+    """Each event as a record of the edge that its key falls to."""
+    k = F.col("event_id")
+    texts = F.array(*(F.lit(t) for t, *_ in edges))
+    return _read(spark, sf_dir, "events").select(k.cast("string").alias("key"), F.replace(F.get(texts, (k % len(edges)).cast("int")), F.lit("@"), (k % 743 + 1).cast("string")).alias("value"))
+
+
+def _edge_sql(edges, columns: str = "") -> str:
+    reasons = ", ".join(f"'{e[1]}'" for e in edges)
+    more = ""
+    for i, (name, kind) in enumerate(c.split() for c in columns.split(", ") if c):
+        values = ["null" if len(e) < 3 else "event_id % 743 + 1" if e[i + 2] == "@" else str(e[i + 2]) for e in edges]
+        more += f", cast([{', '.join(values)}][event_id % {len(edges)} + 1] as {kind}) as {name}"
+    return f"select event_id, [{reasons}][event_id % {len(edges)} + 1] as reason{more} from events"
+
+
+@query(_edge_sql(_EDGES))
+def dlq_edges_ledger(spark, sf_dir):
+    """The reason of ledger records on the edges of the rules: text around the object, 5.0 and 1e1, numbers beyond 64 bits, booleans."""
+    done = dlq.classify(_edge_records(spark, sf_dir, _EDGES), dlq.ledger_reason)
+    return done.select(F.col("key").cast("long").alias("event_id"), F.coalesce("reason_code", F.lit("VALID")).alias("reason"))
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{r}')" for i, (_, r) in enumerate(_EDGES)) + ") t(i, reason)")
-def dlq_edges(spark, sf_dir):
-    """The reason of records on the edges of the rules: text around the object, numbers beyond 64 bits, booleans."""
-    raw = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(_EDGES)], "key string, value string")
-    return dlq.classify(raw, dlq.ledger_reason).select(F.col("key").cast("int").alias("i"), F.coalesce("reason_code", F.lit("VALID")).alias("reason"))
+@query(_edge_sql(_CARD_EDGES, "TransactionID int, TransactionDT int, TransactionAmt double, isFraud int, card1 int"))
+def dlq_edges_card(spark, sf_dir):
+    """The reason of card records on the edges of the rules, and the fields of the valid ones: none of them is null."""
+    done = dlq.classify(_edge_records(spark, sf_dir, _CARD_EDGES), dlq.card_reason, dlq.card_fields)
+    return done.select(F.col("key").cast("long").alias("event_id"), F.coalesce("reason_code", F.lit("VALID")).alias("reason"), *(f"judged.{c}" for c in ("TransactionID", "TransactionDT", "TransactionAmt", "isFraud", "card1")))
 
 
 def _reasons(raw: DataFrame, reason) -> DataFrame:

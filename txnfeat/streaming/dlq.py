@@ -35,9 +35,10 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _integer(v: Column) -> Column:
-    """Whole numbers beyond 64 bits are integers too, as long as they have 38 digits."""
-    return (_kind(v) == "BIGINT") | _kind(v).rlike(r"^DECIMAL\(\d+,0\)$")
+def _integer(v: Column, value: Column, name: str) -> Column:
+    """Whether the field is written as a whole number, of any length; a variant has lost the point of 5.0, so the text tells."""
+    digits = F.get_json_object(value, f"$.{name}").rlike(r"^-?\d+$")
+    return F.when(_kind(v) == "BIGINT", True).when(_number(v), digits).otherwise(False)
 
 
 def _number(v: Column) -> Column:
@@ -59,48 +60,103 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def ledger_reason(v: Column) -> Column:
-    """Of a parsed record (record_of)."""
+def _finite(x: Column) -> Column:
+    """Null for NaN and infinities."""
+    return F.when(F.abs(x) <= 1.7976931348623157e308, x)
+
+
+def ledger_reason(v: Column, value: Column) -> Column:
+    """Of a parsed record (record_of) and its text. Types are those of JSON: 5.0 and 1e1 are no integers. An amount beyond
+    the doubles is of a bad type."""
     f = {c: _field(v, c) for c in LEDGER_FIELDS}
     string = lambda c: _kind(f[c]) == "STRING"
+    amount = _finite(_as(f["amount"], "double"))
     return (
         F.when(v.isNull(), "MALFORMED_JSON")
         .when(_any([_missing(v) for v in f.values()]), "MISSING_FIELD")
-        .when(~_integer(f["step"]), "BAD_STEP_TYPE")
+        .when(~_integer(f["step"], value, "step"), "BAD_STEP_TYPE")
         .when(~string("type") | ~F.coalesce(_as(f["type"], "string").isin(*LEDGER_TYPES), F.lit(False)), "BAD_TYPE")
-        .when(~_number(f["amount"]) | ~string("nameOrig") | ~string("nameDest") | ~_integer(f["isFraud"]), "BAD_FIELD_TYPE")
-        .when(_as(f["amount"], "double") < 0, "NEGATIVE_AMOUNT")
-        .when(~_as(f["step"], "decimal(38,0)").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
-        .when(~_as(f["isFraud"], "decimal(38,0)").isin(0, 1), "INVALID_LABEL")
+        .when(~_number(f["amount"]) | amount.isNull() | ~string("nameOrig") | ~string("nameDest") | ~_integer(f["isFraud"], value, "isFraud"), "BAD_FIELD_TYPE")
+        .when(amount < 0, "NEGATIVE_AMOUNT")
+        .when(~_as(f["step"], "double").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
+        .when(~_as(f["isFraud"], "double").isin(0.0, 1.0), "INVALID_LABEL")
     )
 
 
-def card_reason(v: Column) -> Column:
-    """Of a parsed record. Numbers may be strings here, and fractions are cut, as the fields' own conversions do."""
-    f = {c: _field(v, c) for c in CARD_FIELDS}
-    as_int = lambda c: F.when(_kind(f[c]) == "STRING", F.expr("null").cast("bigint")).otherwise(_as(f[c], "double").cast("bigint"))
+def _text(v: Column) -> Column:
+    """A string that may be a number: without white space around it and underscores between digits."""
+    return F.regexp_replace(F.regexp_replace(_as(v, "string"), r"^\s+|\s+$", ""), r"(?<=\d)_(?=\d)", "")
 
-    def integer(c: str) -> Column:
-        text = _as(f[c], "string")
-        return F.when(_kind(f[c]) == "STRING", F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text).try_cast("bigint"))).when(_kind(f[c]) == "BOOLEAN", _as(f[c], "boolean").cast("bigint")).otherwise(as_int(c))
 
-    amount = F.when(_kind(f["TransactionAmt"]) == "STRING", F.trim(_as(f["TransactionAmt"], "string")).try_cast("double")).when(_kind(f["TransactionAmt"]) == "BOOLEAN", _as(f["TransactionAmt"], "boolean").cast("int").cast("double")).otherwise(_as(f["TransactionAmt"], "double"))
-    return (
-        F.when(v.isNull(), "MALFORMED_JSON")
-        .when(_any([_missing(v) for v in f.values()]), "MISSING_FIELD")
-        .when(_any([integer(c).isNull() for c in ("TransactionDT", "isFraud", "TransactionID")]) | amount.isNull() | (_kind(f["ProductCD"]) != "STRING"), "BAD_FIELD_TYPE")
-        .when(amount < 0, "NEGATIVE_AMOUNT")
-        .when(~integer("isFraud").isin(0, 1), "INVALID_LABEL")
-        .when(integer("TransactionDT") <= 0, "INVALID_TRANSACTIONDT")
-    )
+def _whole(v: Column) -> Column:
+    """The field as a whole number, in a double: numbers are cut, strings are read if they are whole, true is 1. Null: none of these."""
+    text = _text(v)
+    number = F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("double"))).when(_kind(v) == "BOOLEAN", _as(v, "boolean").cast("int").cast("double")).when(_number(v), _as(v, "double"))
+    # Beyond 2^53 a double has no fraction.
+    return F.when(F.abs(number) < 2.0**53, F.signum(number) * F.floor(F.abs(number))).otherwise(_finite(number))
+
+
+def _real(v: Column) -> Column:
+    """The field as a finite double, by the same rules."""
+    text = _text(v)
+    number = F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))).when(_kind(v) == "BOOLEAN", _as(v, "boolean").cast("int").cast("double")).when(_number(v), _as(v, "double"))
+    return _finite(number)
+
+
+#: The least and greatest number that the contract's integers hold.
+_LOW, _HIGH = -(2.0**31), 2.0**31 - 1
+_CARD_INTS = ("TransactionID", "TransactionDT", "isFraud", "card1")
+
+
+def _held(x: Column) -> Column:
+    """As the contract's integer, null where that can't hold it."""
+    return F.when(x.between(_LOW, _HIGH), x).try_cast("int")
+
+
+def _card_numbers(v: Column) -> Column:
+    """The card's numbers as doubles, null where a field is none."""
+    made = {c: _whole(_field(v, c)) for c in _CARD_INTS} | {"TransactionAmt": _real(_field(v, "TransactionAmt"))}
+    return F.struct(*(x.alias(c) for c, x in made.items()))
+
+
+def card_reason(v: Column, value: Column) -> Column:
+    """Of a parsed record and its text. Numbers may be strings here, and fractions are cut, as the fields' own conversions
+    (card_fields) do. A key or clock that the row can't hold, and an amount that isn't finite, are of a bad type."""
+    missing = _any([_missing(_field(v, c)) for c in CARD_FIELDS])
+
+    def judged(n: Column) -> Column:
+        bad = [*(n[c].isNull() for c in ("isFraud", "TransactionDT", "TransactionAmt")), n["TransactionDT"] > _HIGH, *(_held(n[c]).isNull() for c in ("TransactionID", "card1")), _kind(_field(v, "ProductCD")) != "STRING"]
+        return F.when(_any(bad), "BAD_FIELD_TYPE").when(n["TransactionAmt"] < 0, "NEGATIVE_AMOUNT").when(~n["isFraud"].isin(0.0, 1.0), "INVALID_LABEL").when(n["TransactionDT"] <= 0, "INVALID_TRANSACTIONDT")
+
+    # Bound in a lambda, so that each conversion is computed once.
+    rest = F.get(F.transform(F.array(_card_numbers(v)), judged), 0)
+    return F.when(v.isNull(), "MALFORMED_JSON").when(missing, "MISSING_FIELD").otherwise(rest)
+
+
+def ledger_fields(v: Column) -> Column:
+    """The judged fields of a valid record in the contract's types."""
+    kinds = {"step": "int", "amount": "double", "isFraud": "int"}
+    return F.struct(*(_as(_field(v, c), kinds.get(c, "string")).alias(c) for c in LEDGER_FIELDS))
+
+
+def card_fields(v: Column) -> Column:
+    """The judged fields of a valid record in the contract's types, by the conversions that judged them."""
+    def made(n: Column) -> Column:
+        kinds = {"ProductCD": _as(_field(v, "ProductCD"), "string"), "TransactionAmt": n["TransactionAmt"]}
+        return F.struct(*(kinds.get(c, _held(n[c]) if c in _CARD_INTS else None).alias(c) for c in CARD_FIELDS))
+
+    return F.get(F.transform(F.array(_card_numbers(v)), made), 0)
 
 
-def classify(records: DataFrame, reason) -> DataFrame:
-    """key, value and reason_code (null: valid) of each record.
+def classify(records: DataFrame, reason, fields=None) -> DataFrame:
+    """key, value and reason_code (null: valid) of each record; with `fields` also judged, a struct of its fields (null: invalid).
 
-    The parsed record comes from a generator of one row, below which no filter on the reason is pushed: each is parsed once."""
+    No record makes it fail. The parsed record comes from a generator of one row, below which no filter on the reason is
+    pushed: each is parsed once."""
     parsed = records.select("key", "value", F.explode(F.array(record_of(F.col("value")))).alias("v"))
-    return parsed.select("key", "value", reason(F.col("v")).alias("reason_code"))
+    done = parsed.select("key", "value", "v", reason(F.col("v"), F.col("value")).alias("reason_code"))
+    judged = [F.when(F.col("reason_code").isNull(), fields(F.col("v"))).alias("judged")] if fields else []
+    return done.select("key", "value", "reason_code", *judged)
 
 
 def dead_letters(classified: DataFrame) -> DataFrame:

@@ -16,12 +16,17 @@ from . import dlq
 from .state import with_state
 
 VERSION = "v1.0"
-_RECORD, _PARSED = "history_record", "history_parsed"
+_RECORD, _PARSED, _JUDGED = "history_record", "history_parsed", "judged"
 
 
 def _rows(records: DataFrame, schema, rowwise, *keep: str) -> DataFrame:
-    """The columns to keep of the records (value among them), and the features of each row alone."""
-    return rowwise(records.select(*keep, F.from_json("value", schema).alias(_PARSED)).select(*(F.col(c).alias(_RECORD if c == "value" else c) for c in keep), f"{_PARSED}.*"))
+    """The columns to keep of the records (value among them), and the features of each row alone.
+
+    Fields that were judged come from there, in the contract's types; of others from_json makes null what it can't read."""
+    parsed = records.select(*keep, _JUDGED, F.from_json("value", schema).alias(_PARSED))
+    judged = records.schema[_JUDGED].dataType.names
+    raw = [F.col(f"{_JUDGED if c in judged else _PARSED}.{c}").alias(c) for c in schema.names]
+    return rowwise(parsed.select(*(F.col(c).alias(_RECORD if c == "value" else c) for c in keep), *raw))
 
 
 def _ledger_rowwise(rows: DataFrame) -> DataFrame:
@@ -32,35 +37,38 @@ def _card_rowwise(train_max_day: float):
     return lambda rows: prune_near_constant(add_card_rowwise(rows, train_max_day))
 
 
-def _valid(records: DataFrame, reason) -> DataFrame:
-    return dlq.classify(records, reason).where("reason_code is null").select("value")
+def _valid(records: DataFrame, reason, fields) -> DataFrame:
+    """value and judged of the valid records."""
+    return dlq.classify(records, reason, fields).where("reason_code is null").select("value", _JUDGED)
 
 
 def ledger_rows(records: DataFrame) -> DataFrame:
     """Valid records with the row-wise features known at authorisation time."""
-    return _rows(_valid(records, dlq.ledger_reason), LEDGER_RAW, _ledger_rowwise)
+    return _rows(_valid(records, dlq.ledger_reason, dlq.ledger_fields), LEDGER_RAW, _ledger_rowwise)
 
 
 def card_rows(records: DataFrame, train_max_day: float = 130.0, schema=None) -> DataFrame:
-    return _rows(_valid(records, dlq.card_reason), schema or card_raw_schema(), _card_rowwise(train_max_day))
+    return _rows(_valid(records, dlq.card_reason, dlq.card_fields), schema or card_raw_schema(), _card_rowwise(train_max_day))
 
 
 def _stream(valid: DataFrame, schema, rowwise, h: History, share_flags: dict[str, str] | None = None) -> DataFrame:
-    """Rows with their history. Only what the state reads goes to Python, with the record; the row is made again from that
-    afterwards, where no columns but those in use are parsed."""
-    reads = list(dict.fromkeys((h.entity, h.clock, h.amount, *([h.tie_break] if h.tie_break else []), *(share_flags or {}).values())))
-    seen = with_state(_rows(valid, schema, rowwise, "value").select(F.col(_RECORD), *reads), h, share_flags).drop(*reads).withColumnRenamed(_RECORD, "value")
-    made = [c for c in seen.columns if c != "value"]
+    """Rows with their history. Only what the state reads and what was judged goes to Python, with the record; the row is
+    made again from that afterwards, where no columns but those in use are parsed."""
+    judged = [c for c in valid.schema[_JUDGED].dataType.names if c in schema.names]
+    reads = list(dict.fromkeys((h.entity, h.clock, h.amount, *([h.tie_break] if h.tie_break else []), *(share_flags or {}).values(), *judged)))
+    seen = with_state(_rows(valid, schema, rowwise, "value").select(F.col(_RECORD), *reads), h, share_flags)
+    seen = seen.withColumn(_JUDGED, F.struct(*judged)).drop(*reads).withColumnRenamed(_RECORD, "value")
+    made = [c for c in seen.columns if c not in ("value", _JUDGED)]
     rows = _rows(seen, schema, rowwise, *made)
     return rows.select(*(c for c in rows.columns if c not in made), *made).withColumn("feature_version", F.lit(VERSION))
 
 
 def ledger_stream(records: DataFrame) -> DataFrame:
-    return _stream(_valid(records, dlq.ledger_reason), LEDGER_RAW, _ledger_rowwise, LEDGER, {"dest_prior_cashout_share": "type_cash_out"})
+    return _stream(_valid(records, dlq.ledger_reason, dlq.ledger_fields), LEDGER_RAW, _ledger_rowwise, LEDGER, {"dest_prior_cashout_share": "type_cash_out"})
 
 
 def card_stream(records: DataFrame, train_max_day: float = 130.0, schema=None) -> DataFrame:
-    return _stream(_valid(records, dlq.card_reason), schema or card_raw_schema(), _card_rowwise(train_max_day), CARD)
+    return _stream(_valid(records, dlq.card_reason, dlq.card_fields), schema or card_raw_schema(), _card_rowwise(train_max_day), CARD)
 
 
 def late_letters(rows: DataFrame, key: str) -> DataFrame:
