@@ -1,4 +1,4 @@
-"""Training on Spark MLlib, with imbalance-aware weights and a threshold from the validation rows."""
+"""Training: a logistic baseline on MLlib and boosted trees, with imbalance-aware weights and a threshold from the validation rows."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ import math
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from .boosting import Boosted, Options, boost
 from .features import LABEL, categorical, feature_names, select_features
 
 MOST_DAMPED = 50.0
@@ -29,7 +30,7 @@ def class_weight(negatives: int, positives: int, mode: str = "ratio") -> float:
     return min(math.sqrt(ratio), MOST_DAMPED) if mode == "sqrt_damping" else ratio
 
 
-def _pipeline(kind: str, numeric: list[str], strings: list[str], seed: int) -> Pipeline:
+def _pipeline(kind: str, numeric: list[str], strings: list[str]) -> Pipeline:
     imputed, index, hot = [f"{c}__i" for c in numeric], [f"{c}__x" for c in strings], [f"{c}__h" for c in strings]
     stages: list = [Imputer(strategy="median", inputCols=numeric, outputCols=imputed)] if numeric else []
     if strings:
@@ -40,12 +41,6 @@ def _pipeline(kind: str, numeric: list[str], strings: list[str], seed: int) -> P
         if numeric:
             stages += [VectorAssembler(inputCols=imputed, outputCol="__numeric"), StandardScaler(inputCol="__numeric", outputCol="__scaled", withMean=True)]
         stages += [VectorAssembler(inputCols=["__scaled"] * bool(numeric) + hot, outputCol="__features"), LogisticRegression(featuresCol="__features", labelCol=LABEL, weightCol="__weight", maxIter=1000)]
-    elif kind == "boosted":
-        # A column of places by frequency without nominal metadata is split like a number, however many categories there are.
-        places = [f"{c}__p" for c in strings]
-        if strings:
-            stages.append(SQLTransformer(statement="select *, " + ", ".join(f"cast(`{x}` as double) + 0.0D as `{p}`" for x, p in zip(index, places, strict=True)) + " from __THIS__"))
-        stages += [VectorAssembler(inputCols=imputed + places, outputCol="__features"), GBTClassifier(featuresCol="__features", labelCol=LABEL, weightCol="__weight", maxIter=100, stepSize=0.05, seed=seed, maxBins=256)]
     else:
         raise ValueError(f"unknown model {kind}")
     return Pipeline(stages=stages)
@@ -59,7 +54,7 @@ class Model:
     threshold: float = 0.5
     version: str = "v1.0"
     report: dict = field(default_factory=dict)
-    stages: PipelineModel | None = None
+    stages: PipelineModel | Boosted | None = None
 
     def _ready(self, df: DataFrame) -> DataFrame:
         if self.stages is None:
@@ -67,12 +62,17 @@ class Model:
         if missing := [c for c in self.features if c not in df.columns]:
             raise ValueError(f"{len(missing)} features are missing: {missing[:5]}")
         strings = categorical(self.features)
+        if self.kind == "boosted":  # nulls stay
+            return df
         return df.withColumns({c: F.coalesce(F.col(c), F.lit("missing")) if c in strings else F.col(c).cast("double") for c in self.features} | {"__weight": F.lit(1.0)})
 
     def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
         """All columns of `df` with probability (of label 1) and prediction at the given or the fitted threshold."""
-        scored = self.stages.transform(self._ready(df)) if self.stages else self._ready(df)
-        p = vector_to_array("probability")[1]
+        ready = self._ready(df)
+        if isinstance(self.stages, Boosted):
+            scored, p = ready, self.stages.probability()
+        else:
+            scored, p = self.stages.transform(ready), vector_to_array("probability")[1]
         return scored.select(*df.columns, p.alias("__p")).withColumnsRenamed({"__p": "probability"}).withColumn("prediction", (F.col("probability") >= (self.threshold if threshold is None else threshold)).cast("int"))
 
     def evaluate(self, df: DataFrame, threshold: float | None = None) -> dict:
@@ -80,9 +80,12 @@ class Model:
 
     def save(self, path: str) -> None:
         """The stages and, beside them, their description as JSON; any file system that Spark writes to."""
-        self.stages.write().overwrite().save(f"{path}/stages")
         spark = SparkSession.getActiveSession()
-        about = {k: v for k, v in asdict_without_stages(self).items()}
+        about = asdict_without_stages(self)
+        if isinstance(self.stages, Boosted):
+            about["boosted"] = self.stages.to_dict()
+        else:
+            self.stages.write().overwrite().save(f"{path}/stages")
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
@@ -96,19 +99,25 @@ def asdict_without_stages(m: Model) -> dict:
 
 def load_model(spark: SparkSession, path: str) -> Model:
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
-    return Model(**about, stages=PipelineModel.load(f"{path}/stages"))
+    trees = about.pop("boosted", None)
+    return Model(**about, stages=Boosted.from_dict(trees) if trees else PipelineModel.load(f"{path}/stages"))
 
 
-def fit(train: DataFrame, valid: DataFrame | None, dataset: str, kind: str = "logistic", weighting: str = "ratio", include_tier_b: bool = False, names=None, criterion: str = "f1", beta: float = 1.0, seed: int = 42) -> Model:
-    """A fitted model; its threshold is the best on `valid`, or 0.5 without it."""
+def fit(train: DataFrame, valid: DataFrame | None, dataset: str, kind: str = "logistic", weighting: str = "ratio", include_tier_b: bool = False, names=None, criterion: str = "f1", beta: float = 1.0, options: Options | None = None) -> Model:
+    """A fitted model; its threshold is the best on `valid`, or 0.5 without it. options: of the boosted trees."""
     names = list(names or feature_names(dataset, include_tier_b))
     strings = categorical(names)
     counts = dict(select_features(train, dataset, names=names).groupBy(LABEL).count().collect())
     weight = class_weight(counts.get(0, 0), counts.get(1, 0), weighting)
     m = Model(dataset, names, kind)
     rows = select_features(train, dataset, names=names).where(F.col(LABEL).isNotNull())
-    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("missing")) if c in strings else F.col(c).cast("double") for c in names} | {"__weight": F.when(F.col(LABEL) == 1, weight).otherwise(1.0)})
-    m.stages = _pipeline(kind, [c for c in names if c not in strings], strings, seed).fit(rows)
+    numeric = [c for c in names if c not in strings]
+    if kind == "boosted":
+        rows = rows.withColumn("__weight", F.when(F.col(LABEL) == 1, weight).otherwise(1.0))
+        m.stages = boost(rows, numeric, strings, LABEL, "__weight", options)
+    else:
+        rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("missing")) if c in strings else F.col(c).cast("double") for c in names} | {"__weight": F.when(F.col(LABEL) == 1, weight).otherwise(1.0)})
+        m.stages = _pipeline(kind, numeric, strings).fit(rows)
     m.report = {"weight": weight, "train": m.evaluate(train, 0.5)}
     if valid is not None:
         scored = m.predict(valid).select(LABEL, "probability").persist()

@@ -4,6 +4,8 @@ Values that two engines may round apart in the last place are rounded to six dig
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -520,3 +522,32 @@ def train_logistic(spark, sf_dir):
     rows = spark.createDataFrame(done.collect(), done.schema)  # two rows
     train.unpersist()
     return rows
+
+
+_BOOST = {"numeric": ["card5", "dist1", "C1", "D1", "D2", "D15", "id_01"], "strings": ["ProductCD", "card4", "card6", "M1", "M2", "M4", "DeviceType"]}
+# Every split of every feature at the root of the first tree: each value (categories: each prefix by gradient), nulls left and right.
+_SPLITS = (
+    _CARD + ", rows as (select *, isFraud as y, case when isFraud = 1 then 2.0 else 1.0 end::double as w from card), base as (select sum(w * y) / sum(w) as p from rows), gh as (select rows.*, round((p - y) * w * 1048576)::hugeint as g, round(p * (1 - p) * w * 1048576)::hugeint as h from rows, base), "
+    + "long as ("
+    + " union all ".join([f"select {i} as feature, {c}::double as v, null::varchar as s, g, h from gh" for i, c in enumerate(_BOOST["numeric"])] + [f"select {len(_BOOST['numeric']) + i}, null, {c}, g, h from gh" for i, c in enumerate(_BOOST["strings"])])
+    + "), sums as (select feature, v, s, v is null and s is null as absent, sum(g)::double as g, sum(h)::double as h, count(*) as n from long group by all), "
+    + "so_far as (select *, sum(g) over w as gl, sum(h) over w as hl, sum(n) over w as nl from sums where not absent window w as (partition by feature order by coalesce(v, g / (h + 10 * 1048576.0)), s rows unbounded preceding)), "
+    + "nulls as (select feature, sum(case when absent then g else 0 end) as gm, sum(case when absent then h else 0 end) as hm, sum(case when absent then n else 0 end) as nm, sum(g) as gt, sum(h) as ht, sum(n) as nt from sums group by feature), "
+    + "splits as (select feature, side as missing_left, gl + case when side then gm else 0 end as gl, hl + case when side then hm else 0 end as hl, nl + case when side then nm else 0 end as n_left, gt, ht, nt from so_far join nulls using (feature), (values (true), (false)) t(side)), "
+    + "gains as (select *, (gl / 1048576) ** 2 / (hl / 1048576 + 1) + ((gt - gl) / 1048576) ** 2 / ((ht - hl) / 1048576 + 1) - (gt / 1048576) ** 2 / (ht / 1048576 + 1) as gain from splits where least(n_left, nt - n_left) >= 20 and least(hl, ht - hl) >= 0.001 * 1048576) "
+    + "select feature, missing_left, n_left::bigint as n_left, round(gain, 6) + 0.0 as gain from gains qualify row_number() over (partition by feature order by gain desc, missing_left desc, n_left) = 1"
+)
+
+
+@query(_SPLITS)
+def boosted_root_splits(spark, sf_dir):
+    """The best split of each feature at the root of the first boosted tree, against all splits of the values themselves."""
+    from .ml import boosting
+
+    rows = adapters.card(spark, sf_dir).withColumn("w", F.when(F.col("isFraud") == 1, 2.0).otherwise(1.0))
+    share = rows.agg(F.sum(F.col("w") * F.col("isFraud")) / F.sum("w")).first()[0]
+    o, bins = boosting.Options(), boosting.find_bins(rows, **_BOOST)
+    table = boosting.binned(rows, bins, "isFraud", "w", math.log(share / (1 - share)))
+    sums = boosting.histograms(table, [], boosting.Tree(), [0], len(bins.names))
+    found = boosting.best(boosting.candidates(sums, bins.missing(), len(bins.numeric), o), "feature")
+    return _rounded(found.select("feature", "missing_left", F.col("n_l").alias("n_left"), "gain"), "gain")
