@@ -5,13 +5,15 @@ Values that two engines may round apart in the last place are rounded to six dig
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters
-from .operators import add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise, prune_near_constant
+from .operators import CARD, LEDGER, add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise, prune_near_constant
 from .operators import metrics, profile, subset
+from .operators.blocks import add_history_in_blocks
 from .operators.encode import frequency_encode
 from .operators.history import History
 from .operators.ledger import split_column
@@ -389,6 +391,32 @@ def dlq_classification_card(spark, sf_dir):
     return _reasons(raw, dlq.card_reason)
 
 
+# Half of all rows are one entity's.
+_HOT_LEDGER = f"with raw as ({adapters.LEDGER_SQL}), ledger as (select * replace (case when event_id % 2 = 0 then 'hot' else nameDest end as nameDest) from raw) "
+_HOT_KEYS = {"card1": "1", "card2": "null", "card4": "null", "card5": "100", "card6": "'debit'"}
+_HOT_CARD = f"with raw as ({adapters.CARD_SQL}), card as (select * replace ({', '.join(f'case when TransactionID % 2 = 0 then {v} else {c} end as {c}' for c, v in _HOT_KEYS.items())}) from raw) "
+#: Items of a block in these queries: so few that the hot entity lies in many.
+_SMALL_BLOCK = 2000
+
+
+@query(f"select * from {_joined(('ledger_prior_history', 'ledger_velocity'), 'event_id')}".replace(_LEDGER, _HOT_LEDGER))
+def history_in_blocks_ledger(spark, sf_dir):
+    """The ledger's history where half of all rows are one account's, by ticks and blocks."""
+    df = adapters.ledger(spark, sf_dir).withColumn("nameDest", F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("nameDest")))
+    h = replace(LEDGER, shares={"dest_prior_cashout_share": F.col("type") == "CASH_OUT"})
+    names = [*h.names.values(), *h.rolling_counts, *h.rolling_sums, *h.shares]
+    return _rounded(add_history_in_blocks(df, h, block_rows=_SMALL_BLOCK).select("event_id", *names), "dest_prior_amount_std", "dest_amount_zscore")
+
+
+@query(f"select * from {_joined(('card_prior_history', 'card_rolling_counts'), 'TransactionID')}".replace(_CARD, _HOT_CARD))
+def history_in_blocks_card(spark, sf_dir):
+    """The card's history where half of all rows are one card's, by rows, ticks and blocks."""
+    df = adapters.card(spark, sf_dir)
+    df = add_card_rowwise(df.withColumns({c: F.expr(f"case when TransactionID % 2 = 0 then {v} else {c} end") for c, v in _HOT_KEYS.items()}))
+    out = add_history_in_blocks(df, CARD, block_rows=_SMALL_BLOCK).select("TransactionID", *CARD.names.values(), *CARD.rolling_counts)
+    return _rounded(_rounded(out, "amt_zscore_vs_card"), "card_prior_amt_std", digits=3)
+
+
 # Records on the edges of the rules, with @ for the row's key (1 to 743) and what is said of them.
 _GOOD = '{"step": %s, "type": "TRANSFER", "amount": %s, "nameOrig": "o@", "nameDest": "d", "isFraud": %s}'
 _EDGES = (
