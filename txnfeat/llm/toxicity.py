@@ -1,12 +1,12 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the buckets of its words, its pairs of neighbours, and its pairs with one or two words between them,
-each present or not; a bucket's value is its inverse document frequency in the sample. FTRL keeps two numbers for each
+each present or not; a bucket's value is its inverse document frequency in the sample, and those in hardly any toxic row are left out. FTRL keeps two numbers for each
 bucket, z and n: the sum of squared gradients n sets the bucket's own learning rate, and a bucket whose z stays within L1
 has weight 0, so that a few thousand weights are left to broadcast.
 
-Learning is on a bounded sample of labelled rows, in shards of SHARD_ROWS: in each round every shard goes on from the
-same state, row by row in its own task, and the states are averaged. An eighth of the sample isn't learnt from but calibrates
+Learning is on a bounded sample of labelled rows, in shards of SHARD_ROWS, each one row of a table: in each round every shard
+goes on from the same state, text by text in its own task, and the states are averaged. An eighth of the sample isn't learnt from but calibrates
 the score. Scoring reads every whole text once, where it lies, with no shuffle."""
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ from .quality import held_out, regression
 
 #: The most labelled rows that are learnt from; rows of a shard.
 SAMPLE_ROWS, SHARD_ROWS = 16_384, 4096
-BITS, GAPS, LEAST_DOCS = 22, (1, 2, 3), 5
+BITS, GAPS = 21, (1, 2, 3)
+#: A bucket is known if so many toxic rows of the sample have it. Tasks that count these rows.
+LEAST_DOCS, COUNTERS = 5, 4
 #: FTRL: learning rate, its offset, L1 for each row of a shard (at least 1 in all), times over the sample.
 ALPHA, BETA, L1, ROUNDS = 1.0, 1.0, 0.00625, 5
 #: The sample's part that calibrates, and the most that a toxic row counts for in place of one.
@@ -61,6 +64,15 @@ def features(text: bytes, known: WordHashes) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
 
 
+def pack(places: np.ndarray) -> bytes:
+    """Sorted places as their compressed differences, a third of their size."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=0).astype("<i4").tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4"), dtype=np.int32)
+
+
 @dataclass
 class State:
     """Of FTRL. The last place is the constant's, to which neither L1 nor a value applies."""
@@ -106,34 +118,49 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """doc_id, toxic, place (its order in learning) and the features of the rows to learn from."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(12))).orderBy("place", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "place", "text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            found = pa.array([features(t.as_py(), known) for t in b.column(3)], pa.list_(pa.int32()))
+            found = pa.array([pack(features(t.as_py(), known)) for t in b.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], found], names=["doc_id", "toxic", "place", "features"])
 
     session_of(docs)
-    return written(with_bytes(texts).drop("text").mapInArrow(trimmed(f), "doc_id long, toxic int, place long, features array<int>"), "toxicity-sample")
+    rows = with_bytes(texts).drop("text").mapInArrow(trimmed(f), "doc_id long, toxic int, place long, features binary")
+    return written(rows.groupBy("doc_id", "toxic", "place").agg(F.min("features").alias("features")), "toxicity-sample")
 
 
-def _rows(batches: Iterator[pa.RecordBatch], places: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """shard, toxic, and the places and values of the known buckets of each row, the constant's last."""
-    to = np.full(1 << BITS, -1, np.int32)
-    to[places] = np.arange(len(places))
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the task's rows, and of its toxic ones, have each bucket."""
+    n = np.zeros((2, 1 << BITS), np.int32)
     for b in batches:
-        for shard, toxic, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            at = to[found.values.to_numpy(zero_copy_only=False)]
-            at = np.append(at[at >= 0], len(places))
-            yield shard, toxic, at, values[at]
+        for toxic, x in zip(b.column(0).to_pylist(), b.column(1)):
+            at = unpack(x.as_py())
+            n[0, at] += 1
+            n[1, at] += toxic
+    at = np.flatnonzero(n[0])
+    yield pa.RecordBatch.from_arrays([pa.array([pack(at.astype(np.int32))]), *(pa.array([x[at].tobytes()]) for x in n)], names=["at", "n", "bad"])
+
+
+def _known(places: np.ndarray):
+    """The features of each row as their places among `places`; those that aren't there are left out."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = np.full(1 << BITS, -1, np.int32)
+        to[places] = np.arange(len(places))
+        for b in batches:
+            at = [to[unpack(x.as_py())] for x in b.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([pack(x[x >= 0]) for x in at], pa.binary())], names=["shard", "place", "doc_id", "toxic", "at"])
+
+    return trimmed(f)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> Model:
     """A model from at most `rows` labelled rows that aren't held out, those with the least hashes of doc_id.
 
     docs: doc_id, text; labels: doc_id, toxic. Null labels are left out, a doc_id with several labels counts as the highest,
-    one with several texts as its least text; rows that repeat count once. Without rows of both classes all texts score alike."""
+    one with several texts as one of them; rows that repeat count once. Without rows of both classes all texts score alike."""
     sample = _sample(docs, labels, rows)
     calibrates = F.pmod("place", F.lit(CALIBRATES)) == 0
     counted = {(r[0], r[1]): r[2] for r in sample.groupBy(calibrates, "toxic").count().collect()}
@@ -142,46 +169,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, shard_row
         both = sum(n for (_, toxic), n in counted.items() if toxic), sum(counted.values())
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), float(np.log((both[0] + 1) / (both[1] - both[0] + 1))))
     spark, learns = sample.sparkSession, sample.where(~calibrates)
-    # At most 2^BITS rows, as Arrow columns.
-    dfs = learns.select(F.explode("features").alias("b")).groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy("b").toArrow()
-    places = dfs.column("b").to_numpy().astype(np.int32)
-    values = np.log((bad + good + 1) / (dfs.column("n").to_numpy() + 1)) / np.log(bad + good + 1)
+    # A vector of 2^BITS counts from each of COUNTERS tasks.
+    df, bad_df = np.zeros((2, 1 << BITS), np.int64)
+    for r in learns.select("toxic", "features").coalesce(COUNTERS).mapInArrow(trimmed(_documents), "at binary, n binary, bad binary").toLocalIterator():
+        at = unpack(bytes(r["at"]))
+        df[at] += np.frombuffer(r["n"], np.int32)
+        bad_df[at] += np.frombuffer(r["bad"], np.int32)
+    places = np.flatnonzero(bad_df >= LEAST_DOCS).astype(np.int32)
+    values = np.log((bad + good + 1) / (df[places] + 1)) / np.log(bad + good + 1)
     places, values = places[values > 0], np.append(values[values > 0], 1.0)
     shards = -(-(bad + good) // shard_rows)
     l1, weight = max(1.0, L1 * (bad + good) / shards), float(np.clip(good / bad, 1.0, MOST_WEIGHT))
-    state = State(np.zeros(len(places) + 1), np.zeros(len(places) + 1))
-    names = ["shard", "places", "z", "n"]
+    last = len(places)
+    state = State(np.zeros(last + 1), np.zeros(last + 1))
     shard = F.pmod(F.floor(F.col("place") / CALIBRATES), F.lit(shards)).cast("int").alias("shard")
-    dealt = learns.select(shard, "toxic", "features", "place", "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id").select("shard", "toxic", "features")
+    dealt = learns.select(shard, "place", "doc_id", "toxic", "features").mapInArrow(_known(places), "shard int, place long, doc_id long, toxic int, at binary")
+    # A row for each shard, with its rows in the order of learning.
+    dealt = dealt.repartition(shards, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "toxic", "at"))).alias("rows"))
+    dealt = written(dealt.select("rows.toxic", "rows.at"), "toxicity-shards")
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((places, values, state))
+        sent = spark.sparkContext.broadcast((values, state))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places, values, start = sent.value
-            own, last = None, None
-
-            def told() -> pa.RecordBatch:
-                moved = np.flatnonzero(own.n != start.n)
-                return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([x.tobytes()]) for x in (moved.astype(np.int32), own.z[moved], own.n[moved]))], names=names)
-
-            for s, toxic, at, x in _rows(batches, places, values):
-                if s != last:
-                    if own is not None:
-                        yield told()
-                    own, last = State(start.z.copy(), start.n.copy()), s
-                own.learn(at, x, toxic, weight if toxic else 1.0, l1)
-            if own is not None:
-                yield told()
+            values, start = sent.value
+            for b in batches:
+                for labels, rows in zip(b.column(0), b.column(1)):
+                    own = State(start.z.copy(), start.n.copy())
+                    for toxic, at in zip(labels.as_py(), rows.values):
+                        at = np.append(unpack(at.as_py()), last)
+                        own.learn(at, values[at], toxic, weight if toxic else 1.0, l1)
+                    moved = np.flatnonzero(own.n != start.n)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (moved.astype(np.int32), own.z[moved], own.n[moved])], names=["places", "z", "n"])
 
         z, n = np.zeros_like(state.z), np.zeros_like(state.n)
-        found = sorted(dealt.mapInArrow(trimmed(learn), "shard int, places binary, z binary, n binary").collect())
+        found = sorted(dealt.mapInArrow(trimmed(learn), "places binary, z binary, n binary").collect())
         for r in found:
             at = np.frombuffer(r["places"], np.int32)
             z[at] += np.frombuffer(r["z"]) - state.z[at]
             n[at] += np.frombuffer(r["n"]) - state.n[at]
         state = State(state.z + z / len(found), state.n + n / len(found))
         sent.unpersist()
-    last = len(places)
     w = state.weights(np.arange(last), l1) * values[:-1]
     model = Model(places[w != 0], w[w != 0].astype(np.float32), float(state.weights(np.array([last]), 0.0)[0]))
     return _calibrated(model, sample.where(calibrates))
@@ -194,7 +221,7 @@ def _calibrated(model: Model, rows: DataFrame) -> Model:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value.table().astype(float)
         for b in batches:
-            raw = [float(t[x.values.to_numpy(zero_copy_only=False)].sum()) for x in b.column(1)]
+            raw = [float(t[unpack(x.as_py())].sum()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.float64())], names=["toxic", "raw"])
 
     found = sorted(rows.select("toxic", "features").mapInArrow(trimmed(f), "toxic int, raw double").collect())

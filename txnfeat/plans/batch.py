@@ -32,13 +32,16 @@ def _build(df: DataFrame, plan, out: str | None, **write) -> DataFrame:
     return df.sparkSession.read.parquet(out)
 
 
-def build_ledger_features(spark: SparkSession, path: str, out: str | None = None, partitions: int = 8, **options) -> DataFrame:
-    """The ledger's features; with `out` as a table there, whose rows are those of the input."""
+def build_ledger_features(spark: SparkSession, path: str, out: str | None = None, partitions: int | None = None, **options) -> DataFrame:
+    """The ledger's features; with `out` as a table there, whose rows are those of the input.
+
+    Its files are those of the history's exchange, which adaptive execution fits to the size of the data; `partitions` deals
+    the rows anew to so many."""
     return _build(load_ledger(spark, path), lambda df: ledger_features(df, **options), out, repartition=partitions)
 
 
-def build_card_features(spark: SparkSession, path: str, out: str | None = None, partitions: int = 4, **options) -> DataFrame:
-    return _build(load_card(spark, path), lambda df: card_features(df, **options), out, coalesce=partitions)
+def build_card_features(spark: SparkSession, path: str, out: str | None = None, partitions: int | None = None, **options) -> DataFrame:
+    return _build(load_card(spark, path), lambda df: card_features(df, **options), out, repartition=partitions)
 
 
 def run_batch(spark: SparkSession, dataset: str, path: str, out: str, **options) -> dict:

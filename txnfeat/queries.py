@@ -14,9 +14,11 @@ from . import adapters
 from .operators import CARD, LEDGER, add_card_history, add_card_rowwise, add_history, add_ledger_history, add_ledger_rowwise, prune_near_constant
 from .operators import metrics, profile, subset
 from .operators.blocks import add_history_in_blocks
+from .operators.distinct import add_prior_distinct
 from .operators.encode import frequency_encode
 from .operators.history import History
 from .operators.ledger import split_column
+from .operators.trainfit import add_amount_by_type
 from .operators.validate import parity, quality_counts
 from .plans.batch import card_features, ledger_features
 from .specs import INDICATORS
@@ -417,6 +419,32 @@ def history_in_blocks_card(spark, sf_dir):
     return _rounded(_rounded(out, "amt_zscore_vs_card"), "card_prior_amt_std", digits=3)
 
 
+@query(_HOT_LEDGER + "select event_id, " + ", ".join(f"cast(count(distinct {c}) over (partition by nameDest order by step range between unbounded preceding and 1 preceding) as int) as {k}" for k, c in (("dest_prior_unique_senders", "sender"), ("dest_prior_unique_types", "type"))) + " from (select *, event_id % 700 as sender from ledger)")
+def prior_distinct_ledger(spark, sf_dir):
+    """How many senders and types an account had before each step, where half of all rows are one account's."""
+    df = adapters.ledger(spark, sf_dir).withColumns({"nameDest": F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("nameDest")), "sender": F.col("event_id") % 700})
+    counts = {"dest_prior_unique_senders": "sender", "dest_prior_unique_types": "type"}
+    return add_prior_distinct(df, "nameDest", "step", counts, block_rows=_SMALL_BLOCK).select("event_id", *counts)
+
+
+_DISTINCT_CARD = {"card_prior_distinct_addr1": "addr1", "card_prior_distinct_pemail": "P_emaildomain", "card_prior_distinct_device": "DeviceInfo"}
+
+
+@query(_CARD + "select TransactionID, " + ", ".join(f"cast(count(distinct {c}) over (partition by card1 order by TransactionDT, TransactionID rows between unbounded preceding and 1 preceding) as int) as {k}" for k, c in _DISTINCT_CARD.items()) + " from card")
+def prior_distinct_card(spark, sf_dir):
+    """How many addresses, mail domains and devices a card had before each row."""
+    df = adapters.card(spark, sf_dir)
+    return add_prior_distinct(df, "card1", "TransactionDT", _DISTINCT_CARD, "TransactionID", block_rows=_SMALL_BLOCK).select("TransactionID", *_DISTINCT_CARD)
+
+
+@query(_LEDGER + ", fitted as (select type, avg(amount) as m, stddev_samp(amount) as sd, quantile_disc(amount, 0.99) as p99 from ledger where step <= 500 group by type) "
+       "select event_id, round(case when sd > 0 then (amount - m) / sd end, 6) + 0.0 as amount_z_by_type, cast(case when amount > p99 then 1 else 0 end as tinyint) as amount_pct_of_type_p99_flag from ledger left join fitted using (type)")
+def train_fit_amount_by_type(spark, sf_dir):
+    """Amounts against mean, deviation and 99th percentile of their type, fitted on the training rows alone."""
+    df = adapters.ledger(spark, sf_dir).withColumn("split", split_column())
+    return _rounded(add_amount_by_type(df).select("event_id", "amount_z_by_type", "amount_pct_of_type_p99_flag"), "amount_z_by_type")
+
+
 # Records on the edges of the rules, with @ for the row's key (1 to 743) and what is said of them.
 _GOOD = '{"step": %s, "type": "TRANSFER", "amount": %s, "nameOrig": "o@", "nameDest": "d", "isFraud": %s}'
 _EDGES = (
