@@ -77,6 +77,58 @@ def test_duplicates_over_micro_batches(spark, tmp_path):
     assert {r["status"]: r["count"] for r in rejected} == {"MALFORMED": 2, "MISSING_KEY": 2, "DUPLICATE": 4, "MISSING_FEATURES": 1}
 
 
+def _flags(spark, tmp_path, batches, **options):
+    """Flags of records that come one micro-batch after another, and the rows of state after each."""
+    (tmp_path / "in").mkdir()
+    got, sizes = [], []
+
+    def keep(batch, n):
+        got.append([(json.loads(r["value"])["k"], r["seen"]) for r in batch.orderBy("key").collect()])
+
+    for n, keys in enumerate(batches):
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps({"key": f"{i:03d}", "value": json.dumps({"k": k})}) + "\n" for i, k in enumerate(keys)))
+        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    source = stream_source(spark, "file", str(tmp_path / "in"), max_files=1)
+    q = with_seen(source, "k", **options).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(keep).start()
+    assert q.awaitTermination(300)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    return got, sizes
+
+
+def test_bounded_duplicates_against_a_cache(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    batches = [[f"k{rng.integers(9)}"] for _ in range(4)] + [[f"k{i}"] for i in rng.integers(9, size=9)]
+    got, sizes = _flags(spark, tmp_path, batches, capacity=4, groups=1)
+    cache, expected = {}, []
+    for (k,) in batches:
+        expected.append([(k, k in cache)])
+        cache.pop(k, None)
+        cache[k] = True
+        if len(cache) > 4:
+            cache.pop(next(iter(cache)))
+    assert got == expected and {x for b in got for _, x in b} == {True, False}
+    # Two entries for each key and one for the group (each is counted twice), however many keys have come.
+    assert max(sizes) == sizes[-1] == 2 * (2 * 4 + 1)
+
+
+def test_state_of_many_keys_stays_within_the_capacity(spark, tmp_path):
+    batches = [[f"k{100 * b + i}" for i in range(100)] + [f"k{100 * b}"] for b in range(4)]
+    got, sizes = _flags(spark, tmp_path, batches, capacity=40, groups=4)
+    assert all(sum(x for _, x in b) <= 1 for b in got) and max(sizes) == sizes[-1] <= 2 * (2 * 40 + 4)
+    for bad in ({"capacity": 0}, {"capacity": -1}, {"capacity": 5, "ttl_ms": 5}):
+        with pytest.raises(ValueError):
+            with_seen(spark.createDataFrame([], "key string, value string"), "k", **bad)
+
+
+def test_keys_are_forgotten_after_their_time(spark, tmp_path):
+    got, _ = _flags(spark, tmp_path, [["a"], ["a"], ["b"]], ttl_ms=3_600_000)
+    assert got == [[("a", False)], [("a", True)], [("b", False)]]
+    (tmp_path / "short").mkdir()
+    got, _ = _flags(spark, tmp_path / "short", [["a"], ["b"], ["a"]], ttl_ms=1)
+    assert got == [[("a", False)], [("b", False)], [("a", False)]]
+
+
 SMALL = Options(trees=6, rate=0.3, depth=3, least_rows=5)
 
 

@@ -96,7 +96,8 @@ def with_seen(records: DataFrame, key: str, ttl_ms: int | None = None, capacity:
     The state lives through a restart, and a replayed micro-batch gets the same flags. It has every key; with `ttl_ms` those
     that came within so many milliseconds of processing time; with `capacity` about so many keys, those that came last:
     keys are dealt to `groups`, each with its part of the capacity (1 group: exactly the last `capacity` keys, in one task).
-    Then keys of one micro-batch count in the order in which they are read, so a key that repeats in it is seen too."""
+    A time to live makes Spark run micro-batches without data for ever, so it turns those off in the session. With a
+    capacity keys of one micro-batch count in the order in which they are read, so a key that repeats in it is seen too."""
     if capacity is not None and capacity <= 0:
         raise ValueError(f"the capacity must be positive, not {capacity}")
     if capacity is not None and ttl_ms is not None:
@@ -112,6 +113,8 @@ def with_seen(records: DataFrame, key: str, ttl_ms: int | None = None, capacity:
         d = d.withColumn("key_", own).withColumn("group_", F.when(F.col("known_"), F.pmod(F.xxhash64("key_"), F.lit(groups)).cast("string")).otherwise(lone))
         return d.groupBy("known_", "group_").transformWithStateInPandas(BoundedSeenProcessor(key, -(-capacity // groups)), out, outputMode="Append", timeMode="None")
     d = d.withColumn("group_", F.when(F.col("known_"), own).otherwise(lone))
+    if ttl_ms:
+        records.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return d.groupBy("known_", "group_").transformWithStateInPandas(SeenProcessor(ttl_ms), out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
