@@ -182,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, shard_row
     l1, weight = max(1.0, L1 * (bad + good) / shards), float(np.clip(good / bad, 1.0, MOST_WEIGHT))
     last = len(places)
     state = State(np.zeros(last + 1), np.zeros(last + 1))
-    shard = F.pmod(F.floor(F.col("place") / CALIBRATES), F.lit(shards)).cast("int").alias("shard")
+    # By other bits of the place than those that choose what calibrates; a quotient of doubles would lose them.
+    shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard")
     dealt = learns.select(shard, "place", "doc_id", "toxic", "features").mapInArrow(_known(places), "shard int, place long, doc_id long, toxic int, at binary")
     # A row for each shard, with its rows in the order of learning.
     dealt = dealt.repartition(shards, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "toxic", "at"))).alias("rows"))
