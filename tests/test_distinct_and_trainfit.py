@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +42,19 @@ def test_statistics_see_training_rows_only(spark):
         assert with_groups(df, fit_groups(df, "type", "amount", {}), "type").where(F.col("type").isNull()).agg(F.sum("fit_n")).first()[0] == 6
     finally:
         trainfit.BROADCAST_GROUPS = kept
+
+
+def test_quantiles_are_exact(spark):
+    """As many values as a sketch rounds, in tasks that it merges, and ranks on whole numbers."""
+    n = 600_000
+    many = spark.range(n, numPartitions=6).select(F.when(F.col("id") % 50 == 0, F.concat(F.lit("g"), F.col("id") % 350)).otherwise("hot").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("x"), F.lit("train").alias("split"))
+    shares = {"p99": 0.99, "p7": 0.07, "least": 0.0, "most": 1.0}
+    got = {r["k"]: tuple(r[q] for q in shares) for r in fit_groups(many, "k", "x", shares).collect()}
+    values = {}
+    for i in range(n):
+        values.setdefault(f"g{i % 350}" if i % 50 == 0 else "hot", []).append(float(i * 7919 % n))
+    nth = lambda v, q: sorted(v)[max(-(-len(v) * Fraction(str(q)) // 1), 1) - 1]
+    assert got == {k: tuple(nth(v, q) for q in shares.values()) for k, v in values.items()}
+    # 0.07 * 100 in doubles is over 7.
+    few = spark.range(1, 101).select(F.lit(None).cast("string").alias("k"), "id", F.lit("train").alias("split"))
+    assert fit_groups(few, "k", "id", {"p7": 0.07}).first()["p7"] == 7

@@ -1,16 +1,19 @@
 """Statistics fitted on the training rows only: by group, as a small table that all splits are joined with.
 
-Means, deviations and quantiles are mergeable, so a group with most rows is combined in the tasks before the shuffle; quantiles
-are Greenwald-Khanna sketches with a rank error of 1 / ACCURACY."""
+Means and deviations are mergeable, and equal values are counted, so a group with most rows is combined in the tasks before the
+shuffle. Quantiles are exact: the counts of a group's values are summed in their order by blocks, so no task holds all of them."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flag
+from ..session import shared_folder
+from .blocks import running_sums
 
-ACCURACY = 100_000
 #: Groups up to so many are broadcast; more are joined in a shuffle.
 BROADCAST_GROUPS = 250_000
 
@@ -20,8 +23,24 @@ def fit_groups(df: DataFrame, group: str, value: str, quantiles: dict[str, float
 
     A null group is one of its own; null values don't count, and a group without any has n = 0 and nulls. The quantile q is the
     least value that at least a share q of the values don't exceed."""
-    q = {k: F.percentile_approx(value, F.lit(p), ACCURACY).alias(k) for k, p in quantiles.items()}
-    return df.where(F.col(split) == train).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), *q.values())
+    rows = df.where(F.col(split) == train)
+    fitted = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"))
+    if not quantiles:
+        return fitted
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("__key"), F.col(value).alias("__value")).agg(F.count("*").alias("times"))
+    counts = _written(counts, "value-counts")
+    run = with_groups(running_sums(counts, "__key", ("__value",), {"before": "times"}), counts.groupBy("__key").agg(F.sum("times").alias("n")), "__key")
+    # Ranks are decimals: 0.99 * n in doubles may lie beyond a whole number.
+    reached = lambda p: F.col("before") + F.col("times") >= F.ceil(F.col("fit_n").cast("decimal(19)") * F.lit(Decimal(repr(p))))
+    found = run.groupBy("__key").agg(*(F.min(F.when(reached(p), F.col("__value"))).alias(k) for k, p in quantiles.items()))
+    return _written(with_groups(fitted, found.withColumnRenamed("__key", group), group, ""), "fitted-groups")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table, where each use would compute it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_groups(df: DataFrame, fitted: DataFrame, group: str, prefix: str = "fit_") -> DataFrame:
