@@ -1,8 +1,10 @@
 """History by blocks against the plain windows, where one entity has most rows."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from txnfeat.operators import History, add_history
@@ -45,6 +47,22 @@ def test_blocks_of_an_entity_are_bounded(spark):
     assert "strategy=broadcast" in plan and "[e" in plan and "__block" in plan
 
 
+def test_blocks_are_cut_in_order_from_few_ranges(spark, monkeypatch):
+    """However many blocks there are, the driver samples few ranges; blocks follow the order and none is over its size."""
+    monkeypatch.setattr(blocks, "RANGES", 4)
+    df = spark.range(20_000).select((F.col("id") % 3).alias("e"), (F.col("id") * 7919 % 20_000).alias("t"), F.lit(1).alias("one"))
+    made = blocks.placed(df, "e", ("t",), block_rows=10)
+    assert made.select(F.input_file_name()).distinct().count() <= 4
+    rows = [tuple(r) for r in made.select("e", "t", "__block").orderBy("e", "t").collect()]
+    numbers = [b for *_, b in rows]
+    assert len(rows) == 20_000 and numbers == sorted(numbers) and 2000 <= len(set(numbers)) <= 2004 and max(Counter(numbers).values()) == 10
+    monkeypatch.setattr(blocks, "MOST_BLOCKS", 50)
+    assert blocks.placed(df, "e", ("t",), block_rows=10).select("__block").distinct().count() <= 54
+    run = blocks.running_sums(df, "e", ("t",), {"before": "one"}, block_rows=10)
+    by = Window.partitionBy("e").orderBy("t")
+    assert run.withColumn("n", F.row_number().over(by)).where("before <> n - 1").count() == 0
+
+
 def test_blocks_of_nothing(spark):
     df = spark.createDataFrame([], "id long, e string, t long, x double")
     for tie in (None, "id"):

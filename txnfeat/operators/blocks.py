@@ -1,9 +1,9 @@
 """History of entities that don't fit a task: the rows of operators.history by a two-level prefix scan.
 
-Items are placed by ranges of (entity, order) and written with their range, so an entity with half of all rows lies in many
-blocks of bounded size. Each block computes its own running moments; the moments of whole blocks are merged by Chan's formula
-and carried into the blocks that follow. Of a range only the first entity can have begun before, so what is carried has at
-most one row for each block, and is broadcast.
+Items are placed by ranges of (entity, order), cut into blocks in their order and written with their block, so an entity with
+half of all rows lies in many blocks of bounded size. Each block computes its own running moments; the moments of whole blocks
+are merged by Chan's formula and carried into the blocks that follow. Of a block only the first entity can have begun before,
+so what is carried has at most one row for each block, and is broadcast.
 
 Rows of one clock value are first merged into a tick, before any shuffle. Without a tie-break the ticks are the items and rows
 take their tick's history; with one the rows are, and only rolling counts come from ticks. A rolling frame is the
@@ -21,6 +21,9 @@ from .history import History
 
 #: Items of a block, and the most blocks.
 BLOCK_ROWS, MOST_BLOCKS = 1_000_000, 20_000
+#: Ranges of items, each a task, that are sorted before they are cut: no more than this, or than BLOCK_ROWS of their items make.
+#: The driver gets a sample for each range, whatever the number of blocks.
+RANGES = 48
 #: A tick with more than this share of all rows is joined by broadcast; there are at most so many of them.
 HEAVY_TICKS = 10_000
 _BLOCK, _PRIOR = "__block", "__prior_moments"
@@ -38,10 +41,13 @@ def _joined(a: DataFrame, b: DataFrame, names: tuple[str, ...], how: str = "left
 
 def placed(df: DataFrame, by: str, order: tuple[str, ...], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`df` as a table with its block, a number that grows with (by, order)."""
-    spark = df.sparkSession
-    n = min(df.count() // block_rows + 1, MOST_BLOCKS)
+    spark, total = df.sparkSession, df.count()
+    block_rows = max(block_rows, -(-total // MOST_BLOCKS))
+    n = min(total // block_rows + 1, max(total // BLOCK_ROWS + 1, RANGES))
     path = shared_folder(spark, "history-blocks")
-    out = df.repartitionByRange(n, by, *order).withColumn(_BLOCK, F.spark_partition_id())
+    out = df.repartitionByRange(n, by, *order).sortWithinPartitions(by, *order)
+    # The id is the range and, in its lower 33 bits, the place in it.
+    out = out.withColumn(_BLOCK, F.monotonically_increasing_id()).withColumn(_BLOCK, F.expr(f"shiftright({_BLOCK}, 33) * {2**33}L + ({_BLOCK} & {2**33 - 1}L) div {block_rows}"))
     out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
