@@ -33,6 +33,21 @@ def test_card_reasons(spark):
     assert reasons(spark, [json.dumps(c) for c, _ in cases], dlq.card_reason) == [r for _, r in cases]
 
 
+@pytest.mark.parametrize(("reason", "fields", "name"), [(dlq.ledger_reason, dlq.ledger_fields, "amount"), (dlq.card_reason, dlq.card_fields, "TransactionAmt")])
+def test_a_record_is_judged_once(spark, reason, fields, name):
+    """However many rules, filters and columns use a field, it is read from the record once, and so is its kind."""
+    records = spark.createDataFrame([("k", "{}")], "key string, value string")
+    done = dlq.classify(records, reason, fields).where("reason_code is null").select("value", "judged.*")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"$.{name}, VariantType") == 1 and plan.count("parse_json") <= 1 and plan.count("MALFORMED_JSON") == 1
+
+
+def test_more_than_a_record_is_malformed(spark):
+    more = [json.dumps(GOOD) + x for x in (', "y": 5', ", 5", "]", '], "x": [1', ',"",')]
+    assert set(reasons(spark, more, dlq.ledger_reason)) == {"MALFORMED_JSON"}
+    assert reasons(spark, ["\t\r\n " + json.dumps(GOOD) + "\n"], dlq.ledger_reason) == [None]
+
+
 def test_no_record_makes_the_rules_fail(spark):
     """Records with any text in the place of any value: each gets a reason, or fields of which none is null."""
     rng = random.Random(11)

@@ -1,8 +1,11 @@
-"""Classification of raw records, as one native expression over VARIANT.
+"""Classification of raw records, by native expressions over VARIANT.
 
 A record's reason is the first rule that it breaks, or null where it is valid. A record is one JSON object with nothing but
 JSON's white space (blank, tab, line feed, carriage return) around it. Read more strictly than by some parsers: NaN literals
-and repeated keys are malformed too."""
+and repeated keys are malformed too.
+
+What several rules use (the parsed record, its fields, their kinds and numbers, the reason itself) is a column of its own, from a
+generator of one row: no filter or projection is pushed below that, so each is computed once for a record."""
 
 from __future__ import annotations
 
@@ -19,34 +22,43 @@ FIRST_STEP, LAST_STEP = 1, 743
 def record_of(raw: Column) -> Column:
     """The record as a variant if it is one JSON object and nothing else, else null.
 
-    The parser stops after a value. So the record is parsed as a field of an object whose other field, after it, must be
-    there: the record's own hash, which a record can't hold to end that object early."""
+    The parser stops after a value. So the record is parsed as the first item of an array whose second, right after it, must be the
+    record's own hash, which a record can't hold to end that array early."""
     mark = F.md5(raw.cast("binary"))
-    whole = F.try_parse_json(F.concat(F.lit('{"record":'), raw, F.lit(',"end":"'), mark, F.lit('"}')))
-    v = F.try_variant_get(whole, "$.record", "variant")
-    return F.when((F.try_variant_get(whole, "$.end", "string") == mark) & F.schema_of_variant(v).startswith("OBJECT"), v)
+    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]')))
+    return F.when((F.try_variant_get(whole, "$[1]", "string") == mark) & raw.rlike(r"^[ \t\r\n]*\{"), F.try_variant_get(whole, "$[0]", "variant"))
+
+
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _with_fields(parsed: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """`parsed` with the record's fields (f, variants), and their kinds (k)."""
+    d = _bound(parsed, "f", F.struct(*(F.try_variant_get("v", f"$.{c}", "variant").alias(c) for c in names)))
+    return _bound(d, "k", F.struct(*(F.schema_of_variant(F.col("f")[c]).alias(c) for c in names)))
 
 
-def _field(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+def _f(name: str) -> Column:
+    return F.col("f")[name]
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _kind(name: str) -> Column:
+    return F.col("k")[name]
 
 
-def _integer(v: Column, value: Column, name: str) -> Column:
+def _integer(name: str) -> Column:
     """Whether the field is written as a whole number, of any length; a variant has lost the point of 5.0, so the text tells."""
-    digits = F.get_json_object(value, f"$.{name}").rlike(r"^-?\d+$")
-    return F.when(_kind(v) == "BIGINT", True).when(_number(v), digits).otherwise(False)
+    digits = F.get_json_object("value", f"$.{name}").rlike(r"^-?\d+$")
+    return F.when(_kind(name) == "BIGINT", True).when(_number(name), digits).otherwise(False)
 
 
-def _number(v: Column) -> Column:
-    return (_kind(v) == "BIGINT") | (_kind(v) == "DOUBLE") | _kind(v).startswith("DECIMAL")
+def _number(name: str) -> Column:
+    return (_kind(name) == "BIGINT") | (_kind(name) == "DOUBLE") | _kind(name).startswith("DECIMAL")
 
 
-def _missing(v: Column) -> Column:
-    return v.isNull() | (_kind(v) == "VOID")
+def _missing(name: str) -> Column:
+    return _f(name).isNull() | (_kind(name) == "VOID")
 
 
 def _as(v: Column, kind: str) -> Column:
@@ -65,42 +77,42 @@ def _finite(x: Column) -> Column:
     return F.when(F.abs(x) <= 1.7976931348623157e308, x)
 
 
-def ledger_reason(v: Column, value: Column) -> Column:
-    """Of a parsed record (record_of) and its text. Types are those of JSON: 5.0 and 1e1 are no integers. An amount beyond
+def ledger_reason(parsed: DataFrame) -> DataFrame:
+    """`parsed` (value, and v of record_of) with reason_code. Types are those of JSON: 5.0 and 1e1 are no integers. An amount beyond
     the doubles is of a bad type."""
-    f = {c: _field(v, c) for c in LEDGER_FIELDS}
-    string = lambda c: _kind(f[c]) == "STRING"
-    amount = _finite(_as(f["amount"], "double"))
-    return (
-        F.when(v.isNull(), "MALFORMED_JSON")
-        .when(_any([_missing(v) for v in f.values()]), "MISSING_FIELD")
-        .when(~_integer(f["step"], value, "step"), "BAD_STEP_TYPE")
-        .when(~string("type") | ~F.coalesce(_as(f["type"], "string").isin(*LEDGER_TYPES), F.lit(False)), "BAD_TYPE")
-        .when(~_number(f["amount"]) | amount.isNull() | ~string("nameOrig") | ~string("nameDest") | ~_integer(f["isFraud"], value, "isFraud"), "BAD_FIELD_TYPE")
+    string = lambda c: _kind(c) == "STRING"
+    amount = _finite(_as(_f("amount"), "double"))
+    reason = (
+        F.when(F.col("v").isNull(), "MALFORMED_JSON")
+        .when(_any([_missing(c) for c in LEDGER_FIELDS]), "MISSING_FIELD")
+        .when(~_integer("step"), "BAD_STEP_TYPE")
+        .when(~string("type") | ~F.coalesce(_as(_f("type"), "string").isin(*LEDGER_TYPES), F.lit(False)), "BAD_TYPE")
+        .when(~_number("amount") | amount.isNull() | ~string("nameOrig") | ~string("nameDest") | ~_integer("isFraud"), "BAD_FIELD_TYPE")
         .when(amount < 0, "NEGATIVE_AMOUNT")
-        .when(~_as(f["step"], "double").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
-        .when(~_as(f["isFraud"], "double").isin(0.0, 1.0), "INVALID_LABEL")
+        .when(~_as(_f("step"), "double").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
+        .when(~_as(_f("isFraud"), "double").isin(0.0, 1.0), "INVALID_LABEL")
     )
+    return _bound(_with_fields(parsed, LEDGER_FIELDS), "reason_code", reason)
 
 
-def _text(v: Column) -> Column:
+def _text(name: str) -> Column:
     """A string that may be a number: without white space around it and underscores between digits."""
-    return F.regexp_replace(F.regexp_replace(_as(v, "string"), r"^\s+|\s+$", ""), r"(?<=\d)_(?=\d)", "")
+    return F.regexp_replace(F.regexp_replace(_as(_f(name), "string"), r"^\s+|\s+$", ""), r"(?<=\d)_(?=\d)", "")
 
 
-def _whole(v: Column) -> Column:
-    """The field as a whole number, in a double: numbers are cut, strings are read if they are whole, true is 1. Null: none of these."""
-    text = _text(v)
-    number = F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("double"))).when(_kind(v) == "BOOLEAN", _as(v, "boolean").cast("int").cast("double")).when(_number(v), _as(v, "double"))
-    # Beyond 2^53 a double has no fraction.
-    return F.when(F.abs(number) < 2.0**53, F.signum(number) * F.floor(F.abs(number))).otherwise(_finite(number))
+def _read(name: str, written: str) -> Column:
+    """The field as a double: a number, a string that is `written` as one, or a boolean, of which true is 1. Null: none of these."""
+    text = _text(name)
+    return F.when(_number(name), _as(_f(name), "double")).when(_kind(name) == "STRING", F.when(text.rlike(written), text.try_cast("double"))).when(_kind(name) == "BOOLEAN", _as(_f(name), "boolean").cast("int").cast("double"))
 
 
-def _real(v: Column) -> Column:
-    """The field as a finite double, by the same rules."""
-    text = _text(v)
-    number = F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))).when(_kind(v) == "BOOLEAN", _as(v, "boolean").cast("int").cast("double")).when(_number(v), _as(v, "double"))
-    return _finite(number)
+_WHOLE, _REAL = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _whole(number: Column) -> Column:
+    """A number without its fraction, null where it isn't finite."""
+    # Beyond 2^53 a double has no fraction.
+    return F.when(F.abs(number) < 2.0**53, F.signum(number) * F.floor(F.abs(number))).otherwise(_finite(number))
 
 
 #: The least and greatest number that the contract's integers hold.
@@ -113,49 +125,45 @@ def _held(x: Column) -> Column:
     return F.when(x.between(_LOW, _HIGH), x).try_cast("int")
 
 
-def _card_numbers(v: Column) -> Column:
-    """The card's numbers as doubles, null where a field is none."""
-    made = {c: _whole(_field(v, c)) for c in _CARD_INTS} | {"TransactionAmt": _real(_field(v, "TransactionAmt"))}
-    return F.struct(*(x.alias(c) for c, x in made.items()))
-
-
-def card_reason(v: Column, value: Column) -> Column:
-    """Of a parsed record and its text. Numbers may be strings here, and fractions are cut, as the fields' own conversions
-    (card_fields) do. A key or clock that the row can't hold, and an amount that isn't finite, are of a bad type."""
-    missing = _any([_missing(_field(v, c)) for c in CARD_FIELDS])
-
-    def judged(n: Column) -> Column:
-        bad = [*(n[c].isNull() for c in ("isFraud", "TransactionDT", "TransactionAmt")), n["TransactionDT"] > _HIGH, *(_held(n[c]).isNull() for c in ("TransactionID", "card1")), _kind(_field(v, "ProductCD")) != "STRING"]
-        return F.when(_any(bad), "BAD_FIELD_TYPE").when(n["TransactionAmt"] < 0, "NEGATIVE_AMOUNT").when(~n["isFraud"].isin(0.0, 1.0), "INVALID_LABEL").when(n["TransactionDT"] <= 0, "INVALID_TRANSACTIONDT")
-
-    # Bound in a lambda, so that each conversion is computed once.
-    rest = F.get(F.transform(F.array(_card_numbers(v)), judged), 0)
-    return F.when(v.isNull(), "MALFORMED_JSON").when(missing, "MISSING_FIELD").otherwise(rest)
+def card_reason(parsed: DataFrame) -> DataFrame:
+    """`parsed` with reason_code, and the card's numbers (n) as doubles, null where a field is none. Numbers may be strings here,
+    and fractions are cut, as the fields' own conversions (card_fields) do. A key or clock that the row can't hold, and an amount that
+    isn't finite, are of a bad type."""
+    kinds = dict.fromkeys(_CARD_INTS, _WHOLE) | {"TransactionAmt": _REAL}
+    d = _bound(_with_fields(parsed, CARD_FIELDS), "read", F.struct(*(_read(c, w).alias(c) for c, w in kinds.items())))
+    d = _bound(d, "n", F.struct(*((_whole if c in _CARD_INTS else _finite)(F.col("read")[c]).alias(c) for c in kinds)))
+    n = F.col("n")
+    bad = [*(n[c].isNull() for c in ("isFraud", "TransactionDT", "TransactionAmt")), n["TransactionDT"] > _HIGH, *(_held(n[c]).isNull() for c in ("TransactionID", "card1")), _kind("ProductCD") != "STRING"]
+    reason = (
+        F.when(F.col("v").isNull(), "MALFORMED_JSON")
+        .when(_any([_missing(c) for c in CARD_FIELDS]), "MISSING_FIELD")
+        .when(_any(bad), "BAD_FIELD_TYPE")
+        .when(n["TransactionAmt"] < 0, "NEGATIVE_AMOUNT")
+        .when(~n["isFraud"].isin(0.0, 1.0), "INVALID_LABEL")
+        .when(n["TransactionDT"] <= 0, "INVALID_TRANSACTIONDT")
+    )
+    return _bound(d, "reason_code", reason)
 
 
-def ledger_fields(v: Column) -> Column:
+def ledger_fields() -> Column:
     """The judged fields of a valid record in the contract's types."""
     kinds = {"step": "int", "amount": "double", "isFraud": "int"}
-    return F.struct(*(_as(_field(v, c), kinds.get(c, "string")).alias(c) for c in LEDGER_FIELDS))
+    return F.struct(*(_as(_f(c), kinds.get(c, "string")).alias(c) for c in LEDGER_FIELDS))
 
 
-def card_fields(v: Column) -> Column:
+def card_fields() -> Column:
     """The judged fields of a valid record in the contract's types, by the conversions that judged them."""
-    def made(n: Column) -> Column:
-        kinds = {"ProductCD": _as(_field(v, "ProductCD"), "string"), "TransactionAmt": n["TransactionAmt"]}
-        return F.struct(*(kinds.get(c, _held(n[c]) if c in _CARD_INTS else None).alias(c) for c in CARD_FIELDS))
-
-    return F.get(F.transform(F.array(_card_numbers(v)), made), 0)
+    n = F.col("n")
+    made = {c: _held(n[c]) for c in _CARD_INTS} | {"ProductCD": _as(_f("ProductCD"), "string"), "TransactionAmt": n["TransactionAmt"]}
+    return F.struct(*(made[c].alias(c) for c in CARD_FIELDS))
 
 
 def classify(records: DataFrame, reason, fields=None) -> DataFrame:
     """key, value and reason_code (null: valid) of each record; with `fields` also judged, a struct of its fields (null: invalid).
 
-    No record makes it fail. The parsed record comes from a generator of one row, below which no filter on the reason is
-    pushed: each is parsed once."""
-    parsed = records.select("key", "value", F.explode(F.array(record_of(F.col("value")))).alias("v"))
-    done = parsed.select("key", "value", "v", reason(F.col("v"), F.col("value")).alias("reason_code"))
-    judged = [F.when(F.col("reason_code").isNull(), fields(F.col("v"))).alias("judged")] if fields else []
+    No record makes it fail."""
+    done = reason(_bound(records.select("key", "value"), "v", record_of(F.col("value"))))
+    judged = [F.when(F.col("reason_code").isNull(), fields()).alias("judged")] if fields else []
     return done.select("key", "value", "reason_code", *judged)
 
 
