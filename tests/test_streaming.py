@@ -1,15 +1,23 @@
 import json
 import os
 import random
+import re
+import sys
+from collections import Counter
+from unittest.mock import Mock
 
+import numpy as np
+import pandas as pd
 import pytest
 from fixtures import LEDGER, LEDGER_COLUMNS, boundary_rows, small_card_schema
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from txnfeat import operators
 from txnfeat.operators.validate import parity
 from txnfeat.plans import card_features, ledger_features
 from txnfeat.sources import stream_source
-from txnfeat.streaming import dlq
+from txnfeat.streaming import dlq, state
 from txnfeat.streaming.pipelines import build_pipeline
 
 GOOD = {"step": 1, "type": "TRANSFER", "amount": 5.0, "nameOrig": "o", "nameDest": "d", "isFraud": 0}
@@ -42,6 +50,33 @@ def test_a_record_is_judged_once(spark, reason, fields, name):
     assert plan.count(f"$.{name}, VariantType") == 1 and plan.count("parse_json") <= 1 and plan.count("MALFORMED_JSON") == 1
 
 
+@pytest.mark.parametrize(("reason", "fields", "name"), [(dlq.ledger_reason, dlq.ledger_fields, "amount"), (dlq.card_reason, dlq.card_fields, "TransactionAmt")])
+def test_a_record_is_parsed_and_converted_once(spark, reason, fields, name):
+    """The record's hash, its parse, and its number are in the plan once."""
+    records = spark.createDataFrame([("k", "{}")], "key string, value string")
+    done = dlq.classify(records, reason, fields).where("reason_code is null").select("value", "judged.*")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("md5(") == 1 and len(re.findall(rf"\.{name}, \$, DoubleType", plan)) == 1
+
+
+def test_state_makes_no_call_for_each_row():
+    """Rows of an entity go through one loop: its Python calls don't grow with them."""
+    rows = pd.DataFrame({"nameDest": "d", "step": np.arange(600), "amount": 1.5, "type_cash_out": 1, state._ENTITY: "d"})
+    schema = T.StructType([T.StructField(c, k) for c, k in (("nameDest", T.StringType()), ("step", T.IntegerType()), ("amount", T.DoubleType()), ("type_cash_out", T.ByteType()))])
+    calls = Counter()
+
+    def run_it(n):
+        p = state.HistoryProcessor(operators.LEDGER, schema, {"share": "type_cash_out"})
+        p.histories = Mock(exists=lambda: False)
+        sys.setprofile(lambda frame, event, arg: calls.update([n] if event == "call" and frame.f_code.co_filename == state.__file__ else []))
+        try:
+            return sum(len(f) for f in p.handleInputRows(None, iter([rows[:n]]), None))
+        finally:
+            sys.setprofile(None)
+
+    assert (run_it(60), run_it(600)) == (60, 600) and calls[600] == calls[60]
+
+
 def test_more_than_a_record_is_malformed(spark):
     more = [json.dumps(GOOD) + x for x in (', "y": 5', ", 5", "]", '], "x": [1', ',"",')]
     assert set(reasons(spark, more, dlq.ledger_reason)) == {"MALFORMED_JSON"}

@@ -16,21 +16,38 @@ from ..specs import LEDGER_TYPES
 
 LEDGER_FIELDS = ("step", "type", "amount", "nameOrig", "nameDest", "isFraud")
 CARD_FIELDS = ("TransactionID", "TransactionDT", "TransactionAmt", "ProductCD", "isFraud", "card1")
+_LEDGER_NUMBERS = ("step", "amount", "isFraud")
 FIRST_STEP, LAST_STEP = 1, 743
 
 
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _marked(raw: Column, mark: Column) -> Column:
+    """The record as the first item of an array whose second, right after it, is the mark."""
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]')))
+
+
+def _alone(raw: Column, mark: Column, whole: Column) -> Column:
+    return F.when((F.try_variant_get(whole, "$[1]", "string") == mark) & raw.rlike(r"^[ \t\r\n]*\{"), F.try_variant_get(whole, "$[0]", "variant"))
+
+
 def record_of(raw: Column) -> Column:
     """The record as a variant if it is one JSON object and nothing else, else null.
 
-    The parser stops after a value. So the record is parsed as the first item of an array whose second, right after it, must be the
-    record's own hash, which a record can't hold to end that array early."""
+    The parser stops after a value. So the mark after the record is the record's own hash, which a record can't hold to end that array
+    early. Parses twice, as a column refers to no other; see with_record."""
     mark = F.md5(raw.cast("binary"))
-    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]')))
-    return F.when((F.try_variant_get(whole, "$[1]", "string") == mark) & raw.rlike(r"^[ \t\r\n]*\{"), F.try_variant_get(whole, "$[0]", "variant"))
+    return _alone(raw, mark, _marked(raw, mark))
 
 
-def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
-    return df.select("*", F.explode(F.array(value)).alias(name))
+def with_record(records: DataFrame) -> DataFrame:
+    """key and value, and record_of the value (v), which is hashed and parsed once."""
+    raw, mark, whole = F.col("value"), F.col("mark"), F.col("whole")
+    d = _bound(records.select("key", "value"), "mark", F.md5(raw.cast("binary")))
+    d = _bound(d, "whole", _marked(raw, mark))
+    return _bound(d, "v", _alone(raw, mark, whole)).drop("mark", "whole")
 
 
 def _with_fields(parsed: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -78,21 +95,23 @@ def _finite(x: Column) -> Column:
 
 
 def ledger_reason(parsed: DataFrame) -> DataFrame:
-    """`parsed` (value, and v of record_of) with reason_code. Types are those of JSON: 5.0 and 1e1 are no integers. An amount beyond
-    the doubles is of a bad type."""
+    """`parsed` (with_record) with reason_code, and the fields read as the contract's (n), whole numbers as doubles. Types are those of
+    JSON: 5.0 and 1e1 are no integers. An amount beyond the doubles is of a bad type."""
     string = lambda c: _kind(c) == "STRING"
-    amount = _finite(_as(_f("amount"), "double"))
+    d = _bound(_with_fields(parsed, LEDGER_FIELDS), "n", F.struct(*(_as(_f(c), "double" if c in _LEDGER_NUMBERS else "string").alias(c) for c in LEDGER_FIELDS)))
+    n = F.col("n")
+    amount = _finite(n["amount"])
     reason = (
         F.when(F.col("v").isNull(), "MALFORMED_JSON")
         .when(_any([_missing(c) for c in LEDGER_FIELDS]), "MISSING_FIELD")
         .when(~_integer("step"), "BAD_STEP_TYPE")
-        .when(~string("type") | ~F.coalesce(_as(_f("type"), "string").isin(*LEDGER_TYPES), F.lit(False)), "BAD_TYPE")
+        .when(~string("type") | ~F.coalesce(n["type"].isin(*LEDGER_TYPES), F.lit(False)), "BAD_TYPE")
         .when(~_number("amount") | amount.isNull() | ~string("nameOrig") | ~string("nameDest") | ~_integer("isFraud"), "BAD_FIELD_TYPE")
         .when(amount < 0, "NEGATIVE_AMOUNT")
-        .when(~_as(_f("step"), "double").between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
-        .when(~_as(_f("isFraud"), "double").isin(0.0, 1.0), "INVALID_LABEL")
+        .when(~n["step"].between(FIRST_STEP, LAST_STEP), "INVALID_STEP")
+        .when(~n["isFraud"].isin(0.0, 1.0), "INVALID_LABEL")
     )
-    return _bound(_with_fields(parsed, LEDGER_FIELDS), "reason_code", reason)
+    return _bound(d, "reason_code", reason)
 
 
 def _text(name: str) -> Column:
@@ -146,9 +165,9 @@ def card_reason(parsed: DataFrame) -> DataFrame:
 
 
 def ledger_fields() -> Column:
-    """The judged fields of a valid record in the contract's types."""
-    kinds = {"step": "int", "amount": "double", "isFraud": "int"}
-    return F.struct(*(_as(_f(c), kinds.get(c, "string")).alias(c) for c in LEDGER_FIELDS))
+    """The judged fields of a valid record in the contract's types, by the conversions that judged them."""
+    # Steps and labels are small whole numbers by now, so a double holds them.
+    return F.struct(*((F.col("n")[c].try_cast("int") if c in ("step", "isFraud") else F.col("n")[c]).alias(c) for c in LEDGER_FIELDS))
 
 
 def card_fields() -> Column:
@@ -162,7 +181,7 @@ def classify(records: DataFrame, reason, fields=None) -> DataFrame:
     """key, value and reason_code (null: valid) of each record; with `fields` also judged, a struct of its fields (null: invalid).
 
     No record makes it fail."""
-    done = reason(_bound(records.select("key", "value"), "v", record_of(F.col("value"))))
+    done = reason(with_record(records))
     judged = [F.when(F.col("reason_code").isNull(), fields()).alias("judged")] if fields else []
     return done.select("key", "value", "reason_code", *judged)
 

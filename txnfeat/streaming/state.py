@@ -12,8 +12,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ from ..operators.history import History
 from ..session import ship
 
 LATE, NO_CLOCK = "LATE_EVENT", "BAD_FIELD_TYPE"
+# n: rows with an amount.
 _MOMENTS = ("rows", "n", "mean", "m2", "total", "top", "shares")
 # Names that begin with an underscore are lost on the way to pandas.
 _ENTITY, _GROUP = "history_entity", "history_group"
@@ -33,40 +34,6 @@ _ENTITY, _GROUP = "history_entity", "history_group"
 GROUPS = 1024
 
 
-@dataclass
-class Moments:
-    rows: int = 0
-    n: int = 0  # rows with an amount
-    mean: float = 0.0
-    m2: float = 0.0
-    total: float = 0.0
-    top: float = float("-inf")
-    shares: tuple = ()
-
-    def add(self, amount: float | None, hits: tuple) -> None:
-        self.rows += 1
-        if hits:
-            self.shares = tuple(a + b for a, b in zip(self.shares, hits, strict=True))
-        if amount is not None and amount == amount:
-            self.n += 1
-            d = amount - self.mean
-            self.mean += d / self.n
-            self.m2 += d * (amount - self.mean)
-            self.total += amount
-            self.top = max(self.top, amount)
-
-    def merge(self, o: Moments) -> None:
-        n = self.n + o.n
-        if o.n:
-            d = o.mean - self.mean
-            self.m2 += o.m2 + d * d * self.n * o.n / n
-            self.mean += d * o.n / n
-            self.total += o.total
-            self.top = max(self.top, o.top)
-        self.rows, self.n = self.rows + o.rows, n
-        self.shares = tuple(a + b for a, b in zip(self.shares, o.shares, strict=True))
-
-
 def _state_type() -> T.StructType:
     """Lists have no structs in them, whose conversion takes longer than the state itself."""
     longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
@@ -122,8 +89,7 @@ class HistoryProcessor(StatefulProcessor):
                 first += 1
             late[start:first] = True
             if first < end:
-                for i in range(first, end):
-                    out.append(history.add(clocks[i], ties[i], amounts[i], hits[i]))
+                out += history.features(*(x[first:end] for x in (clocks, ties, amounts, hits)))
                 self.histories.updateValue((entity,), history.state())
         kinds = output_type(self.schema, h, list(self.share_flags))
         if out:
@@ -143,70 +109,107 @@ class _History:
 
     def __init__(self, p: HistoryProcessor, state):
         self.p, self.tied = p, bool(p.h.tie_break)
-        self.counted, self.summed = list(p.h.rolling_counts.values()), list(p.h.rolling_sums.values())
-        self.fresh = (0,) * len(p.share_flags)
+        self.fresh = (0, 0, 0.0, 0.0, 0.0, float("-inf"), (0,) * len(p.share_flags))
         k = len(_MOMENTS)
         if state is None:
-            self.past, self.open = Moments(shares=self.fresh), Moments(shares=self.fresh)
+            self.past = self.open = self.fresh
             self.clock = self.tie = self.before = None
             # One entry for each value of the clock in the widest window, however many rows it has.
             self.times, self.rows, self.totals = [], [], []
         else:
-            self.past, self.open = (Moments(*x[:-1], tuple(x[-1])) for x in (state[:k], state[k : 2 * k]))
+            self.past, self.open = ((*x[:-1], tuple(x[-1])) for x in (state[:k], state[k : 2 * k]))
             self.clock, self.tie, self.before = state[2 * k : 2 * k + 3]
             self.times, self.rows, self.totals = (list(x) for x in state[2 * k + 3 :])
-        # Of all entries before each.
-        self.rows_before, self.total_before = ([0, *accumulate(x)][: len(x)] for x in (self.rows, self.totals))
-        self.lows = dict.fromkeys((*self.counted, *self.summed), 0)
-        self.rolling: tuple | None = None
 
     def passed(self, clock: int, tie: int) -> bool:
         """Whether a row comes too late."""
         return self.clock is not None and (clock < self.clock or self.tied and clock == self.clock and tie <= self.tie)
 
-    def add(self, clock: int, tie: int, amount: float, hits: tuple) -> tuple:
-        """The features of the next row (amount: NaN if there is none), in the order of the output."""
-        p, past, new = self.p, self.past, clock != self.clock
-        if self.tied:
-            self.before = self.clock
-        elif new and self.clock is not None:
-            past.merge(self.open)
-            self.open, self.before = Moments(shares=self.fresh), self.clock
-        if p.width:
-            if new:
-                self.rows_before.append(self.rows_before[-1] + self.rows[-1] if self.rows else 0)
-                self.total_before.append(self.total_before[-1] + self.totals[-1] if self.rows else 0.0)
-                self.times.append(clock)
-                self.rows.append(0)
-                self.totals.append(0.0)
-            if new or self.rolling is None:
-                self.rolling = self._windows(clock)
-            self.rows[-1] += 1
-            if amount == amount:
-                self.totals[-1] += amount
-        n = past.rows
-        std = (past.m2 / (past.n - 1)) ** 0.5 if past.n > 1 else None
-        scored = n >= p.min_count and std is not None and std > p.min_std
-        out = (
-            n, past.total, past.mean if past.n else None, std, past.top if past.n else None, *(self.rolling or ()),
-            int(n == 0), None if self.before is None else clock - self.before, (amount - past.mean) / std if scored else None,
-            *(x / n if n else None for x in past.shares),
-        )
-        (past if self.tied else self.open).add(amount, hits)
-        self.clock, self.tie = clock, tie
-        return out
+    def features(self, clocks: list, ties: list, amounts: list, hits: list) -> list[tuple]:
+        """The features of the next rows (amount: NaN if there is none), in the order of the output.
 
-    def _windows(self, clock: int) -> tuple:
-        """Rolling counts and sums of the entries before the last, which is the clock's own."""
-        for w, low in self.lows.items():
-            while self.times[low] < clock - w:
-                low += 1
-            self.lows[w] = low
-        rows, total = self.rows_before, self.total_before
-        return *(rows[-1] - rows[self.lows[w]] for w in self.counted), *(total[-1] - total[self.lows[w]] for w in self.summed)
+        One loop over plain variables: this is what a row costs, and calls and attributes were most of it."""
+        p, tied, out = self.p, self.tied, []
+        rows, n, mean, m2, total, top, shares = self.past
+        rows_o, n_o, mean_o, m2_o, total_o, top_o, shares_o = self.open
+        clock, before = self.clock, self.before
+        times, counts, totals = self.times, self.rows, self.totals
+        # Of all entries before each.
+        count_before, total_before = ([0, *accumulate(x)][: len(x)] for x in (counts, totals))
+        widths = list(dict.fromkeys((*p.h.rolling_counts.values(), *p.h.rolling_sums.values())))
+        counted, summed = ([widths.index(w) for w in x.values()] for x in (p.h.rolling_counts, p.h.rolling_sums))
+        lows, head = [0] * len(widths), None
+        for at, amount, hit in zip(clocks, amounts, hits, strict=True):
+            new, known = at != clock, amount == amount
+            if tied:
+                before = clock
+            elif new and clock is not None:
+                if n_o:
+                    d, both = mean_o - mean, n + n_o
+                    m2 += m2_o + d * d * n * n_o / both
+                    mean += d * n_o / both
+                    total += total_o
+                    n = both
+                    if top_o > top:
+                        top = top_o
+                rows += rows_o
+                shares = tuple(map(add, shares, shares_o))
+                (rows_o, n_o, mean_o, m2_o, total_o, top_o, shares_o), before = self.fresh, clock
+            if new and widths:
+                count_before.append(count_before[-1] + counts[-1] if counts else 0)
+                total_before.append(total_before[-1] + totals[-1] if counts else 0.0)
+                times.append(at)
+                counts.append(0)
+                totals.append(0.0)
+            if new or head is None:
+                # Rolling counts and sums of the entries before the last, which is the clock's own.
+                for i, w in enumerate(widths):
+                    low, least = lows[i], at - w
+                    while times[low] < least:
+                        low += 1
+                    lows[i] = low
+                rolling = [count_before[-1] - count_before[lows[i]] for i in counted] + [total_before[-1] - total_before[lows[i]] for i in summed]
+            if new or tied or head is None:
+                std = (m2 / (n - 1)) ** 0.5 if n > 1 else None
+                scored = rows >= p.min_count and std is not None and std > p.min_std
+                head = (rows, total, mean if n else None, std, top if n else None, *rolling, int(rows == 0), None if before is None else at - before)
+                tail = [x / rows if rows else None for x in shares]
+            out.append((*head, (amount - mean) / std if scored else None, *tail))
+            if widths:
+                counts[-1] += 1
+                if known:
+                    totals[-1] += amount
+            if tied:
+                rows += 1
+                if hit:
+                    shares = tuple(map(add, shares, hit))
+                if known:
+                    n += 1
+                    d = amount - mean
+                    mean += d / n
+                    m2 += d * (amount - mean)
+                    total += amount
+                    if amount > top:
+                        top = amount
+            else:
+                rows_o += 1
+                if hit:
+                    shares_o = tuple(map(add, shares_o, hit))
+                if known:
+                    n_o += 1
+                    d = amount - mean_o
+                    mean_o += d / n_o
+                    m2_o += d * (amount - mean_o)
+                    total_o += amount
+                    if amount > top_o:
+                        top_o = amount
+            clock = at
+        self.past, self.open = (rows, n, mean, m2, total, top, shares), (rows_o, n_o, mean_o, m2_o, total_o, top_o, shares_o)
+        self.clock, self.tie, self.before = clock, ties[-1], before
+        return out
 
     def state(self) -> tuple:
-        pack = lambda m: (m.rows, m.n, m.mean, m.m2, m.total, m.top, list(m.shares))
+        pack = lambda m: (*m[:-1], list(m[-1]))
         low = bisect_left(self.times, self.clock - self.p.width)
         return *pack(self.past), *pack(self.open), self.clock, self.tie, self.before, self.times[low:], self.rows[low:], self.totals[low:]
 
